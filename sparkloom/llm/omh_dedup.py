@@ -14,12 +14,15 @@ Groups never meet as a whole and are never expanded into all pairs:
 * In each bucket (texts with one sketch in common) every member is compared with the bucket's first text.
 * A bucket whose members are then in one class is done. In the others, members outside the most common class are
   compared with members of other classes, first with the next one in the bucket's order, then with the next eight,
-  and so on with ever more until the bucket is one class or all such pairs of fitting length have been compared. So
+  and so on with ever more until the bucket is one class or all such pairs of fitting length have been compared.
+  Before the larger steps, members are left out that have too many k-mers found in no other open text for any link. So
   no link between two texts of a bucket is lost for the classes, while a bucket of near copies needs a few comparisons
   a member.
 
 Two texts at the threshold miss each other in all sketches with a probability of about (1 - 0.8 ** ell) ** sketches,
-4e-7 with the defaults for long texts.
+4e-7 with the defaults. For short texts few k-mers remain to choose from, so those of up to ``short`` k-mers have
+sketches of their own with a smaller ``ell``, and both kinds are made where lengths overlap: of two texts that can be
+linked either both have the one kind or both the other.
 
 Defined results: a null text is empty; texts of fewer than five words have one k-mer of all their words; texts without
 words are alike only when identical; repeated rows are copies; rows with a null doc_id can be kept only in a class
@@ -121,9 +124,14 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float) -> int:
     return len(ends)
 
 
-def _prepare(k: int, ell: int, seeds: list[int]):
+def sketches_of(x: np.ndarray, families: list[tuple[float, float, int, np.ndarray]]) -> np.ndarray:
+    found = [sketch(x, seeds, ell) for least, most, ell, seeds in families if least <= len(x) <= most and len(x)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _prepare(k: int, families: list[tuple[float, float, int, np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, s = Words(), np.array(seeds, np.uint64)
+        numbers = Words()
         for b in batches:
             digests, sizes, keys = [], [], []
             for text in b.column(1):
@@ -132,7 +140,7 @@ def _prepare(k: int, ell: int, seeds: list[int]):
                 digests.append(hashlib.md5(b"\0".join(words) if words else b"\0" + raw, usedforsecurity=False).digest())
                 x = kmers(words, k, numbers)
                 sizes.append(len(x))
-                keys.append(sketch(x, s, ell).view(np.int64) if len(x) else np.zeros(0, np.int64))
+                keys.append(sketches_of(x, families).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -142,6 +150,17 @@ def _prepare(k: int, ell: int, seeds: list[int]):
     return run
 
 
+def _kmers_of(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Words()
+        for b in batches:
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                x = kmers(ascii_words(text.as_py()), k, numbers).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rid)), pa.array(x)], names=["tid", "kmer"])
+
+    return run
+
+
 def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Words()
@@ -191,7 +210,7 @@ def merge_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     of = lambda side: links.join(roots.select(F.col("v").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
     known = of("a").join(roots.select(F.col("v").alias("b"), F.col("root").alias("b_root")), "b", "left")
     joined = known.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    moved = written(components(joined)).withColumnsRenamed({"v": "root", "root": "top"})
+    moved = written(components(joined).select(F.col("v").alias("root"), F.col("root").alias("top")))
     old = roots.join(moved, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
     new = moved.join(roots, "root", "left_anti").select(F.col("root").alias("v"), F.col("top").alias("root"))
     return written(old.unionByName(new.join(old, "v", "left_anti")))
@@ -205,13 +224,28 @@ def _ranked(bucketed: DataFrame, most: int = 1000) -> DataFrame:
     return inside.join(before.select("key", "part", "before"), ["key", "part"]).select("key", "size", "n", F.col("b").alias("tid"), (F.col("before") + F.col("inside")).alias("at"))
 
 
+def _open(ranked: DataFrame, roots: DataFrame, low: int) -> DataFrame:
+    """Members of the buckets of more than ``low`` that hold several classes so far, with their bucket's main class."""
+    now = ranked.filter(F.col("size") > low).join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("key", "size", "n", "tid", "at", F.coalesce("root", "tid").alias("root"))
+    each = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    several = each.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
+    return now.join(several, "key")
+
+
+def _shareable(members: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
+    """Without those members that have too many k-mers of their own to be linked to any text of their bucket.
+
+    A link of texts with n and m k-mers needs L >= t (n + m) / (1 + t) common ones, and m >= t n."""
+    least = members.groupBy("key").agg(F.min("n").alias("least"))
+    able = members.join(alone, "tid", "left").join(least, "key")
+    need = threshold * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n"))) / (1 + threshold) - 1e-9
+    return able.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= need).select("key", "size", "n", "tid", "at")
+
+
 def _across(ranked: DataFrame, roots: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
     """Pairs of members of a bucket that are in different classes so far, one of them outside the bucket's most
     common class, ``low`` to ``high`` places on in the ring of its members."""
-    now = ranked.filter(F.col("size") > low).join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("key", "size", "n", "tid", "at", F.coalesce("root", "tid").alias("root"))
-    each = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_ = each.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
-    here = now.join(open_, "key")
+    here = _open(ranked, roots, low)
     steps = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size") - 1)))
     asks = here.filter("root <> main").select("key", "tid", "n", "root", "size", "at", steps.alias("step")).select("key", F.col("tid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("x_root"), ((F.col("at") + F.col("step")) % F.col("size")).alias("at"))
     met = asks.join(here.select("key", "at", F.col("tid").alias("y"), F.col("n").alias("yn"), F.col("root").alias("y_root")), ["key", "at"])
@@ -219,13 +253,18 @@ def _across(ranked: DataFrame, roots: DataFrame, low: int, high: int, threshold:
     return met.filter((F.col("x_root") != F.col("y_root")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _classed(docs: DataFrame, k: int, threshold: float, ell: int, sketches: int, seed: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def families(threshold: float, ell: int, sketches: int, short: int, short_ell: int, short_sketches: int, seed: int) -> list[tuple[float, float, int, np.ndarray]]:
+    """Least and most k-mers of a text, ell and seeds of each kind of sketch."""
+    seeds = np.random.default_rng(seed).integers(1, 2**63, sketches + short_sketches).astype(np.uint64)
+    return [(short * threshold, float("inf"), ell, seeds[:sketches]), (1, short, short_ell, seeds[sketches:])]
+
+
+def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[DataFrame, DataFrame, list[str]]:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
-    seeds = [int(x) for x in np.random.default_rng(seed).integers(1, 2**63, sketches)]
-    base = written(rows.mapInArrow(_prepare(k, ell, seeds), f"doc_id long, text string, rest {kind}, digest binary, n long, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    base = written(rows.mapInArrow(_prepare(k, families(threshold, **sketching)), f"doc_id long, text string, rest {kind}, digest binary, n long, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
 
     texts = written(base.groupBy("digest").agg(F.min("rid").alias("tid"), F.count(F.lit(1)).alias("copies")))
     members = base.join(texts.select(F.col("tid").alias("rid")), "rid", "left_semi").select(F.explode("keys").alias("key"), F.col("rid").alias("tid"), "n")
@@ -245,6 +284,11 @@ def _classed(docs: DataFrame, k: int, threshold: float, ell: int, sketches: int,
     low, high, widest = 1, 1, bucketed.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
     ranked = written(_ranked(bucketed)) if widest > 1 else None
     while low < widest:
+        if low == 9:
+            some = _open(ranked, roots, low).select(F.col("tid").alias("rid")).distinct()
+            listed = base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
+            alone = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
+            ranked = written(_shareable(_open(ranked, roots, low).select("key", "size", "n", "tid", "at"), alone, threshold))
         pairs = written(_across(ranked, roots, low, high, threshold))
         found = verified(pairs).filter("linked").select("a", "b")
         if not found.isEmpty():
@@ -257,7 +301,7 @@ def _classed(docs: DataFrame, k: int, threshold: float, ell: int, sketches: int,
     return classed, base, others
 
 
-DEFAULTS = {"k": 5, "threshold": 0.8, "ell": 5, "sketches": 40, "seed": 7}
+DEFAULTS = {"k": 5, "threshold": 0.8, "ell": 8, "sketches": 80, "short": 40, "short_ell": 3, "short_sketches": 24, "seed": 7}
 
 
 def near_dup_classes(docs: DataFrame, **options) -> DataFrame:

@@ -19,6 +19,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ppm_score import ppm_scores
+
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.omh_dedup import near_dup_classes
+
+    return near_dup_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_trie_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.trie_dedup import dedup
 
@@ -53,6 +65,8 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_ppm_scores": op3_ppm_scores,
+        "op5_order_minhash": op5_order_minhash,
         "op6_trie_dedup": op6_trie_dedup,
         "op7_vector_packing": op7_vector_packing,
         "op10_fm_decontamination": op10_fm_decontamination,
