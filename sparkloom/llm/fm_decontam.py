@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import WORD_BYTES, ascii_words
 
@@ -196,28 +197,27 @@ def merged(flat: list[int]) -> list[int]:
     return out
 
 
-SCHEMA = "doc_id long, text string, n_words long, spans array<int>, items array<string>"
+FOUND = "n_words long, spans array<int>, items array<string>"
 
 
 def _searched(items: list[tuple[str, str | None]], window: int, shard_bytes: int, sample: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items, window)
-        rows, size = [], 0
+        rows, size, kind = [], 0, None
 
         def out():
             sizes, found = hits([(r[1] or "").encode("utf-8", "replace") for r in rows], phrases, sample)
             spans = [merged([*(r[3] or ()), *x[0]]) if x else list(r[3] or ()) for r, x in zip(rows, found, strict=True)]
             names = [sorted({*(r[4] or ()), *x[1]}) if x else list(r[4] or ()) for r, x in zip(rows, found, strict=True)]
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
+            own = [pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (1, pa.string()), (5, kind))]
+            batch = pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "text", "row", "n_words", "spans", "items"])
             rows.clear()
             return batch
 
         for b in batches:
-            for r in zip(*(b.column(i) for i in range(5)), strict=True):
-                rows.append([x.as_py() for x in r])
+            kind = b.schema.field("row").type
+            for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "n_words", "spans", "items", "row")), strict=True):
+                rows.append(r)
                 size += len(rows[-1][1] or "")
                 if size >= shard_bytes:
                     yield out()
@@ -228,18 +228,21 @@ def _searched(items: list[tuple[str, str | None]], window: int, shard_bytes: int
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 12 << 20, item_bytes: int = 4 << 20, sample: int = 8) -> DataFrame:
-    """doc_id, text, n_words, spans (merged word spans, flat), items (ids that occur) for every row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 12 << 20, item_bytes: int = 4 << 20, sample: int = 8, carry: bool = False) -> DataFrame:
+    """doc_id, text, n_words, spans (merged word spans, flat), items (ids that occur) for every row of ``docs``;
+    ``carry`` adds the whole row but for its text as the struct ``row``."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / item_bytes))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() AS array<int>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), whole.alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() AS array<int>)").alias("spans"), F.expr("cast(array() AS array<string>)").alias("items")
     )
     for k in range(blocks):
         block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        rows = rows.mapInArrow(_searched(sorted(block), window, shard_bytes, sample), SCHEMA)
-    return rows
+        schema = T.StructType([*(rows.schema[c] for c in ("doc_id", "text", "row")), *T.StructType.fromDDL(FOUND).fields])
+        rows = rows.mapInArrow(_searched(sorted(block), window, shard_bytes, sample), schema)
+    return rows if carry else rows.drop("row")
 
 
 def without_spans(text: str, spans: list[int]) -> str:

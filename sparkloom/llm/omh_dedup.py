@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import ascii_words, drop_written, written
 
@@ -263,8 +264,8 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    kind = rows.schema["rest"].dataType.simpleString()
-    base = written(rows.mapInArrow(_prepare(k, families(threshold, **sketching)), f"doc_id long, text string, rest {kind}, digest binary, n long, keys array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("digest binary, n long, keys array<long>").fields])
+    base = written(rows.mapInArrow(_prepare(k, families(threshold, **sketching)), schema).withColumn("rid", F.monotonically_increasing_id()))
 
     texts = written(base.groupBy("digest").agg(F.min("rid").alias("tid"), F.count(F.lit(1)).alias("copies")))
     members = base.join(texts.select(F.col("tid").alias("rid")), "rid", "left_semi").select(F.explode("keys").alias("key"), F.col("rid").alias("tid"), "n")
@@ -314,4 +315,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, with all their columns."""
     classed, base, others = _classed(docs, **DEFAULTS | options)
     kept = base.join(classed.filter("kept").select("rid"), "rid", "left_semi")
-    return kept.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return kept.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns))

@@ -19,12 +19,35 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.cotrain_quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.ppm_score import ppm_scores
 
     return ppm_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.chat_format import expand, read_back
+
+    own = spark.sql("SELECT -7L AS conv_id, x.turn, x.role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role))) AS x)")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
+    back = read_back(expand(rows))
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.omh_dedup import near_dup_classes
 
@@ -44,6 +67,26 @@ def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.markov_secrets import KINDS, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS[:3]),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.pfair_mix import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "source_block", "release", "deadline", "slot", "row_in_block")
+
+
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.fm_decontam import contamination
 
@@ -65,16 +108,32 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_cotrained_quality": op2_cotrained_quality,
         "op3_ppm_scores": op3_ppm_scores,
+        "op4_prefix_targets": op4_prefix_targets,
         "op5_order_minhash": op5_order_minhash,
         "op6_trie_dedup": op6_trie_dedup,
         "op7_vector_packing": op7_vector_packing,
+        "op8_markov_secrets": op8_markov_secrets,
+        "op9_pfair_mix": op9_pfair_mix,
         "op10_fm_decontamination": op10_fm_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_prefix_targets": """
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+                 e AS (SELECT *, length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length(role) + 13 AS size FROM c),
+                 w AS (SELECT *, sum(size) OVER o AS upto, row_number() OVER o = count(*) OVER (PARTITION BY conv_id) AS final
+                       FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING))
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(upto) FILTER (role = 'assistant' OR final) AS BIGINT) AS formatted_chars
+            FROM w GROUP BY conv_id""",
         "op6_trie_dedup": f"""
             WITH d AS (SELECT doc_id, sha256({_FOLD}) AS text_sha256 FROM documents),
                  g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
