@@ -222,7 +222,7 @@ def _ranked(bucketed: DataFrame, most: int = 1000) -> DataFrame:
     parts = bucketed.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / most)))
     before = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("here")).withColumn("before", F.sum("here").over(W.partitionBy("key").orderBy("part")) - F.col("here"))
     inside = parts.withColumn("inside", F.row_number().over(W.partitionBy("key", "part").orderBy("b")) - 1)
-    return inside.join(before.select("key", "part", "before"), ["key", "part"]).select("key", "size", "n", F.col("b").alias("tid"), (F.col("before") + F.col("inside")).alias("at"))
+    return inside.join(before.select("key", "part", "before"), ["key", "part"]).select("key", "size", F.col("b").alias("tid"), (F.col("before") + F.col("inside")).alias("at"))
 
 
 def _open(ranked: DataFrame, roots: DataFrame, low: int) -> DataFrame:
@@ -268,9 +268,11 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     base = written(rows.mapInArrow(_prepare(k, families(threshold, **sketching)), schema).withColumn("rid", F.monotonically_increasing_id()))
 
     texts = written(base.groupBy("digest").agg(F.min("rid").alias("tid"), F.count(F.lit(1)).alias("copies")))
-    members = base.join(texts.select(F.col("tid").alias("rid")), "rid", "left_semi").select(F.explode("keys").alias("key"), F.col("rid").alias("tid"), "n")
+    lengths = base.join(texts.select(F.col("tid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("tid"), "n", "keys")
+    # dealt once: the first member and the members of a bucket are taken from the same exchange
+    members = lengths.select(F.explode("keys").alias("key"), "tid").repartition("key")
     first = members.groupBy("key").agg(F.min("tid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucketed = written(members.join(first, "key").select("key", "a", F.col("tid").alias("b"), "n", "size"))
+    bucketed = written(members.join(first, "key").select("key", "a", F.col("tid").alias("b"), "size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -283,9 +285,9 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     roots = merge_roots(None, star.filter("linked").select("a", "b"))
     del star
     low, high, widest = 1, 1, bucketed.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    ranked = written(_ranked(bucketed)) if widest > 1 else None
+    ranked = written(_ranked(bucketed).join(lengths.select("tid", "n"), "tid")) if widest > 1 else None
     while low < widest:
-        if low == 9:
+        if low == 2:
             some = _open(ranked, roots, low).select(F.col("tid").alias("rid")).distinct()
             listed = base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
             alone = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
