@@ -1,9 +1,417 @@
-"""Registry of the engine's own queries."""
+"""The engine's own queries by name, over the standard tables, and the inline fixtures that some of them use."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from sparkloom import config as C
+from sparkloom.functions import rules, text as T
+from sparkloom.operators import files, gates, index, ireval, kpi, rank, structure
+from sparkloom.sources.workspace import html_text
+from sparkloom.streaming import limiter, rollups
+
+HINTS = ["the", "thand", "ing"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+def _chunks(s, d):
+    return index.chunks(_docs(s, d).select("doc_id", "text"))
+
+
+def _queries(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+# text ---------------------------------------------------------------------------------------------------------------
+
+
+def tokenize_stats(s, d):
+    return _docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.size(T.token_set(F.col("text"))).alias("n_distinct"))
+
+
+def chunk_windows(s, d):
+    return _chunks(s, d).select("doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def chunk_paragraphs(s, d):
+    whole = table(s, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    packed = whole.select("conv_id", F.posexplode(T.pack_paragraphs(F.col("text"), C.DEFAULT.ranking.chunk_chars, C.DEFAULT.ranking.overlap_chars)).alias("chunk_no", "text"))
+    return packed.select("conv_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def line_dedup(s, d):
+    return structure.distinct_lines(_docs(s, d)).select("doc_id", "n_lines", "kept_lines", F.md5("text").alias("digest"))
+
+
+def noise_filter(s, d):
+    found = structure.lines(_docs(s, d))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(rules.is_noise(F.col("line"))).alias("n_noise"))
+
+
+def postprocess_lines(s, d):
+    return structure.postprocess(_docs(s, d)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def title_normalise(s, d):
+    first = F.element_at(F.split("text", "\n"), 1)
+    return table(s, d, "conversations").select("conv_id", "turn", T.slide_title(first).alias("title"), T.heading_key(first).alias("heading"), T.caption_subject(first).alias("subject"))
+
+
+def html_extract(s, d):
+    return table(s, d, "pages").select("page_id", F.length(html_text(F.col("html"))).alias("n_chars"))
+
+
+def cache_keys(s, d):
+    return _docs(s, d).select("doc_id", T.cache_key(F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))).alias("key"))
+
+
+# ranking ------------------------------------------------------------------------------------------------------------
+
+
+def bm25_idf(s, d):
+    parts = _chunks(s, d)
+    return index.term_idf(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks"))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(s, d):
+    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 10)
+    return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
+def legacy_ranker_topk(s, d):
+    top = index.top_per_query(index.legacy_rank(_chunks(s, d), _queries(s, d)), 10)
+    return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
+def dense_topk(s, d):
+    e = table(s, d, "embeddings")
+    scored = rank.dense_scores(e, e.filter("vec_id = 0").select("vec_id", "embedding"))
+    return scored.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _channels(s, d):
+    e = table(s, d, "embeddings")
+    one, two = e.filter("vec_id = 0").select("vec_id", "embedding"), e.filter("vec_id = 1").select("vec_id", "embedding")
+    a = rank.dense_scores(e, one).select(F.lit(1).alias("channel"), F.col("vec_id").alias("doc_id"), "score")
+    return a.unionByName(rank.dense_scores(e, two).select(F.lit(2).alias("channel"), F.col("vec_id").alias("doc_id"), "score"))
+
+
+def rrf_fusion(s, d):
+    return rank.rrf(_channels(s, d)).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def hint_boost(s, d):
+    scored = rank.rrf(_channels(s, d)).join(_docs(s, d).select("doc_id", "text"), "doc_id")
+    return rank.hint_boost(scored, "text", HINTS).select("doc_id", "score")
+
+
+def context_budget(s, d):
+    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 10).join(_chunks(s, d), ["doc_id", "chunk_no"])
+    return rank.budget(top, 4000).select("qid", "rank", "doc_id", "chunk_no", F.length("text").alias("n_chars"))
+
+
+def mmr_select(s, d):
+    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 40)
+    scaled = top.withColumn("score", F.col("score") / F.max("score").over(W.partitionBy("qid"))).join(_chunks(s, d), ["doc_id", "chunk_no"])
+    return rank.mmr(scaled).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
+def hybrid_context(s, d):
+    q = table(s, d, "embeddings").filter("vec_id = 0").select("vec_id", "embedding")
+    dense = rank.dense_scores(table(s, d, "embeddings"), q).join(F.broadcast(_queries(s, d).select("qid").orderBy("qid").limit(1)), how="cross").select("qid", F.col("vec_id").alias("doc_id"), "score")
+    found = rank.hybrid(_chunks(s, d), _queries(s, d), dense, hints=HINTS)
+    return found.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"), F.length("text").alias("n_chars"))
+
+
+# evaluation ---------------------------------------------------------------------------------------------------------
+
+
+def known_item_queries(s, d):
+    parts = _chunks(s, d)
+    return ireval.known_item_queries(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks")))
+
+
+def _benchmark_chunks(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_no"), "text")
+
+
+def _ranker_metrics(s, d, ranker):
+    parts = _benchmark_chunks(s, d)
+    known = ireval.known_item_queries(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks"))).select(F.col("doc_id").alias("qid"), "query", F.col("doc_id").alias("relevant_id"))
+    ranked = index.top_per_query(ranker(parts, known.select("qid", "query")), 10)
+    m = ireval.metrics(ireval.relevant_ranks(ranked, known.select("qid", "relevant_id")))
+    return m.select("n_queries", *(F.round(c, 6).alias(c) for c in m.columns if c != "n_queries"))
+
+
+def ir_metrics(s, d):
+    return _ranker_metrics(s, d, index.bm25)
+
+
+def ranker_comparison(s, d):
+    new, old = _ranker_metrics(s, d, index.bm25), _ranker_metrics(s, d, index.legacy_rank)
+    return new.select(F.lit("bm25").alias("ranker"), "*").unionByName(old.select(F.lit("legacy").alias("ranker"), "*"))
+
+
+CASES = """SELECT * FROM VALUES
+ ('c1', array('Risk', 'owner'), array('Slide'), array('Summary'), 3, 80, false, false, false, true, '# Plan\\n\\n## Summary\\nRisks have an owner, as the per-slide note says.', true, 120),
+ ('c2', array('steps', 'audit'), array('Slide'), array(), 2, 40, true, false, false, true, 'Slide 14 lists steps:\\n1. prepare\\n2. run', true, 340),
+ ('c3', array(), array('secret plan'), array('Costs'), NULL, 12, false, true, false, true, 'Costs\\n| item | cost |\\n| --- | --- |\\n| a | 1 |', true, 90),
+ ('c4', array('revenue'), array(), array(), NULL, NULL, false, false, true, true, 'The text does not include such figures.', true, 210),
+ ('c5', array('x'), array(), array(), 50, NULL, false, false, false, false, 'x is short', true, 75),
+ ('c6', array('y'), array('z'), array(), NULL, NULL, false, false, true, false, 'y and z', false, 1000)
+ AS t(case_id, must_include, must_not_include, required_sections, min_words, max_words, requires_ordered_steps, requires_table, expects_refusal, gated, output, ok, latency_ms)"""
+
+
+def _scored_cases(s):
+    raw = s.sql(CASES)
+    names = [x.strip().split(" ") for x in gates.CASE.replace("\n", " ").split(",")]
+    return gates.score_cases(raw.select(*(F.col(n).cast(t).alias(n) for n, t in names)))
+
+
+def golden_score(s, d):
+    return _scored_cases(s).select("case_id", "must_include_coverage", "forbidden_term_clean", "structure_compliant", "length_compliant", "refusal_correct", "word_count")
+
+
+def eval_summary(s, d):
+    m = gates.summarise(_scored_cases(s))
+    return m.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))
+
+
+def gate_checks(s, d):
+    return gates.check_gates(eval_summary(s, d)).select("metric", "bound", "limit", "actual", "status")
+
+
+def baseline_diff(s, d):
+    now = eval_summary(s, d)
+    was = now.withColumns({"avg_must_include_coverage": F.lit(1.0), "structure_compliance_rate": F.lit(0.7), "p95_latency_ms": F.lit(150.0)})
+    found = gates.compare_baseline(now, was)
+    return found.select("metric", "baseline", "current", F.round("movement", 6).alias("movement"), "status")
+
+
+def metric_pairs(s, d):
+    """Which evaluated cases are gated and which advisory: semi and anti joins on the case list."""
+    ids = _scored_cases(s).filter("gated").select("case_id")
+    every = _scored_cases(s).select("case_id", "latency_ms")
+    semi = every.join(ids, "case_id", "left_semi").select(F.lit("gated").alias("kind"), "case_id", "latency_ms")
+    return semi.unionByName(every.join(ids, "case_id", "left_anti").select(F.lit("advisory").alias("kind"), "case_id", "latency_ms"))
+
+
+# rules --------------------------------------------------------------------------------------------------------------
+
+
+def policy_flags(s, d):
+    return _docs(s, d).select("doc_id", F.array_join(rules.policy_flags(F.col("text")), ",").alias("flags"))
+
+
+def leak_probes(s, d):
+    return _docs(s, d).select("doc_id", *(c.alias(k) for k, c in rules.leak_counts(F.col("text")).items()))
+
+
+def _markdown(s, d):
+    """One Markdown document per conversation: a title, a part per system turn, a topic per user turn, tables and figures."""
+    line = (
+        F.when(F.col("role") == "system", F.concat(F.lit("## Part 1: "), T.squeeze(F.substring("text", 1, 60))))
+        .when(F.col("role") == "user", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("### Step 1: ")).otherwise("### "), T.squeeze(F.substring("text", 1, 60)), F.lit("\n| a | b |\n| --- | --- |\n| 1 | 2 |\n[[IMAGE: slide 4]]")))
+        .otherwise(F.col("text"))
+    )
+    rows = table(s, d, "conversations").select("conv_id", "turn", line.alias("line"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("conv_id").agg(joined.alias("text")).select("conv_id", F.concat(F.lit("# Notes\n"), "text").alias("text"))
+
+
+def doc_structure(s, d):
+    return _markdown(s, d).select("conv_id", *(c.alias(k) for k, c in rules.structure(F.col("text")).items()))
+
+
+def contract_check(s, d):
+    levels = F.element_at(F.array(F.lit("summary"), F.lit("comprehensive"), F.lit("dossier")), (F.pmod("conv_id", F.lit(3)) + 1).cast("int"))
+    return _markdown(s, d).select("conv_id", levels.alias("detail"), rules.violates_contract(F.col("text"), levels, F.pmod("conv_id", F.lit(2)) == 0).alias("violates"))
+
+
+def llm_authorship(s, d):
+    opened = F.when(F.pmod("conv_id", F.lit(4)) == 0, F.concat("text", F.lit("\n"), F.lit(C.OPENERS[0]))).otherwise(F.col("text"))
+    topics = F.greatest(F.regexp_count(opened, F.lit(r"(?m)^###\s+")), F.lit(0))
+    n, rate = rules.llm_authorship(opened, topics)
+    return _markdown(s, d).select("conv_id", topics.alias("topics"), n.alias("llm_topics"), F.round(rate, 6).alias("coverage"))
+
+
+def ingress_checks(s, d):
+    e = table(s, d, "events")
+    declared = F.when(F.col("event_id") % 7 == 0, F.lit("many")).otherwise(F.col("event_id").cast("string"))
+    user = F.when(F.col("user_id") % 5 == 0, F.lit("  ")).otherwise(F.col("user_id").cast("string"))
+    return e.select("event_id", rules.client_key(user, F.lit("10.0.0.1")).alias("key"), rules.oversize_bytes(declared, 500).alias("oversize"))
+
+
+def artifact_authz(s, d):
+    rows = s.sql("SELECT * FROM VALUES ('a1', 'ann', 10), ('a2', 'bob', 20), ('a3', 'cy', 30) AS t(artifact_id, owner, size)")
+    who = s.sql("SELECT * FROM VALUES ('ann', 'editor'), ('dan', 'admin'), ('eve', 'viewer') AS t(user, role)")
+    return rows.join(who, rules.may_read(F.col("owner"), F.col("user"), F.col("role"))).select("user", "artifact_id", "size")
+
+
+def label_quality_vs_flags(s, d):
+    flagged = _docs(s, d).select("doc_id", (F.size(rules.policy_flags(F.col("text"))) > 0).alias("flagged"))
+    return table(s, d, "labels").join(flagged, "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("n_flagged"))
+
+
+# run records --------------------------------------------------------------------------------------------------------
+
+
+def _runs(s, d):
+    k = F.from_json("props", "map<string, int>")
+    return table(s, d, "events").select(
+        F.col("event_id").alias("seq"), F.col("ts").alias("recorded_at"), (F.col("event_type") != "error").alias("succeeded"), (F.col("event_type") == "click").alias("used_fallback"),
+        F.pmod("user_id", F.lit(5)).cast("int").alias("topics"), F.pmod("user_id", F.lit(2)).cast("int").alias("llm_topics"), F.col("value").alias("total_latency_ms"), k.alias("leaks"),
+        (F.pmod("event_id", F.lit(9)) != 0).alias("content_integrity_pass"), F.pmod("event_id", F.lit(13)).alias("slides_ingested"), F.col("event_type").alias("route"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(3))).alias("mode"),
+    )
+
+
+def kpi_snapshot(s, d):
+    m = kpi.snapshot(_runs(s, d))
+    return m.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in m.dtypes))
+
+
+def latency_percentiles(s, d):
+    return kpi.nearest_rank(_runs(s, d), "total_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["route"])
+
+
+def cost_rollup(s, d):
+    priced = _runs(s, d).select("route", "mode", F.col("slides_ingested").alias("tokens"), kpi.cost(F.col("slides_ingested"), F.col("topics"), 0.5, 1.5).alias("cost_usd"))
+    return kpi.cost_rollup(priced).select("route", "mode", "runs", "tokens", F.round("total_cost", 6).alias("total_cost"), F.round("avg_cost", 6).alias("avg_cost"))
+
+
+def exposition(s, d):
+    return kpi.exposition(kpi_snapshot(s, d)).select("name", "line")
+
+
+def last_n_runs(s, d):
+    return kpi.last_runs(_runs(s, d)).select("seq", "recorded_at", "succeeded")
+
+
+def latest_job_status(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"))
+    return kpi.latest_status(e)
+
+
+def quality_proxies(s, d):
+    r = _runs(s, d).withColumn("n_leaks", F.aggregate(F.map_values("leaks"), F.lit(0), lambda t, x: t + x))
+    top, cover = F.pmod("seq", F.lit(11)) / F.lit(10.0), F.pmod("seq", F.lit(7)) / F.lit(5.0)
+    p = kpi.quality_proxies(top, cover, F.col("n_leaks"), F.col("content_integrity_pass"), F.col("slides_ingested") * 100, F.col("topics"), F.col("llm_topics"), F.lit(40.0))
+    return r.select("seq", *((c if k == "tokens_proxy" else F.round(c, 6)).alias(k) for k, c in p.items()))
+
+
+def triage_delta(s, d):
+    e = table(s, d, "events").select(F.col("event_type").alias("category"), (F.col("value") > 50).alias("include"), "event_id")
+    half = F.lit(0.5) * e.agg(F.max("event_id")).first()[0]
+    return kpi.triage_delta(kpi.triage_tally(e.filter(F.col("event_id") <= half)), kpi.triage_tally(e))
+
+
+def rate_limit_decisions(s, d):
+    hits = table(s, d, "events").select(F.concat(F.lit("user:"), F.col("user_id")).alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
+    return limiter.decide_batch(hits, C.Limits(requests_per_minute=1, burst=1, window_s=40_000.0)).select("key", "event_id", "allowed", "retry_after")
+
+
+def event_windows(s, d):
+    return rollups.tumbling(table(s, d, "events"), "1 day").select("window_start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# structure ----------------------------------------------------------------------------------------------------------
+
+
+def _slides(s, d):
+    return table(s, d, "conversations").select(F.col("conv_id").alias("deck"), F.col("turn").alias("slide_no"), F.when(F.col("role") == "user", F.substring(F.element_at(F.split("text", " "), 1), 1, 4)).alias("title"), F.split("text", "\n").alias("lines"))
+
+
+def topic_merge(s, d):
+    return structure.merge_topics(_slides(s, d)).select("deck", "topic_no", "title", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+def part_classify(s, d):
+    return _docs(s, d).select("doc_id", structure.classify_part(F.substring("text", 1, 40), F.col("text")).alias("part"))
+
+
+def section_chunks(s, d):
+    scored = _chunks(s, d).withColumn("score", F.lit(1.0) / (1 + F.col("chunk_no")))
+    return structure.section_chunks(scored).select("section", "rank", "doc_id", "chunk_no", "hits")
+
+
+def procedure_steps(s, d):
+    topics = _slides(s, d).select("deck", F.col("slide_no").alias("topic_no"), F.concat(F.lit("Step "), F.pmod("slide_no", F.lit(3)), F.lit(": "), F.coalesce("title", F.lit("-"))).alias("title"))
+    return structure.procedure_steps(topics)
+
+
+def _units(s, d):
+    docs = _docs(s, d)
+    sentences = docs.select(F.lit("sentence").alias("kind"), F.explode(F.split("text", r"[.!?]\s")).alias("unit"))
+    return structure.lines(docs).select(F.lit("line").alias("kind"), F.col("line").alias("unit")).unionByName(sentences)
+
+
+def repetition_report(s, d):
+    return structure.repetition(_units(s, d))
+
+
+def template_shapes(s, d):
+    return structure.template_shapes(structure.lines(_docs(s, d)).select(F.col("line").alias("unit")))
+
+
+def caption_alignment(s, d):
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "figure").otherwise("heading").alias("kind"), F.md5("text").alias("text"))
+    return structure.heading_before(rows)
+
+
+def evidence_topn(s, d):
+    scored = _docs(s, d).select("source", F.col("n_chars").alias("len"), "doc_id", "text").withColumn("score", F.col("len").cast("double")).withColumn("rank", F.col("doc_id"))
+    found = files.evidence(scored.select("source", "score", "rank", "text"))
+    return found.select("source_rank", "source", "nth", F.md5("preview").alias("digest"))
+
+
+def file_select(s, d):
+    rows = s.sql("SELECT * FROM VALUES ('docs/cost_plan.md'), ('docs/risk-review.pptx'), ('notes/Cost Review.txt'), ('a/b/overview.pdf'), ('misc/todo.txt') AS t(path)")
+    free = files.select_files(rows, "review the cost plan", [], 4).select(F.lit("none").alias("hints"), "path", "score")
+    return free.unionByName(files.select_files(rows, "review the cost plan", ["overview.pdf", "notes"], 4).select(F.lit("two").alias("hints"), "path", "score"))
+
+
+def image_triage(s, d):
+    rows = s.sql("""SELECT * FROM VALUES (1, 0, 0, 0, 0D, 0D, 0D, 0), (2, 64, 64, 90, 0.2D, 0D, 0D, 0), (3, 1300, 130, 90, 0.2D, 0D, 0D, 0), (4, 300, 400, 90, 0.03D, 0D, 0.3D, 12),
+        (5, 300, 300, 5, 0.01D, 0D, 0D, 0), (6, 800, 600, 60, 0.08D, 0D, 0D, 0), (7, 800, 600, 90, 0.047D, 0D, 0.02D, 3) AS t(image_id, width, height, colors, detail, transparency, skin, variety)""")
+    return rows.select("image_id", *(c.alias(k) for k, c in files.triage().items()), *(F.round(files.display_size(F.nullif(F.col("width"), F.lit(0)), F.nullif(F.col("height"), F.lit(0)))[k], 4).alias(k) for k in ("width_pt", "height_pt")))
+
+
+def image_merge(s, d):
+    a = s.sql("SELECT * FROM VALUES (1, 'A.png', 'aaaa'), (2, 'b.png', 'bbbb') AS t(pos, name, content)")
+    b = s.sql("SELECT * FROM VALUES (1, 'a.PNG', 'aaaa'), (2, 'c.png', 'cccc'), (3, 'b.png', 'zzzz') AS t(pos, name, content)")
+    return files.merge_images(a, b, 4)
+
+
+def table_rows(s, d):
+    """Cells of Markdown tables: dividers out, one width, empty columns out."""
+    rows = s.sql("SELECT * FROM VALUES (1, '| a | b |\\n| --- | --- |\\n| 1 | 2 |\\n| 3 |'), (2, '| x |  | y |\\n|  |  |  |\\n| 5 |  | 6 |') AS t(table_id, text)")
+    made = rows.select("table_id", structure.compact_matrix(structure.rectangular(F.split("text", "\n"))).alias("cells"))
+    return made.select("table_id", F.posexplode("cells").alias("pos", "row")).select("table_id", "pos", F.array_join("row", "|").alias("cells"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = [
+        hybrid_context, tokenize_stats, chunk_windows, chunk_paragraphs, line_dedup, noise_filter, postprocess_lines, title_normalise, html_extract, cache_keys, bm25_idf, bm25_topk, legacy_ranker_topk,
+        dense_topk, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
+        leak_probes, doc_structure, contract_check, llm_authorship, ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs,
+        latest_job_status, quality_proxies, triage_delta, rate_limit_decisions, event_windows, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, template_shapes, caption_alignment,
+        evidence_topn, file_select, image_triage, image_merge, table_rows,
+    ]
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    from sparkloom.oracle import SQL
+
+    return dict(SQL)
