@@ -98,7 +98,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, *,
 
 def text_row(ids: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     u, n = np.unique(ids, return_counts=True)
-    return np.concatenate((u, (1 << BITS) + np.arange(N_DENSE))), np.concatenate((n * (SCALE / max(1, len(ids))), dense))
+    return np.concatenate((u.astype(np.int64), (1 << BITS) + np.arange(N_DENSE))), np.concatenate((n * (SCALE / max(1, len(ids))), dense))
 
 
 def meta_row(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), text("text"), text("source"), text("lang")]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 3000, rounds: int = 3) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int = 2000, rounds: int = 3) -> dict | None:
     """The model, from at most ``labelled`` labelled and ``pool`` further documents (repeated ids once more at most)."""
     rows = docs.select(*_columns(docs))
     by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -179,10 +179,16 @@ def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int
     free = rows.select("doc_id").filter("doc_id IS NOT NULL").join(F.broadcast(some), "doc_id", "left_anti").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(pool)
     sample = some.unionByName(free.withColumn("good", F.lit(None).cast("int")))
     picked = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "good", "text", "source", "lang")
-    found = picked.mapInArrow(_features, FEATURES).limit(2 * (labelled + pool)).collect()
-    found = sorted({r["doc_id"]: r for r in found}.values(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    views = [[text_row(np.array(r["ids"], np.int64), np.array(r["dense"])) for r in found], [meta_row(np.array(r["meta"], np.int64)) for r in found]]
-    return cotrain(views, [r["good"] for r in found], rounds=rounds)
+    found = picked.mapInArrow(_features, FEATURES).limit(2 * (labelled + pool)).toArrow().combine_chunks()
+    if not found.num_rows:
+        return None
+    cells = {c: found[c].chunk(0) for c in ("ids", "dense", "meta")}
+    cell = lambda c, i: cells[c][i].values.to_numpy(zero_copy_only=False)
+    first = {doc: i for i, doc in enumerate(found["doc_id"].to_pylist())}  # one row a document
+    order = [i for _, i in sorted(first.items(), key=lambda x: zlib.crc32(str(x[0]).encode()))]
+    good = found["good"].to_pylist()
+    views = [[text_row(cell("ids", i), cell("dense", i)) for i in order], [meta_row(cell("meta", i).astype(np.int64)) for i in order]]
+    return cotrain(views, [good[i] for i in order], rounds=rounds)
 
 
 def _scored(model: dict | None):
