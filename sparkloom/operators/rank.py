@@ -81,6 +81,10 @@ def hybrid(parts: DataFrame, queries: DataFrame, dense: DataFrame | None, cfg: R
     active = ranked.groupBy("qid").agg(F.count_distinct("channel").alias("n"))
     fused = ranked.groupBy("qid", "doc_id", "chunk_no").agg(F.sum(F.lit(1.0) / (cfg.rrf_k + F.col("rank"))).alias("s")).join(active, "qid")
     scored = fused.select("qid", "doc_id", "chunk_no", (F.col("s") * (cfg.rrf_k + 1) / F.col("n")).alias("score"))
-    texted = scored.join(parts, ["doc_id", "chunk_no"])
+    # what can be selected at all, even with every hint: the bound of mmr, less the largest boost
+    kth = scored.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no"))).filter(F.col("pos") <= cfg.top_k).groupBy("qid").agg(F.min("score").alias("kth"))
+    slack = (1 - cfg.mmr_lambda) / cfg.mmr_lambda + cfg.hint_bonus * len(hints or ())
+    able = scored.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit(slack)).drop("kth")
+    texted = able.join(parts, ["doc_id", "chunk_no"])
     boosted = hint_boost(texted, "text", hints) if hints else texted
     return budget(mmr(boosted, cfg.top_k, cfg.mmr_lambda), cfg.context_chars)
