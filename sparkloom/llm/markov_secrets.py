@@ -89,12 +89,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(model, pa.int32()), pa.array(pair, pa.int32()), pa.array(total[model, pair], pa.int64())], names=["model", "pair", "n"])
 
 
-def ratio_table(ordinary: np.ndarray, values: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
-    """log P(next | this) under random strings less that under ordinary text, for token characters after any class."""
+def ratio_table(ordinary: np.ndarray, values: np.ndarray, weight: float = 10.0) -> np.ndarray:
+    """log P(next | this) under random strings less that under ordinary text, for token characters after any class.
+
+    Each row is smoothed towards the frequencies of the single characters, which count as ``weight`` observations."""
 
     def chain(n: np.ndarray) -> np.ndarray:
-        n = n.reshape(N, N)[:, 1:] + smoothing
-        return np.log(n / n.sum(axis=1, keepdims=True))
+        n = n.reshape(N, N)[:, 1:].astype(float)
+        single = n.sum(axis=0) + 0.5
+        return np.log((n + weight * single / single.sum()) / (n.sum(axis=1, keepdims=True) + weight))
 
     out = np.zeros((N, N))
     out[:, 1:] = chain(values + pairs(generated())) - chain(ordinary)

@@ -20,18 +20,21 @@ themselves; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.llm.common import shuffle_partitions
 
-_KEY = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+
 
 
 def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, period: int = 1024) -> DataFrame:
     """skey, rows, q, slots (the period) of each source. Without ``weights`` a source of n rows weighs n ** temperature."""
-    counts = docs.groupBy(_KEY.alias("skey")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = docs.groupBy(_key().alias("skey")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         weight = F.pow(F.col("rows").cast("double"), F.lit(temperature))
     else:
@@ -66,8 +69,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     """All rows and columns of ``docs`` (doc_id, source) in a struct ``row``, with source_block, release, deadline, slot
     and row_in_block. Ordering by slot and row_in_block gives the mix."""
     spark = docs.sparkSession
-    parts = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _KEY.alias("skey"), F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(spark))).alias("part"))
-    sizes = docs.groupBy(_KEY.alias("skey"), F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(spark))).alias("part")).agg(F.count(F.lit(1)).alias("here"))
+    parts = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key().alias("skey"), F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(spark))).alias("part"))
+    sizes = docs.groupBy(_key().alias("skey"), F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(spark))).alias("part")).agg(F.count(F.lit(1)).alias("here"))
     before = sizes.select("skey", "part", (F.sum("here").over(W.partitionBy("skey").orderBy("part")) - F.col("here")).alias("before"))
     inside = F.row_number().over(W.partitionBy("skey", "part").orderBy("row.doc_id")) - 1
     numbered = parts.withColumn("inside", inside).join(before, ["skey", "part"]).select("row", "skey", (F.col("before") + F.col("inside")).alias("nth_row"))
