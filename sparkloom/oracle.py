@@ -105,7 +105,30 @@ _PART_ROWS = " UNION ALL ".join(
 )
 _SECTION_ROWS = " UNION ALL ".join(f"SELECT '{s}' AS section, doc_id, chunk_no, {_hits(w, '''CAST(contains(lower(text), '{w}') AS INT)''')} AS hits FROM chunks" for s, w in C.SECTIONS.items())
 
+_NOISE = "(?i)" + "|".join(f"(?:{p})" for p in C.NOISE_LINES)
+_NAMES = f"list_filter(regexp_extract_all(s, '{C.PERSON}'), lambda n: NOT list_has_any(string_split_regex(lower(n), '\\s+'), ['data', 'plan', 'project', 'service', 'system', 'team', 'test']))"
+_TITLE = r"regexp_replace(regexp_replace({x}, '(?i)^.*\btopic\s*:\s*', ''), '^[\s\-:|.,;]+|[\s\-:|.,;]+$', '', 'g')"
+
 SQL: dict[str, str] = {
+    "noise_filter": f"""WITH {_LINES}, a AS (SELECT doc_id, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM lines),
+        b AS (SELECT *, {_n('(?i)' + C.ROLE_TAG, 's')} AS roles, {_NAMES} AS names FROM a),
+        c AS (SELECT doc_id, s = '' OR regexp_matches(s, '{_NOISE}') OR roles >= 2 OR (roles >= 1 AND len(names) >= 2) OR (len(names) >= 3 AND {_n(',', 's')} >= 2 AND coalesce(list_sum(list_transform(names, lambda n: length(n))), 0) >= length(s) * 0.5)
+            OR (length(s) <= 240 AND regexp_matches(s, '{_CHATTER}')) OR length(s) <= 2 OR {_n(chr(92) + '?', 's')} >= 2 OR (len({_TOKENS.format(t='s')}) = 0 AND NOT regexp_matches(s, '\\d')) AS noise FROM b)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (noise) AS n_noise FROM c GROUP BY 1""",
+    "postprocess_lines": f"""WITH {_LINES}, s AS (SELECT doc_id, pos, {_SQUEEZE.format(x='line')} AS line FROM lines),
+        k AS (SELECT *, CASE WHEN line = '' THEN 'blank' WHEN line[1] IN ('|', '#') OR starts_with(line, '[[IMAGE:') THEN 'structured'
+            WHEN regexp_matches(line, '(?i)^source chunk:\\s*|^\\[slide\\s+\\d+\\]$|^author\\s*\\|\\s*department$') OR regexp_matches(line, '{_CHATTER}') OR regexp_matches(line, '\\b[A-Z]\\s+Days\\b') OR {_n(chr(92) + '?', 'line')} >= 2
+                OR regexp_matches(line, '(?:\\b[A-Z][a-z]+\\b,\\s*){{2,}}\\b(?:and\\s+)?[A-Z][a-z]+\\b') THEN 'dropped' ELSE 'plain' END AS kind FROM s),
+        u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, lower(line) ORDER BY pos) AS nth FROM k WHERE kind <> 'dropped' QUALIFY kind <> 'plain' OR nth = 1 OR length(line) >= 140),
+        w AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS was FROM u),
+        j AS (SELECT doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '\\n+$', '') AS t FROM w WHERE kind <> 'blank' OR (was IS NOT NULL AND was <> 'blank') GROUP BY 1)
+        SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM j""",
+    "topic_merge": f"""WITH {_SLIDES}, n AS (SELECT deck, slide_no, lines, nullif({_TITLE.format(x="coalesce(title, '')")}, '') AS own FROM slides),
+        c AS (SELECT deck, slide_no, lines, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY deck ORDER BY slide_no ROWS UNBOUNDED PRECEDING), 'Overview') AS title FROM n),
+        g AS (SELECT deck, lower(title) AS key, min(slide_no) AS first, arg_min(title, slide_no) AS title, flatten(list(lines ORDER BY slide_no)) AS l FROM c GROUP BY ALL),
+        f AS (SELECT deck, first, title, list_filter(l, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '') AS l FROM g),
+        d AS (SELECT deck, first, title, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) AS l FROM f)
+        SELECT deck, CAST(row_number() OVER (PARTITION BY deck ORDER BY first) AS INT) AS topic_no, title, CAST(len(l) AS INT) AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM d WHERE len(l) > 0""",
     "tokenize_stats": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, CAST(len(list_distinct(t)) AS INT) AS n_distinct FROM (SELECT doc_id, {_TOKENS.format(t='text')} AS t FROM documents)",
     "chunk_windows": f"WITH {_CHUNKS} SELECT doc_id, chunk_no, CAST(length(text) AS INT) AS n_chars, md5(text) AS digest FROM chunks",
     "line_dedup": f"""WITH {_LINES}, s AS (SELECT doc_id, pos, {_SQUEEZE.format(x='line')} AS line FROM lines),
