@@ -55,8 +55,10 @@ def decide_batch(hits: DataFrame, limits: Limits = DEFAULT.limits) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInArrow(run, OUT)
 
 
-def decide_stream(hits: DataFrame, limits: Limits = DEFAULT.limits) -> DataFrame:
-    """The same over a stream, with the accepted times of each key as state; a key's state goes after a quiet window."""
+def decide_stream(hits: DataFrame, limits: Limits = DEFAULT.limits, expire: bool = True) -> DataFrame:
+    """The same over a stream, with the accepted times of each key as state; a key's state goes after a quiet window.
+
+    Expiry by the clock keeps batches running without new data; ``expire=False`` suits bounded replays."""
     most, window = capacity(limits), limits.window_s
 
     def run(key, batches, state):
@@ -67,8 +69,9 @@ def decide_stream(hits: DataFrame, limits: Limits = DEFAULT.limits) -> DataFrame
         whole = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = [now.decide(t) for t in whole["ts"]]
         state.update((list(now.accepted),))
-        state.setTimeoutDuration(int(window * 1000))
+        if expire:
+            state.setTimeoutDuration(int(window * 1000))
         yield pd.DataFrame({"key": key[0], "event_id": whole["event_id"], "ts": whole["ts"], "allowed": [x[0] for x in out], "retry_after": [x[1] for x in out]})
 
     grouped = hits.select("key", "event_id", F.col("ts").cast("double").alias("ts")).groupBy("key")
-    return grouped.applyInPandasWithState(run, OUT, "accepted array<double>", "append", "ProcessingTimeTimeout")
+    return grouped.applyInPandasWithState(run, OUT, "accepted array<double>", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")

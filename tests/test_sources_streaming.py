@@ -65,8 +65,7 @@ def test_limiter_as_a_stream(spark, tmp_path):
     for i, h in enumerate(hits):
         spark.createDataFrame([h], "key string, event_id long, ts double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key string, event_id long, ts double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = decide_stream(stream, Limits(2, 0, 60.0)).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = decide_stream(stream, Limits(2, 0, 60.0), expire=False).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
     state = Window(2, 60.0)
     assert {r.event_id: r.allowed for r in spark.table("decided").collect()} == {i: state.decide(t)[0] for _, i, t in hits}
