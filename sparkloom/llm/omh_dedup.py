@@ -12,12 +12,14 @@ Groups never meet as a whole and are never expanded into all pairs:
 
 * Copies of one word sequence are collapsed first.
 * In each bucket (texts with one sketch in common) every member is compared with the bucket's first text.
-* A bucket whose members are then in one class is done. In the others, members outside the most common class are
-  compared with members of other classes, first with the next one in the bucket's order, then with the next eight,
-  and so on with ever more until the bucket is one class or all such pairs of fitting length have been compared.
-  Before the larger steps, members are left out that have too many k-mers found in no other open text for any link. So
-  no link between two texts of a bucket is lost for the classes, while a bucket of near copies needs a few comparisons
-  a member.
+* A bucket whose members are then in one class is done. In the others, the most common class becomes the bucket's main
+  class and stays it in all steps, whatever it merges with. Members outside it are compared with members of other
+  classes, first with the next one in the bucket's order, then with the next eight, and so on with ever more until the
+  bucket is one class or all such pairs of fitting length have been compared. As the main class only grows, a member
+  that ends outside it has asked in every step; beyond half of the ring only members of the main class are asked, as
+  all others have asked from their side. Before the larger steps, members are left out that have too many k-mers found
+  in no other open text for any link. So no link between two texts of a bucket is lost for the classes, while a bucket
+  of near copies needs a few comparisons a member.
 
 Two texts at the threshold miss each other in all sketches with a probability of about (1 - 0.8 ** ell) ** sketches,
 4e-7 with the defaults. For short texts few k-mers remain to choose from, so those of up to ``short`` k-mers have
@@ -33,7 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -225,12 +227,24 @@ def _ranked(bucketed: DataFrame, most: int = 1000) -> DataFrame:
     return inside.join(before.select("key", "part", "before"), ["key", "part"]).select("key", "size", F.col("b").alias("tid"), (F.col("before") + F.col("inside")).alias("at"))
 
 
-def _open(ranked: DataFrame, roots: DataFrame, low: int) -> DataFrame:
-    """Members of the buckets of more than ``low`` that hold several classes so far, with their bucket's main class."""
-    now = ranked.filter(F.col("size") > low).join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("key", "size", "n", "tid", "at", F.coalesce("root", "tid").alias("root"))
-    each = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+def _classes(ranked: DataFrame, roots: DataFrame) -> DataFrame:
+    return ranked.join(roots.withColumnRenamed("v", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+
+
+def _elected(ranked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several classes, with ``main``: a text of their bucket's most common class."""
+    each = _classes(ranked, roots).groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     several = each.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
-    return now.join(several, "key")
+    return ranked.select("key", "size", "n", "tid", "at").join(several, "key")
+
+
+def _open(ranked: DataFrame, roots: DataFrame, low: int) -> DataFrame:
+    """Members of the buckets of more than ``low`` that hold several classes so far, with the root that the bucket's
+    main class has by now."""
+    now = _classes(ranked.filter(F.col("size") > low), roots)
+    several = now.groupBy("key", "main").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key", "main")
+    main = several.join(roots.select(F.col("v").alias("main"), F.col("root").alias("main_root")), "main", "left").select("key", F.coalesce("main_root", "main").alias("main_root"))
+    return now.join(main, "key")
 
 
 def _shareable(members: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
@@ -240,18 +254,37 @@ def _shareable(members: DataFrame, alone: DataFrame, threshold: float) -> DataFr
     least = members.groupBy("key").agg(F.min("n").alias("least"))
     able = members.join(alone, "tid", "left").join(least, "key")
     need = threshold * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n"))) / (1 + threshold) - 1e-9
-    return able.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= need).select("key", "size", "n", "tid", "at")
+    return able.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= need).select("key", "size", "n", "tid", "at", "main")
 
 
 def _across(ranked: DataFrame, roots: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
-    """Pairs of members of a bucket that are in different classes so far, one of them outside the bucket's most
-    common class, ``low`` to ``high`` places on in the ring of its members."""
+    """Pairs of members of a bucket that are in different classes so far, one of them outside the bucket's main class,
+    ``low`` to ``high`` places on in the ring of its members."""
     here = _open(ranked, roots, low)
     steps = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size") - 1)))
-    asks = here.filter("root <> main").select("key", "tid", "n", "root", "size", "at", steps.alias("step")).select("key", F.col("tid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("x_root"), ((F.col("at") + F.col("step")) % F.col("size")).alias("at"))
-    met = asks.join(here.select("key", "at", F.col("tid").alias("y"), F.col("n").alias("yn"), F.col("root").alias("y_root")), ["key", "at"])
+    asks = here.filter("root <> main_root").select("key", "tid", "n", "root", "size", "at", steps.alias("step")).select(
+        "key", F.col("tid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("x_root"), ((F.col("at") + F.col("step")) % F.col("size")).alias("at"), (F.col("step") * 2 > F.col("size")).alias("late")
+    )
+    met = asks.join(here.select("key", "at", F.col("tid").alias("y"), F.col("n").alias("yn"), F.col("root").alias("y_root"), (F.col("root") == F.col("main_root")).alias("silent")), ["key", "at"])
     fits = F.least("xn", "yn") >= threshold * F.greatest("xn", "yn") - 1e-9
-    return met.filter((F.col("x_root") != F.col("y_root")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.filter((F.col("x_root") != F.col("y_root")) & (~F.col("late") | F.col("silent")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _settled(ranked: DataFrame, roots: DataFrame, verified: Callable[[DataFrame], DataFrame], kmers_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """The roots once all buckets of ``ranked`` (key, size, n, tid, at) are compared: ``verified`` says which pairs are
+    linked, ``kmers_of`` lists the k-mers of texts."""
+    ranked = written(_elected(ranked, roots))
+    low, high, widest = 1, 1, ranked.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    while low < widest:
+        if low == 2:
+            listed = kmers_of(_open(ranked, roots, low).select(F.col("tid").alias("rid")).distinct())
+            alone = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
+            ranked = written(_shareable(_open(ranked, roots, low).select("key", "size", "n", "tid", "at", "main"), alone, threshold))
+        found = verified(written(_across(ranked, roots, low, high, threshold))).filter("linked").select("a", "b")
+        if not found.isEmpty():
+            roots = merge_roots(roots, found)
+        low, high = high + 1, high * 8
+    return roots
 
 
 def families(threshold: float, ell: int, sketches: int, short: int, short_ell: int, short_sketches: int, seed: int) -> list[tuple[float, float, int, np.ndarray]]:
@@ -284,19 +317,8 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     star = verified(bucketed.filter("a <> b").select("a", "b").distinct())
     roots = merge_roots(None, star.filter("linked").select("a", "b"))
     del star
-    low, high, widest = 1, 1, bucketed.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    ranked = written(_ranked(bucketed).join(lengths.select("tid", "n"), "tid")) if widest > 1 else None
-    while low < widest:
-        if low == 2:
-            some = _open(ranked, roots, low).select(F.col("tid").alias("rid")).distinct()
-            listed = base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
-            alone = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
-            ranked = written(_shareable(_open(ranked, roots, low).select("key", "size", "n", "tid", "at"), alone, threshold))
-        pairs = written(_across(ranked, roots, low, high, threshold))
-        found = verified(pairs).filter("linked").select("a", "b")
-        if not found.isEmpty():
-            roots = merge_roots(roots, found)
-        low, high = high + 1, high * 8
+    kmers_of = lambda some: base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
+    roots = _settled(_ranked(bucketed).join(lengths.select("tid", "n"), "tid"), roots, verified, kmers_of, threshold)
     by_digest = texts.join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("digest", F.coalesce("root", "tid").alias("root"))
     placed = base.select("rid", "doc_id", "digest").join(by_digest, "digest").select("rid", "doc_id", "root")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("class_size"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from sparkloom.llm.common import ascii_words
-from sparkloom.llm.omh_dedup import Words, aligned, components, keep_one, kmers, near_dup_classes, sketch
+from sparkloom.llm.omh_dedup import Words, _settled, aligned, components, keep_one, kmers, near_dup_classes, sketch
 
 
 def lcs(a, b):
@@ -115,3 +115,22 @@ def test_classes_against_all_pairs(spark):
 def test_repeated_ids_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, "c")], "doc_id long, text string")
     assert keep_one(df).count() == 2 and keep_one(df.limit(0)).count() == 0
+
+
+def test_no_pair_is_skipped_when_merged_classes_outgrow_the_main_one(spark):
+    # A is the bucket's most common class; B and C merge in the first step and are then larger
+    order = "A B C A C B A C A B C A B A".split()
+    roots = [(i, order.index(c)) for i, c in enumerate(order)]
+    ranked = spark.createDataFrame([(1, len(order), 50, i, i) for i in range(len(order))], "key long, size long, n long, tid long, at long")
+    for link in [(0, 1), (3, 4), (0, 13), (6, 12), (0, 7), (5, 13)]:
+        links = {(1, 2), link}
+        seen = set()
+
+        def verified(pairs):
+            rows = [(r.a, r.b, (r.a, r.b) in links) for r in pairs.collect()]
+            seen.update(r[:2] for r in rows)
+            return spark.createDataFrame(rows, "a long, b long, linked boolean")
+
+        kmers_of = lambda some: some.selectExpr("rid AS tid", "explode(sequence(1L, 50L)) AS kmer")
+        got = {r.v: r.root for r in _settled(ranked, spark.createDataFrame(roots, "v long, root long"), verified, kmers_of, 0.8).collect()}
+        assert (1, 2) in seen and len(set(got.values())) == (1 if {order[i] for i in link} != {"A"} else 2), link
