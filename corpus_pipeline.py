@@ -9,7 +9,8 @@ folder and reading them again.
 3. ``decontaminate``: rows that hold a window of a benchmark item go.
 4. ``mix``: all rows stay, in the order of the Pfair schedule for weights of rows ** 0.5 by source; the files are
    ordered by it, as are the rows in each.
-5. ``shard``: doc_id, size, text_crc32, tokens, shard and slot of all rows, packed into 24 shards.
+5. ``shard``: doc_id, size, text_crc32, tokens, shard and slot of all rows, packed into 24 shards. The slots of a shard
+   follow the order of stage 4's files, so reading a shard by slot gives its part of the mix.
 
 No SQL can state stages 1, 2, 4 and 5, so ORACLE_SQL is None; tests hold the stages against brute-force versions.
 """
@@ -26,7 +27,7 @@ from sparkloom.llm.cotrain_quality import score
 from sparkloom.llm.fm_decontam import contamination
 from sparkloom.llm.omh_dedup import keep_one
 from sparkloom.llm.pfair_mix import mix
-from sparkloom.llm.shard_pack import pack
+from sparkloom.llm.shard_pack import file_order, pack
 
 ORACLE_SQL = None
 N_SHARDS = 24
@@ -55,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, n_shards=N_SHARDS)
+    return pack(file_order(docs.select("doc_id", "text")), n_shards=N_SHARDS, ordered=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

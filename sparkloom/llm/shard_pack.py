@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,8 +45,22 @@ def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, *, n_shards: int = 24, parcels_per_shard: int = 256, slot_rows: int = 100_000) -> DataFrame:
-    """doc_id, size, text_crc32, tokens, shard, slot for every row of ``docs`` (doc_id, text)."""
+def file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``part`` and ``at``: the number of the file that holds a row and the row's place in it. Frames that
+    are not read from files count by their partitions."""
+    try:
+        number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+        return docs.select("*", number.alias("part"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        nth = F.monotonically_increasing_id()
+        return docs.select("*", F.shiftright(nth, 33).alias("part"), nth.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+
+
+def pack(docs: DataFrame, *, n_shards: int = 24, parcels_per_shard: int = 256, slot_rows: int = 100_000, ordered: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, tokens, shard, slot for every row of ``docs`` (doc_id, text).
+
+    With ``ordered`` the slots of a shard follow the columns part and at of ``docs``, else a hash."""
+    order = ["part", "at"] if ordered else []
     spark, parcels = docs.sparkSession, n_shards * parcels_per_shard
     text = F.col("text").cast("string")
     rows = written(
@@ -55,6 +70,7 @@ def pack(docs: DataFrame, *, n_shards: int = 24, parcels_per_shard: int = 256, s
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.coalesce(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(text, text.isNull()).alias("gkey"),
+            *order,
         )
     ).withColumn("one", F.lit(1).cast("long"))
     totals = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in DIMS)).first()
@@ -87,16 +103,15 @@ def pack(docs: DataFrame, *, n_shards: int = 24, parcels_per_shard: int = 256, s
     places = spark.createDataFrame([(*x[:3], int(k)) for x, k in zip(whole, shards, strict=True)], "heavy boolean, key long, piece int, shard int")
 
     subs = max(4, math.ceil(totals["one"] / n_shards / slot_rows))
-    placed = keyed.join(F.broadcast(places), ["heavy", "key", "piece"]).select(
-        "doc_id", "size", "text_crc32", "tokens", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)).cast("int").alias("sub")
-    )
+    sub = F.struct("part", F.floor(F.col("at") / slot_rows).alias("run")) if ordered else F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)).cast("int")
+    placed = keyed.join(F.broadcast(places), ["heavy", "key", "piece"]).select("doc_id", "size", "text_crc32", "tokens", "shard", sub.alias("sub"), *order)
     before = (
         placed.groupBy("shard", "sub")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("sub")) - F.col("n"))
         .drop("n")
     )
-    inside = F.row_number().over(W.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size"))
+    inside = F.row_number().over(W.partitionBy("shard", "sub").orderBy(*(["at"] if ordered else []), "doc_id", "text_crc32", "size"))
     return placed.withColumn("inside", inside).join(before, ["shard", "sub"]).select(
         "doc_id", "size", "text_crc32", "tokens", "shard", (F.col("before") + F.col("inside") - 1).cast("long").alias("slot")
     )

@@ -1,4 +1,6 @@
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sparkloom.llm.common import ascii_words
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,24 @@ def test_each_stage_against_its_own_input(spark):
         docs = spark.createDataFrame(now, docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert sorted(r.doc_id for r in packed) == sorted(r.doc_id for r in docs.collect()) and {r.shard for r in packed} <= set(range(24))
+
+
+def test_slots_follow_the_mix(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
+    last = sorted(set(source.values()), key=str)[-1]
+
+    def lone_last(spark, docs, sf_dir):
+        return docs.orderBy((F.col("source") == last).cast("int"), "doc_id")
+
+    found = []
+    for stage in (corpus_pipeline.mix_sources, lone_last):
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mix", stage), corpus_pipeline.STAGES[-1]])
+        place = {r.doc_id: i for i, r in enumerate(stage(spark, docs, SF).collect())}
+        rows = corpus_pipeline.run(spark, SF).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(place)
+        for k in range(corpus_pipeline.N_SHARDS):
+            here = sorted((r.slot, place[r.doc_id]) for r in rows if r.shard == k)
+            assert [x for x, _ in here] == list(range(len(here))) and [x for _, x in here] == sorted(x for _, x in here)
+        found.append(sorted((r.shard, r.slot, r.doc_id) for r in rows))
+    assert found[0] != found[1]
