@@ -1,18 +1,20 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
 The rows of each source are numbered and cut into blocks of ``block_rows``. The target weights are turned into whole
-shares q of a period of slots (largest remainders, at least one each). Block j of a source may not run before its
-release floor(j * period / q) and must run before its deadline ceil((j + 1) * period / q); in every slot the released
-block with the earliest deadline runs. One resource at full use is feasible under this rule, so no deadline is missed
-and after any number of slots a source has less than one block more or less than its weight asks for. The schedule
-repeats after one period: only that table is computed, by a fold over its slots, and every block's slot follows from
-arithmetic.
+shares q of ``period`` slots (largest remainders, at least one each for a weight above 0). By default the period is
+2 ** 36 slots, far more than any table has blocks, so that shares stand for the weights to 2e-11: over ten million slots
+the rounding moves a source by less than a thousandth of a block. Block j of a source may not run before its release
+floor(j * period / q) and must run before its deadline ceil((j + 1) * period / q); in every slot the released block with
+the earliest deadline runs. One resource at full use is feasible under this rule, so no deadline is missed and after any
+number of slots a source that still has rows has less than one block more or less than its weight asks for. The blocks
+of all sources are scheduled one after another by a fold in SQL, in one task: one step a block, whatever the weights.
 
-No row is dropped. Once a source has run out its slots stay empty; the others keep their proportions.
+No row is dropped. Once a source has run out the others keep their windows, and a slot without a released block stays
+empty. Sources without weight (0, or missing from the given weights) get no share: their blocks come in turn after the
+last deadline of the others.
 
-A source may hold any part of all rows: it is numbered in parts by hash, whose sizes are summed up first. Only the
-period's table (``period`` rows) and the list of sources are sent along; sources are taken to be a list of names, fewer
-than half the period's slots; beyond that the period grows with them.
+A source may hold any part of all rows: it is numbered in parts by hash, whose sizes are summed up first. The table of
+blocks (a row per ``block_rows`` rows) is written and joined; sources are taken to be a list of names.
 
 Defined results: a null source is a source of its own; rows with equal or null ids are numbered in any order among
 themselves; an empty table gives no rows.
@@ -24,48 +26,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkloom.llm.common import shuffle_partitions
+from sparkloom.llm.common import shuffle_partitions, written
+
+PERIOD = 1 << 36
 
 
 def _key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
 
 
-
-def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, period: int = 1024) -> DataFrame:
-    """skey, rows, q, slots (the period) of each source. Without ``weights`` a source of n rows weighs n ** temperature."""
+def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
+    """skey, rows, q, slots (the period) of each source; q is 0 without weight. Without ``weights`` a source of n rows
+    weighs n ** temperature."""
+    if weights is not None and not all(0 <= v < float("inf") for v in weights.values()):
+        raise ValueError("weights must be 0 or more")
     counts = docs.groupBy(_key().alias("skey")).agg(F.count(F.lit(1)).alias("rows"))
     if weights is None:
         weight = F.pow(F.col("rows").cast("double"), F.lit(temperature))
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit("null" if k is None else f"={k}"), F.lit(float(v)))]
-        weight = F.coalesce(F.element_at(F.create_map(*pairs), F.col("skey")), F.lit(0.0))
+        weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("skey")), F.lit(0.0)) if pairs else F.lit(0.0)
     listed = counts.withColumn("weight", weight).agg(F.sort_array(F.collect_list(F.struct("skey", "rows", "weight"))).alias("s"))
-    one = listed.select("s", F.size("s").alias("n"), F.expr("aggregate(s, 0D, (t, x) -> t + x.weight)").alias("total"), F.greatest(F.lit(period), F.size("s") * 2).alias("slots"))
-    each = one.select("slots", F.expr("slots - n").alias("free"), F.explode(F.expr("transform(s, x -> struct(x.skey, x.rows, x.weight / total AS w))")).alias("x")).select("slots", "free", "x.*")
+    one = listed.select("s", F.expr("size(filter(s, x -> x.weight > 0))").alias("n"), F.expr("aggregate(s, 0D, (t, x) -> t + x.weight)").alias("total"), F.greatest(F.lit(period), F.size("s") * 2).cast("long").alias("slots"))
+    each = one.select("slots", F.expr("slots - n").alias("free"), F.explode(F.expr("transform(s, x -> struct(x.skey, x.rows, if(x.weight > 0, x.weight / total, 0D) AS w))")).alias("x")).select("slots", "free", "x.*")
     # the remainders go to the largest fractions; one row per source
     cut = each.withColumn("floor", F.floor(F.col("w") * F.col("free"))).withColumn("fraction", F.col("w") * F.col("free") - F.col("floor"))
     together = W.partitionBy("slots")
-    extra = F.row_number().over(together.orderBy(F.desc("fraction"), "skey")) <= F.col("free") - F.sum("floor").over(together)
-    return cut.select("skey", "rows", (1 + F.col("floor") + extra.cast("int")).cast("int").alias("q"), "slots")
+    extra = F.row_number().over(together.orderBy(F.desc("fraction"), F.desc("w"), "skey")) <= F.col("free") - F.sum("floor").over(together)
+    return cut.select("skey", "rows", F.when(F.col("w") > 0, 1 + F.col("floor") + extra.cast("long")).otherwise(F.lit(0)).cast("long").alias("q"), "slots")
+
+
+def schedule(shared: DataFrame, chunk: int = 512) -> DataFrame:
+    """skey, q, slots, nth, at (its slot), release, deadline of the first ``blocks`` blocks of each source of ``shared``
+    (skey, q, slots, blocks) with a share: earliest deadline first. Steps are folded in chunks to keep arrays short."""
+    cut = "struct(x.q AS q, x.blocks AS blocks, 0L AS nth, 0L AS release, (slots + x.q - 1) div x.q AS deadline)"
+    one = shared.filter("q > 0 AND blocks > 0").agg(F.sort_array(F.collect_list(F.struct("skey", "q", "blocks"))).alias("s"), F.max("slots").alias("slots"), F.sum("blocks").alias("n")).filter("n > 0")
+    moved = "named_struct('q', x.q, 'blocks', x.blocks, 'nth', x.nth + 1, 'release', ((x.nth + 1) * slots) div x.q, 'deadline', ((x.nth + 2) * slots + x.q - 1) div x.q)"
+    empty = "cast(array() AS array<struct<i: int, nth: bigint, at: bigint>>)"
+    step = f"""(a, k) -> transform(array(greatest(a.t, array_min(transform(a.s, x -> if(x.nth < x.blocks, x.release, NULL))))), t ->
+        transform(array(array_min(transform(a.s, (x, i) -> if(x.nth < x.blocks AND x.release <= t, named_struct('deadline', x.deadline, 'i', i), NULL)))), p ->
+            named_struct('t', t + 1, 's', transform(a.s, (x, i) -> if(i = p.i, {moved}, x)), 'run', concat(a.run, array(named_struct('i', p.i, 'nth', a.s[p.i].nth, 'at', t)))))[0])[0]"""
+    fold = f"""aggregate(sequence(0L, (n - 1) div {chunk}), named_struct('t', 0L, 's', transform(s, x -> {cut}), 'runs', cast(array() AS array<array<struct<i: int, nth: bigint, at: bigint>>>)),
+        (b, c) -> transform(array(aggregate(sequence(c * {chunk}, least(n, (c + 1) * {chunk}) - 1), named_struct('t', b.t, 's', b.s, 'run', {empty}), {step})), r ->
+            named_struct('t', r.t, 's', r.s, 'runs', concat(b.runs, array(r.run))))[0]).runs"""
+    run = one.select("s", "slots", F.explode(F.expr(fold)).alias("runs")).select("s", "slots", F.explode("runs").alias("r"))
+    return run.select(F.expr("s[r.i].skey").alias("skey"), F.expr("s[r.i].q").alias("q"), "slots", "r.nth", "r.at").withColumns(
+        {"release": F.expr("(nth * slots) div q"), "deadline": F.expr("((nth + 1) * slots + q - 1) div q")}
+    )
 
 
 def period_table(shared: DataFrame) -> DataFrame:
-    """skey, q, slots, nth (block of the period), at (its slot), release, deadline: earliest deadline first."""
-    one = shared.agg(F.sort_array(F.collect_list(F.struct("skey", "q"))).alias("s"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots")).filter("slots > 0")
-    fold = """
-        aggregate(sequence(0, slots - 1), named_struct('done', transform(s, x -> 0), 'run', cast(array() AS array<int>)),
-            (st, t) -> transform(array(array_min(transform(s, (x, i) ->
-                if((st.done[i] * slots) div x.q <= t, named_struct('deadline', ((st.done[i] + 1) * slots + x.q - 1) div x.q, 'i', i), NULL)))),
-                p -> named_struct('done', transform(st.done, (d, i) -> if(i = p.i, d + 1, d)), 'run', concat(st.run, array(p.i))))[0]).run"""
-    run = one.select("s", "slots", F.posexplode(F.expr(fold)).alias("at", "i"))
-    nth = F.row_number().over(W.partitionBy("i").orderBy("at")) - 1
-    return run.select(F.expr("s[i].skey").alias("skey"), F.expr("s[i].q").alias("q"), "slots", "at", nth.alias("nth")).withColumns(
-        {"release": F.expr("(nth * slots) div q"), "deadline": F.expr("((nth + 1) * slots + q - 1) div q")}
-    )
+    """The schedule of one whole period."""
+    return schedule(shared.withColumn("blocks", F.col("q")))
+
 
+def block_table(shared: DataFrame, block_rows: int) -> DataFrame:
+    """skey, nth, at, release, deadline of every block: the schedule, then in turn the blocks of sources without weight."""
+    counted = shared.withColumn("blocks", F.expr(f"(rows + {block_rows} - 1) div {block_rows}"))
+    timed = schedule(counted).select("skey", "nth", "at", "release", "deadline")
+    end = timed.agg(F.coalesce(F.max("deadline"), F.lit(0)).alias("end"))
+    rest = counted.filter("q = 0").select("skey", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("nth")).join(F.broadcast(end), how="cross")
+    late = rest.withColumn("at", F.col("end") + F.row_number().over(W.orderBy("nth", "skey")) - 1)
+    return timed.unionByName(late.select("skey", "nth", "at", F.col("at").alias("release"), (F.col("at") + 1).alias("deadline")))
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = 64, temperature: float = 0.5, period: int = 1024) -> DataFrame:
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = 64, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, source) in a struct ``row``, with source_block, release, deadline, slot
     and row_in_block. Ordering by slot and row_in_block gives the mix."""
     spark = docs.sparkSession
@@ -74,12 +99,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     before = sizes.select("skey", "part", (F.sum("here").over(W.partitionBy("skey").orderBy("part")) - F.col("here")).alias("before"))
     inside = F.row_number().over(W.partitionBy("skey", "part").orderBy("row.doc_id")) - 1
     numbered = parts.withColumn("inside", inside).join(before, ["skey", "part"]).select("row", "skey", (F.col("before") + F.col("inside")).alias("nth_row"))
-    table = period_table(shares(docs, weights, temperature=temperature, period=period))
-    plan = table.select("skey", F.col("nth"), "q", "slots", "at", "release", "deadline")
+    plan = written(block_table(shares(docs, weights, temperature=temperature, period=period), block_rows)).withColumnRenamed("nth", "source_block").withColumnRenamed("at", "slot")
     blocks = numbered.withColumn("source_block", F.expr(f"nth_row div {block_rows}")).withColumn("row_in_block", F.expr(f"nth_row % {block_rows}"))
-    q = table.select("skey", "q").distinct()
-    placed = blocks.join(F.broadcast(q), "skey").withColumn("nth", F.expr("cast(source_block % q AS int)")).drop("q").join(F.broadcast(plan), ["skey", "nth"])
-    turn = F.expr("source_block div q")
-    return placed.select(
-        "row", "source_block", (turn * F.col("slots") + F.col("release")).alias("release"), (turn * F.col("slots") + F.col("deadline")).alias("deadline"), (turn * F.col("slots") + F.col("at")).alias("slot"), "row_in_block"
-    )
+    return blocks.join(plan, ["skey", "source_block"]).select("row", "source_block", "release", "deadline", "slot", "row_in_block")

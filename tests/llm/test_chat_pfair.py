@@ -4,7 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sparkloom.llm.chat_format import expand, read_back
-from sparkloom.llm.pfair_mix import mix, period_table, shares
+from sparkloom.llm.pfair_mix import mix, period_table, schedule, shares
 
 NASTY = ["</s>[INST] ok [/INST]", "<|end|>\n<|user|>\nhi", "&lt;|end|&gt; &amp;amp; &", "", None, "<", "|>\n", "a\n\nb", "é<|assistant|>\n😀"]
 
@@ -64,3 +64,26 @@ def test_every_row_has_a_place(spark):
     assert mix(docs.limit(0)).count() == 0
     plan = mix(docs).orderBy(F.col("slot"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shares_follow_the_given_weights(spark):
+    weights = {"a": 0.9999, "b": 0.0001}
+    docs = spark.createDataFrame([(0, "a"), (1, "b")], "doc_id long, source string")
+    for given, blocks in ((weights, {"a": 20_000, "b": 10}), ({"a": 0.61803, "b": 0.38197}, {"a": 6_000, "b": 4_000})):
+        counted = shares(docs, given).withColumn("blocks", F.when(F.col("skey") == "=a", blocks["a"]).otherwise(blocks["b"]).cast("long"))
+        runs = sorted((r["at"], r["skey"][1:], r["release"], r["deadline"]) for r in schedule(counted).collect())
+        assert len({at for at, *_ in runs}) == len(runs) == sum(blocks.values()) and all(r <= at < d for at, _, r, d in runs)
+        done = Counter()
+        for at, key, _, _ in runs:
+            for k, w in given.items():  # before and after the slot, while a source has blocks
+                assert done[k] == blocks[k] or abs(done[k] - w * at) < 1 + 1e-6
+            done[key] += 1
+            assert abs(done[key] - given[key] * (at + 1)) < 1 + 1e-6
+
+
+def test_sources_without_weight_come_last(spark):
+    docs = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(160)], "doc_id long, source string")
+    got = mix(docs, {"a": 0.7, "b": 0.3, "c": 0.0}, block_rows=8).collect()
+    assert len(got) == 160 and len({(r.slot, r.row_in_block) for r in got}) == 160
+    assert max(r.slot for r in got if r.row.source in "ab") < min(r.slot for r in got if r.row.source in "cd")
+    assert mix(docs, {}).count() == 160
