@@ -2,7 +2,7 @@
 
 The text view sees the content: hashed words and runs of punctuation as shares of the text, and a few ratios (capitals,
 punctuation, digits, distinct and repeated tokens). The metadata view sees the page's source, language, length and
-line layout. Both are logistic regressions. Over ``rounds`` rounds each view labels documents of an unlabelled pool;
+line layout. Both are logistic regressions. Over ``rounds`` rounds each view labels the unlabelled documents;
 those that it is sure of become training examples of the other view. Afterwards each view's margin is calibrated on
 labelled documents kept aside, the two are combined there by a small logistic regression, and all documents get scores.
 
@@ -11,19 +11,21 @@ A document is good when its label says quality 1 and not toxic.
 The classes weigh alike in training, so a score of 0.3 is where a document is as likely good as not when good ones are
 about 0.7 of all; below ``threshold`` it is rejected.
 
-The driver fits both views on bounded samples: ``labelled`` documents with labels and ``pool`` without, those with the
-smallest hashes of their ids, so the sample does not depend on how the tables are laid out. Scoring covers every row.
+The driver fits both views on ``labelled`` documents with labels, those with the smallest hashes of their ids, so the
+sample does not depend on how the tables are laid out, and on the pseudo-labelled ones. All other rows are the unlabelled
+pool: their features are written once, each round scores all of them on the executors and brings back the surest only,
+at most ``pool`` documents over all rounds. Scoring covers every row.
 
 Defined results: without labels of both kinds every document scores 0.5 and is kept; null or empty texts have no tokens
 and are scored by what remains; a null doc_id has no label; several labels of a document count as its worst; an empty
-table gives no rows; repeated rows are rows like any other. ``score`` carries all further columns in ``row``.
+table gives no rows; of several rows with one doc_id one is an example; repeated rows are rows like any other. ``score`` carries all further columns in ``row``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.llm.common import drop_written, written
+
 BITS = 18
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 UPPER = bytes(range(65, 91))
@@ -108,16 +112,18 @@ def meta_row(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 WIDTHS = ((1 << BITS) + N_DENSE, 1 << META_BITS)
 
 
-def cotrain(views: list[list], y: list[int | None], *, rounds: int = 3, per_round: int = 200, sure: float = 0.97) -> dict | None:
-    """``views``: the rows of either view; ``y``: labels, None in the pool. Returns weights and the calibration."""
-    known = [i for i, v in enumerate(y) if v is not None]
+def cotrain(views: list[list], y: list[int], surest: Callable | None, *, rounds: int = 3) -> dict | None:
+    """``views``: the rows of either view; ``y``: their labels. ``surest`` takes the weights and calibrations of both views
+    and returns, for each view, unlabelled documents that it is sure of: (row of the text view, row of the metadata view,
+    label). Returns weights and the calibration."""
+    views = [list(v) for v in views]
+    known = list(range(len(y)))
     if len({y[i] for i in known}) < 2:
         return None
     aside, train_ = known[::4], [i for k, i in enumerate(known) if k % 4]
     if len({y[i] for i in aside}) < 2 or len({y[i] for i in train_}) < 2:
         aside = train_ = known
     sets = [{i: float(y[i]) for i in train_} for _ in views]
-    pool = [i for i, v in enumerate(y) if v is None]
     truth = np.array([y[i] for i in aside], float)
 
     def learn(view: int):
@@ -132,19 +138,15 @@ def cotrain(views: list[list], y: list[int | None], *, rounds: int = 3, per_roun
         return fit([(at, np.array([*x, 1.0])) for x in zip(*columns, strict=True)], truth, len(columns) + 1, l2=1e-3, steps=400)
 
     weights = [learn(0), learn(1)]
-    for _ in range(rounds):
-        if not pool:
-            break
-        chosen = []
+    for _ in range(rounds if surest else 0):
+        found = surest(weights, [calibrate([margins(v, weights[v], aside)]) for v in (0, 1)])
         for view in (0, 1):
-            a, b = calibrate([margins(view, weights[view], aside)])
-            p = sigmoid(a * margins(view, weights[view], pool) + b)
-            order = np.argsort(p)
-            chosen.append([(pool[k], 0.0) for k in order[:per_round] if p[k] < 1 - sure] + [(pool[k], 1.0) for k in order[::-1][:per_round] if p[k] > sure])
-        for view in (0, 1):
-            sets[1 - view].update(dict(chosen[view]))
-        gone = {i for x in chosen for i, _ in x}
-        pool = [i for i in pool if i not in gone]
+            for text, at, label in found[view]:
+                sets[1 - view][len(views[0])] = label
+                views[0].append(text)
+                views[1].append(at)
+        if not any(found):
+            break
         weights = [learn(0), learn(1)]
     singles = [calibrate([margins(v, weights[v], aside)]) for v in (0, 1)]
     both = calibrate([margins(v, weights[v], aside) for v in (0, 1)])
@@ -152,6 +154,7 @@ def cotrain(views: list[list], y: list[int | None], *, rounds: int = 3, per_roun
 
 
 FEATURES = "doc_id long, good int, ids array<int>, dense array<double>, meta array<int>"
+SURE = "rid long, doc_id long, p0 double, p1 double"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,25 +173,91 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), text("text"), text("source"), text("lang")]
 
 
-def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 4000, pool: int = 2000, rounds: int = 3) -> dict | None:
-    """The model, from at most ``labelled`` labelled and ``pool`` further documents (repeated ids once more at most)."""
-    rows = docs.select(*_columns(docs))
-    by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    marked = by.agg(F.min(F.when((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) < 1), 1).otherwise(0)).alias("good"))
-    some = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    free = rows.select("doc_id").filter("doc_id IS NOT NULL").join(F.broadcast(some), "doc_id", "left_anti").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(pool)
-    sample = some.unionByName(free.withColumn("good", F.lit(None).cast("int")))
-    picked = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "good", "text", "source", "lang")
-    found = picked.mapInArrow(_features, FEATURES).limit(2 * (labelled + pool)).toArrow().combine_chunks()
+def _one_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One row per doc_id, the same for any layout of the table."""
+    return rows.groupBy("doc_id", *by).agg(F.min(F.struct("text", "source", "lang")).alias("x")).select("doc_id", *by, "x.text", "x.source", "x.lang")
+
+
+def _examples(features: DataFrame) -> dict[int, tuple]:
+    """Rows of both views by ``doc_id``, and the label."""
+    found = features.select("doc_id", "good", "ids", "dense", "meta").toArrow().combine_chunks()
     if not found.num_rows:
-        return None
+        return {}
     cells = {c: found[c].chunk(0) for c in ("ids", "dense", "meta")}
     cell = lambda c, i: cells[c][i].values.to_numpy(zero_copy_only=False)
-    first = {doc: i for i, doc in enumerate(found["doc_id"].to_pylist())}  # one row a document
-    order = [i for _, i in sorted(first.items(), key=lambda x: zlib.crc32(str(x[0]).encode()))]
     good = found["good"].to_pylist()
-    views = [[text_row(cell("ids", i), cell("dense", i)) for i in order], [meta_row(cell("meta", i).astype(np.int64)) for i in order]]
-    return cotrain(views, [good[i] for i in order], rounds=rounds)
+    return {doc: (text_row(cell("ids", i), cell("dense", i)), meta_row(cell("meta", i).astype(np.int64)), good[i]) for i, doc in enumerate(found["doc_id"].to_pylist())}
+
+
+def _sums(column: pa.ListArray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of ``w`` over each list's numbers, and their count."""
+    at, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    total = np.concatenate(([0.0], np.cumsum(w[at], dtype=float)))
+    ends = ends - ends[0]
+    return total[ends[1:]] - total[ends[:-1]], np.diff(ends)
+
+
+def _sureness(weights: list[np.ndarray], scales: list[np.ndarray]):
+    text, at = (w.astype(np.float64) for w in weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            total, n = _sums(b.column(2), text)
+            dense = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_DENSE)
+            a = total * SCALE / np.maximum(1, n) + dense @ text[1 << BITS :]
+            m, _ = _sums(b.column(4), at)
+            p = [sigmoid(c * x + d) for x, (c, d) in zip((a, m), scales, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p)], names=["rid", "doc_id", "p0", "p1"])
+
+    return run
+
+
+def _surest(unlabelled: DataFrame, per_round: int, sure: float):
+    """For ``cotrain``: scores all of ``unlabelled`` (rid and features) and brings back the surest."""
+    gone: set[int] = set()
+
+    def run(weights: list[np.ndarray], scales: list[np.ndarray]) -> list[list[tuple]]:
+        spark = unlabelled.sparkSession
+        p = unlabelled.select("rid", "doc_id", "ids", "dense", "meta").mapInArrow(_sureness(weights, scales), SURE)
+        sides = F.greatest("p0", F.lit(1.0) - F.col("p0"), "p1", F.lit(1.0) - F.col("p1")) > sure
+        taken = spark.createDataFrame([(x,) for x in gone], "doc_id long")
+        able = written(p.filter(sides).join(F.broadcast(taken), "doc_id", "left_anti"))
+        one = able.groupBy("doc_id").agg(F.min(F.struct("rid", "p0", "p1")).alias("x")).select("doc_id", "x.*")
+        chosen = [{}, {}]
+        for view in (0, 1):
+            for label, side in ((0.0, F.lit(1.0) - F.col(f"p{view}")), (1.0, F.col(f"p{view}"))):
+                rows = one.select("doc_id", "rid", side.alias("side")).filter(F.col("side") > sure)
+                chosen[view] |= {r.rid: (r.doc_id, label) for r in rows.orderBy(F.desc("side"), F.xxhash64("doc_id"), "doc_id").limit(per_round).collect()}
+        drop_written(able)
+        rids = spark.createDataFrame([(x,) for x in {*chosen[0], *chosen[1]}], "rid long")
+        found = _examples(unlabelled.join(F.broadcast(rids), "rid"))
+        gone.update(found)
+        return [[(*found[doc][:2], label) for doc, label in sorted(x.values())] for x in chosen]
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 3000, rounds: int = 3, sure: float = 0.97) -> dict | None:
+    """The model, from at most ``labelled`` labelled documents and ``pool`` pseudo-labelled ones among all others."""
+    rows = docs.select(*_columns(docs))
+    by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = by.agg(F.min(F.when((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) < 1), 1).otherwise(0)).alias("good"))
+    sample = written(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    known = _examples(_one_each(rows.join(F.broadcast(sample), "doc_id"), "good").mapInArrow(_features, FEATURES))
+    if len({x[2] for x in known.values()}) < 2:
+        return None
+    order = sorted(known, key=lambda doc: zlib.crc32(str(doc).encode()))
+    surest, per_round = None, pool // (4 * max(1, rounds))  # of each view and label
+    if per_round:
+        others = rows.filter("doc_id IS NOT NULL").join(F.broadcast(sample), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), "text", "source", "lang")
+        unlabelled = written(others.mapInArrow(_features, FEATURES).withColumn("rid", F.monotonically_increasing_id()))
+        surest = _surest(unlabelled, per_round, sure)
+    model = cotrain([[known[doc][view] for doc in order] for view in (0, 1)], [known[doc][2] for doc in order], surest, rounds=rounds)
+    if surest:
+        drop_written(unlabelled)
+    return model
 
 
 def _scored(model: dict | None):

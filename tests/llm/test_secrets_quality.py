@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from sparkloom.llm import cotrain_quality
 from sparkloom.llm.cotrain_quality import score
 from sparkloom.llm.markov_secrets import ALPHABETS, KINDS, find_secrets, generated, pairs, ratio, ratio_table, scan, train
 
@@ -88,3 +89,37 @@ def test_without_labels_everything_is_kept(spark):
     got = score(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == 20 and all(r.keep and r.quality == 0.5 for r in got)
     assert score(d.limit(0), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_pseudo_labels_come_from_all_rows_and_repeated_ids_crowd_out_none(spark, monkeypatch):
+    docs, labels = corpus(700, 8)
+    docs += [(3, f"again {k}", "s1", "en", "x") for k in range(3000)]  # one labelled document very often
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, quality string").repartition(4)
+    lab = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
+    seen, real = {}, cotrain_quality.cotrain
+
+    def spy(views, y, surest, **options):
+        def run(*args):
+            found = surest(*args)
+            seen.setdefault("rounds", []).append([len(x) for x in found])
+            return found
+
+        seen["labelled"] = len(y)
+        return real(views, y, run, **options)
+
+    def sureness(weights, scales):
+        inner = original(weights, scales)
+
+        def run(batches):
+            for b in inner(batches):
+                seen_rows.add(b.num_rows)
+                yield b
+
+        return run
+
+    original, seen_rows = cotrain_quality._sureness, spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(cotrain_quality, "cotrain", spy)
+    monkeypatch.setattr(cotrain_quality, "_sureness", sureness)
+    assert cotrain_quality.train(d, lab, labelled=300, pool=120) is not None
+    assert seen["labelled"] == 300
+    assert seen_rows.value == 400 * len(seen["rounds"]) and all(n <= 20 for x in seen["rounds"] for n in x) and any(map(sum, seen["rounds"]))
