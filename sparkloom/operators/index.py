@@ -65,7 +65,12 @@ def legacy_rank(parts: DataFrame, queries: DataFrame) -> DataFrame:
     return posted.join(df.select("term", weight.alias("w")), "term").join(terms, "term").groupBy("qid", "doc_id", "chunk_no").agg((F.sum("w") / F.first("len")).alias("score"))
 
 
-def top_per_query(scores: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query: by score to nine places, then doc_id and chunk_no."""
+def ranked(scores: DataFrame) -> DataFrame:
+    """All rows of each query with their rank: by score to nine places, then doc_id and chunk_no."""
     order = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")
-    return scores.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scores.filter("score > 0").withColumn("rank", F.row_number().over(order))
+
+
+def top_per_query(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query."""
+    return ranked(scores).filter(F.col("rank") <= k)

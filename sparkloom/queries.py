@@ -121,10 +121,18 @@ def context_budget(s, d):
     return rank.budget(top, 4000).select("qid", "rank", "doc_id", "chunk_no", F.length("text").alias("n_chars"))
 
 
+def _mmr_candidates(scores):
+    """Scores as shares of the best of their query, without those that the bound of ``rank.mmr`` excludes."""
+    cfg = C.DEFAULT.ranking
+    scaled = scores.filter("score > 0").withColumn("score", F.col("score") / F.max("score").over(W.partitionBy("qid")))
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
+    kth = scaled.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= cfg.top_k).groupBy("qid").agg(F.min("score").alias("kth"))
+    return scaled.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit((1 - cfg.mmr_lambda) / cfg.mmr_lambda)).drop("kth")
+
+
 def mmr_select(s, d):
-    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 40)
-    scaled = top.withColumn("score", F.col("score") / F.max("score").over(W.partitionBy("qid"))).join(_chunks(s, d), ["doc_id", "chunk_no"])
-    return rank.mmr(scaled).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+    able = _mmr_candidates(index.bm25(_chunks(s, d), _queries(s, d))).join(_chunks(s, d), ["doc_id", "chunk_no"])
+    return rank.mmr(able).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
 def hybrid_context(s, d):
@@ -146,21 +154,29 @@ def _benchmark_chunks(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_no"), "text")
 
 
-def _ranker_metrics(s, d, ranker):
-    parts = _benchmark_chunks(s, d)
-    known = ireval.known_item_queries(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks"))).select(F.col("doc_id").alias("qid"), "query", F.col("doc_id").alias("relevant_id"))
-    ranked = index.top_per_query(ranker(parts, known.select("qid", "query")), 10)
-    m = ireval.metrics(ireval.relevant_ranks(ranked, known.select("qid", "relevant_id")))
+def _ranker_metrics(s, parts, ranker):
+    """Metrics of the whole rankings of known-item queries, one a chunk: its own rank counts wherever it is."""
+    named = parts.select((F.col("doc_id") * F.lit(1 << 20) + F.col("chunk_no")).alias("doc_id"), F.lit(0).alias("chunk_no"), "text")
+    known = ireval.known_item_queries(index.postings(named), named.agg(F.count(F.lit(1)).alias("n_chunks"))).select(F.col("doc_id").alias("qid"), "query", F.col("doc_id").alias("relevant_id"))
+    m = ireval.metrics(ireval.relevant_ranks(index.ranked(ranker(named, known.select("qid", "query"))), known.select("qid", "relevant_id")))
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in m.columns if c != "n_queries"))
 
 
+def _compared(s, parts):
+    new, old = _ranker_metrics(s, parts, index.bm25), _ranker_metrics(s, parts, index.legacy_rank)
+    return new.select(F.lit("bm25").alias("ranker"), "*").unionByName(old.select(F.lit("legacy").alias("ranker"), "*"))
+
+
 def ir_metrics(s, d):
-    return _ranker_metrics(s, d, index.bm25)
+    return _ranker_metrics(s, _benchmark_chunks(s, d), index.bm25)
 
 
 def ranker_comparison(s, d):
-    new, old = _ranker_metrics(s, d, index.bm25), _ranker_metrics(s, d, index.legacy_rank)
-    return new.select(F.lit("bm25").alias("ranker"), "*").unionByName(old.select(F.lit("legacy").alias("ranker"), "*"))
+    return _compared(s, _benchmark_chunks(s, d))
+
+
+def chunk_ranker_comparison(s, d):
+    return _compared(s, _chunks(s, d))
 
 
 CASES = """SELECT * FROM VALUES
@@ -403,7 +419,7 @@ def table_rows(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hybrid_context, tokenize_stats, chunk_windows, chunk_paragraphs, line_dedup, noise_filter, postprocess_lines, title_normalise, html_extract, cache_keys, bm25_idf, bm25_topk, legacy_ranker_topk,
-        dense_topk, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
+        dense_topk, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
         leak_probes, doc_structure, contract_check, llm_authorship, ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs,
         latest_job_status, quality_proxies, triage_delta, rate_limit_decisions, event_windows, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, template_shapes, caption_alignment,
         evidence_topn, file_select, image_triage, image_merge, table_rows,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkloom.config import DEFAULT, Limits, Ranking
 from sparkloom.functions import rules
 from sparkloom.functions import text as T
+from sparkloom import queries
 from sparkloom.operators import files, gates, index, ireval, kpi, rank, structure
 from sparkloom.streaming.limiter import Window, decide_batch
 
@@ -254,3 +255,19 @@ def test_hinted_files_alone(spark):
 
 def test_defaults():
     assert DEFAULT.ranking.chunk_chars == 900 and DEFAULT.limits.requests_per_minute == 60
+
+
+def test_mmr_sees_past_a_group_of_copies(spark):
+    copies = [(1, d, 0, 1.0) for d in range(60)]
+    able = queries._mmr_candidates(spark.createDataFrame([*copies, (1, 99, 0, 0.95), (1, 100, 0, 0.5)], "qid long, doc_id long, chunk_no int, score double"))
+    texts = spark.createDataFrame([(d, 0, "same words here") for d in range(60)] + [(99, 0, "other things there"), (100, 0, "far off")], "doc_id long, chunk_no int, text string")
+    assert {r.doc_id for r in able.collect()} == {*range(60), 99}
+    assert 99 in {r.doc_id for r in rank.mmr(able.join(texts, ["doc_id", "chunk_no"])).collect()}
+
+
+def test_reciprocal_rank_has_no_cutoff(spark):
+    words = ["aaa", "bbb", "ccc", "ddd"]
+    # the same four terms in fifteen chunks: ties go to the smaller id, so chunk k has rank k + 1
+    parts = spark.createDataFrame([(i, 0, " ".join(words)) for i in range(15)] + [(100 + i, 0, f"x{i}xx y{i}yy") for i in range(60)], "doc_id long, chunk_no int, text string")
+    m = queries._ranker_metrics(spark, parts, index.bm25).first()
+    assert m.n_queries == 15 and math.isclose(m.mrr, sum(1 / k for k in range(1, 16)) / 15, abs_tol=1e-6) and math.isclose(m.recall_at_10, 10 / 15, abs_tol=1e-6)
