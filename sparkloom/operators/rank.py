@@ -15,10 +15,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
 
 
-def dense_scores(embeddings: DataFrame, query: DataFrame) -> DataFrame:
-    """vec_id, score of every vector but the query's own; ``query`` is one row (vec_id, embedding)."""
-    q = query.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return embeddings.join(F.broadcast(q.limit(1)), F.col("vec_id") != F.col("q_id")).select("vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
+def dense_scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
+    """q_id, vec_id, score of every vector but the query's own, for each query of ``queries`` (vec_id, embedding).
+
+    A small set of queries is broadcast; a larger one meets the vectors partition by partition."""
+    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    return embeddings.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
 
 
 def rrf(channels: DataFrame, k: int = DEFAULT.ranking.rrf_k) -> DataFrame:

@@ -100,11 +100,17 @@ def dense_topk(s, d):
     return scored.orderBy(F.desc(F.round("score", 9)), "vec_id").limit(10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def dense_topk_all(s, d):
+    """The ten nearest of all vectors for every vector whose id is divisible by 100."""
+    e = table(s, d, "embeddings")
+    scored = rank.dense_scores(e, e.filter("vec_id % 100 = 0").select("vec_id", "embedding"))
+    order = W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("q_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
 def _channels(s, d):
     e = table(s, d, "embeddings")
-    one, two = e.filter("vec_id = 0").select("vec_id", "embedding"), e.filter("vec_id = 1").select("vec_id", "embedding")
-    a = rank.dense_scores(e, one).select(F.lit(1).alias("channel"), F.col("vec_id").alias("doc_id"), "score")
-    return a.unionByName(rank.dense_scores(e, two).select(F.lit(2).alias("channel"), F.col("vec_id").alias("doc_id"), "score"))
+    return rank.dense_scores(e, e.filter("vec_id IN (0, 1)").select("vec_id", "embedding")).select(F.col("q_id").alias("channel"), F.col("vec_id").alias("doc_id"), "score")
 
 
 def rrf_fusion(s, d):
@@ -135,9 +141,18 @@ def mmr_select(s, d):
     return rank.mmr(able).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
+def _query_vectors(s, d):
+    """qid, vec_id: the query vector of a benchmark item, by its place among the items; vectors are taken in turn."""
+    e, q = table(s, d, "embeddings").select("vec_id"), _queries(s, d).select("qid")
+    place = lambda c: (F.row_number().over(W.orderBy(c)) - 1).alias("place")
+    listed = q.select("qid", place("qid")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))), how="cross").filter("n > 0")
+    return listed.select("qid", F.expr("place % n").cast("int").alias("place")).join(e.select("vec_id", place("vec_id")), "place").select("qid", "vec_id")
+
+
 def hybrid_context(s, d):
-    q = table(s, d, "embeddings").filter("vec_id = 0").select("vec_id", "embedding")
-    dense = rank.dense_scores(table(s, d, "embeddings"), q).join(F.broadcast(_queries(s, d).select("qid").orderBy("qid").limit(1)), how="cross").select("qid", F.col("vec_id").alias("doc_id"), "score")
+    e, asked = table(s, d, "embeddings"), _query_vectors(s, d)
+    scored = rank.dense_scores(e, e.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding"))
+    dense = scored.join(asked.withColumnRenamed("vec_id", "q_id"), "q_id").select("qid", F.col("vec_id").alias("doc_id"), "score")
     found = rank.hybrid(_chunks(s, d), _queries(s, d), dense, hints=HINTS)
     return found.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"), F.length("text").alias("n_chars"))
 
@@ -419,7 +434,7 @@ def table_rows(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hybrid_context, tokenize_stats, chunk_windows, chunk_paragraphs, line_dedup, noise_filter, postprocess_lines, title_normalise, html_extract, cache_keys, bm25_idf, bm25_topk, legacy_ranker_topk,
-        dense_topk, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
+        dense_topk, dense_topk_all, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
         leak_probes, doc_structure, contract_check, llm_authorship, ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs,
         latest_job_status, quality_proxies, triage_delta, rate_limit_decisions, event_windows, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, template_shapes, caption_alignment,
         evidence_topn, file_select, image_triage, image_merge, table_rows,

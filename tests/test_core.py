@@ -271,3 +271,20 @@ def test_reciprocal_rank_has_no_cutoff(spark):
     parts = spark.createDataFrame([(i, 0, " ".join(words)) for i in range(15)] + [(100 + i, 0, f"x{i}xx y{i}yy") for i in range(60)], "doc_id long, chunk_no int, text string")
     m = queries._ranker_metrics(spark, parts, index.bm25).first()
     assert m.n_queries == 15 and math.isclose(m.mrr, sum(1 / k for k in range(1, 16)) / 15, abs_tol=1e-6) and math.isclose(m.recall_at_10, 10 / 15, abs_tol=1e-6)
+
+
+def test_dense_scores_of_every_query(spark):
+    rng = random.Random(5)
+    vectors = {i: [rng.uniform(-1, 1) for _ in range(4)] for i in range(30)}
+    e = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = {(r.q_id, r.vec_id): r.score for r in rank.dense_scores(e, e.filter("vec_id % 10 = 0")).collect()}
+    assert set(got) == {(q, v) for q in (0, 10, 20) for v in vectors if v != q}
+    assert all(math.isclose(x, sum(a * b for a, b in zip(vectors[q], vectors[v], strict=True)), abs_tol=1e-9) for (q, v), x in got.items())
+
+
+def test_every_benchmark_item_has_a_query_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert sorted(r.qid for r in queries._query_vectors(spark, sf).collect()) == sorted(items)
+    ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert {r.q_id for r in queries.dense_topk_all(spark, sf).collect()} == {i for i in ids if i % 100 == 0}
