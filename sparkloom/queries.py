@@ -249,11 +249,15 @@ def leak_probes(s, d):
     return _docs(s, d).select("doc_id", *(c.alias(k) for k, c in rules.leak_counts(F.col("text")).items()))
 
 
-def _markdown(s, d):
-    """One Markdown document per conversation: a title, a part per system turn, a topic per user turn, tables and figures."""
+def _markdown(s, d, whole=False):
+    """One Markdown document per conversation: a title, a part per system turn, a topic per user turn, tables and figures.
+
+    The first words of a system or user turn are its heading; ``whole`` puts its whole text below, which the SQL of the
+    queries without ``_whole`` leaves out."""
+    heading, rest = T.squeeze(F.substring("text", 1, 60)), F.concat(F.lit("\n"), F.col("text")) if whole else F.lit("")
     line = (
-        F.when(F.col("role") == "system", F.concat(F.lit("## Part 1: "), T.squeeze(F.substring("text", 1, 60))))
-        .when(F.col("role") == "user", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("### Step 1: ")).otherwise("### "), T.squeeze(F.substring("text", 1, 60)), F.lit("\n| a | b |\n| --- | --- |\n| 1 | 2 |\n[[IMAGE: slide 4]]")))
+        F.when(F.col("role") == "system", F.concat(F.lit("## Part 1: "), heading, rest))
+        .when(F.col("role") == "user", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("### Step 1: ")).otherwise("### "), heading, rest, F.lit("\n| a | b |\n| --- | --- |\n| 1 | 2 |\n[[IMAGE: slide 4]]")))
         .otherwise(F.col("text"))
     )
     rows = table(s, d, "conversations").select("conv_id", "turn", line.alias("line"))
@@ -261,20 +265,32 @@ def _markdown(s, d):
     return rows.groupBy("conv_id").agg(joined.alias("text")).select("conv_id", F.concat(F.lit("# Notes\n"), "text").alias("text"))
 
 
-def doc_structure(s, d):
-    return _markdown(s, d).select("conv_id", *(c.alias(k) for k, c in rules.structure(F.col("text")).items()))
+def doc_structure(s, d, whole=False):
+    return _markdown(s, d, whole).select("conv_id", *(c.alias(k) for k, c in rules.structure(F.col("text")).items()))
 
 
-def contract_check(s, d):
+def contract_check(s, d, whole=False):
     levels = F.element_at(F.array(F.lit("summary"), F.lit("comprehensive"), F.lit("dossier")), (F.pmod("conv_id", F.lit(3)) + 1).cast("int"))
-    return _markdown(s, d).select("conv_id", levels.alias("detail"), rules.violates_contract(F.col("text"), levels, F.pmod("conv_id", F.lit(2)) == 0).alias("violates"))
+    return _markdown(s, d, whole).select("conv_id", levels.alias("detail"), rules.violates_contract(F.col("text"), levels, F.pmod("conv_id", F.lit(2)) == 0).alias("violates"))
 
 
-def llm_authorship(s, d):
+def llm_authorship(s, d, whole=False):
     opened = F.when(F.pmod("conv_id", F.lit(4)) == 0, F.concat("text", F.lit("\n"), F.lit(C.OPENERS[0]))).otherwise(F.col("text"))
     topics = F.greatest(F.regexp_count(opened, F.lit(r"(?m)^###\s+")), F.lit(0))
     n, rate = rules.llm_authorship(opened, topics)
-    return _markdown(s, d).select("conv_id", topics.alias("topics"), n.alias("llm_topics"), F.round(rate, 6).alias("coverage"))
+    return _markdown(s, d, whole).select("conv_id", topics.alias("topics"), n.alias("llm_topics"), F.round(rate, 6).alias("coverage"))
+
+
+def doc_structure_whole(s, d):
+    return doc_structure(s, d, whole=True)
+
+
+def contract_check_whole(s, d):
+    return contract_check(s, d, whole=True)
+
+
+def llm_authorship_whole(s, d):
+    return llm_authorship(s, d, whole=True)
 
 
 def ingress_checks(s, d):
@@ -435,7 +451,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         hybrid_context, tokenize_stats, chunk_windows, chunk_paragraphs, line_dedup, noise_filter, postprocess_lines, title_normalise, html_extract, cache_keys, bm25_idf, bm25_topk, legacy_ranker_topk,
         dense_topk, dense_topk_all, rrf_fusion, hint_boost, context_budget, mmr_select, known_item_queries, ir_metrics, ranker_comparison, chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, policy_flags,
-        leak_probes, doc_structure, contract_check, llm_authorship, ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs,
+        leak_probes, doc_structure, contract_check, llm_authorship, doc_structure_whole, contract_check_whole, llm_authorship_whole, ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs,
         latest_job_status, quality_proxies, triage_delta, rate_limit_decisions, event_windows, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, template_shapes, caption_alignment,
         evidence_topn, file_select, image_triage, image_merge, table_rows,
     ]

@@ -288,3 +288,13 @@ def test_every_benchmark_item_has_a_query_vector(spark):
     assert sorted(r.qid for r in queries._query_vectors(spark, sf).collect()) == sorted(items)
     ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert {r.q_id for r in queries.dense_topk_all(spark, sf).collect()} == {i for i in ids if i % 100 == 0}
+
+
+def test_whole_turns_enter_the_document(spark, tmp_path):
+    late = "word " * 20 + "the last words"
+    rows = [(1, 0, "system", late), (1, 1, "user", late), (1, 2, "assistant", "answer")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    text = queries._markdown(spark, str(tmp_path), whole=True).first().text
+    assert text.count(late) == 2 and "\n### word" in text and "\n## Part 1: word" in text
+    short, long = (f(spark, str(tmp_path)).first().output_chars for f in (queries.doc_structure, queries.doc_structure_whole))
+    assert long >= short + 2 * len(late)
