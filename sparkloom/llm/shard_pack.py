@@ -1,5 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
+Tokens are the words of a text: runs of ASCII letters, digits and characters beyond ASCII, as in the other operators.
+
 Documents with equal texts form a group. Groups that are large in some dimension are packed one by one; all
 others are hashed into a fixed number of parcels, which are packed as wholes. An item goes to the shard whose
 residual capacity has the highest dot product with the item's own vector, largest items first. A group larger than
@@ -27,6 +29,8 @@ from pyspark.sql import Window as W
 from sparkloom.llm.common import written
 
 DIMS = ("size", "tokens", "one")
+#: The words of ``common.ascii_words``: runs of ASCII letters, digits and characters beyond ASCII.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def place(vectors: np.ndarray, n_shards: int) -> np.ndarray:
@@ -68,7 +72,7 @@ def pack(docs: DataFrame, *, n_shards: int = 24, parcels_per_shard: int = 256, s
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-            F.coalesce(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long").alias("tokens"),
+            F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
             F.xxhash64(text, text.isNull()).alias("gkey"),
             *order,
         )

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 
+from sparkloom.llm.common import ascii_words
 from sparkloom.llm.shard_pack import pack, place
 
 
@@ -35,3 +36,9 @@ def test_rows_sizes_slots_and_balance(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tokens_are_words_whatever_parts_them(spark):
+    texts = ["one\ntwo\tthree", "a   b", "", None, "  ", "x,y;z", "né 日本 7", "Zed_A@b[c`d{e"]
+    got = {r.doc_id: r.tokens for r in pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n_shards=2).collect()}
+    assert got == {i: len(ascii_words(x)) for i, x in enumerate(texts)} and got[0] == 3 and got[1] == 2
