@@ -11,15 +11,15 @@ link allows are aligned. Classes are the connected components of the links.
 Groups never meet as a whole and are never expanded into all pairs:
 
 * Copies of one word sequence are collapsed first.
-* In each bucket (texts with one sketch in common) every member is compared with the bucket's first text.
-* A bucket whose members are then in one class is done. In the others, the most common class becomes the bucket's main
-  class and stays it in all steps, whatever it merges with. Members outside it are compared with members of other
-  classes, first with the next one in the bucket's order, then with the next eight, and so on with ever more until the
-  bucket is one class or all such pairs of fitting length have been compared. As the main class only grows, a member
-  that ends outside it has asked in every step; beyond half of the ring only members of the main class are asked, as
-  all others have asked from their side. Before the larger steps, members are left out that have too many k-mers found
-  in no other open text for any link. So no link between two texts of a bucket is lost for the classes, while a bucket
-  of near copies needs a few comparisons a member.
+* In each bucket (texts with one sketch in common) every member is compared with the bucket's centre: the member that
+  has the most company over all of its buckets. A text that few edits part from the others of its group is such a one.
+* A bucket whose members are then in one class is done. In the others, the members outside the bucket's most common
+  class ask and all members answer. Their labelled k-mers are put in one order, those that the fewest of these texts
+  have first. Two texts can only be linked if they share a k-mer among the first n - ceil(threshold * n) + 1 of either
+  and enough k-mers follow it in both, so only such pairs of fitting length and different classes are verified. Two
+  members of a bucket in different classes are never both in its most common class, so one of them asks: no link
+  between two texts of a bucket is lost for the classes. K-mers that no other of these texts has take up places in that
+  order and meet nobody, so a group of texts that differ in their own ways costs few comparisons.
 
 Two texts at the threshold miss each other in all sketches with a probability of about (1 - 0.8 ** ell) ** sketches,
 4e-7 with the defaults. For short texts few k-mers remain to choose from, so those of up to ``short`` k-mers have
@@ -156,10 +156,21 @@ def _prepare(k: int, families: list[tuple[float, float, int, np.ndarray]]):
 def _kmers_of(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Words()
+
+        def out(found):
+            rid = np.repeat(np.array([r for r, _ in found], np.int64), [len(x) for _, x in found])
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.concatenate([x for _, x in found]))], names=["tid", "kmer"])
+
         for b in batches:
+            found, size = [], 0
             for rid, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = kmers(ascii_words(text.as_py()), k, numbers).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rid)), pa.array(x)], names=["tid", "kmer"])
+                found.append((rid, kmers(ascii_words(text.as_py()), k, numbers).view(np.int64)))
+                size += len(found[-1][1])
+                if size > 1 << 18:
+                    yield out(found)
+                    found, size = [], 0
+            if found:
+                yield out(found)
 
     return run
 
@@ -219,72 +230,64 @@ def merge_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(old.unionByName(new.join(old, "v", "left_anti")))
 
 
-def _ranked(bucketed: DataFrame, most: int = 1000) -> DataFrame:
-    """Numbers the members of each bucket from 0, in parts of about ``most`` members."""
-    parts = bucketed.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / most)))
-    before = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("here")).withColumn("before", F.sum("here").over(W.partitionBy("key").orderBy("part")) - F.col("here"))
-    inside = parts.withColumn("inside", F.row_number().over(W.partitionBy("key", "part").orderBy("b")) - 1)
-    return inside.join(before.select("key", "part", "before"), ["key", "part"]).select("key", "size", F.col("b").alias("tid"), (F.col("before") + F.col("inside")).alias("at"))
-
-
-def _classes(ranked: DataFrame, roots: DataFrame) -> DataFrame:
-    return ranked.join(roots.withColumnRenamed("v", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-
-
-def _elected(ranked: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several classes, with ``main``: a text of their bucket's most common class."""
-    each = _classes(ranked, roots).groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+def _buckets(lengths: DataFrame, hot_share: float = 0.002, sampled: int = 1_000_000) -> DataFrame:
+    """key, tid, size, centre of all buckets of two texts or more, from the texts' ``keys``; a written table.
+
+    A sample finds the sketches that many texts have; those are dealt in parts. It only steers how rows are dealt."""
+    n = lengths.count()
+    some = lengths.sample(fraction=min(1.0, sampled / max(1, n)), seed=1).select(F.explode("keys").alias("key"))
+    # a text has at most ``sketches + short_sketches`` keys, so no more than that / hot_share keys are hot
+    hot = some.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > max(100.0, hot_share * min(n, sampled))).select("key", F.lit(True).alias("hot"))
+    members = lengths.select(F.explode("keys").alias("key"), "tid").join(F.broadcast(hot), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = members.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("tid"), F.lit(256))).otherwise(F.lit(0))).repartition("key", "part")
+    shared = written(dealt.withColumn("here", F.count(F.lit(1)).over(W.partitionBy("key", "part"))).filter("here > 1 OR hot").select("key", "tid"))
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    company = shared.join(sizes, "key").groupBy("tid").agg(F.sum("size").alias("company"))
+    centre = shared.join(company, "tid").groupBy("key").agg(F.max(F.struct("company", -F.col("tid"))).alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    bucketed = written(shared.join(centre.select("key", "size", (-F.col("best.col2")).alias("centre")), "key").select("key", "tid", "size", "centre"))
+    drop_written(shared)
+    return bucketed
+
+
+def _open(bucketed: DataFrame, roots: DataFrame) -> DataFrame:
+    """tid, root, asks of the members of the buckets that hold several classes: those outside the bucket's most common
+    class ask."""
+    now = bucketed.select("key", "tid").join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("key", "tid", F.coalesce("root", "tid").alias("root"))
+    each = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     several = each.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").select("key", "main")
-    return ranked.select("key", "size", "n", "tid", "at").join(several, "key")
+    return now.join(several, "key").groupBy("tid").agg(F.min("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("asks"))
 
 
-def _open(ranked: DataFrame, roots: DataFrame, low: int) -> DataFrame:
-    """Members of the buckets of more than ``low`` that hold several classes so far, with the root that the bucket's
-    main class has by now."""
-    now = _classes(ranked.filter(F.col("size") > low), roots)
-    several = now.groupBy("key", "main").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key", "main")
-    main = several.join(roots.select(F.col("v").alias("main"), F.col("root").alias("main_root")), "main", "left").select("key", F.coalesce("main_root", "main").alias("main_root"))
-    return now.join(main, "key")
+def _promising(members: DataFrame, listed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``members`` (tid, n, root, asks) of different classes, one of them asking, that their first k-mers
+    (``listed``: tid, kmer) in the order of rarity allow to be linked.
 
+    A link needs L >= t (n + m) / (1 + t) common k-mers, and m >= t n."""
+    seen = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = listed.join(seen, "kmer").join(members, "tid")
+    by = W.partitionBy("tid")
+    placed = shared.withColumn("at", F.col("n") - F.count(F.lit(1)).over(by) + F.row_number().over(by.orderBy("df", "kmer")) - 1)
+    first = written(placed.filter(F.col("at") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9)).select("tid", "n", "root", "asks", "at", "kmer"))
+    side = lambda x: first.select("kmer", *(F.col(c).alias(f"{x}_{c}") for c in ("tid", "n", "root", "asks", "at")))
+    met = side("x").filter("x_asks").join(side("y"), "kmer").filter("x_root <> y_root AND (NOT y_asks OR x_tid < y_tid)")
+    fits = F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n") - 1e-9
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = left >= threshold / (1 + threshold) * (F.col("x_n") + F.col("y_n")) - 1e-9
+    return met.filter(fits & enough).select(F.least("x_tid", "y_tid").alias("a"), F.greatest("x_tid", "y_tid").alias("b")).distinct()
 
-def _shareable(members: DataFrame, alone: DataFrame, threshold: float) -> DataFrame:
-    """Without those members that have too many k-mers of their own to be linked to any text of their bucket.
 
-    A link of texts with n and m k-mers needs L >= t (n + m) / (1 + t) common ones, and m >= t n."""
-    least = members.groupBy("key").agg(F.min("n").alias("least"))
-    able = members.join(alone, "tid", "left").join(least, "key")
-    need = threshold * (F.col("n") + F.greatest(F.col("least").cast("double"), threshold * F.col("n"))) / (1 + threshold) - 1e-9
-    return able.filter(F.col("n") - F.coalesce("alone", F.lit(0)) >= need).select("key", "size", "n", "tid", "at", "main")
-
-
-def _across(ranked: DataFrame, roots: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
-    """Pairs of members of a bucket that are in different classes so far, one of them outside the bucket's main class,
-    ``low`` to ``high`` places on in the ring of its members."""
-    here = _open(ranked, roots, low)
-    steps = F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.col("size") - 1)))
-    asks = here.filter("root <> main_root").select("key", "tid", "n", "root", "size", "at", steps.alias("step")).select(
-        "key", F.col("tid").alias("x"), F.col("n").alias("xn"), F.col("root").alias("x_root"), ((F.col("at") + F.col("step")) % F.col("size")).alias("at"), (F.col("step") * 2 > F.col("size")).alias("late")
-    )
-    met = asks.join(here.select("key", "at", F.col("tid").alias("y"), F.col("n").alias("yn"), F.col("root").alias("y_root"), (F.col("root") == F.col("main_root")).alias("silent")), ["key", "at"])
-    fits = F.least("xn", "yn") >= threshold * F.greatest("xn", "yn") - 1e-9
-    return met.filter((F.col("x_root") != F.col("y_root")) & (~F.col("late") | F.col("silent")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _settled(ranked: DataFrame, roots: DataFrame, verified: Callable[[DataFrame], DataFrame], kmers_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """The roots once all buckets of ``ranked`` (key, size, n, tid, at) are compared: ``verified`` says which pairs are
+def _settled(bucketed: DataFrame, n_of: DataFrame, verified: Callable[[DataFrame], DataFrame], kmers_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """v, root once all buckets (key, tid, size, centre) are compared. ``n_of``: tid, n; ``verified`` says which pairs are
     linked, ``kmers_of`` lists the k-mers of texts."""
-    ranked = written(_elected(ranked, roots))
-    low, high, widest = 1, 1, ranked.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
-    while low < widest:
-        if low == 2:
-            listed = kmers_of(_open(ranked, roots, low).select(F.col("tid").alias("rid")).distinct())
-            alone = listed.groupBy("kmer").agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid")).filter("c = 1").groupBy("tid").agg(F.count(F.lit(1)).alias("alone"))
-            ranked = written(_shareable(_open(ranked, roots, low).select("key", "size", "n", "tid", "at", "main"), alone, threshold))
-        found = verified(written(_across(ranked, roots, low, high, threshold))).filter("linked").select("a", "b")
-        if not found.isEmpty():
-            roots = merge_roots(roots, found)
-        low, high = high + 1, high * 8
-    return roots
+    star = verified(bucketed.filter("tid <> centre").select(F.least("tid", "centre").alias("a"), F.greatest("tid", "centre").alias("b")).distinct())
+    roots = merge_roots(None, star.filter("linked").select("a", "b"))
+    members = written(_open(bucketed, roots).join(n_of, "tid"))
+    if members.isEmpty():
+        return roots
+    listed = written(kmers_of(members.select(F.col("tid").alias("rid"))))
+    found = verified(written(_promising(members, listed, threshold))).filter("linked").select("a", "b")
+    drop_written(listed)
+    return roots if found.isEmpty() else merge_roots(roots, found)
 
 
 def families(threshold: float, ell: int, sketches: int, short: int, short_ell: int, short_sketches: int, seed: int) -> list[tuple[float, float, int, np.ndarray]]:
@@ -302,23 +305,18 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
 
     texts = written(base.groupBy("digest").agg(F.min("rid").alias("tid"), F.count(F.lit(1)).alias("copies")))
     lengths = base.join(texts.select(F.col("tid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("tid"), "n", "keys")
-    # dealt once: the first member and the members of a bucket are taken from the same exchange
-    members = lengths.select(F.explode("keys").alias("key"), "tid").repartition("key")
-    first = members.groupBy("key").agg(F.min("tid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucketed = written(members.join(first, "key").select("key", "a", F.col("tid").alias("b"), "size"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
         body = base.select("rid", "text").join(used, "rid", "left_semi")
         left, right = body.select(F.col("rid").alias("a"), F.col("text").alias("a_text")), body.select(F.col("rid").alias("b"), F.col("text").alias("b_text"))
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text")
         return written(both.mapInArrow(_verify(k, threshold), "a long, b long, linked boolean"))
 
-    star = verified(bucketed.filter("a <> b").select("a", "b").distinct())
-    roots = merge_roots(None, star.filter("linked").select("a", "b"))
-    del star
     kmers_of = lambda some: base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
-    roots = _settled(_ranked(bucketed).join(lengths.select("tid", "n"), "tid"), roots, verified, kmers_of, threshold)
+    bucketed = _buckets(lengths.select("tid", "keys"))
+    roots = _settled(bucketed, lengths.select("tid", "n"), verified, kmers_of, threshold)
+    drop_written(bucketed)
     by_digest = texts.join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("digest", F.coalesce("root", "tid").alias("root"))
     placed = base.select("rid", "doc_id", "digest").join(by_digest, "digest").select("rid", "doc_id", "root")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("class_size"))
