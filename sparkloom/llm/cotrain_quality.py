@@ -1,31 +1,39 @@
 """Quality classification by co-training two views of a document.
 
-The text view sees the content: hashed words and runs of punctuation as shares of the text, and a few ratios (capitals,
-punctuation, digits, distinct and repeated tokens). The metadata view sees the page's source, language, length and
-line layout. Both are logistic regressions. Over ``rounds`` rounds each view labels the unlabelled documents;
-those that it is sure of become training examples of the other view. Afterwards each view's margin is calibrated on
-labelled documents kept aside, the two are combined there by a small logistic regression, and all documents get scores.
+The text view sees the content: hashed words and runs of punctuation as shares of the text. The metadata view sees the
+page: source, language, length, line layout and the shares of its kinds of characters, in steps. Both are logistic
+regressions over their own features and over what the other view has taught them.
+
+In each of ``rounds`` rounds every unlabelled document is scored by both views, on the executors. A view labels a
+document when it is sure: its threshold for a class is where ``precision`` of the labelled documents kept aside are of
+that class beyond it. A view that cannot be so sure of a class labels nothing as that class. The features of all documents
+that a view labelled are counted by class and become the other view's pseudo-label evidence: two numbers a document, how
+much more its features occur in documents labelled good, and labelled bad, than in all unlabelled ones. The views are
+then fitted again. Afterwards each view's margin is calibrated on the documents kept aside, the two are combined there,
+and all documents get scores.
 
 A document is good when its label says quality 1 and not toxic.
 
 The classes weigh alike in training, so a score of 0.3 is where a document is as likely good as not when good ones are
 about 0.7 of all; below ``threshold`` it is rejected.
 
-The driver fits both views on ``labelled`` documents with labels, those with the smallest hashes of their ids, so the
-sample does not depend on how the tables are laid out, and on the pseudo-labelled ones. All other rows are the unlabelled
-pool: their features are written once, each round scores all of them on the executors and brings back the surest only,
-at most ``pool`` documents over all rounds. Scoring covers every row.
+One task of an executor fits both views on at most ``labelled`` documents with labels, those with the smallest hashes of
+their ids, so the sample does not depend on how the tables are laid out. All other rows are unlabelled, and all of them
+are scored and counted in each round; what is gathered from them are tables of features of fixed size. The driver holds
+those tables and the weights. Scoring covers every row.
 
 Defined results: without labels of both kinds every document scores 0.5 and is kept; null or empty texts have no tokens
 and are scored by what remains; a null doc_id has no label; several labels of a document count as its worst; an empty
-table gives no rows; of several rows with one doc_id one is an example; repeated rows are rows like any other. ``score`` carries all further columns in ``row``.
+table gives no rows; of several rows with one doc_id one is an example; repeated rows are rows like any other; very long
+texts are read whole. ``score`` carries all further columns in ``row``, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,48 +43,70 @@ from pyspark.sql import types as T
 
 from sparkloom.llm.common import drop_written, written
 
-BITS = 18
+BITS, META_BITS, CELL_BITS, SCALE = 18, 12, 16, 20.0
 TOKENS = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 PUNCT = bytes(b for b in range(33, 127) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
-N_DENSE, META_BITS, SCALE = 9, 10, 20.0
+#: Features of each view, and the cells that its pseudo-label evidence is counted in.
+WIDTHS, CELLS = (1 << BITS, 1 << META_BITS), (1 << CELL_BITS, 1 << META_BITS)
+N_DENSE = 3  # evidence for good, evidence for bad, one
 
 
 class Hashes(dict):
     def __missing__(self, token: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
-        self[token] = n = zlib.crc32(token) & ((1 << BITS) - 1)
+        self[token] = n = zlib.crc32(token) & (WIDTHS[0] - 1)
         return n
 
 
-def tokens(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed tokens in order, and the ratios."""
+def views(text: str | None, source: str | None, lang: str | None, hashes: Hashes) -> tuple[np.ndarray, list[int]]:
+    """The hashed tokens of a text in order, and its page's features, each of which counts once."""
     raw = (text or "").encode("utf-8", "replace")
-    ids = np.fromiter(map(hashes.__getitem__, TOKENS.findall(raw.lower())), np.int64, -1)
-    size, n = max(1, len(raw)), max(1, len(ids))
-    less = lambda chars: (len(raw) - len(raw.translate(None, chars))) / size
-    distinct = len(np.unique(ids)) / n
-    dense = np.array([less(UPPER), less(DIGITS), less(PUNCT), less(b"|"), distinct, distinct * np.log1p(n) / 5, float((ids[1:] == ids[:-1]).sum()) / n, size / n / 10, 1.0])
-    return ids, dense * 3
+    ids = np.fromiter(map(hashes.__getitem__, TOKENS.findall(raw.lower())), np.int32, -1)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    chars, n = max(1, len(raw)), max(1, len(lines))
+    log = lambda x: int(np.log2(1 + x))
+    step = lambda share: int(12 * share**0.5)
+    part = lambda kind: step((len(raw) - len(raw.translate(None, kind))) / chars)
+    found = (
+        f"source {source}", f"lang {lang}", f"size {log(len(raw))}", f"size {log(len(raw))} {lang}", f"lines {log(n)}", f"layout {log(chars / n)}",
+        f"upper {part(UPPER)}", f"digits {part(DIGITS)}", f"punct {part(PUNCT)}", f"bars {part(b'|')}", f"repeated {step(1 - len(set(lines)) / n)}",
+        f"same next {step(float((ids[1:] == ids[:-1]).mean()) if len(ids) > 1 else 0.0)}", f"token {log(chars / max(1, len(ids)))}",
+    )
+    return ids, [zlib.crc32(x.encode()) & (WIDTHS[1] - 1) for x in found]
 
 
-def meta(source: str | None, lang: str | None, chars: int, lines: int) -> np.ndarray:
-    """Hashed features of the page's metadata; each counts once."""
-    size, layout = int(np.log2(1 + chars)), int(np.log2(1 + chars / (1 + lines)))
-    found = (f"source {source}", f"lang {lang}", f"size {size}", f"lines {int(np.log2(1 + lines))}", f"layout {layout}", f"size {size} {lang}", "any")
-    return np.array([zlib.crc32(x.encode()) & ((1 << META_BITS) - 1) for x in found], np.int64)
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def per_row(flat: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sum of ``w`` over each row's numbers; ``ends``: where rows begin and end in ``flat``."""
+    total = np.concatenate(([0.0], np.cumsum(w[flat], dtype=float)))
+    return total[ends[1:]] - total[ends[:-1]]
+
+
+def dense(view: int, flat: np.ndarray, ends: np.ndarray, evidence: list | None) -> np.ndarray:
+    """For each row: the evidence from the other view's labels, and one."""
+    n = np.maximum(1, np.diff(ends))
+    cells = flat & (CELLS[view] - 1)
+    columns = [per_row(cells, ends, t) / n if t is not None else np.zeros(len(n)) for t in (evidence or (None, None))]
+    return np.stack([*columns, np.ones(len(n))], axis=1)
+
+
+def margins(view: int, flat: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+    w = model["weights"][view]
+    own = per_row(flat, ends, w[: WIDTHS[view]]) * (SCALE / np.maximum(1, np.diff(ends)) if view == 0 else 1.0)
+    return own + dense(view, flat, ends, model["evidence"][view]) @ w[WIDTHS[view] :].astype(float)
 
 
 class Rows:
     """Sparse rows with shared storage: product with weights, and its transpose."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
-        self.lens = np.array([len(i) for i, _ in rows], np.int64)
-        self.at = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
-        self.row, self.width, self.n = np.repeat(np.arange(len(rows)), self.lens), width, len(rows)
+    def __init__(self, at: np.ndarray, value: np.ndarray, lens: np.ndarray, width: int):
+        self.at, self.value, self.row, self.width, self.n = at, value, np.repeat(np.arange(len(lens), dtype=np.int32), lens), width, len(lens)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=self.value * w[self.at], minlength=self.n)
@@ -85,13 +115,9 @@ class Rows:
         return np.bincount(self.at, weights=self.value * e[self.row], minlength=self.width)
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, *, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> np.ndarray:
+def fit(x: Rows, y: np.ndarray, *, l2: float = 1e-4, steps: int = 250, rate: float = 0.1) -> np.ndarray:
     """Logistic regression by Adam over all rows; classes weigh alike."""
-    x, w, m, v = Rows(rows, width), np.zeros(width), np.zeros(width), np.zeros(width)
+    w, m, v = np.zeros(x.width), np.zeros(x.width), np.zeros(x.width)
     share = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     for k in range(1, steps + 1):
         g = x.back((sigmoid(x.dot(w)) - y) * share) + l2 * w
@@ -100,72 +126,98 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, *,
     return w
 
 
-def text_row(ids: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u, n = np.unique(ids, return_counts=True)
-    return np.concatenate((u.astype(np.int64), (1 << BITS) + np.arange(N_DENSE))), np.concatenate((n * (SCALE / max(1, len(ids))), dense))
+def calibrated(columns: list[np.ndarray], truth: np.ndarray) -> np.ndarray:
+    """Weights of the columns, and the constant."""
+    x = np.stack([*columns, np.ones(len(truth))], axis=1)
+    return fit(Rows(np.tile(np.arange(x.shape[1]), len(x)), x.ravel(), np.full(len(x), x.shape[1]), x.shape[1]), truth, l2=1e-3, steps=400)
+
+
+def sparse_rows(view: int, ids: list[np.ndarray], evidence: list | None) -> Rows:
+    at, value, lens = [], [], []
+    for x in ids:
+        u, n = np.unique(x, return_counts=True) if view == 0 else (x, np.ones(len(x)))
+        extra = dense(view, x, np.array([0, len(x)]), evidence)[0]
+        at += [u.astype(np.int32), WIDTHS[view] + np.arange(N_DENSE, dtype=np.int32)]
+        value += [(n * (SCALE / max(1, len(x))) if view == 0 else n).astype(np.float32), extra.astype(np.float32)]
+        lens.append(len(u) + N_DENSE)
+    return Rows(np.concatenate(at), np.concatenate(value), np.array(lens), WIDTHS[view] + N_DENSE)
+
+
+def thresholds(p: np.ndarray, truth: np.ndarray, precision: float, least: int) -> tuple[float, float]:
+    """Below the first a document is surely bad, above the second surely good, as the documents kept aside show."""
 
+    def cut(score: np.ndarray, right: np.ndarray) -> float:
+        order = np.argsort(-score, kind="stable")
+        hits, n = np.cumsum(right[order]), np.arange(1, len(order) + 1)
+        able = np.flatnonzero((hits / n >= precision) & (n >= least))
+        return float(score[order[able[-1]]]) if len(able) else np.inf
 
-def meta_row(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at, np.ones(len(at))
+    return -cut(-p, truth < 0.5), cut(p, truth > 0.5)
 
 
-WIDTHS = ((1 << BITS) + N_DENSE, 1 << META_BITS)
+def combined(a: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
+    """Both calibrated margins and the lesser one: a document needs both views' consent."""
+    return [a, m, np.minimum(a, m)]
 
 
-def cotrain(views: list[list], y: list[int], surest: Callable | None, *, rounds: int = 3) -> dict | None:
-    """``views``: the rows of either view; ``y``: their labels. ``surest`` takes the weights and calibrations of both views
-    and returns, for each view, unlabelled documents that it is sure of: (row of the text view, row of the metadata view,
-    label). Returns weights and the calibration."""
-    views = [list(v) for v in views]
-    known = list(range(len(y)))
-    if len({y[i] for i in known}) < 2:
+def learned(doc_ids: list[int], good: list[int], ids: list[list[np.ndarray]], evidence: list, precision: float) -> dict | None:
+    """Weights of both views, their calibrations, their sure thresholds and their combination, from labelled documents."""
+    order = sorted(range(len(doc_ids)), key=lambda i: (zlib.crc32(str(doc_ids[i]).encode()), doc_ids[i]))
+    y = np.array([good[i] for i in order], float)
+    aside, rest = np.arange(len(y)) % 4 == 0, np.arange(len(y)) % 4 != 0
+    if len({*y}) < 2:
         return None
-    aside, train_ = known[::4], [i for k, i in enumerate(known) if k % 4]
-    if len({y[i] for i in aside}) < 2 or len({y[i] for i in train_}) < 2:
-        aside = train_ = known
-    sets = [{i: float(y[i]) for i in train_} for _ in views]
-    truth = np.array([y[i] for i in aside], float)
-
-    def learn(view: int):
-        ids = sorted(sets[view])
-        return fit([views[view][i] for i in ids], np.array([sets[view][i] for i in ids]), WIDTHS[view])
-
-    def margins(view: int, w, ids):
-        return Rows([views[view][i] for i in ids], WIDTHS[view]).dot(w)
-
-    def calibrate(columns: list[np.ndarray]) -> np.ndarray:
-        at = np.arange(len(columns) + 1)
-        return fit([(at, np.array([*x, 1.0])) for x in zip(*columns, strict=True)], truth, len(columns) + 1, l2=1e-3, steps=400)
-
-    weights = [learn(0), learn(1)]
-    for _ in range(rounds if surest else 0):
-        found = surest(weights, [calibrate([margins(v, weights[v], aside)]) for v in (0, 1)])
-        for view in (0, 1):
-            for text, at, label in found[view]:
-                sets[1 - view][len(views[0])] = label
-                views[0].append(text)
-                views[1].append(at)
-        if not any(found):
-            break
-        weights = [learn(0), learn(1)]
-    singles = [calibrate([margins(v, weights[v], aside)]) for v in (0, 1)]
-    both = calibrate([margins(v, weights[v], aside) for v in (0, 1)])
-    return {"text": weights[0].astype(np.float32), "meta": weights[1].astype(np.float32), "single": singles, "both": both}
+    if len({*y[aside]}) < 2 or len({*y[rest]}) < 2:
+        aside = rest = np.ones(len(y), bool)
+    truth, model, flat = y[aside], {"evidence": evidence, "weights": [], "single": [], "sure": []}, []
+    for view in (0, 1):
+        of = lambda mask, view=view: [ids[view][order[i]] for i in np.flatnonzero(mask)]
+        model["weights"].append(fit(sparse_rows(view, of(rest), evidence[view]), y[rest]).astype(np.float32))
+        held = of(aside)
+        flat.append(margins(view, np.concatenate(held), np.concatenate(([0], np.cumsum([len(x) for x in held]))), model))
+        model["single"].append(calibrated([flat[view]], truth))
+        c, d = model["single"][view]
+        flat[view] = c * flat[view] + d
+        model["sure"].append(thresholds(sigmoid(flat[view]), truth, precision, max(5, len(truth) // 100)))
+    model["both"] = calibrated(combined(*flat), truth)
+    final = np.stack([*combined(*flat), np.ones(len(truth))], axis=1) @ model["both"]
+    model["right"] = [float(((x > 0) == (truth > 0.5)).mean()) for x in (*flat, final)]  # of text, metadata and both, on those kept aside
+    return model
 
 
-FEATURES = "doc_id long, good int, ids array<int>, dense array<double>, meta array<int>"
-SURE = "rid long, doc_id long, p0 double, p1 double"
+def _learner(evidence: list, precision: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, good, ids = [], [], [[], []]
+        for b in batches:
+            docs += b.column(0).to_pylist()
+            good += b.column(1).to_pylist()
+            for view in (0, 1):
+                ids[view] += [x.values.to_numpy(zero_copy_only=False).astype(np.int32) for x in b.column(2 + view)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learned(docs, good, ids, evidence, precision) if docs else None)], pa.binary())], names=["model"])
+
+    return run
+
+
+FEATURES = "doc_id long, good int, ids array<int>, meta array<int>"
+
+
+def _featured(texts, sources, langs, hashes: Hashes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For either view: the numbers of all rows, and where rows begin and end."""
+    found = [views(t.as_py(), s.as_py(), g.as_py(), hashes) for t, s, g in zip(texts, sources, langs, strict=True)]
+    out = []
+    for view in (0, 1):
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x[view], np.int32) for x in found)])
+        out.append((flat, np.concatenate(([0], np.cumsum([len(x[view]) for x in found]))).astype(np.int32)))
+    return out
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
     for b in batches:
-        for doc, good, text, source, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            ids, dense = tokens(text, hashes)
-            at = meta(source, lang, len(text or ""), (text or "").count("\n"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc], pa.int64()), pa.array([good], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([dense], pa.list_(pa.float64())), pa.array([at], pa.list_(pa.int32()))], names=["doc_id", "good", "ids", "dense", "meta"]
-            )
+        for at in range(0, b.num_rows, 1000):
+            x = b.slice(at, 1000)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)) for flat, ends in _featured(x.column(2), x.column(3), x.column(4), hashes)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *lists], names=["doc_id", "good", "ids", "meta"])
 
 
 def _columns(docs: DataFrame) -> list:
@@ -173,110 +225,104 @@ def _columns(docs: DataFrame) -> list:
     return [F.col("doc_id").cast("long").alias("doc_id"), text("text"), text("source"), text("lang")]
 
 
-def _one_each(rows: DataFrame, *by: str) -> DataFrame:
+def _one_each(rows: DataFrame) -> DataFrame:
     """One row per doc_id, the same for any layout of the table."""
-    return rows.groupBy("doc_id", *by).agg(F.min(F.struct("text", "source", "lang")).alias("x")).select("doc_id", *by, "x.text", "x.source", "x.lang")
-
-
-def _examples(features: DataFrame) -> dict[int, tuple]:
-    """Rows of both views by ``doc_id``, and the label."""
-    found = features.select("doc_id", "good", "ids", "dense", "meta").toArrow().combine_chunks()
-    if not found.num_rows:
-        return {}
-    cells = {c: found[c].chunk(0) for c in ("ids", "dense", "meta")}
-    cell = lambda c, i: cells[c][i].values.to_numpy(zero_copy_only=False)
-    good = found["good"].to_pylist()
-    return {doc: (text_row(cell("ids", i), cell("dense", i)), meta_row(cell("meta", i).astype(np.int64)), good[i]) for i, doc in enumerate(found["doc_id"].to_pylist())}
-
+    return rows.groupBy("doc_id", "good").agg(F.min(F.struct("text", "source", "lang")).alias("x")).select("doc_id", "good", "x.text", "x.source", "x.lang")
 
-def _sums(column: pa.ListArray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of ``w`` over each list's numbers, and their count."""
-    at, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    total = np.concatenate(([0.0], np.cumsum(w[at], dtype=float)))
-    ends = ends - ends[0]
-    return total[ends[1:]] - total[ends[:-1]], np.diff(ends)
 
-
-def _sureness(weights: list[np.ndarray], scales: list[np.ndarray]):
-    text, at = (w.astype(np.float64) for w in weights)
+def _counted(model: dict):
+    """Counts the features of the documents that each view is sure of, for the other one: view, kind (0: labelled good,
+    1: labelled bad, 2: all), cell, n. Cell -1 counts the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros((3, CELLS[v] + 1), np.int64) for v in (0, 1)]
         for b in batches:
             if not b.num_rows:
                 continue
-            total, n = _sums(b.column(2), text)
-            dense = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_DENSE)
-            a = total * SCALE / np.maximum(1, n) + dense @ text[1 << BITS :]
-            m, _ = _sums(b.column(4), at)
-            p = [sigmoid(c * x + d) for x, (c, d) in zip((a, m), scales, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p)], names=["rid", "doc_id", "p0", "p1"])
+            held = []
+            for view in (0, 1):
+                column = b.column(view)
+                ends = column.offsets.to_numpy()
+                held.append((column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]))
+            p = []
+            for view, (flat, ends) in enumerate(held):
+                c, d = model["single"][view]
+                p.append(sigmoid(c * margins(view, flat, ends, model) + d))
+            for view, (flat, ends) in enumerate(held):
+                low, high = model["sure"][1 - view]
+                kinds = (p[1 - view] >= high, p[1 - view] <= low, np.ones(b.num_rows, bool))
+                lens = np.diff(ends)
+                for k, mask in enumerate(kinds):
+                    n[view][k, :-1] += np.bincount(flat[np.repeat(mask, lens)] & (CELLS[view] - 1), minlength=CELLS[view])
+                    n[view][k, -1] += mask.sum()
+        for view in (0, 1):
+            kind, cell = np.nonzero(n[view])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(kind), view, np.int32)), pa.array(kind.astype(np.int32)), pa.array(np.where(cell == CELLS[view], -1, cell).astype(np.int32)), pa.array(n[view][kind, cell])], names=["view", "kind", "cell", "n"]
+            )
 
     return run
 
 
-def _surest(unlabelled: DataFrame, per_round: int, sure: float):
-    """For ``cotrain``: scores all of ``unlabelled`` (rid and features) and brings back the surest."""
-    gone: set[int] = set()
-
-    def run(weights: list[np.ndarray], scales: list[np.ndarray]) -> list[list[tuple]]:
-        spark = unlabelled.sparkSession
-        p = unlabelled.select("rid", "doc_id", "ids", "dense", "meta").mapInArrow(_sureness(weights, scales), SURE)
-        sides = F.greatest("p0", F.lit(1.0) - F.col("p0"), "p1", F.lit(1.0) - F.col("p1")) > sure
-        taken = spark.createDataFrame([(x,) for x in gone], "doc_id long")
-        able = written(p.filter(sides).join(F.broadcast(taken), "doc_id", "left_anti"))
-        one = able.groupBy("doc_id").agg(F.min(F.struct("rid", "p0", "p1")).alias("x")).select("doc_id", "x.*")
-        chosen = [{}, {}]
-        for view in (0, 1):
-            for label, side in ((0.0, F.lit(1.0) - F.col(f"p{view}")), (1.0, F.col(f"p{view}"))):
-                rows = one.select("doc_id", "rid", side.alias("side")).filter(F.col("side") > sure)
-                chosen[view] |= {r.rid: (r.doc_id, label) for r in rows.orderBy(F.desc("side"), F.xxhash64("doc_id"), "doc_id").limit(per_round).collect()}
-        drop_written(able)
-        rids = spark.createDataFrame([(x,) for x in {*chosen[0], *chosen[1]}], "rid long")
-        found = _examples(unlabelled.join(F.broadcast(rids), "rid"))
-        gone.update(found)
-        return [[(*found[doc][:2], label) for doc, label in sorted(x.values())] for x in chosen]
-
-    return run
+def _evidence(counts: pa.Table, least: int = 20) -> tuple[list, list[list[int]]]:
+    """For each view the tables of log odds against all unlabelled documents, of good and of bad, and the documents that
+    the other view has labelled as such, with the number of all. At most 3 * (2 ** 16 + 2 ** 12) rows come here."""
+    view, kind, cell, n = (counts[c].to_numpy() for c in ("view", "kind", "cell", "n"))
+    tables, docs = [], []
+    for v in (0, 1):
+        whole = np.zeros((3, CELLS[v] + 1))
+        here = view == v
+        whole[kind[here], cell[here]] = n[here]  # cell -1 is the last
+        share = lambda k, whole=whole, v=v: (whole[k, :-1] + 1) / (whole[k, :-1].sum() + CELLS[v])
+        docs.append([int(x) for x in whole[:, -1]])
+        tables.append([np.clip(np.log(share(k) / share(2)), -3, 3).astype(np.float32) if whole[k, -1] >= least else None for k in (0, 1)])
+    return tables, docs
 
 
-def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, pool: int = 3000, rounds: int = 3, sure: float = 0.97) -> dict | None:
-    """The model, from at most ``labelled`` labelled documents and ``pool`` pseudo-labelled ones among all others."""
+def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, rounds: int = 3, precision: float = 0.95) -> dict | None:
+    """The model. ``exchanged``: for each round and view, how many documents the other view labelled good and bad, of how many."""
     rows = docs.select(*_columns(docs))
     by = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marked = by.agg(F.min(F.when((F.col("quality") >= 1) & (F.coalesce("toxic", F.lit(0)) < 1), 1).otherwise(0)).alias("good"))
     sample = written(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    known = _examples(_one_each(rows.join(F.broadcast(sample), "doc_id"), "good").mapInArrow(_features, FEATURES))
-    if len({x[2] for x in known.values()}) < 2:
-        return None
-    order = sorted(known, key=lambda doc: zlib.crc32(str(doc).encode()))
-    surest, per_round = None, pool // (4 * max(1, rounds))  # of each view and label
-    if per_round:
-        others = rows.filter("doc_id IS NOT NULL").join(F.broadcast(sample), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), "text", "source", "lang")
-        unlabelled = written(others.mapInArrow(_features, FEATURES).withColumn("rid", F.monotonically_increasing_id()))
-        surest = _surest(unlabelled, per_round, sure)
-    model = cotrain([[known[doc][view] for doc in order] for view in (0, 1)], [known[doc][2] for doc in order], surest, rounds=rounds)
-    if surest:
+    known = written(_one_each(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "good", "text", "source", "lang")).mapInArrow(_features, FEATURES))
+
+    def fitted(evidence: list) -> dict | None:
+        # at most ``labelled`` rows: one task fits
+        return pickle.loads(known.repartition(1).mapInArrow(_learner(evidence, precision), "model binary").first()["model"])
+
+    evidence, exchanged = [None, None], []
+    model = fitted(evidence)
+    if model and rounds:
+        others = rows.join(F.broadcast(sample), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), "text", "source", "lang")
+        unlabelled = written(others.mapInArrow(_features, FEATURES)).select("ids", "meta")
+        for _ in range(rounds):
+            counts = unlabelled.mapInArrow(_counted(model), "view int, kind int, cell int, n long").groupBy("view", "kind", "cell").agg(F.sum("n").alias("n"))
+            evidence, docs_ = _evidence(counts.toArrow())
+            exchanged.append(docs_)
+            model = fitted(evidence)
         drop_written(unlabelled)
-    return model
+    drop_written(known)
+    drop_written(sample)
+    return model and model | {"exchanged": exchanged}
 
 
 def _scored(model: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            out = []
-            for text, source, lang in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for at in range(0, b.num_rows, 1000):
+                x = b.slice(at, 1000)
                 if model is None:
-                    out.append((0.5, 0.5, 0.5))
-                    continue
-                ids, dense = tokens(text, hashes)
-                w = model["text"]
-                a = float(w[ids].mean() * SCALE if len(ids) else 0.0) + float(dense @ w[1 << BITS :])
-                m = float(model["meta"][meta(source, lang, len(text or ""), (text or "").count("\n"))].sum())
-                (c, d), (e, f), (g, h, k) = *model["single"], model["both"]
-                out.append((float(sigmoid(c * a + d)), float(sigmoid(e * m + f)), float(sigmoid(g * a + h * m + k))))
-            p = np.array(out).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), *(pa.array(p[:, i]) for i in range(3))], names=["doc_id", "row", "p_text", "p_meta", "quality"])
+                    p = [np.full(x.num_rows, 0.5)] * 3
+                else:
+                    each = []
+                    for view, (flat, ends) in enumerate(_featured(x.column(1), x.column(2), x.column(3), hashes)):
+                        c, d = model["single"][view]
+                        each.append(c * margins(view, flat, ends, model) + d)
+                    final = np.stack([*combined(*each), np.ones(x.num_rows)], axis=1) @ model["both"]
+                    p = [sigmoid(y) for y in (*each, final)]
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(4), *map(pa.array, p)], names=["doc_id", "row", "p_text", "p_meta", "quality"])
 
     return run
 
