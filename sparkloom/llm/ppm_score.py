@@ -10,7 +10,9 @@ context and 0xFF ends it; neither occurs in UTF-8.
 Because the trie is fixed once trained, a byte's code length depends on nothing but the window of ``order`` bytes
 before it and itself. So the corpus never meets in one place:
 
-1. Documents are dealt into blocks by hash. A block lists its distinct windows and words with their training counts.
+1. Documents are dealt by hash into blocks of about ``block_bytes`` of text, whatever the number of partitions. A block
+   lists its distinct windows and words with their training counts, so it is large enough to repeat few of them in
+   others and small enough for one task. A longer text is a block's part by itself.
 2. Counts are summed over blocks. Windows are grouped by their last two context bytes; such a group holds all trie
    nodes of order 2 and more that its windows pass, and the rest of the trie, orders 1 and 0, has at most 65,536 and 256
    entries and travels with the task. Each window gets its code length there.
@@ -25,6 +27,7 @@ table gives no rows; repeated rows are rows like any other; further columns are
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shuffle_partitions, written
+from sparkloom.llm.common import utf8_bytes, written
 
 START, END = b"\xfe", b"\xff"
 END_WORD = b""
@@ -194,17 +197,17 @@ def _scored(order: int, unknown: float):
     return run
 
 
-def ppm_scores(docs: DataFrame, *, order: int = 4) -> DataFrame:
+def ppm_scores(docs: DataFrame, *, order: int = 4, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
     Rows whose crc32 of the doc_id as text leaves 2 when divided by 7 are held out of training. ``order``: 2 to 6.
     """
-    spark = docs.sparkSession
-    blocks = shuffle_partitions(spark)
     text, ident = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    size = docs.agg(F.coalesce(F.sum(utf8_bytes(text)), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(size / block_bytes))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.crc32(ident.cast("binary")), F.lit(7)) == 2).alias("held_out"), F.pmod(F.xxhash64(ident, text), F.lit(blocks)).cast("int").alias("blk")
-    ).repartition(blocks, "blk")
+    )
     listed = written(rows.groupBy("blk").applyInArrow(_listed(order), "blk int, word binary, win long, n long"))
 
     words = listed.filter("win IS NULL").groupBy("word").agg(F.sum("n").alias("c"))
