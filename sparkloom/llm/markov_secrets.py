@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,22 +70,41 @@ def generated(count: int = 3000, seed: int = 5) -> bytes:
     return b" " + b" ".join("".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randint(20, 64))).encode() for k in range(count)) + b" "
 
 
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where any of the spans (sorted by start) lies, as disjoint ranges."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def samples(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pair counts of the text outside its base spans, and of the values inside them."""
+    raw = text.encode("utf-8", "replace")
+    values, rest, last = [], [], 0
+    for a, b in merged(base_spans(text, raw, longest_run(raw))):
+        found = RUN.findall(text[a:b])
+        values += found[-1:]
+        rest.append(text[last:a])
+        last = b
+    if not last:
+        return pairs(b" " + raw + b" "), pairs(b"")
+    rest.append(text[last:])
+    return pairs(" ".join(["", *rest, ""]).encode("utf-8", "replace")), pairs(" ".join(["", *values, ""]).encode())
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pair counts of ordinary text (0) and of base values (1), one table each for the whole partition."""
     total = np.zeros((2, N * N), np.int64)
     for b in batches:
         for x in b.column(0):
-            text = x.as_py()
-            if not text:
-                continue
-            raw = text.encode("utf-8", "replace")
-            for start, _, end in base_spans(text, raw, longest_run(raw)):
-                last = RUN.findall(text[start:end])
-                if last:
-                    total[1] += pairs(b" " + last[-1].encode() + b" ")
-                text = text[:start] + " " * (end - start) + text[end:]
-                raw = text.encode("utf-8", "replace")
-            total[0] += pairs(b" " + raw + b" ")
+            if text := x.as_py():
+                ordinary, values = samples(text)
+                total[0] += ordinary
+                total[1] += values
     model, pair = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(model, pa.int32()), pa.array(pair, pa.int32()), pa.array(total[model, pair], pa.int64())], names=["model", "pair", "n"])
 
@@ -126,10 +146,14 @@ def scan(text: str | None, table: np.ndarray, min_chars: int, threshold: float)
     longest = longest_run(raw)
     spans = base_spans(text, raw, longest)
     if longest >= min_chars:
-        base = list(spans)
+        taken = merged(spans)
+        starts, found = [a for a, _ in taken], []
         for m in RUN.finditer(text):
-            if m.end() - m.start() >= min_chars and ratio(table, m[0]) > threshold and not any(a < m.end() and m.start() < b for a, _, b in base):
-                spans.append((m.start(), 3, m.end()))
+            if m.end() - m.start() >= min_chars and ratio(table, m[0]) > threshold:
+                before = bisect_left(starts, m.end()) - 1  # the last taken range that begins before the run ends
+                if before < 0 or taken[before][1] <= m.start():
+                    found.append((m.start(), 3, m.end()))
+        spans += found
     return sorted(spans)
 
 
