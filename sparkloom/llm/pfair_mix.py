@@ -16,7 +16,8 @@ last deadline of the others.
 A source may hold any part of all rows: it is numbered in parts by hash, whose sizes are summed up first. The table of
 blocks (a row per ``block_rows`` rows) is written and joined; sources are taken to be a list of names.
 
-Defined results: a null source is a source of its own; rows with equal or null ids are numbered in any order among
+Defined results: a null source is a source of its own; a null or negative mass counts as 0, a source whose masses are
+all 0 has no weight; columns of ``docs`` keep their names inside ``row``, so none can clash; rows with equal or null ids are numbered in any order among
 themselves; an empty table gives no rows.
 """
 
@@ -35,18 +36,19 @@ def _key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
 
 
-def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
-    """skey, rows, q, slots (the period) of each source; q is 0 without weight. Without ``weights`` a source of n rows
-    weighs n ** temperature."""
+def shares(docs: DataFrame, weights: dict[str | None, float] | None = None, *, mass: str | None = None, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
+    """skey, rows, q, slots (the period) of each source; q is 0 without weight. Without ``weights`` a source weighs
+    m ** temperature, where m is the sum of its column ``mass``, or its rows if there is none."""
     if weights is not None and not all(0 <= v < float("inf") for v in weights.values()):
         raise ValueError("weights must be 0 or more")
-    counts = docs.groupBy(_key().alias("skey")).agg(F.count(F.lit(1)).alias("rows"))
+    amount = F.count(F.lit(1)) if mass is None else F.coalesce(F.sum(F.greatest(F.col(f"`{mass}`"), F.lit(0))), F.lit(0))
+    counts = docs.groupBy(_key().alias("skey")).agg(F.count(F.lit(1)).alias("rows"), amount.cast("double").alias("mass"))
     if weights is None:
-        weight = F.pow(F.col("rows").cast("double"), F.lit(temperature))
+        weight = F.when(F.col("mass") > 0, F.pow("mass", F.lit(temperature))).otherwise(0.0)
     else:
         pairs = [x for k, v in weights.items() for x in (F.lit("null" if k is None else f"={k}"), F.lit(float(v)))]
         weight = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("skey")), F.lit(0.0)) if pairs else F.lit(0.0)
-    listed = counts.withColumn("weight", weight).agg(F.sort_array(F.collect_list(F.struct("skey", "rows", "weight"))).alias("s"))
+    listed = counts.select("skey", "rows", weight.alias("weight")).agg(F.sort_array(F.collect_list(F.struct("skey", "rows", "weight"))).alias("s"))
     one = listed.select("s", F.expr("size(filter(s, x -> x.weight > 0))").alias("n"), F.expr("aggregate(s, 0D, (t, x) -> t + x.weight)").alias("total"), F.greatest(F.lit(period), F.size("s") * 2).cast("long").alias("slots"))
     each = one.select("slots", F.expr("slots - n").alias("free"), F.explode(F.expr("transform(s, x -> struct(x.skey, x.rows, if(x.weight > 0, x.weight / total, 0D) AS w))")).alias("x")).select("slots", "free", "x.*")
     # the remainders go to the largest fractions; one row per source
@@ -90,7 +92,7 @@ def block_table(shared: DataFrame, block_rows: int) -> DataFrame:
     return timed.unionByName(late.select("skey", "nth", "at", F.col("at").alias("release"), (F.col("at") + 1).alias("deadline")))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_rows: int = 64, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, mass: str | None = None, block_rows: int = 64, temperature: float = 0.5, period: int = PERIOD) -> DataFrame:
     """All rows and columns of ``docs`` (doc_id, source) in a struct ``row``, with source_block, release, deadline, slot
     and row_in_block. Ordering by slot and row_in_block gives the mix."""
     spark = docs.sparkSession
@@ -99,6 +101,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     before = sizes.select("skey", "part", (F.sum("here").over(W.partitionBy("skey").orderBy("part")) - F.col("here")).alias("before"))
     inside = F.row_number().over(W.partitionBy("skey", "part").orderBy("row.doc_id")) - 1
     numbered = parts.withColumn("inside", inside).join(before, ["skey", "part"]).select("row", "skey", (F.col("before") + F.col("inside")).alias("nth_row"))
-    plan = written(block_table(shares(docs, weights, temperature=temperature, period=period), block_rows)).withColumnRenamed("nth", "source_block").withColumnRenamed("at", "slot")
+    plan = written(block_table(shares(docs, weights, mass=mass, temperature=temperature, period=period), block_rows)).withColumnRenamed("nth", "source_block").withColumnRenamed("at", "slot")
     blocks = numbered.withColumn("source_block", F.expr(f"nth_row div {block_rows}")).withColumn("row_in_block", F.expr(f"nth_row % {block_rows}"))
     return blocks.join(plan, ["skey", "source_block"]).select("row", "source_block", "release", "deadline", "slot", "row_in_block")

@@ -83,8 +83,9 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.pfair_mix import mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mix(docs).select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "source_block", "release", "deadline", "slot", "row_in_block")
+    # sources weigh by the square root of their characters
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mix(docs, mass="n_chars").select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "source_block", "release", "deadline", "slot", "row_in_block")
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
