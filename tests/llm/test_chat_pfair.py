@@ -87,3 +87,28 @@ def test_sources_without_weight_come_last(spark):
     assert len(got) == 160 and len({(r.slot, r.row_in_block) for r in got}) == 160
     assert max(r.slot for r in got if r.row.source in "ab") < min(r.slot for r in got if r.row.source in "cd")
     assert mix(docs, {}).count() == 160
+
+
+def test_sources_weigh_by_their_mass_over_many_blocks(spark):
+    # unequal masses: after every slot a source is within one block of its true weight, while it has blocks
+    sizes = {"a": (3000, 9.0), "b": (3000, 1.0), "c": (1500, 4.0), "d": (40, 0.0)}
+    docs = spark.createDataFrame([(k * 10_000 + i, s, m if i else None, "x") for k, (s, (n, m)) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string, mass double, release string")
+    got = mix(docs, mass="mass", block_rows=8).collect()
+    assert len(got) == sum(n for n, _ in sizes.values())
+    mass = {s: ((n - 1) * m) ** 0.5 for s, (n, m) in sizes.items()}
+    weight = {s: x / sum(mass.values()) for s, x in mass.items()}
+    blocks = Counter({s: -(-n // 8) for s, (n, _) in sizes.items()})
+    runs, done = sorted({(r.slot, r.row.source) for r in got}), Counter()
+    for at, s in runs:
+        if weight[s]:
+            done[s] += 1
+            assert abs(done[s] - weight[s] * (at + 1)) < 1 + 1e-6
+    assert done == Counter({s: n for s, n in blocks.items() if weight[s]}) and min(at for at, s in runs if s == "d") > max(at for at, s in runs if s != "d")
+
+
+def test_a_long_conversation_expands_turn_by_turn(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"turn {t} <|end|>") for t in range(300)]
+    examples = expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert examples.count() == 150
+    got = read_back(examples).first()
+    assert [tuple(t) for t in got.turns] == [(r, x) for _, _, r, x in rows] and got.loss == [x for _, t, r, x in rows if t % 2]

@@ -1,11 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 
-from sparkloom.llm import cotrain_quality
-from sparkloom.llm.cotrain_quality import score
-from sparkloom.llm.markov_secrets import ALPHABETS, KINDS, find_secrets, generated, pairs, ratio, ratio_table, scan, train
+from sparkloom.llm.cotrain_quality import score, thresholds
+from sparkloom.llm.cotrain_quality import train as train_quality
+from sparkloom.llm.markov_secrets import ALPHABETS, KINDS, find_secrets, generated, pairs, ratio, ratio_table, samples, scan, train
 
 WORDS = "the of and configuration management internationalization_settings get_user_by_identifier telecommunications response handler running because"
 
@@ -75,7 +76,7 @@ def test_held_out_accuracy_and_edge_rows(spark):
     extra = [(None, None, None, None, "x"), (5000, "", None, "en", "x"), (5001, "word1 " * 20000, "s1", "en", "x"), (3, docs[3][1], "s1", "en", "x")]
     d = spark.createDataFrame(docs + extra, "doc_id long, text string, source string, lang string, quality string").repartition(4)
     lab = spark.createDataFrame([*labels[:500], (None, 1, 0), (2, None, 0), (99999, 1, 0)], "doc_id long, quality int, toxic int")
-    got = score(d, lab, labelled=400, pool=300, carry=True).collect()
+    got = score(d, lab, labelled=400, carry=True).collect()
     assert len(got) == len(docs) + len(extra) and got[0].row.quality in ("clash", "x")
     truth = {i: q == 1 and t == 0 for i, q, t in labels[500:]}
     right = [r.keep == truth[r.doc_id] for r in got if r.doc_id in truth]
@@ -91,35 +92,63 @@ def test_without_labels_everything_is_kept(spark):
     assert score(d.limit(0), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 0
 
 
-def test_pseudo_labels_come_from_all_rows_and_repeated_ids_crowd_out_none(spark, monkeypatch):
+def test_both_views_teach_each_other_from_all_rows(spark):
     docs, labels = corpus(700, 8)
     docs += [(3, f"again {k}", "s1", "en", "x") for k in range(3000)]  # one labelled document very often
+    docs += [(None, f"word{k} word{k + 1}", "s2", "en", "x") for k in range(50)]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, quality string").repartition(4)
     lab = spark.createDataFrame(labels[:300], "doc_id long, quality int, toxic int")
-    seen, real = {}, cotrain_quality.cotrain
-
-    def spy(views, y, surest, **options):
-        def run(*args):
-            found = surest(*args)
-            seen.setdefault("rounds", []).append([len(x) for x in found])
-            return found
-
-        seen["labelled"] = len(y)
-        return real(views, y, run, **options)
-
-    def sureness(weights, scales):
-        inner = original(weights, scales)
-
-        def run(batches):
-            for b in inner(batches):
-                seen_rows.add(b.num_rows)
-                yield b
-
-        return run
-
-    original, seen_rows = cotrain_quality._sureness, spark.sparkContext.accumulator(0)
-    monkeypatch.setattr(cotrain_quality, "cotrain", spy)
-    monkeypatch.setattr(cotrain_quality, "_sureness", sureness)
-    assert cotrain_quality.train(d, lab, labelled=300, pool=120) is not None
-    assert seen["labelled"] == 300
-    assert seen_rows.value == 400 * len(seen["rounds"]) and all(n <= 20 for x in seen["rounds"] for n in x) and any(map(sum, seen["rounds"]))
+    model, again = (train_quality(x, lab, labelled=300) for x in (d, d.repartition(7)))
+    assert len(model["exchanged"]) == 3
+    for to_text, to_meta in model["exchanged"]:
+        assert to_text[2] == to_meta[2] == 450  # every unlabelled row is scored and counted
+        assert to_text[1] > 20 and sum(to_meta[:2]) > 20  # the metadata view is sure of junk, the text view of its words
+    assert model["exchanged"] == again["exchanged"] and all((a == b).all() for a, b in zip(model["weights"], again["weights"], strict=True))
+    assert model["right"][2] >= max(model["right"][:2]) - 0.05
+
+
+def test_rounds_do_not_harm_documents_without_labels(spark):
+    # few labels, many unlabelled documents: what the views teach each other must not cost accuracy
+    docs, labels = corpus(1500, 21)
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, quality string").repartition(4)
+    lab = spark.createDataFrame(labels[:160], "doc_id long, quality int, toxic int")
+    truth = {i: q == 1 and t == 0 for i, q, t in labels[160:]}
+    right = {}
+    for rounds in (0, 3):
+        got = [r.keep == truth[r.doc_id] for r in score(d, lab, rounds=rounds).collect() if r.doc_id in truth]
+        right[rounds] = sum(got) / len(got)
+    assert right[3] > 0.85 and right[3] >= right[0] - 0.02
+
+
+def test_sure_thresholds_keep_their_precision():
+    rng = np.random.default_rng(3)
+    truth = (rng.random(400) < 0.7).astype(float)
+    p = np.clip(truth * 0.5 + rng.random(400) * 0.5, 0, 1)
+    low, high = thresholds(p, truth, 0.95, 5)
+    assert truth[p >= high].mean() >= 0.95 and (1 - truth[p <= low]).mean() >= 0.95 and (p >= high).sum() >= 5
+    assert thresholds(rng.random(400), truth * 0, 0.95, 5)[1] == np.inf  # never sure of what it has not seen
+
+
+def test_planted_secrets_without_a_name_are_added(spark):
+    rng = random.Random(12)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for k in range(0, len(docs), 4):
+        i, text = docs[k]
+        key = "".join(rng.choices(ALPHABETS[3] if k % 8 else ALPHABETS[4], k=rng.randint(28, 48)))
+        planted[i] = (len(text) + 1, len(text) + 1 + len(key))
+        docs[k] = (i, f"{text} {key} {text[:40]}")
+    got = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "markov"} for r in find_secrets(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    caught = sum(planted[i] in got[i] for i in planted)
+    assert caught >= 0.95 * len(planted)
+    assert sum(bool(got[i]) for i, _ in docs if i not in planted) <= 0.02 * len(docs)
+
+
+def test_a_long_text_with_many_secrets_takes_linear_time():
+    table = ratio_table(pairs(ordinary().encode()), np.zeros(68 * 68))
+    text = "\n".join(f"token = {k:032x} zzzz" for k in range(20_000))
+    began = time.perf_counter()
+    ordinary_, values = samples(text)
+    spans = scan(text, table, 16, 12.0)
+    assert time.perf_counter() - began < 20
+    assert sum(s[1] == 0 for s in spans) == 20_000 and not any(s[1] == 3 for s in spans) and values.sum() > 600_000 and ordinary_.sum() < len(text)
