@@ -4,29 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
-from sparkloom.functions.text import strip, tokens
+from sparkloom.functions.text import let, strip, tokens
 
 
 def any_of(found: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
-def person_names(line: Column, other_words: tuple[str, ...] = ("data", "plan", "project", "service", "system", "team", "test")) -> Column:
+def person_names(line: Column, other_words: tuple[str, ...] = C.NON_NAME_WORDS) -> Column:
     """Name-like pairs of words, without those that hold a word of the trade."""
     words = F.array(*[F.lit(w) for w in other_words])
     return F.filter(F.regexp_extract_all(line, F.lit(C.PERSON), F.lit(0)), lambda n: ~F.arrays_overlap(F.split(F.lower(n), r"\s+"), words))
 
 
 def is_roster(line: Column) -> Column:
-    roles = F.regexp_count(line, F.lit(r"(?i)" + C.ROLE_TAG))
-    names = person_names(line)
-    covered = F.aggregate(names, F.lit(0), lambda t, n: t + F.length(n))
-    listed = (F.size(names) >= 3) & (F.regexp_count(line, F.lit(",")) >= 2) & (covered >= F.length(line) * F.lit(0.5))
-    return (roles >= 2) | ((roles >= 1) & (F.size(names) >= 2)) | listed
+    roles = F.regexp_count(line, F.lit(C.ROLE_TAG_ANY_CASE))
+
+    def listed(names: Column) -> Column:
+        covered = F.aggregate(names, F.lit(0), lambda t, n: t + F.length(n))
+        return (roles >= 2) | ((roles >= 1) & (F.size(names) >= 2)) | ((F.size(names) >= 3) & (F.regexp_count(line, F.lit(",")) >= 2) & (covered >= F.length(line) * F.lit(0.5)))
+
+    return let(person_names(line), listed)
 
 
 def is_noise(line: Column, patterns: tuple[str, ...] = C.NOISE_LINES, chatter_chars: int = 240) -> Column:
@@ -56,16 +58,15 @@ def leak_counts(text: Column) -> dict[str, Column]:
 
 
 def structure(text: Column) -> dict[str, Column]:
-    n = lambda p: F.regexp_count(text, F.lit(p))
-    steps, dividers = n(r"(?m)^###\s+Step\s+\d+:"), n(r"(?m)^\|\s*-{3,}")
+    n = {k: F.regexp_count(text, F.lit(p)) for k, p in C.STRUCTURE.items()}
     leaks = leak_counts(text)
     return {
-        "parts": n(r"(?m)^##\s+Part\s+\d+:"),
-        "procedure_steps": steps,
-        "topics": F.greatest(n(r"(?m)^###\s+") - steps, F.lit(0)),
-        "tables_rendered": dividers,
-        "table_rows": F.greatest(n(r"(?m)^\|") - 2 * dividers, F.lit(0)),
-        "figures_embedded": n(r"\[\[IMAGE:"),
+        "parts": n["parts"],
+        "procedure_steps": n["steps"],
+        "topics": F.greatest(n["topics"] - n["steps"], F.lit(0)),
+        "tables_rendered": n["dividers"],
+        "table_rows": F.greatest(n["rows"] - 2 * n["dividers"], F.lit(0)),
+        "figures_embedded": n["images"],
         "output_chars": F.length(text),
         **{f"leak_{k}": v for k, v in leaks.items()},
         "content_integrity_pass": reduce(lambda a, b: a & b, [v == 0 for v in leaks.values()]),
@@ -93,14 +94,30 @@ def llm_authorship(text: Column, topics: Column) -> tuple[Column, Column]:
     return left, F.when(topics <= 0, F.lit(0.0)).otherwise(left / topics)
 
 
-def is_generic_prompt(text: Column, words: tuple[str, ...] = ("create", "document", "generate", "report", "make", "please", "the", "write")) -> Column:
+def is_generic_prompt(text: Column, words: tuple[str, ...] = C.GENERIC_PROMPT) -> Column:
     t = tokens(text, 1)
     known = F.array(*[F.lit(w) for w in words])
     return (F.size(t) <= 5) & F.forall(t, lambda x: F.array_contains(known, x))
 
 
-def is_relevant_image(category: Column, workflow: Column, aspect: Column, skin: Column) -> Column:
-    return ~((category == "photo") & workflow & aspect.between(0.75, 1.4) & (skin >= 0.08))
+def is_workflow_topic(title: Column, lines: Column) -> Column:
+    """Two or more words of software work in the title and the first six lines."""
+    return F.regexp_count(F.concat_ws(" ", F.nullif(title, F.lit("")), F.slice(lines, 1, 6)), F.lit(C.WORKFLOW_HINT)) >= 2
+
+
+def is_relevant_image(category: Column, include: Column, workflow: Column, aspect: Column, skin: Column) -> Column:
+    """Included images but for portrait-like photos in workflow topics."""
+    return include & ~((category == "photo") & workflow & aspect.between(0.75, 1.4) & (skin >= 0.08))
+
+
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Without the rows whose text holds a disallowed term."""
+    return docs.filter(~any_of([F.lower(F.coalesce(text, F.lit(""))).contains(t) for t in C.DISALLOWED_TERMS]))
+
+
+def limited(text: Column, most: int) -> Column:
+    """The first ``most`` characters."""
+    return F.substring(text, 1, most)
 
 
 def oversize_bytes(declared: Column, most: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import config as C
 from sparkloom.functions.text import strip
+from sparkloom.operators.kpi import nearest_rank
 
 CASE = """case_id string, must_include array<string>, must_not_include array<string>, required_sections array<string>, min_words int, max_words int,
 requires_ordered_steps boolean, requires_table boolean, expects_refusal boolean, gated boolean, output string, ok boolean, latency_ms int"""
@@ -33,17 +34,14 @@ def score_cases(cases: DataFrame) -> DataFrame:
     })
 
 
-def percentile_low(values: Column, p: float) -> Column:
-    """Element max(int(n * p) - 1, 0) of the sorted values; null for none."""
-    s = F.array_sort(values)
-    return F.get(s, F.greatest(F.floor(F.size(s) * F.lit(p)).cast("int") - 1, F.lit(0)))
-
-
 def summarise(scored: DataFrame) -> DataFrame:
-    """One row; quality rates over gated cases that ran, 0 or 1 where there are none."""
+    """One row, means to three places; quality rates over gated cases that ran, 0 or 1 where there are none. The latency at
+    place max(int(0.95 n) - 1, 0) of the sorted ones is exact."""
     ok, gated = F.col("ok"), F.col("ok") & F.col("gated")
     rate = lambda c, none: F.coalesce(F.avg(F.when(gated, F.col(c).cast("double"))), F.lit(none))
-    return scored.agg(
+    place = lambda p, n: F.floor(n * p) - 1
+    p95 = nearest_rank(scored.filter("ok"), "latency_ms", {"p95_latency_ms": 0.95}, index=place)
+    means = scored.agg(
         F.count(F.lit(1)).alias("total_cases"),
         F.count_if(ok).alias("passed_cases"),
         F.count_if(gated).alias("gated_cases"),
@@ -56,9 +54,10 @@ def summarise(scored: DataFrame) -> DataFrame:
         rate("length_compliant", 1.0).alias("length_compliance_rate"),
         rate("refusal_correct", 1.0).alias("refusal_accuracy"),
         F.avg(F.when(ok, F.col("latency_ms"))).alias("avg_latency_ms"),
-        percentile_low(F.collect_list(F.when(ok, F.col("latency_ms"))), 0.95).cast("double").alias("p95_latency_ms"),
         F.avg(F.when(ok, F.col("word_count"))).alias("avg_word_count"),
     )
+    rounded = [F.bround(c, 3).alias(c) if t == "double" else F.col(c) for c, t in means.dtypes]
+    return means.select(*rounded).join(F.broadcast(p95), F.lit(True), "left")
 
 
 def long_form(summary: DataFrame) -> DataFrame:

@@ -7,12 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Ranking
-from sparkloom.functions.text import tokens, windows
+from sparkloom.functions.text import pack_paragraphs, tokens
+
+
+#: More distinct query terms than this are joined, not written into the plan.
+VOCABULARY = 20_000
 
 
 def chunks(docs: DataFrame, cfg: Ranking = DEFAULT.ranking) -> DataFrame:
-    """doc_id, chunk_no, text: overlapping windows of every whole document; null texts have none."""
-    return docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(windows(F.col("text"), cfg.chunk_chars, cfg.overlap_chars)).alias("chunk_no", "text"))
+    """doc_id, chunk_no, text: every whole document packed by paragraphs; null and blank texts have no chunks."""
+    packed = pack_paragraphs(F.col("text"), cfg.chunk_chars, cfg.overlap_chars)
+    return docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
 
 
 def postings(parts: DataFrame) -> DataFrame:
@@ -21,11 +26,6 @@ def postings(parts: DataFrame) -> DataFrame:
     return listed.select("doc_id", "chunk_no", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "chunk_no", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(parts: DataFrame) -> DataFrame:
-    """One row: n_chunks and avg_len over all chunks, also those without tokens."""
-    return parts.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(F.size(tokens(F.col("text")))).alias("avg_len"))
-
-
 def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf = ln(1 + (N - df + 1/2) / (df + 1/2))."""
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -38,31 +38,55 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def _wanted(parts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of query terms only. Terms of other words are dropped before they are counted."""
-    listed = parts.select("doc_id", "chunk_no", tokens(F.col("text")).alias("t")).select("doc_id", "chunk_no", F.size("t").alias("len"), F.explode("t").alias("term"))
-    return listed.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "chunk_no", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _listed(parts: DataFrame, terms: DataFrame, distinct: bool) -> DataFrame:
+    """doc_id, chunk_no, len, hits: a chunk's tokens among the query terms, as (term, tf), and the number of all its tokens.
+
+    The terms are counted first: up to ``VOCABULARY`` they filter each chunk's own array, so other words never become
+    rows and nothing is shuffled; more of them are joined."""
+    found = F.array_distinct(tokens(F.col("text"))) if distinct else tokens(F.col("text"))
+    listed = parts.select("doc_id", "chunk_no", found.alias("t")).select("doc_id", "chunk_no", F.size("t").alias("len"), "t")
+    vocabulary = [r.term for r in terms.select("term").distinct().limit(VOCABULARY + 1).collect()]
+    if len(vocabulary) <= VOCABULARY:
+        among = ", ".join(f"'{w}'" for w in sorted(vocabulary)) or "NULL"  # tokens hold letters, digits and _ only
+        own = listed.select("doc_id", "chunk_no", "len", F.expr(f"filter(t, x -> x IN ({among}))").alias("t"))
+        hits = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).cast("long").alias("tf")))
+        return own.select("doc_id", "chunk_no", "len", hits.alias("hits"))
+    rows = listed.select("doc_id", "chunk_no", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    counted = rows.groupBy("doc_id", "chunk_no", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("doc_id", "chunk_no").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))
+    none = F.expr("cast(array() AS array<struct<term: string, tf: bigint>>)")
+    return listed.select("doc_id", "chunk_no", "len").join(counted, ["doc_id", "chunk_no"], "left").select("doc_id", "chunk_no", "len", F.coalesce("hits", none).alias("hits"))
+
+
+def _corpus(listed: DataFrame) -> DataFrame:
+    """term, df, n_chunks, avg_len: one pass gives the document frequencies and, as a row without a term, the totals."""
+    marks = F.concat(F.transform("hits", lambda h: F.struct(h["term"].alias("term"), F.lit(0).alias("len"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("len"))))
+    summed = listed.select(F.explode(marks).alias("m")).groupBy("m.term").agg(F.count(F.lit(1)).alias("df"), F.sum("m.len").alias("total"))
+    totals = summed.filter("term IS NULL").select(F.col("df").alias("n_chunks"), (F.col("total") / F.col("df")).alias("avg_len"))
+    return summed.filter("term IS NOT NULL").select("term", "df").join(F.broadcast(totals), how="cross")
 
 
 def bm25(parts: DataFrame, queries: DataFrame, cfg: Ranking = DEFAULT.ranking) -> DataFrame:
     """qid, doc_id, chunk_no, score of the chunks that hold a query term."""
-    terms, stats = query_terms(queries), corpus_stats(parts)
-    posted = _wanted(parts, terms)
-    idf = term_idf(posted, stats)
-    scored = posted.join(idf, "term").join(F.broadcast(stats.select("avg_len")), how="cross")
+    terms = query_terms(queries)
+    listed = _listed(parts, terms, distinct=False)
+    idf = F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + F.lit(0.5).cast("double")) / (F.col("df") + F.lit(0.5).cast("double")))
+    asked = terms.join(_corpus(listed).select("term", "avg_len", idf.alias("idf")), "term")
+    posted = listed.select("doc_id", "chunk_no", "len", F.explode("hits").alias("h")).select("doc_id", "chunk_no", "len", "h.term", "h.tf")
     norm = cfg.k1 * (F.lit(1 - cfg.b) + cfg.b * F.col("len") / F.col("avg_len"))
     weight = F.when(F.col("avg_len") > 0, F.col("idf") * F.col("tf") * F.lit(cfg.k1 + 1) / (F.col("tf") + norm)).otherwise(F.lit(0.0))
-    return scored.select("doc_id", "chunk_no", "term", weight.alias("w")).join(terms, "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum("w").alias("score"))
+    return posted.join(asked, "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum(weight).alias("score"))
 
 
 def legacy_rank(parts: DataFrame, queries: DataFrame) -> DataFrame:
-    """Sum of ln((1 + N) / (1 + df)) + 1 over shared distinct tokens, by the number of the chunk's distinct tokens."""
-    terms, stats = query_terms(queries), corpus_stats(parts)
-    listed = parts.select("doc_id", "chunk_no", F.array_distinct(tokens(F.col("text"))).alias("t")).select("doc_id", "chunk_no", F.size("t").alias("len"), F.explode("t").alias("term"))
-    posted = listed.join(terms.select("term").distinct(), "term", "left_semi")
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("n_chunks")), how="cross")
+    """Sum of ln((1 + N) / (1 + df)) + 1 over shared distinct tokens, by the number of the chunk's distinct tokens.
+
+    Chunks that share no token score 0 and come after all others; they are left out here."""
+    terms = query_terms(queries)
+    listed = _listed(parts, terms, distinct=True)
     weight = F.log((F.lit(1.0) + F.col("n_chunks")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return posted.join(df.select("term", weight.alias("w")), "term").join(terms, "term").groupBy("qid", "doc_id", "chunk_no").agg((F.sum("w") / F.first("len")).alias("score"))
+    asked = terms.join(_corpus(listed).select("term", weight.alias("w")), "term")
+    posted = listed.select("doc_id", "chunk_no", "len", F.explode("hits.term").alias("term"))
+    return posted.join(asked, "term").groupBy("qid", "doc_id", "chunk_no", "len").agg(F.sum("w").alias("w")).select("qid", "doc_id", "chunk_no", (F.col("w") / F.col("len")).alias("score"))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

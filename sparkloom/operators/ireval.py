@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from sparkloom.config import DEFAULT
 
 
-def known_item_queries(posted: DataFrame, n_chunks: DataFrame, *, terms: int = DEFAULT.ranking.known_item_terms, max_df_ratio: float = DEFAULT.ranking.max_df_ratio) -> DataFrame:
+def known_item_queries(posted: DataFrame, n_chunks: DataFrame, *, terms: int = DEFAULT.ranking.known_item_terms, max_df_ratio: float = DEFAULT.ranking.max_df_ratio, stride: int = 1) -> DataFrame:
     """doc_id, chunk_no, query: the ``terms`` rarest terms of a chunk that occur in 2 to max(2, N * ratio) chunks.
 
-    ``n_chunks``: one row with the column n_chunks. Chunks with fewer such terms have no query."""
+    ``n_chunks``: one row with the column n_chunks. Chunks with fewer such terms have no query; ``stride`` asks for every
+    so-manieth doc_id only, frequencies counting all."""
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n_chunks.select("n_chunks")), how="cross")
     usable = df.filter((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n_chunks") * F.lit(max_df_ratio))))).select("term", "df")
     order = W.partitionBy("doc_id", "chunk_no").orderBy("df", "term")
-    best = posted.select("doc_id", "chunk_no", "term").join(usable, "term").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= terms)
+    best = posted.filter(F.pmod("doc_id", F.lit(stride)) == 0).select("doc_id", "chunk_no", "term").join(usable, "term").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= terms)
     listed = best.groupBy("doc_id", "chunk_no").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))
     return listed.filter(F.size("t") >= terms).select("doc_id", "chunk_no", F.array_join(F.col("t.term"), " ").alias("query"))
 

@@ -6,24 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.config import DEFAULT
+from sparkloom.config import DEFAULT, KPI_MEANS, PROXY
 
 
 def ratio(n: Column, d: Column) -> Column:
-    return F.when(d > 0, n / d).otherwise(0.0)
+    """To four places; 0 without a positive divisor."""
+    return F.coalesce(F.bround(F.when(d > 0, n / d), 4), F.lit(0.0))
 
 
-def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """Values at index round_half_even(f * (n - 1)) of the sorted values, one column per fraction.
+def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None, *, index=lambda f, n: F.bround(f * (n - 1)), bins: int = 4096) -> DataFrame:
+    """The values at place ``index(fraction, count)`` of the sorted values, a column per fraction; null for none.
 
-    Ranks come from counts of distinct values and a running sum, so the values themselves are never gathered in a list.
-    """
+    Values are counted in bins between their extremes; only the bins that hold a wanted place are sorted, so no group
+    is gathered in one task. The default place is round_half_even(f * (n - 1))."""
     by = by or []
-    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(W.partitionBy(*by)))
-    pick = lambda f: F.min(F.when(F.col("upto") > F.bround(F.lit(f) * (F.col("total") - 1)), F.col(value)))
-    return placed.groupBy(*by).agg(*[pick(f).alias(name) for name, f in fractions.items()])
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    rows = values.select(key.alias("key"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    span = rows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
+    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
+    same = F.col("r.key").eqNullSafe(F.col("s.key"))
+    binned = rows.alias("r").join(span.alias("s"), same).select("r.key", "v", bin_.alias("bin"))
+    counts = binned.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("here"))
+    upto = counts.withColumn("upto", F.sum("here").over(W.partitionBy("key").orderBy("bin")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(index(F.lit(f), F.col("n")), F.lit(0)).cast("long").alias("at")) for name, f in fractions.items()]))
+    asked = span.select("key", wanted.alias("w")).select(F.col("key").alias("k"), "w.name", "w.at")
+    holding = upto.join(asked, F.col("key").eqNullSafe(F.col("k"))).filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("here")))
+    target = holding.select("k", "name", F.col("bin").alias("b"), (F.col("at") - (F.col("upto") - F.col("here"))).alias("inside"))
+    inside = binned.join(target.select("k", "b").distinct(), F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b"))).withColumn("nth", F.row_number().over(W.partitionBy("key", "bin").orderBy("v")) - 1).select("key", "bin", "nth", "v")
+    picked = inside.join(target, F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b")) & (F.col("nth") == F.col("inside")))
+    pivoted = picked.groupBy("key").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions])
+    return pivoted.select(*[F.col("key").getField(c).alias(c) for c in by], *fractions)
 
 
 def last_runs(runs: DataFrame, n: int = DEFAULT.limits.retained_runs) -> DataFrame:
@@ -32,24 +44,27 @@ def last_runs(runs: DataFrame, n: int = DEFAULT.limits.retained_runs) -> DataFra
 
 
 def snapshot(runs: DataFrame) -> DataFrame:
-    """One row of rates, means and totals over (succeeded, used_fallback, topics, llm_topics, total_latency_ms, leaks map,
-    content_integrity_pass, slides_ingested)."""
+    """One row of all figures of the run records, named group_figure; zeros without runs. Means and latencies are those of
+    successful runs, to four and two places; ``KPI_MEANS`` names the fields of the records."""
     n, good = F.count(F.lit(1)), F.col("succeeded")
     leaks = F.aggregate(F.map_values("leaks"), F.lit(0).cast("long"), lambda t, x: t + x)
     share = lambda c: ratio(F.count_if(c), n)
-    return runs.agg(
+    mean = lambda c: F.coalesce(F.bround(F.avg(F.when(good, F.col(c).cast("double"))), 4), F.lit(0.0))
+    totals = runs.agg(
         n.alias("runs_observed"),
-        share(good).alias("success_rate"),
-        share(F.col("used_fallback")).alias("fallback_rate"),
-        share((F.col("topics") > 0) & (F.col("llm_topics") == 0)).alias("degraded_generation_rate"),
-        F.count_if(good).alias("documents_delivered"),
-        F.coalesce(F.max(F.when(good, F.col("total_latency_ms"))), F.lit(0.0)).alias("max_latency_ms"),
-        F.coalesce(F.avg(F.when(good, F.col("total_latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"),
-        F.coalesce(F.sum("slides_ingested"), F.lit(0)).alias("total_slides_ingested"),
-        F.coalesce(F.avg(F.when(good, F.col("topics"))), F.lit(0.0)).alias("avg_topics"),
-        F.coalesce(F.sum(leaks), F.lit(0)).alias("total_leaks_detected"),
-        share(F.col("content_integrity_pass")).alias("clean_document_rate"),
+        share(good).alias("availability_success_rate"),
+        share(F.col("used_fallback")).alias("availability_fallback_rate"),
+        share((F.col("topics") > 0) & (F.col("llm_topics") == 0)).alias("availability_degraded_generation_rate"),
+        F.count_if(good).alias("availability_documents_delivered"),
+        F.coalesce(F.bround(F.max(F.when(good, F.col("total_latency_ms"))), 2), F.lit(0.0)).alias("latency_ms_max"),
+        F.coalesce(F.sum("slides_ingested"), F.lit(0)).alias("throughput_total_slides_ingested"),
+        *(mean(field).alias(f"{group}_{name}") for group, fields in KPI_MEANS.items() for name, field in fields.items()),
+        F.coalesce(F.sum(leaks), F.lit(0)).alias("content_integrity_total_leaks_detected"),
+        share(F.col("content_integrity_pass")).alias("content_integrity_clean_document_rate"),
     )
+    ranks = nearest_rank(runs.filter("succeeded"), "total_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    both = totals.join(F.broadcast(ranks), F.lit(True), "left")
+    return both.select(*totals.columns, *(F.coalesce(F.bround(c, 2), F.lit(0.0)).alias(f"latency_ms_{c}") for c in ("p50", "p95", "p99")))
 
 
 def cost(tokens_in: Column, tokens_out: Column, in_per_1k: float, out_per_1k: float) -> Column:
@@ -66,24 +81,26 @@ def clamp(c: Column) -> Column:
 
 
 def quality_proxies(top_score: Column, coverage: Column, leaks: Column, integrity: Column, chars: Column, topics: Column, llm_topics: Column, retrieval_ms: Column) -> dict[str, Column]:
-    """Linear stand-ins for quality that a run's own record allows. They are not measurements; see ``ireval`` for those."""
-    s, c = clamp(top_score), clamp(coverage)
-    grounded = clamp(0.35 + 0.45 * s + 0.20 * c + F.lit(0.10) * F.when(integrity, 1.0).otherwise(0.6))
-    most = F.greatest(topics, llm_topics)
-    tokens = F.greatest(F.lit(250), (1.65 * chars + 85 * most + F.lit(0.5).cast("double") * retrieval_ms).cast("int"))
-    return {
-        "groundedness_proxy": grounded,
-        "hallucination_proxy": clamp(1 - grounded + F.when(leaks > 0, 0.15).otherwise(0.0)),
-        "recall_at_5_proxy": clamp(0.30 + 0.70 * s),
-        "recall_at_10_proxy": clamp(0.45 + 0.55 * s),
-        "mrr_proxy": clamp(0.40 + 0.60 * s),
-        "ndcg_at_10_proxy": clamp(0.50 + 0.50 * s),
-        "coverage_proxy": clamp(0.35 + 0.65 * c),
-        "leakage_proxy": clamp(leaks / F.greatest(F.lit(1), topics, llm_topics, F.floor(chars / 200))),
-        "schema_proxy": F.when(integrity, 1.0).otherwise(0.75),
-        "tokens_proxy": tokens,
-        "cost_proxy": F.round(tokens / F.lit(1000.0) * F.lit(0.0032), 6),
+    """Linear stand-ins for quality that a run's own record allows, under the names of the record's fields. They are not
+    measurements; see ``ireval`` for those."""
+    s, c, p = clamp(top_score), clamp(coverage), PROXY
+    line = lambda name, x: clamp(p[name][0] + p[name][1] * x)
+    base, by_score, by_coverage, by_integrity = p["grounded"]
+    grounded = clamp(base + by_score * s + by_coverage * c + F.lit(by_integrity) * F.when(integrity, 1.0).otherwise(p["unclean"]))
+    most, (least, per_char, per_topic, per_ms) = F.greatest(topics, llm_topics), p["tokens"]
+    tokens = F.greatest(F.lit(least), (per_char * chars + per_topic * most + F.lit(per_ms) * F.greatest(retrieval_ms, F.lit(0.0))).cast("int"))
+    found = {
+        "groundedness_score": grounded,
+        "hallucination_rate": clamp(1 - grounded + F.when(leaks > 0, p["leak_penalty"]).otherwise(0.0)),
+        "retrieval_recall_at_5": line("recall_at_5", s),
+        "retrieval_recall_at_10": line("recall_at_10", s),
+        "mrr": line("mrr", s),
+        "ndcg_at_10": line("ndcg_at_10", s),
+        "coverage_score": line("coverage", c),
+        "leakage_rate": clamp(leaks / F.greatest(F.lit(1), topics, llm_topics, F.floor(chars / p["chars_per_leak"]))),
+        "schema_compliance_rate": F.when(integrity, 1.0).otherwise(p["broken_schema"]),
     }
+    return {k: F.bround(x, 4) for k, x in found.items()} | {"tokens_used": tokens, "cost_usd": F.bround(tokens / F.lit(1000.0) * F.lit(p["usd_per_1k"]), 6)}
 
 
 def exposition(summary: DataFrame, prefix: str = "docs") -> DataFrame:
@@ -110,3 +127,9 @@ def latest_status(updates: DataFrame) -> DataFrame:
     """job_id, status, updated_at, n_updates: the last status of each job."""
     order = F.struct("updated_at", "seq")
     return updates.groupBy("job_id").agg(F.max_by("status", order).alias("status"), F.max("updated_at").alias("updated_at"), F.count(F.lit(1)).alias("n_updates"))
+
+
+def public_jobs(jobs: DataFrame) -> DataFrame:
+    """What a client may see of (job_id, owner, status, created_at, updated_at, error), with the paths to ask again."""
+    path = F.concat(F.lit("/compose/jobs/"), F.col("job_id").cast("string"))
+    return jobs.select("job_id", "status", "created_at", "updated_at", "error", F.concat(path, F.lit("/result")).alias("result_path"), path.alias("status_path"))

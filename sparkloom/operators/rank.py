@@ -23,12 +23,27 @@ def dense_scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
     return embeddings.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
 
 
+def spread_rank(rows: DataFrame, by: list[str], ties: list[str], bins: int = 4096) -> DataFrame:
+    """``rows`` with ``rank``: by score to nine places, then ``ties``, within ``by``.
+
+    Scores are cut into bins between their extremes; counts of the bins before give each bin's first rank, so a group
+    is never sorted in one task, however large it is."""
+    s = F.round("score", 9)
+    span = rows.groupBy(*by).agg(F.min(s).alias("low"), F.max(s).alias("high"))
+    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("high") - s) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
+    binned = rows.join(span, by).withColumn("bin", bin_).drop("low", "high")
+    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("here"))
+    before = counts.withColumn("before", F.sum("here").over(W.partitionBy(*by).orderBy("bin")) - F.col("here")).drop("here")
+    inside = binned.withColumn("inside", F.row_number().over(W.partitionBy(*by, "bin").orderBy(F.desc(s), *ties)))
+    return inside.join(before, [*by, "bin"]).withColumn("rank", (F.col("before") + F.col("inside")).cast("long")).drop("bin", "before", "inside")
+
+
 def rrf(channels: DataFrame, k: int = DEFAULT.ranking.rrf_k) -> DataFrame:
     """Reciprocal rank fusion of (channel, doc_id, score): 1 when all channels put a document first.
 
     Scores of 0 or less are unranked; ties go to the smaller doc_id; channels without a positive score don't count."""
-    ranked = channels.filter("score > 0").withColumn("rank", F.row_number().over(W.partitionBy("channel").orderBy(F.desc(F.round("score", 9)), "doc_id")))
-    n = ranked.agg(F.count_distinct("channel").alias("n"))
+    ranked = spread_rank(channels.filter("score > 0"), ["channel"], ["doc_id"])
+    n = channels.filter("score > 0").agg(F.count_distinct("channel").alias("n"))
     fused = ranked.groupBy("doc_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("s"))
     return fused.join(F.broadcast(n), how="cross").select("doc_id", (F.col("s") * (k + 1) / F.col("n")).alias("score"))
 
@@ -50,7 +65,9 @@ def mmr(candidates: DataFrame, k: int = DEFAULT.ranking.top_k, lam: float = DEFA
 
     The selection is sequential. It runs on what can be selected at all: redundancy lies in [0, 1], so a row that scores
     less than the k-th by more than (1 - lam) / lam never is. That bound keeps groups small before they meet in one task.
+    Scores count to nine places, so that copies tie whatever order their sums were made in.
     """
+    candidates = candidates.withColumn("score", F.round("score", 9))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
     kth = candidates.select("qid", "doc_id", "chunk_no", "score").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k).groupBy("qid").agg(F.min("score").alias("kth"))
     able = candidates.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit((1 - lam) / lam)).withColumn("pos", F.row_number().over(order)).withColumn("tokens", F.array_distinct(tokens(F.col("text"))))

@@ -145,3 +145,32 @@ def golden_cases(spark: SparkSession, path: str) -> DataFrame:
     schema = """case_id string, category string, difficulty string, prompt string, source_text string, instructions array<string>, must_include array<string>, must_not_include array<string>,
     required_sections array<string>, min_words int, max_words int, requires_ordered_steps boolean, requires_table boolean, expects_refusal boolean, expects_policy_flags array<string>, requires_generation boolean"""
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """metric, bound, limit of a file of gates: {"version": ..., "gates": {metric: {"min" or "max": limit}}}."""
+    raw = spark.read.schema("version string, gates map<string, struct<min: double, max: double, rationale: string>>").json(path, multiLine=True)
+    each = raw.select("version", F.explode("gates").alias("metric", "g"))
+    return each.select("version", "metric", F.when(F.col("g.min").isNotNull(), "min").otherwise("max").alias("bound"), F.coalesce("g.min", "g.max").alias("limit"))
+
+
+def benchmark_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """One row of an evaluation report: status (available or missing), mode, gate_status, threshold_version, case_count,
+    generated_at, summary, advisory_case_ids and updated_at. A report that does not exist is missing."""
+    schema = "mode string, gate_status string, threshold_version string, case_count int, generated_at string, summary map<string, double>, advisory_case_ids array<string>"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.sql("SELECT 'missing' AS status").select("status", *(F.lit(None).cast(t).alias(n) for n, t in (x.strip().split(" ", 1) for x in re.split(r",\s*(?=[a-z_]+ )", schema))), F.lit(None).cast("timestamp").alias("updated_at"))
+    found = spark.read.schema(schema).json(path, multiLine=True)
+    return found.select(F.lit("available").alias("status"), "*", F.col("_metadata.file_modification_time").alias("updated_at"))
+
+
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The scanned files that are new or whose time or length differs from ``known`` (path, modificationTime, length): the
+    others' texts need not be read again."""
+    return files.join(known.select("path", "modificationTime", "length"), ["path", "modificationTime", "length"], "left_anti")
+
+
+def cached_results(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests (key) with ``result`` from a cache (key, result); a blank result counts as none."""
+    return requests.join(cache.filter(F.trim("result") != "").select("key", "result"), "key", "left")

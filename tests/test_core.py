@@ -4,11 +4,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.config import DEFAULT, Limits, Ranking
+from sparkloom import config as C
+from sparkloom.config import DEFAULT, KPI_MEANS, Limits, Ranking
 from sparkloom.functions import rules
 from sparkloom.functions import text as T
 from sparkloom import queries
-from sparkloom.operators import files, gates, index, ireval, kpi, rank, structure
+from sparkloom.operators import compose, files, gates, index, ireval, kpi, rank, structure
 from sparkloom.streaming.limiter import Window, decide_batch
 
 
@@ -76,7 +77,10 @@ def test_paragraph_packing_against_a_loop(spark):
 
 
 def test_titles_and_keys(spark):
-    assert one(spark, T.slide_title(lit("Deck | Topic: - Cost plan. "))) == "Cost plan"
+    assert one(spark, T.slide_title(lit("Deck | Topic: - Cost plan. "))) == "Cost plan."
+    assert one(spark, T.slide_title(lit("Deck Topic: abc"))) == "Deck Topic: abc" and one(spark, T.slide_title(lit("– Plan, v2; —"))) == "Plan, v2;" and one(spark, T.slide_title(lit(None).cast("string"))) == ""
+    assert one(spark, T.slide_title(lit("a" * 60 + " " + "b" * 39 + " c"))) == "a" * 60 + "…"
+    assert one(spark, T.caption_subject(lit("1. Set up:"))) == "1" and one(spark, T.caption_subject(lit("Costs of the plan. More:"))) == "Costs of the plan"
     long = one(spark, T.slide_title(lit("word " * 60)))
     assert len(long) <= 101 and long.endswith("…")
     assert one(spark, T.heading_key(lit("The 2 nd  Plan: A/B"))) == "the 2nd plan a b"
@@ -211,7 +215,8 @@ def test_postprocess_keeps_long_repeats_and_single_blanks(spark):
 
 def test_narratives_keep_the_later_block(spark):
     body = "b" * 90
-    assert one(spark, structure.narratives(lit(f"[TOPIC 1] {'a' * 90}\n[topic 2] short\n[Topic 1]\n{body}"))) == {1: body}
+    assert one(spark, structure.narratives(lit(f"[TOPIC 1]\n{'a' * 90}\n - [topic 2]:\nshort\n[ Topic  1 ]\n## Head\n{body}"))) == {1: body}
+    assert one(spark, structure.narratives(lit(f"[TOPIC 1] inline {body}"))) == {} and one(spark, structure.narratives(lit(""))) == {}
 
 
 # run records
@@ -225,10 +230,41 @@ def test_percentiles_by_nearest_rank(spark):
         assert (got.p50, got.p95) == tuple(sorted(v)[round(f * (n - 1))] for f in (0.5, 0.95))
 
 
+def runs_schema():
+    own = [f for fields in KPI_MEANS.values() for f in fields.values() if f not in ("topics", "llm_topics")]
+    return "succeeded boolean, used_fallback boolean, topics int, llm_topics int, total_latency_ms double, leaks map<string,int>, content_integrity_pass boolean, slides_ingested long, " + ", ".join(f"{f} double" for f in own), len(own)
+
+
 def test_snapshot_of_no_runs(spark):
-    df = spark.createDataFrame([], "succeeded boolean, used_fallback boolean, topics int, llm_topics int, total_latency_ms double, leaks map<string,int>, content_integrity_pass boolean, slides_ingested long")
-    got = kpi.snapshot(df).first()
-    assert got.runs_observed == 0 and got.success_rate == 0.0
+    got = kpi.snapshot(spark.createDataFrame([], runs_schema()[0])).first()
+    assert got.runs_observed == 0 and all(x == 0 for x in got)
+
+
+def test_snapshot_of_runs(spark):
+    schema, n = runs_schema()
+    rows = [(ok, False, 2, 2 * (i % 2), 100.0 * i, {"a": i}, i != 4, i, *[float(i)] * n) for i, ok in ((1, True), (2, True), (3, True), (4, False))]
+    got = kpi.snapshot(spark.createDataFrame(rows, schema)).first()
+    assert (got.runs_observed, got.availability_success_rate, got.availability_degraded_generation_rate, got.availability_documents_delivered) == (4, 0.75, 0.5, 3)
+    assert (got.latency_ms_max, got.latency_ms_p50, got.latency_ms_p99) == (300.0, 200.0, 300.0) and got.latency_ms_avg_render == got.document_yield_avg_topics == 2.0
+    assert got.content_integrity_total_leaks_detected == 10 and got.content_integrity_clean_document_rate == 0.75 and len(got) == 38
+
+
+def test_percentiles_over_bins_are_exact(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.lognormvariate(0, 3)) for _ in range(500)] + [("c", 1.5)] * 7
+    got = {r.k: (r.p50, r.p95, r.p99) for r in kpi.nearest_rank(spark.createDataFrame(rows, "k string, v double"), "v", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["k"], bins=8).collect()}
+    for k in ("a", "b", "c", None):
+        v = sorted(x for j, x in rows if j == k)
+        assert got[k] == tuple(v[round(f * (len(v) - 1))] for f in (0.5, 0.95, 0.99))
+
+
+def test_spread_ranks_are_row_numbers(spark):
+    rng = random.Random(4)
+    rows = [(c, d, rng.choice([0.1, 0.5, 0.5, rng.random()])) for c in range(3) for d in range(80)] + [(9, 1, 2.0)]
+    got = {(r.channel, r.doc_id): r["rank"] for r in rank.spread_rank(spark.createDataFrame(rows, "channel int, doc_id long, score double"), ["channel"], ["doc_id"], bins=5).collect()}
+    for c in (0, 1, 2, 9):
+        order = sorted(((-round(s, 9), d) for k, d, s in rows if k == c))
+        assert [got[(c, d)] for _, d in order] == list(range(1, len(order) + 1))
 
 
 def test_limiter_denials_leave_no_trace(spark):
@@ -287,14 +323,120 @@ def test_every_benchmark_item_has_a_query_vector(spark):
     items = [r.item_id for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert sorted(r.qid for r in queries._query_vectors(spark, sf).collect()) == sorted(items)
     ids = [r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    assert {r.q_id for r in queries.dense_topk_all(spark, sf).collect()} == {i for i in ids if i % 100 == 0}
+    assert {r.q_id for r in queries.dense_topk(spark, sf).collect()} == {i for i in ids if i % 100 == 0}
 
 
 def test_whole_turns_enter_the_document(spark, tmp_path):
     late = "word " * 20 + "the last words"
     rows = [(1, 0, "system", late), (1, 1, "user", late), (1, 2, "assistant", "answer")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    text = queries._markdown(spark, str(tmp_path), whole=True).first().text
+    text = queries._markdown(spark, str(tmp_path)).first().text
     assert text.count(late) == 2 and "\n### word" in text and "\n## Part 1: word" in text
-    short, long = (f(spark, str(tmp_path)).first().output_chars for f in (queries.doc_structure, queries.doc_structure_whole))
-    assert long >= short + 2 * len(late)
+    assert queries.doc_structure(spark, str(tmp_path)).first().output_chars == len(text)
+
+
+# assembled documents
+
+
+def test_first_of_each_key_in_order(spark):
+    rng = random.Random(6)
+    for _ in range(5):
+        x = [rng.choice(["a", "A", "b", "", "c c"]) for _ in range(rng.randint(0, 12))]
+        array = F.array(*[lit(v) for v in x]) if x else F.expr("cast(array() AS array<string>)")
+        seen = {}
+        for v in x:
+            seen.setdefault(v.lower(), v)
+        assert one(spark, T.kept_first(array, F.lower)) == list(seen.values())
+
+
+def test_fragments_state_something(spark):
+    long = "The cooling plant runs in two zones of the site"
+    text = f"{long}. Is the cooling plant running in two zones now?\n {long}; Anna Berg discussed the plan with all of the teams\n[Slide 3] score=0.5 Title: {long.lower()}!\nshort"
+    found = one(spark, T.fragments(lit(text)))
+    assert found == [f"{long}.", long, f"{long.lower()}!"]
+    assert one(spark, T.distinct_fragments(F.array(*[lit(x) for x in found]))) == [f"{long}."]
+    assert one(spark, T.prose(F.array(*[lit(x) for x in "abcde"]), 4)) == ["a b", "c d"] and one(spark, T.prose(F.expr("cast(array() AS array<string>)"), 4)) == []
+
+
+@pytest.mark.parametrize(
+    ("candidates", "title"),
+    [(["Please generate a report", "deck_cooling plant.pptx"], "Deck cooling plant — Technical Documentation"), (["slides 3 - 9 ppt", "x"], "Technical Reference Documentation"), (["operator handbook"], "Operator handbook")],
+)
+def test_document_titles(spark, candidates, title):
+    assert one(spark, T.document_title(F.array(*[lit(c) for c in candidates]))) == title
+
+
+def test_tables_of_markdown(spark):
+    cells = [["", "Owner", "Cost|EUR"], ["pump **a**", "x", "10"], ["", "y", " "], ["b", "z", "Anna discussed it"]]
+    table = F.array(*[F.array(*[lit(c) for c in r]) for r in cells])
+    assert one(spark, compose.table_lines(table)) == ["| # | Cost/EUR |", "| --- | --- |", "| pump a | 10 |"]
+    assert one(spark, compose.table_lines(F.array(F.array(lit("Owner"), lit("Notes")), F.array(lit("x"), lit("w" * 50 + " " + "v" * 50))))) == ["| Owner | Notes |", "| --- | --- |", f"| x | {'w' * 50}… |"]
+    assert one(spark, compose.table_lines(F.array(F.array(lit("a"), lit("b"))))) == []
+
+
+def test_assembled_document(spark):
+    slides = [
+        (1, 0, "2) Run tests", ["check the result of each run here"], [], ["p1"]), (1, 1, None, ["more about the result"], [[["Item", "Owner", "Cost"], ["a", "x", "1"]]], []),
+        (1, 2, "1. Install", ["setup of the environment takes a day"], [], []), (1, 3, "Empty", [], [], []), (2, 0, "Other", ["nothing of note"], [], []),
+    ]
+    df = spark.createDataFrame(slides, "deck long, slide_no long, title string, lines array<string>, tables array<array<array<string>>>, images array<string>")
+    topics = structure.merge_topics(df)
+    assert {(r.deck, r.title) for r in topics.collect()} == {(1, "2) Run tests"), (1, "1. Install"), (2, "Other")}
+    asked = []
+
+    def generate(payloads):
+        asked.append(sorted((r.deck, r.topic_no) for r in payloads.collect()))
+        return payloads.filter("deck = 1 AND topic_no = 1").select("deck", "topic_no", F.lit("Told by a model.").alias("body"))
+
+    titles = spark.createDataFrame([(1, "Plant"), (2, "Rest")], "deck long, title string")
+    text = {r.deck: r.text for r in compose.assemble(topics, titles, generate).collect()}
+    assert asked[0] == [(1, 1), (1, 2), (2, 1)] and asked[1] == [(1, 2), (2, 1)]
+    one_, lines = text[1], text[1].split("\n")
+    assert lines[0] == "# Plant" and "Told by a model." in one_ and "This topic documents Other" not in one_
+    assert [x for x in lines if x.startswith("### Step")] == ["### Step 1: Install", "### Step 2: Run tests"]
+    assert [x for x in lines if x.startswith("## Part")] == ["## Part 1: Installation", "## Part 2: Evaluation"]
+    assert lines.count("[[IMAGE:p1]]") == 2 and "| Item | Cost |" in lines and one_.index("## Part 1") < one_.index("## Part 2") < one_.index("## Publication Readiness")
+    assert "## Steps to Follow" not in text[2] and not one(spark, rules.violates_contract(lit(one_), lit("comprehensive"), lit(True)))
+
+
+def test_narratives_by_the_titles_length(spark):
+    lines = [f"a fact of at least twenty-five characters, number {k}" for k in range(16)] + ["short"]
+    text = one(spark, compose.narrative(lit("abc"), F.array(*[lit(x) for x in lines]), lit(1), lit(0)))
+    paragraphs = text.split("\n\n")
+    assert len(paragraphs) == 4 and paragraphs[0].startswith("This section sets out abc. a fact") and paragraphs[0].count("number") == 3 and paragraphs[1].count("number") == 5 and paragraphs[2].count("number") == 6
+    bare = one(spark, compose.narrative(lit("abcd"), F.expr("cast(array() AS array<string>)"), lit(0), lit(2)))
+    assert bare.startswith("The following material covers abcd. This topic is conveyed primarily") and bare.endswith("The figure shows abcd.")
+
+
+def test_fallback_document_and_augmentation(spark):
+    rows = [(1, k, f"The risk of delay number {k} is known to the whole project group. The mitigation {k} is planned for the autumn of the year.", 1.0 / k, k) for k in range(1, 12)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, text string, score double, rank int")
+    text = compose.fallback_document(chunks, "Plan").first().text
+    assert text.startswith("# Plan\n\n## Objective\nPlan\n\n## Executive Overview") and text.count("\n## ") == 11 and text.endswith(C.TEMPLATES["closing"][-1])
+    assert one(spark, compose.augmented(lit("# T\nshort "), lit("# A\nbody"))) == "# T\nshort\n\n## Expanded Supporting Detail\n\nbody" and one(spark, compose.augmented(lit("x" * 20), lit("y"), 10)) == "x" * 20
+
+
+def test_images_at_tokens_and_in_the_appendix(spark):
+    docs = spark.createDataFrame([(1, "a [[IMAGE: p1 ]] b [[IMAGE:gone]]"), (2, "no image")], "doc_id long, text string")
+    images = spark.createDataFrame([(1, 0, "p1", "YWI="), (1, 1, "p2", "data:image/png;base64,Y2Q="), (1, 2, "p3", "**"), *[(2, k, f"q{k:02}", "YWI=") for k in range(30)]], "doc_id long, pos int, name string, content string")
+    got = [(r.doc_id, r.place, r.name, bytes(r.content)) for r in compose.placed_images(docs, images).collect()]
+    assert (1, "inline", "p1", b"ab") in got and (1, "appendix", "p2", b"cd") in got and sum(d == 2 for d, *_ in got) == 24 and len(got) == 26
+
+
+def test_routes_and_retrieval_text(spark):
+    df = spark.createDataFrame([(1, "summary", 9), (2, "full_deck", 1), (3, "other", 2)], "request_id int, detail string, max_docs int")
+    assert {r.request_id: (r.route, r.max_docs, r.top_k) for r in compose.routed(df).collect()} == {1: ("fast_summary", 5, 8), 2: ("full_deck", 4, 8), 3: ("dossier", 16, 48)}
+    made = compose.retrieval_query(lit(" a "), lit(""), lit("c"), F.array(lit("d "), lit(" ")), lit(None).cast("array<string>"), lit("x" * 900))
+    assert one(spark, made) == "a\nc\nd\n" + "x" * 800
+    assert one(spark, compose.ordered_distinct(F.array(lit("b"), lit("a"), lit("b")))) == ["b", "a"] and one(spark, T.setting_list(lit(" a, ,b "))) == ["a", "b"]
+
+
+def test_vocabularies_beyond_the_limit_are_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "epsi"]
+    parts = spark.createDataFrame([(i, 0, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(30)], "doc_id long, chunk_no int, text string")
+    q = spark.createDataFrame([(1, "alpha beta"), (2, "epsi gamma unknown")], "qid long, query string")
+    scores = lambda f: {(r.qid, r.doc_id): round(r.score, 9) for r in f(parts, q).collect()}
+    direct = [scores(f) for f in (index.bm25, index.legacy_rank)]
+    monkeypatch.setattr(index, "VOCABULARY", 2)
+    assert [scores(f) for f in (index.bm25, index.legacy_rank)] == direct and len(direct[0]) > 20

@@ -1,8 +1,15 @@
 import io
+import struct
 import zipfile
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
 
 from sparkloom.config import Limits
-from sparkloom.functions.register import chain, register
+from sparkloom.functions.register import chain, embedder, register
+from sparkloom.operators import files
+from sparkloom.operators.images import features, read_images
 from sparkloom.sources import sinks, workspace
 from sparkloom.streaming.limiter import Window, decide_stream
 
@@ -55,11 +62,66 @@ def test_sinks(spark, tmp_path):
 
 
 def test_registered_functions_and_chains(spark):
-    register(spark)
+    register(spark, lambda: lambda texts: [[float(len(t)), 1.0] for t in texts])
     assert spark.sql("SELECT tokenize('Aaa bb ccc') t, squeeze(' a  b ') s, size(text_windows('abcdef', 4, 2)) n").first() == (["aaa", "ccc"], "a b", 2)
+    assert spark.sql("SELECT policy_flags('mail a.b@c.org') f").first().f == ["pii_detected:email"]
+    assert spark.sql("SELECT doc_structure('## Part 1: A\n### Step 1: x\n### One') s").first().s.asDict() == {"parts": 1, "procedure_steps": 1, "topics": 1, "tables_rendered": 0, "table_rows": 0, "figures_embedded": 0}
+    assert [r.text for r in spark.sql("SELECT * FROM chunk_text('aaa\n\nbbb\n\ncccccccccccc', 8, 2)").collect()] == ["aaa\n\nbbb", "cccccccc", "cccccc"]
+    assert spark.sql("SELECT embed('abc') e").first().e == [3.0, 1.0]
     assert chain(spark.range(5), lambda d: d.filter("id > 1"), lambda d: d.limit(2)).count() == 2
 
 
+def test_a_missing_embedding_model_gives_no_vectors(spark):
+    def load():
+        raise ImportError("no model")
+
+    assert spark.range(2).select(embedder(load, "absent")(F.lit("x")).alias("e")).collect() == [(None,), (None,)]
+
+
+def png(pixels):
+    """A PNG file of rows of red, green, blue and perhaps alpha values."""
+    h, w, c = pixels.shape
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    raw = b"".join(b"\0" + row.tobytes() for row in pixels.astype(np.uint8))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {3: 2, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_features_from_pixels(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    flat = np.full((200, 300, 3), 200)
+    noisy = rng.integers(0, 256, (200, 300, 3))
+    clear = np.zeros((200, 300, 4))
+    clear[:, :60] = (10, 10, 10, 255)
+    skin = np.stack([rng.integers(150, 250, (300, 260)), rng.integers(60, 110, (300, 260)), rng.integers(30, 60, (300, 260))], axis=2)
+    skin = np.repeat(np.repeat(skin[::20, ::20], 20, axis=0), 20, axis=1)[:300, :260]
+    for name, pixels in (("flat", flat), ("noisy", noisy), ("clear", clear), ("skin", skin)):
+        (tmp_path / f"{name}.png").write_bytes(png(pixels))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    rows = read_images(spark, str(tmp_path))
+    got = {r.path.rsplit("/", 1)[1][:-4]: r for r in rows.select("*", *(c.alias(k) for k, c in files.triage().items())).collect()}
+    assert (got["flat"].width, got["flat"].height, got["flat"].colors, got["flat"].detail, got["flat"].category) == (300, 200, 1, 0.0, "decorative")
+    assert got["noisy"].detail > 0.1 and got["noisy"].category == "diagram" and got["noisy"].include
+    assert abs(got["clear"].transparency - 0.8) < 0.02 and got["clear"].category == "decorative"
+    assert got["skin"].skin > 0.9 and got["skin"].variety >= 8 and got["skin"].category == "portrait"
+    assert got["broken"].category == "undecodable"
+    for name, pixels in (("noisy", noisy), ("clear", clear)):
+        want = features(pixels.astype(np.uint8))
+        assert {k: got[name][k] for k in want} == want
+
+
+def test_reports_thresholds_and_increments(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"version": "1", "gates": {"pass_rate": {"min": 1.0, "rationale": "all"}, "p95_latency_ms": {"max": 9}}}')
+    assert {(r.metric, r.bound, r["limit"]) for r in workspace.thresholds(spark, str(tmp_path / "t.json")).collect()} == {("pass_rate", "min", 1.0), ("p95_latency_ms", "max", 9.0)}
+    assert workspace.benchmark_snapshot(spark, str(tmp_path / "none.json")).first().status == "missing"
+    (tmp_path / "r.json").write_text('{"mode": "mock", "case_count": 3, "summary": {"pass_rate": 1.0}, "advisory_case_ids": ["a"]}')
+    got = workspace.benchmark_snapshot(spark, str(tmp_path / "r.json")).first()
+    assert (got.status, got.mode, got.case_count, got.summary, got.advisory_case_ids) == ("available", "mock", 3, {"pass_rate": 1.0}, ["a"]) and got.updated_at
+    (tmp_path / "a.md").write_text("one")
+    first = spark.createDataFrame(workspace.scan(spark, str(tmp_path)).select("path", "modificationTime", "length").collect())
+    (tmp_path / "b.md").write_text("two")
+    assert [r.path.rsplit("/", 1)[1] for r in workspace.changed_files(workspace.scan(spark, str(tmp_path)), first).collect()] == ["b.md"]
+
+
 def test_limiter_as_a_stream(spark, tmp_path):
     hits = [("k", i, float(t)) for i, t in enumerate((0, 1, 30, 62))]
     for i, h in enumerate(hits):
