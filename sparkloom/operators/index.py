@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Ranking
-from sparkloom.functions.text import pack_paragraphs, tokens
+from sparkloom.functions.text import let, pack_paragraphs, tokens
 
 
 #: More distinct query terms than this are joined, not written into the plan.
@@ -38,6 +38,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
+def _counted(found: Column) -> Column:
+    """(term, tf) of an array of terms: the runs of the sorted array."""
+    runs = lambda t: F.filter(F.transform(t, lambda x, i: F.struct(i.alias("i"), ((i == 0) | (F.get(t, i - 1) != x)).alias("first"))), lambda x: x["first"])
+    ends = lambda t, r: F.transform(r, lambda x, j: F.struct(F.get(t, x["i"]).alias("term"), (F.coalesce(F.get(r, j + 1)["i"], F.size(t)) - x["i"]).cast("long").alias("tf")))
+    return let(F.array_sort(found), lambda t: let(runs(t), lambda r: ends(t, r)))
+
+
 def _listed(parts: DataFrame, terms: DataFrame, distinct: bool) -> DataFrame:
     """doc_id, chunk_no, len, hits: a chunk's tokens among the query terms, as (term, tf), and the number of all its tokens.
 
@@ -49,8 +56,7 @@ def _listed(parts: DataFrame, terms: DataFrame, distinct: bool) -> DataFrame:
     if len(vocabulary) <= VOCABULARY:
         among = ", ".join(f"'{w}'" for w in sorted(vocabulary)) or "NULL"  # tokens hold letters, digits and _ only
         own = listed.select("doc_id", "chunk_no", "len", F.expr(f"filter(t, x -> x IN ({among}))").alias("t"))
-        hits = F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.size(F.filter("t", lambda y: y == x)).cast("long").alias("tf")))
-        return own.select("doc_id", "chunk_no", "len", hits.alias("hits"))
+        return own.select("doc_id", "chunk_no", "len", _counted(F.col("t")).alias("hits"))
     rows = listed.select("doc_id", "chunk_no", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     counted = rows.groupBy("doc_id", "chunk_no", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("doc_id", "chunk_no").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))
     none = F.expr("cast(array() AS array<struct<term: string, tf: bigint>>)")

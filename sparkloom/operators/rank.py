@@ -74,12 +74,21 @@ def mmr(candidates: DataFrame, k: int = DEFAULT.ranking.top_k, lam: float = DEFA
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pos").reset_index(drop=True)
-        sets, left, chosen = [set(t) for t in group["tokens"]], list(range(len(group))), []
-        while left and len(chosen) < k:
-            value = lambda i: lam * group["score"][i] - (1 - lam) * max((len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] and sets[j] else 0.0 for j in chosen), default=0.0)
-            best = max(left, key=lambda i: (value(i), -i))
+        sets, gain = [set(t) for t in group["tokens"]], (lam * group["score"]).tolist()
+        chosen, worst, seen = [], [0.0] * len(sets), [0] * len(sets)  # redundancy with the first ``seen`` of the chosen
+        while len(chosen) < min(k, len(sets)):
+            best, value = None, 0.0
+            for i, x in enumerate(sets):
+                if best is not None and gain[i] <= value:
+                    break  # by score: none of the rest can be better
+                if i in chosen:
+                    continue
+                for j in chosen[seen[i] :]:
+                    worst[i] = max(worst[i], len(x & sets[j]) / len(x | sets[j]) if x and sets[j] else 0.0)
+                seen[i] = len(chosen)
+                if best is None or gain[i] - (1 - lam) * worst[i] > value:
+                    best, value = i, gain[i] - (1 - lam) * worst[i]
             chosen.append(best)
-            left.remove(best)
         return group.loc[sorted(chosen), ["qid", "doc_id", "chunk_no", "score", "text"]]
 
     picked = able.select("qid", "doc_id", "chunk_no", "score", "text", "pos", "tokens").groupBy("qid").applyInPandas(select, "qid long, doc_id long, chunk_no int, score double, text string")
