@@ -12,10 +12,8 @@ anywhere, but it scans on alike from any position where it has a pretoken start
 at a common boundary that is ``margin`` away from the left chunk's end is thus proven; where there is none (one
 pretoken covers the overlap) the overlap is doubled, until it swallows the right chunk if need be.
 
-Boundaries and counts come from the tokenizer's own encoding (offsets, word numbers). For texts of characters whose
-classes no Unicode version disputes, pretokens are cut by the same published pattern and each distinct one is encoded
-once by the library and remembered; the sums are equal because merges stay inside pretokens. Tests compare both ways
-with the plain encoding.
+Boundaries and counts are those of the tokenizer's own encoding (offsets, word numbers). Tests compare them with the
+encoding of the whole text, also for texts far longer than a chunk.
 
 Defined results: a null text is empty; empty texts have no tokens; an empty table gives no rows; repeated rows are
 rows like any other; further columns are ignored.
@@ -25,56 +23,25 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The pretokenizer's pattern as the public tokenizers' package publishes it.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: Printable ASCII, tab, newline and the Latin-1 letters: their classes are the same in every Unicode version.
-_PLAIN = bytes(b for b in range(256) if b in (9, 10) or 0x20 <= b < 0x7F or (b >= 0xC0 and b not in (0xD7, 0xF7)))
-
-
 class Counter:
     """Counts tokens of whole texts as the library gives them, holding one chunk's encoding at a time."""
 
-    def __init__(self, path: str, chunk_chars: int = 32_768, overlap: int = 256, remember: int = 400_000):
+    def __init__(self, path: str, chunk_chars: int = 8192, overlap: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.tok, self.chunk, self.overlap, self.most = Tokenizer.from_file(path), chunk_chars, overlap, remember
-        self.added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
-        self.margin = max([4, *(len(x) + 1 for x in self.added)])
-        self.find, self.known = regex.compile(PATTERN).findall, {}
+        self.tok, self.chunk, self.overlap = Tokenizer.from_file(path), chunk_chars, overlap
+        added = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.margin = max([4, *(len(x) + 1 for x in added)])
         self.widened = 0
 
-    def plain(self, text: str) -> bool:
-        if any(x in text for x in self.added):
-            return False
-        try:
-            return not text.encode("latin-1").translate(None, _PLAIN)
-        except UnicodeEncodeError:
-            return False
-
-    def pieces(self, text: str) -> list[str]:
-        found = self.find(text)
-        if new := [x for x in set(found) if x not in self.known]:
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(set(found))
-            for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[x] = len(e)
-        return found
-
     def bounds(self, text: str) -> tuple[list[int], list[int]]:
         """Pretoken starts and ends of a chunk (0 to its length), and the tokens before each of them."""
-        if self.plain(text):
-            found = self.pieces(text)
-            return [0, *accumulate(map(len, found))], [0, *accumulate(map(self.known.__getitem__, found))]
         e = self.tok.encode(text, add_special_tokens=False)
         at, before, last, end = [0], [0], None, 0
         for i, (word, (a, b)) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
@@ -88,7 +55,7 @@ class Counter:
         return at, before
 
     def small(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, self.pieces(text))) if self.plain(text) else len(self.tok.encode_batch_fast([text], add_special_tokens=False)[0])
+        return len(self.tok.encode_batch_fast([text], add_special_tokens=False)[0])
 
     def long(self, text: str) -> int:
         """``begin``: where the left chunk begins; ``start``: its first proven boundary, from which its tokens count."""
@@ -135,7 +102,7 @@ def _counted(path: str, chunk_chars: int, overlap: int):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, *, chunk_chars: int = 32_768, overlap: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, *, chunk_chars: int = 8192, overlap: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row of ``docs`` (doc_id, text). ``tokenizer``: the file, at the same place on every machine."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
