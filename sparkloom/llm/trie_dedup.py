@@ -3,9 +3,11 @@
 Texts are equal when identical after lower-casing A-Z. A first pass builds a compressed radix trie over each task's
 input, whose terminal nodes hold the owner (an id) and the number of rows: copies collapse before anything is
 shuffled, however many there are. When such a trie outgrows its memory its largest subtree is spilled: the subtree's
-terminals go out as rows and it starts anew. The rows are then dealt by text length and content hash, sorted so that
-one (length, hash) partition is at hand at a time, and each such partition inserts its full byte strings into a trie
-of its own, which yields the final owner and group size. A join on (length, digest) brings these back to every row;
+terminals go out as rows and it starts anew. The rows are then dealt by text length and the first bytes of the content
+hash, sorted by these, so that one length-and-hash partition is at hand at a time. Its full byte strings, equal or not,
+go into one trie, which tells them apart and whose terminals give the final owners and group sizes. Within a partition
+rows are sorted by the whole hash, so copies come together; a trie that outgrows its memory spills its largest subtree
+between two hashes, when all terminals are complete. A join on (length, digest) brings the owners back to every row;
 two different byte strings with one length and SHA-256 digest would raise an error.
 
 Defined results: a null text counts as the empty text. Rows with a null doc_id take part and never own a group that
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import shuffle_partitions
 
 
+#: Texts of one length whose digests begin with the same bytes share a trie.
+BUCKET_BYTES = 2
+
+
 class _Node:
     __slots__ = ("children", "count", "edge", "owner")
 
@@ -146,36 +152,34 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _owners(keep):
+def _owners(keep, memory: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by length and digest; the texts of one such partition share a trie."""
-        at, trie, done = None, None, []
-
-        def flush():
-            found = [(owner, count) for _, owner, count in trie.terminals()]
-            if len(found) > 1:
-                raise ValueError(f"different texts of {at[0]} bytes share the digest {at[1].hex()}")
-            done.append((*at, *found[0]))
+        """Rows come sorted by length and digest; the texts of one (length, bucket) partition share a trie."""
+        at, last, trie = None, None, PatriciaTrie(keep)
 
-        def out():
-            cols = list(zip(*done, strict=True))
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["len", "digest", "keep_id", "group_size"])
-            done.clear()
-            return batch
+        def out(found):
+            rows = [(len(x), hashlib.sha256(x).digest(), owner, count) for x, owner, count in found]
+            if len({r[:2] for r in rows}) < len(rows):
+                raise ValueError("different texts of one length share a digest")
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["len", "digest", "keep_id", "group_size"])
 
+        done: list = []
         for b in batches:
             for n, digest, text, owner, count in zip(*(b.column(i) for i in range(5)), strict=True):
-                key = (n.as_py(), digest.as_py())
-                if key != at:
-                    if trie is not None:
-                        flush()
-                    at, trie = key, PatriciaTrie(keep)
+                digest = digest.as_py()
+                if (n.as_py(), digest[:BUCKET_BYTES]) != at:
+                    at = (n.as_py(), digest[:BUCKET_BYTES])
+                    done += trie.terminals()
+                    trie = PatriciaTrie(keep)
+                elif digest != last and trie.size > memory:
+                    done += trie.spill()
+                last = digest
                 trie.add(text.as_py(), owner.as_py(), count.as_py())
             if done:
-                yield out()
-        if trie is not None:
-            flush()
-            yield out()
+                yield out(done)
+                done = []
+        yield out(trie.terminals())
 
     return run
 
@@ -186,8 +190,9 @@ def owners(docs: DataFrame, *, keep: str = "smallest", memory: int = 96 << 20) -
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     local = rows.mapInArrow(_local(pick, memory), "len long, digest binary, body binary, owner long, n long")
-    dealt = local.repartition(shuffle_partitions(spark), "len", "digest").sortWithinPartitions("len", "digest")
-    return dealt.mapInArrow(_owners(pick), "len long, digest binary, keep_id long, group_size long")
+    # a digest's first bytes order like the digest, so the sort keeps each bucket together
+    dealt = local.repartition(shuffle_partitions(spark), "len", F.substring("digest", 1, BUCKET_BYTES)).sortWithinPartitions("len", "digest")
+    return dealt.mapInArrow(_owners(pick, memory), "len long, digest binary, keep_id long, group_size long")
 
 
 def dedup(docs: DataFrame, *, keep: str = "smallest", memory: int = 96 << 20) -> DataFrame:
