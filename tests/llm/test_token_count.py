@@ -35,6 +35,16 @@ def test_every_splice_gives_the_librarys_count(plain, chunk, overlap):
         assert c.count(x) == plain(x), (chunk, x[:80])
 
 
+def test_texts_of_many_chunks_at_the_default_size(plain):
+    rng, c = random.Random(8), Counter(PATH)
+    words = ["the", "don't", "thing,", "été", "漢字", "12", "\n", "  ", "<|endoftext|>", "x" * 30]
+    for n in (3_000, 12_000):
+        x = " ".join(rng.choice(words) for _ in range(n))
+        assert len(x) > c.chunk and c.count(x) == plain(x)
+    long = "word " * 30_000 + "y" * 40_000 + " end" * 5_000
+    assert c.count(long) == plain(long) and c.widened > 0
+
+
 def test_overlaps_are_widened_when_one_pretoken_covers_them(plain):
     c = Counter(PATH, 50, 20)
     x = "a b " * 30 + "z" * 400 + " c d" * 30

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
+
+from sparkloom.llm import trie_dedup
 from sparkloom.llm.trie_dedup import PatriciaTrie, dedup
 
 
@@ -41,3 +44,20 @@ def test_dedup_against_brute_force(spark):
             got = [tuple(r) for r in dedup(df, keep=keep, memory=memory).collect()]
             assert sorted(got, key=str) == brute(rows, pick)
     assert dedup(df.limit(0)).count() == 0
+
+
+def test_one_trie_tells_the_texts_of_a_bucket_apart(spark, monkeypatch):
+    # all texts of one length in one bucket: the trie decides, with and without spills
+    monkeypatch.setattr(trie_dedup, "BUCKET_BYTES", 0)
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abc") for _ in range(5)) * 40) for i in range(500)]
+    batches = sorted(((len(x), hashlib.sha256(x.encode()).digest(), x.encode(), i, 1) for i, x in rows))
+    names, types = ["len", "digest", "body", "owner", "n"], (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batches, strict=True), types, strict=True)], names=names)
+    for memory in (96 << 20, 2000):
+        parts = [batch.slice(k, 37) for k in range(0, len(rows), 37)]
+        got = {r["digest"].hex(): (r["keep_id"], r["group_size"]) for out in trie_dedup._owners(max, memory)(iter(parts)) for r in out.to_pylist()}
+        want = {}
+        for i, x in rows:
+            want.setdefault(hashlib.sha256(x.encode()).hexdigest(), []).append(i)
+        assert got == {k: (max(v), len(v)) for k, v in want.items()} and len(got) > 150
