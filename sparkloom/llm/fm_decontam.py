@@ -8,7 +8,8 @@ sample of suffix positions. All phrases are searched backward together through t
 to a sampled position; their word spans are merged per document.
 
 The test phrases travel with the task. Their size is measured first; beyond ``item_bytes`` they are dealt into blocks
-of that size, and the documents pass through one block after the other in the same job, merging spans as they go.
+of that size, and the documents pass through one block after the other, merging spans as they go: each block is a job of
+its own whose rows are a written table, so neither the driver nor a task ever holds more than one block.
 
 Defined results: a null or empty text has no words and no hits; an item without words (null, empty, punctuation only)
 has no window and never occurs; an item with fewer words than the window is one window; a null item_id counts as the
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import WORD_BYTES, ascii_words
+from sparkloom.llm.common import WORD_BYTES, ascii_words, drop_written, written
 
 
 class Wavelet:
@@ -231,7 +232,7 @@ def _searched(items: list[tuple[str, str | None]], window: int, shard_bytes: int
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, shard_bytes: int = 12 << 20, item_bytes: int = 4 << 20, sample: int = 8, carry: bool = False) -> DataFrame:
     """doc_id, text, n_words, spans (merged word spans, flat), items (ids that occur) for every row of ``docs``;
     ``carry`` adds the whole row but for its text as the struct ``row``."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / item_bytes))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")) if carry else F.struct(F.lit(None).cast("int").alias("none"))
@@ -241,7 +242,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, sh
     for k in range(blocks):
         block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
         schema = T.StructType([*(rows.schema[c] for c in ("doc_id", "text", "row")), *T.StructType.fromDDL(FOUND).fields])
-        rows = rows.mapInArrow(_searched(sorted(block), window, shard_bytes, sample), schema)
+        before, rows = rows, rows.mapInArrow(_searched(sorted(block), window, shard_bytes, sample), schema)
+        if k + 1 < blocks:
+            rows = written(rows)
+            if k:
+                drop_written(before)
     return rows if carry else rows.drop("row")
 
 
