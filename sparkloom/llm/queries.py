@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the standard tables, and their SQL where SQL can express them."""
+"""The queries op1 to op13 over the standard tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -103,6 +103,30 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.merkle_manifest import manifest
+
+    text = F.col("text").cast("string")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return manifest(table(spark, sf_dir, "documents"), tampered=F.when(even, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkloom.llm.piece_codec import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    read = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.spelling_variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -118,9 +142,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_markov_secrets": op8_markov_secrets,
         "op9_pfair_mix": op9_pfair_mix,
         "op10_fm_decontamination": op10_fm_decontamination,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_piece_codec": op12_piece_codec,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a string below U+0800 in DuckDB's SQL; ``crc`` is the one-row table of ``_CRC``."""
+    encoded = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295, {encoded}), lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+_CRC = "crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i)))"
+
+
+def _leaf(text: str) -> str:
+    coded = (f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+    return f"sha256({' || '.join(coded)})"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_prefix_targets": """
@@ -153,4 +194,39 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                    sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
             FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+        "op11_merkle_manifest": f"""
+            WITH RECURSIVE {_CRC},
+                 d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_leaf("text")} AS leaf,
+                              CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS other FROM documents, crc),
+                 t AS (SELECT source, n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT source, count(*) AS n FROM d GROUP BY 1)),
+                 l AS (SELECT d.*, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+                 up AS (SELECT tree, 0 AS level, idx, leaf AS digest, n FROM l
+                        UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM up WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+                 sub AS (SELECT tree, digest AS subroot FROM up WHERE n = 1),
+                 above AS (SELECT -1 AS tree, 0 AS level, tree AS idx, subroot AS digest, count(*) OVER () AS n FROM sub
+                           UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3 FROM above WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+                 every AS (SELECT * FROM up UNION ALL SELECT * FROM above),
+                 steps AS (SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+                           FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+                 low AS (SELECT rid, tree, 0 AS level, idx, coalesce(other, leaf) AS value, '' AS proof FROM l
+                         UNION ALL SELECT f.rid, f.tree, f.level + 1, f.idx // 3, sha256(s.l || f.value || s.r), f.proof || s.l || s.r FROM low f JOIN steps s ON f.tree = s.tree AND f.level = s.level AND f.idx = s.idx),
+                 high AS (SELECT rid, 0 AS level, tree AS idx, value, proof FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM low) WHERE k = 1
+                          UNION ALL SELECT f.rid, f.level + 1, f.idx // 3, sha256(s.l || f.value || s.r), f.proof || s.l || s.r FROM high f JOIN steps s ON s.tree = -1 AND f.level = s.level AND f.idx = s.idx),
+                 done AS (SELECT rid, arg_max(value, level) AS folded_root, arg_max(proof, level) AS proof FROM high GROUP BY 1)
+            SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+            FROM l JOIN sub USING (tree) JOIN done USING (rid), (SELECT digest AS root FROM above WHERE n = 1)""",
+        "op13_spelling_variants": f"""
+            WITH RECURSIVE {_CRC},
+                 w AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+                 g AS (SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM w GROUP BY doc_id, run),
+                 h AS (SELECT run, n, {_crc32("k")} AS h FROM g, crc),
+                 c AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+                 del AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM c)),
+                 near AS (SELECT a.word, b.word AS other FROM del a JOIN del b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+                          UNION SELECT word, rest FROM del SEMI JOIN c ON del.rest = c.word
+                          UNION SELECT rest, word FROM del SEMI JOIN c ON del.rest = c.word),
+                 best AS (SELECT near.word, count(*) AS n_near, arg_min(struct_pack(w := other, n := n), (-n, other)) AS best FROM near JOIN c ON c.word = near.other GROUP BY 1),
+                 f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * c.n THEN best.w END AS form, CASE WHEN best.n >= 2 * c.n THEN best.n END AS form_n FROM c LEFT JOIN best USING (word)),
+                 chain AS (SELECT word, word AS tip, 0 AS step FROM f UNION ALL SELECT chain.word, form, step + 1 FROM chain JOIN f ON chain.tip = f.word WHERE form IS NOT NULL)
+            SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(tip, step) AS root FROM chain GROUP BY 1) USING (word)""",
     }
