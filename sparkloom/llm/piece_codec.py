@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,49 +135,59 @@ def chunk_table(docs: DataFrame, model: str, *, table_bytes: int = 8 << 20, chun
     return chosen
 
 
-def _encoded(model: str, known, most: int = 8 << 20):
+def _encoded(model: str, known, back: bool, most: int = 1 << 20):
+    """Ids of texts, and with ``back`` the text that they decode to, in batches of some ``most`` bytes of ids."""
+    names = ["doc_id", "ids", "text"] if back else ["doc_id", "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         found = _Found(pieces, known.value)
-        for b in batches:
-            done, parts, n = 0, [], 0
 
-            def out(parts: list[bytes], first: int) -> pa.RecordBatch:
-                offsets = np.zeros(len(parts) + 1, np.int32)
-                np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-                return pa.RecordBatch.from_arrays([b.column(0).slice(first, len(parts)), ids], names=["doc_id", "ids"])
+        def out(doc_ids: pa.Array, parts: list[bytes]) -> pa.RecordBatch:
+            offsets = np.zeros(len(parts) + 1, np.int32)
+            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            texts = [pa.array([pieces.sp.decode(np.frombuffer(p, "<i4").tolist()) if p else "" for p in parts], pa.string())] if back else []
+            return pa.RecordBatch.from_arrays([doc_ids, ids, *texts], names=names)
 
+        for b in batches:
+            first, parts, n = 0, [], 0
             for x in b.column(1):
                 parts.append(b"".join(map(found.__getitem__, pieces.chunks(x.as_py() or ""))))
                 n += len(parts[-1])
                 if n > most:
-                    yield out(parts, done)
-                    done, parts, n = done + len(parts), [], 0
+                    yield out(b.column(0).slice(first, len(parts)), parts)
+                    first, parts, n = first + len(parts), [], 0
             if parts:
-                yield out(parts, done)
+                yield out(b.column(0).slice(first, len(parts)), parts)
 
     return run
 
 
-def _decoded(model: str):
+def _decoded(model: str, most: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = Pieces(model).sp
         for b in batches:
-            ids: Iterable = b.column(1)
-            texts = [sp.decode(x.as_py()) if x.is_valid and len(x) else "" for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            first, texts, n = 0, [], 0
+            for i, x in enumerate(b.column(1), 1):
+                texts.append(sp.decode(x.as_py()) if x.is_valid and len(x) else "")
+                n += len(texts[-1])
+                if n > most or i == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), b.column(1).slice(first, len(texts)), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                    first, texts, n = i, [], 0
 
     return run
 
 
-def encode(docs: DataFrame, model: str, *, table_bytes: int = 8 << 20, chunk_chars: int = 64) -> DataFrame:
-    """doc_id, ids of each row of ``docs`` (doc_id, text). ``model``: the file, at the same place on every machine."""
+def encode(docs: DataFrame, model: str, *, back: bool = False, table_bytes: int = 8 << 20, chunk_chars: int = 64) -> DataFrame:
+    """doc_id, ids of each row of ``docs`` (doc_id, text). With ``back`` also ``text``, decoded from all ids of the row.
+
+    ``model``: the file, at the same place on every machine."""
     table = chunk_table(docs, model, table_bytes=table_bytes, chunk_chars=chunk_chars)
     known = docs.sparkSession.sparkContext.broadcast({r["chunk"]: bytes(r["ids"]) for r in table.toLocalIterator()})
     drop_written(table)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_encoded(model, known), "doc_id long, ids array<int>")
+    return rows.mapInArrow(_encoded(model, known, back), "doc_id long, ids array<int>" + (", text string" if back else ""))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -114,10 +114,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from sparkloom.llm.piece_codec import decode, encode
+    from sparkloom.llm.piece_codec import encode
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    read = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    read = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), back=True)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -39,6 +39,7 @@ def test_rows_decode_as_the_library_decodes(spark, sp, table_bytes):
     rows = [(i, x, "t") for i, x in enumerate(texts())] + [(None, "null id", None), (1, None, "t"), (1, "again again", "t"), (1, "again again", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = decode(encode(docs, MODEL, table_bytes=table_bytes), MODEL).collect()
+    assert sorted(map(str, encode(docs, MODEL, back=True, table_bytes=table_bytes).collect())) == sorted(map(str, got))
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
     want = [(i, sp.encode(x or ""), sp.decode(sp.encode(x or ""))) for i, x, _ in rows]
     assert sorted(((r.doc_id, r.ids, r.text) for r in got), key=key) == sorted(want, key=key)
