@@ -49,21 +49,24 @@ def windows(c: Column, size: int, overlap: int) -> Column:
 
 
 def pack_paragraphs(c: Column, size: int, overlap: int) -> Column:
-    """Packs paragraphs into chunks of up to ``size`` joined by a blank line; an oversize paragraph is cut into windows."""
+    """Packs paragraphs into chunks of up to ``size`` joined by a blank line; an oversize paragraph is cut into windows.
+
+    Where chunks begin is found first, from lengths alone; then each chunk's paragraphs are sliced and joined once."""
     lines = F.array_join(F.transform(F.split(c, "\n"), strip), "\n")
     paras = F.filter(F.transform(F.split(strip(lines), "\n{2,}"), strip), lambda p: p != "")
-    empty = F.struct(F.expr("cast(array() AS array<string>)").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, p: Column) -> Column:
-        flushed = F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        joined = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit("\n\n"), p))
-        return (
-            F.when(F.length(p) > size, F.struct(F.concat(flushed, windows(p, size, overlap)).alias("done"), F.lit("").alias("open")))
-            .when(F.length(joined) <= size, F.struct(s["done"].alias("done"), joined.alias("open")))
-            .otherwise(F.struct(flushed.alias("done"), p.alias("open")))
-        )
-
-    return F.aggregate(paras, empty, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    empty = F.struct(F.expr("cast(array() AS array<int>)").alias("starts"), F.lit(size).alias("open"), F.lit(0).alias("i"))
+
+    def step(s: Column, n: Column) -> Column:  # ``open``: characters of the open chunk; ``size`` where nothing fits
+        joined = s["open"] + 2 + n
+        fits = joined <= size
+        return F.struct(F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["i"]))).alias("starts"), F.when(fits, joined).otherwise(F.least(n, F.lit(size))).alias("open"), (s["i"] + 1).alias("i"))
+
+    def chunk(p: Column, starts: Column, at: Column, k: Column) -> Column:
+        upto = F.coalesce(F.get(starts, k + 1), F.size(p))
+        return let(F.array_join(F.slice(p, at + 1, upto - at), "\n\n"), lambda t: F.when(F.length(t) > size, windows(t, size, overlap)).otherwise(F.array(t)))
+
+    starts = lambda p: F.aggregate(F.transform(p, F.length), empty, step, lambda s: s["starts"])
+    return let(paras, lambda p: let(starts(p), lambda s: F.flatten(F.transform(s, lambda at, k: chunk(p, s, at, k)))))
 
 
 def clip_on_word(c: Column, most: int, trailing: str = r" ,;:\-–—", mark: str = "…") -> Column:

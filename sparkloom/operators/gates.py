@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom import config as C
 from sparkloom.functions.text import strip
-from sparkloom.operators.kpi import nearest_rank
+from sparkloom.operators.selection import nearest_rank
 
 CASE = """case_id string, must_include array<string>, must_not_include array<string>, required_sections array<string>, min_words int, max_words int,
 requires_ordered_steps boolean, requires_table boolean, expects_refusal boolean, gated boolean, output string, ok boolean, latency_ms int"""

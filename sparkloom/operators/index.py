@@ -1,4 +1,7 @@
-"""Chunks, postings and lexical ranking as relational tables."""
+"""Chunks, postings and lexical ranking as relational tables.
+
+``bm25`` scores the chunks that it is given; ``bm25_top`` and ``bm25_above`` read a persisted index (``sources.lexicon``).
+"""
 
 from __future__ import annotations
 
@@ -8,16 +11,17 @@ from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Ranking
 from sparkloom.functions.text import let, pack_paragraphs, tokens
+from sparkloom.sources.store import scratch
 
 
 #: More distinct query terms than this are joined, not written into the plan.
 VOCABULARY = 20_000
 
 
-def chunks(docs: DataFrame, cfg: Ranking = DEFAULT.ranking) -> DataFrame:
+def chunks(docs: DataFrame, cfg: Ranking = DEFAULT.ranking, keep: list[str] | None = None) -> DataFrame:
     """doc_id, chunk_no, text: every whole document packed by paragraphs; null and blank texts have no chunks."""
     packed = pack_paragraphs(F.col("text"), cfg.chunk_chars, cfg.overlap_chars)
-    return docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
+    return docs.filter("text IS NOT NULL").select(*(keep or ()), "doc_id", F.posexplode(packed).alias("chunk_no", "text"))
 
 
 def postings(parts: DataFrame) -> DataFrame:
@@ -26,11 +30,16 @@ def postings(parts: DataFrame) -> DataFrame:
     return listed.select("doc_id", "chunk_no", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "chunk_no", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def idf_of(terms: DataFrame, n_chunks: int | Column) -> DataFrame:
+    """term, df, idf = ln(1 + (N - df + 1/2) / (df + 1/2)) of (term, df)."""
+    n = F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks
+    return terms.select("term", "df", F.log(F.lit(1.0) + (n - F.col("df") + F.lit(0.5).cast("double")) / (F.col("df") + F.lit(0.5).cast("double"))).alias("idf"))
+
+
 def term_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """term, df, idf = ln(1 + (N - df + 1/2) / (df + 1/2))."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.col("n_chunks") - F.col("df") + F.lit(0.5).cast("double")) / (F.col("df") + F.lit(0.5).cast("double")))
-    return df.join(F.broadcast(stats.select("n_chunks")), how="cross").select("term", "df", idf.alias("idf"))
+    """term, df, idf of postings, with ``n_chunks`` of ``stats``."""
+    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats.select("n_chunks")), how="cross")
+    return idf_of(df, F.col("n_chunks"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -38,7 +47,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def _counted(found: Column) -> Column:
+def counted(found: Column) -> Column:
     """(term, tf) of an array of terms: the runs of the sorted array."""
     runs = lambda t: F.filter(F.transform(t, lambda x, i: F.struct(i.alias("i"), ((i == 0) | (F.get(t, i - 1) != x)).alias("first"))), lambda x: x["first"])
     ends = lambda t, r: F.transform(r, lambda x, j: F.struct(F.get(t, x["i"]).alias("term"), (F.coalesce(F.get(r, j + 1)["i"], F.size(t)) - x["i"]).cast("long").alias("tf")))
@@ -56,11 +65,11 @@ def _listed(parts: DataFrame, terms: DataFrame, distinct: bool) -> DataFrame:
     if len(vocabulary) <= VOCABULARY:
         among = ", ".join(f"'{w}'" for w in sorted(vocabulary)) or "NULL"  # tokens hold letters, digits and _ only
         own = listed.select("doc_id", "chunk_no", "len", F.expr(f"filter(t, x -> x IN ({among}))").alias("t"))
-        return own.select("doc_id", "chunk_no", "len", _counted(F.col("t")).alias("hits"))
+        return own.select("doc_id", "chunk_no", "len", counted(F.col("t")).alias("hits"))
     rows = listed.select("doc_id", "chunk_no", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    counted = rows.groupBy("doc_id", "chunk_no", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("doc_id", "chunk_no").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))
+    summed = rows.groupBy("doc_id", "chunk_no", "term").agg(F.count(F.lit(1)).alias("tf")).groupBy("doc_id", "chunk_no").agg(F.collect_list(F.struct("term", "tf")).alias("hits"))
     none = F.expr("cast(array() AS array<struct<term: string, tf: bigint>>)")
-    return listed.select("doc_id", "chunk_no", "len").join(counted, ["doc_id", "chunk_no"], "left").select("doc_id", "chunk_no", "len", F.coalesce("hits", none).alias("hits"))
+    return listed.select("doc_id", "chunk_no", "len").join(summed, ["doc_id", "chunk_no"], "left").select("doc_id", "chunk_no", "len", F.coalesce("hits", none).alias("hits"))
 
 
 def _corpus(listed: DataFrame) -> DataFrame:
@@ -104,3 +113,77 @@ def ranked(scores: DataFrame) -> DataFrame:
 def top_per_query(scores: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query."""
     return ranked(scores).filter(F.col("rank") <= k)
+
+
+# over a persisted index -----------------------------------------------------------------------------------------------
+
+#: Rows of query terms that a task may hold beside the postings; more of them are joined as their sizes ask.
+HELD_TERMS = 500_000
+#: Sums of the same weights in another order differ by less than this.
+_NEARLY = 1e-9
+
+
+def asked_terms(lexicon, queries: DataFrame) -> DataFrame:
+    """qid, term, idf, bound: the terms of the queries that the index has, and the most that each can add to a score."""
+    idf = F.log(F.lit(1.0) + (F.lit(lexicon.n_chunks) - F.col("df") + F.lit(0.5).cast("double")) / (F.col("df") + F.lit(0.5).cast("double")))
+    return query_terms(queries).join(lexicon.terms, "term").select("qid", "term", idf.alias("idf"), (idf * F.col("impact") * F.lit(lexicon.slack)).alias("bound"))
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(HELD_TERMS + 1).count() <= HELD_TERMS else rows
+
+
+def _added(lexicon, postings: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_no, score: sums of the weights of (qid, doc_id, chunk_no, len, tf, idf)."""
+    cfg, avg = lexicon.cfg, lexicon.avg_len
+    norm = cfg.k1 * (F.lit(1 - cfg.b) + cfg.b * F.col("len") / F.lit(avg or 1.0))
+    return postings.groupBy("qid", "doc_id", "chunk_no").agg(F.sum(F.col("idf") * F.col("tf") * F.lit(cfg.k1 + 1) / (F.col("tf") + norm)).alias("score"))
+
+
+def bm25_all(lexicon, asked: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_no, score of every chunk that has a term of the query; summed where the postings lie."""
+    return _added(lexicon, lexicon.postings.join(_held(asked.select("qid", "term", "idf")), "term"))
+
+
+def bm25_above(lexicon, asked: DataFrame, floors: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_no, score of the chunks that reach the ``floor`` of their query (qid, floor), and of some below.
+
+    In order of their bounds the least terms of a query whose bounds sum up to less than its floor cannot lift a chunk
+    over it by themselves. Only the others' postings are read for all chunks; of the chunks that they give, those stay
+    that reach the floor with all that the rest might add, and only for these the rest is looked up. Both steps are
+    sums by chunk, where the postings lie; no window has more rows than a query has terms."""
+    rising = W.partitionBy("qid").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
+    split = asked.join(floors, "qid").withColumn("upto", F.sum("bound").over(rising)).withColumn("rest", F.col("upto") < F.col("floor") - _NEARLY)
+    split = scratch(split.select("qid", "term", "idf", "bound", "floor", "rest"))
+    leads = _added(lexicon, lexicon.postings.join(_held(split.filter("NOT rest").select("qid", "term", "idf")), "term"))
+    may_add = split.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("rest"), F.col("bound"))), F.lit(0.0)).alias("more"), F.first("floor").alias("floor"))
+    able = scratch(leads.join(_held(may_add), "qid").filter(F.col("score") + F.col("more") >= F.col("floor") - _NEARLY).select("qid", "doc_id", "chunk_no", "score"))
+    rest = split.filter("rest").select("qid", "term", "idf")
+    looked_up = able.select("qid", "doc_id", "chunk_no").join(lexicon.postings, ["doc_id", "chunk_no"]).join(_held(rest), ["qid", "term"])
+    return able.unionByName(_added(lexicon, looked_up)).groupBy("qid", "doc_id", "chunk_no").agg(F.sum("score").alias("score"))
+
+
+def floors_of(lexicon, asked: DataFrame, k: int, lead: int = 4) -> DataFrame:
+    """qid, floor: a score that the k best chunks of each query reach; 0 where fewer are known.
+
+    It is the k-th best of the sums over the query's ``lead`` terms of the highest bounds, which are parts of scores."""
+    first = W.partitionBy("qid").orderBy(F.desc("bound"), "term")
+    some = asked.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= lead).select("qid", "term", "idf")
+    parts = top_per_query(_added(lexicon, lexicon.postings.join(_held(some), "term")), k)
+    kth = parts.filter(F.col("rank") == k).select("qid", "score")
+    return asked.select("qid").distinct().join(kth, "qid", "left").select("qid", F.coalesce("score", F.lit(0.0)).alias("floor"))
+
+
+def bm25_top(lexicon, queries: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, chunk_no, score, rank of the k best chunks of each query."""
+    asked = scratch(asked_terms(lexicon, queries))
+    return top_per_query(bm25_above(lexicon, asked, floors_of(lexicon, asked, k)), k)
+
+
+def legacy_top(lexicon, queries: DataFrame, k: int) -> DataFrame:
+    """As ``legacy_rank`` over the index: the k best chunks of each query."""
+    terms = query_terms(queries).join(lexicon.terms.select("term", "df"), "term")
+    weight = F.log((F.lit(1.0) + lexicon.n_chunks) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    sizes = lexicon.postings.groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("distinct"))
+    summed = lexicon.postings.join(_held(scratch(terms.select("qid", "term", weight.alias("w")))), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum("w").alias("w"))
+    return top_per_query(summed.join(sizes, ["doc_id", "chunk_no"]).select("qid", "doc_id", "chunk_no", (F.col("w") / F.col("distinct")).alias("score")), k)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, KPI_MEANS, PROXY
+from sparkloom.operators.selection import nearest_rank
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -14,30 +14,6 @@ def ratio(n: Column, d: Column) -> Column:
     return F.coalesce(F.bround(F.when(d > 0, n / d), 4), F.lit(0.0))
 
 
-def nearest_rank(values: DataFrame, value: str, fractions: dict[str, float], by: list[str] | None = None, *, index=lambda f, n: F.bround(f * (n - 1)), bins: int = 4096) -> DataFrame:
-    """The values at place ``index(fraction, count)`` of the sorted values, a column per fraction; null for none.
-
-    Values are counted in bins between their extremes; only the bins that hold a wanted place are sorted, so no group
-    is gathered in one task. The default place is round_half_even(f * (n - 1))."""
-    by = by or []
-    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    rows = values.select(key.alias("key"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    span = rows.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count(F.lit(1)).alias("n"))
-    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
-    same = F.col("r.key").eqNullSafe(F.col("s.key"))
-    binned = rows.alias("r").join(span.alias("s"), same).select("r.key", "v", bin_.alias("bin"))
-    counts = binned.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("here"))
-    upto = counts.withColumn("upto", F.sum("here").over(W.partitionBy("key").orderBy("bin")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(index(F.lit(f), F.col("n")), F.lit(0)).cast("long").alias("at")) for name, f in fractions.items()]))
-    asked = span.select("key", wanted.alias("w")).select(F.col("key").alias("k"), "w.name", "w.at")
-    holding = upto.join(asked, F.col("key").eqNullSafe(F.col("k"))).filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("here")))
-    target = holding.select("k", "name", F.col("bin").alias("b"), (F.col("at") - (F.col("upto") - F.col("here"))).alias("inside"))
-    inside = binned.join(target.select("k", "b").distinct(), F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b"))).withColumn("nth", F.row_number().over(W.partitionBy("key", "bin").orderBy("v")) - 1).select("key", "bin", "nth", "v")
-    picked = inside.join(target, F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b")) & (F.col("nth") == F.col("inside")))
-    pivoted = picked.groupBy("key").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions])
-    return pivoted.select(*[F.col("key").getField(c).alias(c) for c in by], *fractions)
-
-
 def last_runs(runs: DataFrame, n: int = DEFAULT.limits.retained_runs) -> DataFrame:
     """The latest runs of (recorded_at, seq): a top-n, not a sort of everything."""
     return runs.orderBy(F.desc("recorded_at"), F.desc("seq")).limit(n)

@@ -2,40 +2,113 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULT, Ranking
 from sparkloom.functions.text import tokens
+from sparkloom.operators.selection import positions, rank_among
+from sparkloom.sources.store import scratch
+
+#: Queries of a pass over the vectors, and of one matrix product.
+PASS, BLOCK = 65_536, 1_024
+
+
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, and which of the array's rows they are; null and empty vectors are left out."""
+    lists = pa.compute.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lists)
+    if not len(rows):
+        return np.zeros((0, 0)), rows
+    flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(rows), -1), rows
+
+
+def _passes(queries: DataFrame) -> Iterator:
+    """The queries (ids, matrix) of each pass: those of one part by hash, some ``PASS`` of them at most, as a broadcast."""
+    n = queries.count()
+    parts = -(-n * 2 // PASS) if n > PASS else 1
+    for k in range(parts if n else 0):
+        part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k) if parts > 1 else queries
+        found = part.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).toArrow().combine_chunks()
+        if found.num_rows:
+            matrix, rows = _matrix(found["embedding"].combine_chunks())
+            yield queries.sparkSession.sparkContext.broadcast((found["vec_id"].to_numpy()[rows], matrix))
+
+
+_PAIRS = "q_id long, vec_id long, score double"
+
+
+def _pairs(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["q_id", "vec_id", "score"])
+
+
+def _scored(known, k: int | None):
+    """Scores of a pass's queries with a task's vectors, block by block as matrix products: all of them, or the k best of
+    the task for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = known.value
+        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            v, rows = _matrix(b.column(1))
+            ids = b.column(0).to_numpy()[rows]
+            if not len(ids):
+                continue
+            for at in range(0, len(q_ids), BLOCK):
+                own = q_ids[at : at + BLOCK]
+                s = q[at : at + BLOCK] @ v.T
+                pairs = np.broadcast_to(own[:, None], s.shape)[other := own[:, None] != ids[None, :]], np.broadcast_to(ids, s.shape)[other], s[other]
+                if k is None:
+                    yield _pairs(*pairs)
+                    continue
+                if at in best:
+                    pairs = tuple(np.concatenate(x) for x in zip(best[at], pairs, strict=True))
+                order = np.lexsort((pairs[1], -np.round(pairs[2], 9), pairs[0]))
+                pairs = tuple(x[order] for x in pairs)
+                begins = np.concatenate(([0], np.flatnonzero(np.diff(pairs[0])) + 1)) if len(order) else np.zeros(0, int)
+                place = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+                best[at] = tuple(x[place < k] for x in pairs)
+        for pairs in best.values():
+            yield _pairs(*pairs)
+
+    return run
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+def _each_pass(embeddings: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    found = None
+    for known in _passes(queries):
+        one = vectors.mapInArrow(_scored(known, k), _PAIRS)
+        found = one if found is None else found.unionByName(one)
+    return embeddings.sparkSession.createDataFrame([], _PAIRS) if found is None else found
 
 
 def dense_scores(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
     """q_id, vec_id, score of every vector but the query's own, for each query of ``queries`` (vec_id, embedding).
 
-    A small set of queries is broadcast; a larger one meets the vectors partition by partition."""
-    q = queries.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    return embeddings.join(q, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
+    The queries are taken in passes of a bounded size; a task multiplies each of its Arrow batches with blocks of them.
+    Null vectors have no scores."""
+    return _each_pass(embeddings, queries, None)
 
 
-def spread_rank(rows: DataFrame, by: list[str], ties: list[str], bins: int = 4096) -> DataFrame:
-    """``rows`` with ``rank``: by score to nine places, then ``ties``, within ``by``.
+def dense_top(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """q_id, rank, vec_id, score of the k best vectors of each query: by score to nine places, then vec_id.
 
-    Scores are cut into bins between their extremes; counts of the bins before give each bin's first rank, so a group
-    is never sorted in one task, however large it is."""
-    s = F.round("score", 9)
-    span = rows.groupBy(*by).agg(F.min(s).alias("low"), F.max(s).alias("high"))
-    bin_ = F.when(F.col("high") > F.col("low"), F.least(F.lit(bins - 1), F.floor((F.col("high") - s) / (F.col("high") - F.col("low")) * bins).cast("int"))).otherwise(0)
-    binned = rows.join(span, by).withColumn("bin", bin_).drop("low", "high")
-    counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("here"))
-    before = counts.withColumn("before", F.sum("here").over(W.partitionBy(*by).orderBy("bin")) - F.col("here")).drop("here")
-    inside = binned.withColumn("inside", F.row_number().over(W.partitionBy(*by, "bin").orderBy(F.desc(s), *ties)))
-    return inside.join(before, [*by, "bin"]).withColumn("rank", (F.col("before") + F.col("inside")).cast("long")).drop("bin", "before", "inside")
+    Tasks keep k a query, so that is all that is shuffled."""
+    order = W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return _each_pass(embeddings, queries, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def spread_rank(rows: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """``rows`` with ``rank``: by score to nine places, then ``ties``, within ``by``; no group is sorted in one task."""
+    return positions(rows, by, [-F.round("score", 9), *(F.col(t) for t in ties)])
 
 
 def rrf(channels: DataFrame, k: int = DEFAULT.ranking.rrf_k) -> DataFrame:
@@ -43,11 +116,46 @@ def rrf(channels: DataFrame, k: int = DEFAULT.ranking.rrf_k) -> DataFrame:
 
     Scores of 0 or less are unranked; ties go to the smaller doc_id; channels without a positive score don't count."""
     ranked = spread_rank(channels.filter("score > 0"), ["channel"], ["doc_id"])
-    n = channels.filter("score > 0").agg(F.count_distinct("channel").alias("n"))
+    n = ranked.agg(F.count_distinct("channel").alias("n"))
     fused = ranked.groupBy("doc_id").agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("s"))
     return fused.join(F.broadcast(n), how="cross").select("doc_id", (F.col("s") * (k + 1) / F.col("n")).alias("score"))
 
 
+def fused_top(channels: DataFrame, top_k: int, slack: float, k: int = DEFAULT.ranking.rrf_k, first: int = 128) -> DataFrame:
+    """qid, doc_id, chunk_no, score by reciprocal rank fusion of (qid, channel, doc_id, chunk_no, score), as ``rrf``: of each
+    query all rows whose score is within ``slack`` of its ``top_k``-th.
+
+    A threshold algorithm: the first ranks of each channel are read, ``first`` of them and then four times as many at each
+    step, until no row that has not been read can come near: it adds at most 1 / (k + r + 1) in a channel whose first r
+    ranks were read. Ranks that rows have in channels where they were not read come from counts (``rank_among``)."""
+    keys, place = ["qid", "doc_id", "chunk_no"], W.partitionBy("qid", "channel").orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")
+    rows = channels.filter("score > 0").select("qid", "channel", "doc_id", "chunk_no", "score")
+    sizes = scratch(rows.groupBy("qid", "channel").agg(F.count(F.lit(1)).alias("size")))
+    active = sizes.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.collect_list("size").alias("sizes"))
+    r = first
+    while True:
+        read = rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= r)
+        known = scratch(read.groupBy(*keys).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("s"), F.collect_set("channel").alias("seen")))
+        scale = lambda c: c * (k + 1) / F.col("n")
+        by_score = W.partitionBy("qid").orderBy(F.desc("s"), "doc_id", "chunk_no")
+        kth = known.withColumn("pos", F.row_number().over(by_score)).filter(F.col("pos") == top_k).select("qid", F.col("s").alias("kth"))
+        # the least score that counts: that of the top_k-th row known so far is a lower bound, for its unread ranks add to it
+        floor = active.join(kth, "qid", "left").select("qid", "n", "sizes", F.coalesce(scale(F.col("kth")) - slack, F.lit(float("-inf"))).alias("floor"))
+        unread = F.expr(f"aggregate(sizes, 0D, (t, x) -> t + if(x > {r}, 1D / ({k + r + 1}), 0D))")
+        floor = scratch(floor.select("qid", "n", "floor", scale(unread).alias("open"), unread.alias("unread")))
+        if not floor.filter("open > 0 AND open >= floor").limit(1).count():
+            break
+        r *= 4
+    near = known.join(floor, "qid").filter(scale(F.col("s") + F.col("unread")) >= F.col("floor") - 1e-9).select(*keys, "s", "seen", "n")
+    near = scratch(near)
+    missing = near.filter(F.size("seen") < F.col("n")).select(*keys, "seen").join(sizes.select("qid", "channel"), "qid").filter(~F.expr("array_contains(seen, channel)")).select("qid", "channel", "doc_id", "chunk_no")
+    later = rank_among(rows, missing, ["qid", "channel"], F.round("score", 9), ["doc_id", "chunk_no"]).groupBy(*keys).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("later"))
+    exact = scratch(near.join(later, keys, "left").select(*keys, ((F.col("s") + F.coalesce("later", F.lit(0.0))) * (k + 1) / F.col("n")).alias("score")))
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
+    last = exact.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") == top_k).select("qid", F.col("score").alias("kth"))
+    return exact.join(F.broadcast(last), "qid", "left").filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth") - slack - 1e-9)).select(*keys, "score")
+
+
 def hint_boost(scored: DataFrame, text: str, hints: list[str], bonus: float = DEFAULT.ranking.hint_bonus) -> DataFrame:
     """Adds ``bonus`` for each hint inside the text, up to a score of 1, to six places."""
     hits = F.aggregate(F.array(*[F.lit(h.lower()) for h in hints]), F.lit(0.0), lambda t, h: t + F.when(F.lower(F.col(text)).contains(h), bonus).otherwise(0.0))
@@ -60,59 +168,62 @@ def budget(ranked: DataFrame, most: int = DEFAULT.ranking.context_chars, part: s
     return ranked.withColumn("before", before).filter(F.col("before") < most).withColumn("text", F.substr("text", F.lit(1), (F.lit(most) - F.col("before")).cast("int"))).drop("before")
 
 
+def token_hashes(text: Column) -> Column:
+    """The distinct tokens of a text as hashes: what ``mmr`` compares."""
+    return F.transform(F.array_distinct(tokens(text)), lambda t: F.xxhash64(t))
+
+
 def mmr(candidates: DataFrame, k: int = DEFAULT.ranking.top_k, lam: float = DEFAULT.ranking.mmr_lambda) -> DataFrame:
-    """Maximal marginal relevance per qid over (qid, doc_id, chunk_no, score, text): k rows, again by score.
+    """Maximal marginal relevance per qid over (qid, doc_id, chunk_no, score, tokens): k rows, again by score, with ``rank``.
+
+    ``tokens`` are hashes of a chunk's distinct tokens (``token_hashes``); texts are joined to what was selected.
 
     The selection is sequential. It runs on what can be selected at all: redundancy lies in [0, 1], so a row that scores
     less than the k-th by more than (1 - lam) / lam never is. That bound keeps groups small before they meet in one task.
     Scores count to nine places, so that copies tie whatever order their sums were made in.
     """
-    candidates = candidates.withColumn("score", F.round("score", 9))
+    candidates = candidates.select("qid", "doc_id", "chunk_no", F.round("score", 9).alias("score"), "tokens")
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
     kth = candidates.select("qid", "doc_id", "chunk_no", "score").withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= k).groupBy("qid").agg(F.min("score").alias("kth"))
-    able = candidates.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit((1 - lam) / lam)).withColumn("pos", F.row_number().over(order)).withColumn("tokens", F.array_distinct(tokens(F.col("text"))))
+    able = candidates.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit((1 - lam) / lam)).drop("kth")
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos").reset_index(drop=True)
-        sets, gain = [set(t) for t in group["tokens"]], (lam * group["score"]).tolist()
-        chosen, worst, seen = [], [0.0] * len(sets), [0] * len(sets)  # redundancy with the first ``seen`` of the chosen
-        while len(chosen) < min(k, len(sets)):
+        group = group.sort_values(["score", "doc_id", "chunk_no"], ascending=[False, True, True]).reset_index(drop=True)
+        listed, gain, sets = group["tokens"], (lam * group["score"]).tolist(), {}
+        chosen, worst, seen = [], [0.0] * len(gain), [0] * len(gain)  # redundancy with the first ``seen`` of the chosen
+        while len(chosen) < min(k, len(gain)):
             best, value = None, 0.0
-            for i, x in enumerate(sets):
+            for i in range(len(gain)):
                 if best is not None and gain[i] <= value:
                     break  # by score: none of the rest can be better
                 if i in chosen:
                     continue
+                x = sets[i] if i in sets else sets.setdefault(i, set(listed[i].tolist()))
                 for j in chosen[seen[i] :]:
                     worst[i] = max(worst[i], len(x & sets[j]) / len(x | sets[j]) if x and sets[j] else 0.0)
                 seen[i] = len(chosen)
                 if best is None or gain[i] - (1 - lam) * worst[i] > value:
                     best, value = i, gain[i] - (1 - lam) * worst[i]
             chosen.append(best)
-        return group.loc[sorted(chosen), ["qid", "doc_id", "chunk_no", "score", "text"]]
+        return group.loc[sorted(chosen), ["qid", "doc_id", "chunk_no", "score"]]
 
-    picked = able.select("qid", "doc_id", "chunk_no", "score", "text", "pos", "tokens").groupBy("qid").applyInPandas(select, "qid long, doc_id long, chunk_no int, score double, text string")
+    picked = able.groupBy("qid").applyInPandas(select, "qid long, doc_id long, chunk_no int, score double")
     return picked.withColumn("rank", F.row_number().over(order))
 
 
-def hybrid(parts: DataFrame, queries: DataFrame, dense: DataFrame | None, cfg: Ranking = DEFAULT.ranking, hints: list[str] | None = None) -> DataFrame:
-    """Ranked context per query: BM25 and dense scores (qid, doc_id, score) fused, boosted, diversified, within budget."""
-    from sparkloom.operators.index import bm25
+def hybrid(lexicon, queries: DataFrame, dense: DataFrame | None, cfg: Ranking = DEFAULT.ranking, hints: list[str] | None = None) -> DataFrame:
+    """Ranked context per query: BM25 over a persisted index and dense scores (qid, doc_id, score), fused, boosted,
+    diversified and within budget. Texts are read for what can be selected at all, and not shuffled for it."""
+    from sparkloom.operators.index import asked_terms, bm25_all
 
-    lexical = bm25(parts, queries, cfg).select("qid", "doc_id", "chunk_no", "score", F.lit(1).alias("channel"))
-    both = lexical
+    both = bm25_all(lexicon, scratch(asked_terms(lexicon, queries))).select("qid", "doc_id", "chunk_no", "score", F.lit(1).alias("channel"))
     if dense is not None:
-        spread = parts.select("doc_id", "chunk_no").join(dense, "doc_id").select("qid", "doc_id", "chunk_no", "score", F.lit(2).alias("channel"))
-        both = lexical.unionByName(spread)
-    order = W.partitionBy("qid", "channel").orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")
-    ranked = both.filter("score > 0").withColumn("rank", F.row_number().over(order))
-    active = ranked.groupBy("qid").agg(F.count_distinct("channel").alias("n"))
-    fused = ranked.groupBy("qid", "doc_id", "chunk_no").agg(F.sum(F.lit(1.0) / (cfg.rrf_k + F.col("rank"))).alias("s")).join(active, "qid")
-    scored = fused.select("qid", "doc_id", "chunk_no", (F.col("s") * (cfg.rrf_k + 1) / F.col("n")).alias("score"))
-    # what can be selected at all, even with every hint: the bound of mmr, less the largest boost
-    kth = scored.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no"))).filter(F.col("pos") <= cfg.top_k).groupBy("qid").agg(F.min("score").alias("kth"))
+        spread = lexicon.chunks.select("doc_id", "chunk_no").join(dense, "doc_id").select("qid", "doc_id", "chunk_no", "score", F.lit(2).alias("channel"))
+        both = both.unionByName(spread)
+    # what can be selected at all, even with every hint: the bound of mmr, and the largest boost
     slack = (1 - cfg.mmr_lambda) / cfg.mmr_lambda + cfg.hint_bonus * len(hints or ())
-    able = scored.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit(slack)).drop("kth")
-    texted = able.join(parts, ["doc_id", "chunk_no"])
+    able = fused_top(scratch(both), cfg.top_k, slack, cfg.rrf_k)
+    texted = able.join(lexicon.chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
     boosted = hint_boost(texted, "text", hints) if hints else texted
-    return budget(mmr(boosted, cfg.top_k, cfg.mmr_lambda), cfg.context_chars)
+    picked = mmr(boosted.withColumn("tokens", token_hashes(F.col("text"))), cfg.top_k, cfg.mmr_lambda)
+    return budget(picked.join(lexicon.chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"]), cfg.context_chars)

@@ -70,16 +70,19 @@ _RRF = f"""ch AS (SELECT q.vec_id AS channel, e.vec_id AS doc_id, {_DOT} AS scor
 
 
 def _mmr(source: str, k: int = 8, lam: float = 0.82) -> str:
-    """The relation mmr (qid, rank, doc_id, chunk_no, score, text): k rounds of a fold over each query's candidates
-    (``source``: qid, doc_id, chunk_no, score, text)."""
-    jaccard = "list_transform([len(list_intersect(t[i], t[j]))], lambda n: CASE WHEN len(t[i]) = 0 OR len(t[j]) = 0 THEN 0.0::DOUBLE ELSE n / (len(t[i]) + len(t[j]) - n)::DOUBLE END)[1]"
-    value = f"CASE WHEN list_contains(a, i) THEN -9.0::DOUBLE ELSE {lam}::DOUBLE * sc[i] - {1 - lam!r}::DOUBLE * coalesce(list_max(list_transform(a, lambda j: {jaccard})), 0.0::DOUBLE) END"
+    """The relation mmr (qid, rank, doc_id, chunk_no, score, text): k rounds over each query's candidates (``source``: qid,
+    doc_id, chunk_no, score, text). A round takes the best value and compares all rows with what it took."""
+    rounds = ["r0 AS (SELECT qid, pos, score, tok, 0.0::DOUBLE AS worst, false AS taken FROM able)"]
+    for i in range(1, k + 1):
+        rounds.append(f"""p{i} AS MATERIALIZED (SELECT qid, arg_min(pos, (worst * {1 - lam!r}::DOUBLE - score * {lam}::DOUBLE, pos)) AS pos FROM r{i - 1} WHERE NOT taken GROUP BY 1),
+        r{i} AS MATERIALIZED (SELECT r.qid, r.pos, r.score, r.tok, taken OR coalesce(r.pos = l.pos, false) AS taken, greatest(worst, CASE WHEN taken OR l.pos IS NULL OR len(r.tok) = 0 OR len(l.tok) = 0 THEN 0.0::DOUBLE
+            ELSE list_transform([len(list_intersect(r.tok, l.tok))], lambda n: n / (len(r.tok) + len(l.tok) - n)::DOUBLE)[1] END) AS worst
+            FROM r{i - 1} r LEFT JOIN (SELECT able.qid, able.pos, able.tok FROM able JOIN p{i} USING (qid, pos)) l USING (qid))""")
     return f"""cand AS (SELECT qid, doc_id, chunk_no, score, text, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_no) AS pos FROM {source}),
     lim AS (SELECT qid, min(score) AS kth FROM cand WHERE pos <= {k} GROUP BY 1),
-    able AS (SELECT c.* FROM cand c JOIN lim USING (qid) WHERE score >= kth - {(1 - lam) / lam!r}::DOUBLE),
-    grp AS (SELECT qid, list(score ORDER BY pos) AS sc, list(list_distinct({_TOKENS.format(t="text")}) ORDER BY pos) AS t, count(*) AS n FROM able GROUP BY 1),
-    sel AS (SELECT qid, list_reduce(list_transform(range(least(n, {k})), lambda x: CAST([] AS BIGINT[])), lambda a, b: list_append(a, list_transform([list_transform(range(1, n + 1), lambda i: {value})], lambda v: list_position(v, list_max(v)))[1]), CAST([] AS BIGINT[])) AS picked FROM grp),
-    mmr AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_no) AS rank, doc_id, chunk_no, score, text FROM able JOIN (SELECT qid, unnest(picked) AS pos FROM sel) USING (qid, pos))"""
+    able AS MATERIALIZED (SELECT c.*, list_transform(list_distinct({_TOKENS.format(t="text")}), lambda x: hash(x)) AS tok FROM cand c JOIN lim USING (qid) WHERE score >= kth - {(1 - lam) / lam!r}::DOUBLE),
+    {", ".join(rounds)},
+    mmr AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY able.score DESC, doc_id, chunk_no) AS rank, doc_id, chunk_no, able.score AS score, text FROM able JOIN (SELECT qid, pos FROM r{k} WHERE taken) USING (qid, pos))"""
 
 
 _CASES = rf"""conv AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS said, string_split(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), ''), ' ') AS w FROM conversations GROUP BY 1),

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from sparkloom import config as C
 from sparkloom.functions import rules, text as T
 from sparkloom.operators import compose, files, gates, index, ireval, kpi, rank, structure
+from sparkloom.operators.selection import nearest_rank, positions
+from sparkloom.sources.lexicon import Lexicon
+from sparkloom.sources.store import scratch
 from sparkloom.sources.workspace import cached_results, html_text
 from sparkloom.streaming import limiter, rollups
 
@@ -30,6 +33,11 @@ def _chunks(s, d):
     return index.chunks(_docs(s, d).select("doc_id", "text"))
 
 
+def _lexicon(s, d):
+    """The persisted index of the documents; only files that it does not know are read."""
+    return Lexicon.of(s, f"{d}/documents.parquet")
+
+
 def _queries(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
@@ -119,29 +127,32 @@ def cache_keys(s, d):
 
 
 def bm25_idf(s, d):
-    parts = _chunks(s, d)
-    return index.term_idf(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    lexicon = _lexicon(s, d)
+    return index.idf_of(lexicon.terms, lexicon.n_chunks).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(s, d):
-    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 10)
+    top = index.bm25_top(_lexicon(s, d), _queries(s, d), 10)
     return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
 def legacy_ranker_topk(s, d):
-    top = index.top_per_query(index.legacy_rank(_chunks(s, d), _queries(s, d)), 10)
+    top = index.legacy_top(_lexicon(s, d), _queries(s, d), 10)
     return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
+def _every_hundredth(s, d):
+    e = table(s, d, "embeddings")
+    return e, e.filter("vec_id % 100 = 0").select("vec_id", "embedding")
+
+
 def _dense(s, d):
     """Scores of all vectors for every vector whose id is divisible by 100."""
-    e = table(s, d, "embeddings")
-    return rank.dense_scores(e, e.filter("vec_id % 100 = 0").select("vec_id", "embedding"))
+    return rank.dense_scores(*_every_hundredth(s, d))
 
 
 def dense_topk(s, d):
-    order = W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return _dense(s, d).withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("q_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+    return rank.dense_top(*_every_hundredth(s, d), 10).select("q_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 def _channels(s, d):
@@ -157,45 +168,49 @@ def hint_boost(s, d):
     return rank.hint_boost(scored, "text", HINTS).select("doc_id", "score")
 
 
+def _top_texts(s, d, queries, k):
+    lexicon = _lexicon(s, d)
+    return index.bm25_top(lexicon, queries, k).join(lexicon.chunks.select("doc_id", "chunk_no", "text"), ["doc_id", "chunk_no"])
+
+
 def context_budget(s, d):
-    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 10).join(_chunks(s, d), ["doc_id", "chunk_no"])
-    return rank.budget(top, 4000).select("qid", "rank", "doc_id", "chunk_no", F.length("text").alias("n_chars"))
+    return rank.budget(_top_texts(s, d, _queries(s, d), 10), 4000).select("qid", "rank", "doc_id", "chunk_no", F.length("text").alias("n_chars"))
 
 
 def source_order(s, d):
     """The sources of each query's ten best chunks, in the order of their best ranks."""
-    top = index.top_per_query(index.bm25(_chunks(s, d), _queries(s, d)), 10).join(_docs(s, d).select("doc_id", "source"), "doc_id")
+    top = index.bm25_top(_lexicon(s, d), _queries(s, d), 10).join(_docs(s, d).select("doc_id", "source"), "doc_id")
     return compose.distinct_sources(top).select("qid", F.array_join("sources", ",").alias("sources"))
 
 
-def _mmr_candidates(scores):
-    """Scores as shares of the best of their query to nine places, without those that the bound of ``rank.mmr`` excludes."""
-    cfg = C.DEFAULT.ranking
-    best = scores.filter("score > 0").groupBy("qid").agg(F.max("score").alias("best"))
-    scaled = scores.filter("score > 0").join(best, "qid").select("qid", "doc_id", "chunk_no", F.round(F.col("score") / F.col("best"), 9).alias("score"))
-    order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    kth = scaled.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= cfg.top_k).groupBy("qid").agg(F.min("score").alias("kth"))
-    return scaled.join(kth, "qid").filter(F.col("score") >= F.col("kth") - F.lit((1 - cfg.mmr_lambda) / cfg.mmr_lambda)).drop("kth")
-
-
 def mmr_select(s, d):
-    able = _mmr_candidates(index.bm25(_chunks(s, d), _queries(s, d))).join(_chunks(s, d), ["doc_id", "chunk_no"])
-    return rank.mmr(able).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+    """MMR over BM25 scores as shares of the best of their query, to nine places. Only chunks that its bound allows are
+    scored: the k-th and the best score of a query are found first."""
+    cfg, lexicon = C.DEFAULT.ranking, _lexicon(s, d)
+    asked = scratch(index.asked_terms(lexicon, _queries(s, d)))
+    top = index.top_per_query(index.bm25_above(lexicon, asked, index.floors_of(lexicon, asked, cfg.top_k)), cfg.top_k)
+    span = scratch(top.groupBy("qid").agg(F.max("score").alias("best"), F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")))
+    share = F.lit((1 - cfg.mmr_lambda) / cfg.mmr_lambda + 1e-6)
+    floors = span.select("qid", F.when(F.col("n") == cfg.top_k, F.col("kth") - share * F.col("best")).otherwise(0.0).alias("floor"))
+    scores = index.bm25_above(lexicon, asked, floors).join(F.broadcast(floors), "qid").filter("score > 0 AND score >= floor").join(F.broadcast(span.select("qid", "best")), "qid")
+    able = scratch(scores.select("qid", "doc_id", "chunk_no", F.round(F.col("score") / F.col("best"), 9).alias("score")))
+    sets = lexicon.postings.join(able.select("doc_id", "chunk_no").distinct(), ["doc_id", "chunk_no"], "left_semi").groupBy("doc_id", "chunk_no").agg(F.collect_list(F.xxhash64("term")).alias("tokens"))
+    return rank.mmr(able.join(sets, ["doc_id", "chunk_no"])).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
 def _query_vectors(s, d):
     """qid, vec_id: the query vector of a benchmark item, by its place among the items; vectors are taken in turn."""
     e, q = table(s, d, "embeddings").select("vec_id"), _queries(s, d).select("qid")
-    place = lambda c: (F.row_number().over(W.orderBy(c)) - 1).alias("place")
-    listed = q.select("qid", place("qid")).join(F.broadcast(e.agg(F.count(F.lit(1)).alias("n"))), how="cross").filter("n > 0")
-    return listed.select("qid", F.expr("place % n").cast("int").alias("place")).join(e.select("vec_id", place("vec_id")), "place").select("qid", "vec_id")
+    n = e.count()
+    place = positions(q, [], [F.col("qid")]).select("qid", F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("place"))
+    return place.join(positions(e, [], [F.col("vec_id")]).select("vec_id", (F.col("rank") - 1).alias("place")), "place").select("qid", "vec_id")
 
 
 def hybrid_context(s, d):
-    e, asked = table(s, d, "embeddings"), _query_vectors(s, d)
+    e, asked = table(s, d, "embeddings"), scratch(_query_vectors(s, d))
     scored = rank.dense_scores(e, e.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").select("vec_id", "embedding"))
     dense = scored.join(asked.withColumnRenamed("vec_id", "q_id"), "q_id").select("qid", F.col("vec_id").alias("doc_id"), "score")
-    found = rank.hybrid(_chunks(s, d), _queries(s, d), dense, hints=HINTS)
+    found = rank.hybrid(_lexicon(s, d), _queries(s, d), dense, hints=HINTS)
     return found.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"), F.length("text").alias("n_chars"))
 
 
@@ -203,8 +218,8 @@ def hybrid_context(s, d):
 
 
 def known_item_queries(s, d):
-    parts = _chunks(s, d)
-    return ireval.known_item_queries(index.postings(parts), parts.agg(F.count(F.lit(1)).alias("n_chunks")))
+    lexicon = _lexicon(s, d)
+    return ireval.known_item_queries(lexicon.postings, s.range(1).select(F.lit(lexicon.n_chunks).alias("n_chunks")))
 
 
 def _benchmark_chunks(s, d):
@@ -397,7 +412,7 @@ def kpi_snapshot(s, d):
 
 
 def latency_percentiles(s, d):
-    return kpi.nearest_rank(_runs(s, d), "total_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["route"])
+    return nearest_rank(_runs(s, d), "total_latency_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["route"])
 
 
 def cost_rollup(s, d):
@@ -484,7 +499,7 @@ def part_classify(s, d):
 
 
 def section_chunks(s, d):
-    scored = _chunks(s, d).withColumn("score", F.lit(1.0) / (1 + F.col("chunk_no")))
+    scored = _lexicon(s, d).chunks.withColumn("score", F.lit(1.0) / (1 + F.col("chunk_no")))
     return structure.section_chunks(scored, C.SECTIONS | LOCAL_SECTIONS).select("section", "rank", "doc_id", "chunk_no", "hits")
 
 
@@ -635,7 +650,7 @@ def deck_documents(s, d):
 def fallback_document(s, d):
     """The document that the ten best chunks of the first benchmark item give without a model."""
     asked = _queries(s, d).orderBy("qid").limit(1)
-    top = index.top_per_query(index.bm25(_chunks(s, d), asked), 10).join(_chunks(s, d), ["doc_id", "chunk_no"])
+    top = _top_texts(s, d, asked, 10)
     made = compose.fallback_document(top, "Notes", sections=LOCAL_SECTIONS)
     return made.select(F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"(?m)^## ")).alias("n_sections"), F.md5("text").alias("digest"))
 
