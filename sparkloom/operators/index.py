@@ -1,6 +1,6 @@
 """Chunks, postings and lexical ranking as relational tables.
 
-``bm25`` scores the chunks that it is given; ``bm25_top`` and ``bm25_above`` read a persisted index (``sources.lexicon``).
+``bm25`` scores the chunks that it is given; ``bm25_all`` and ``bm25_top`` read a persisted index (``sources.lexicon``).
 """
 
 from __future__ import annotations
@@ -119,71 +119,36 @@ def top_per_query(scores: DataFrame, k: int) -> DataFrame:
 
 #: Rows of query terms that a task may hold beside the postings; more of them are joined as their sizes ask.
 HELD_TERMS = 500_000
-#: Sums of the same weights in another order differ by less than this.
-_NEARLY = 1e-9
-
-
-def asked_terms(lexicon, queries: DataFrame) -> DataFrame:
-    """qid, term, idf, bound: the terms of the queries that the index has, and the most that each can add to a score."""
-    idf = F.log(F.lit(1.0) + (F.lit(lexicon.n_chunks) - F.col("df") + F.lit(0.5).cast("double")) / (F.col("df") + F.lit(0.5).cast("double")))
-    return query_terms(queries).join(lexicon.terms, "term").select("qid", "term", idf.alias("idf"), (idf * F.col("impact") * F.lit(lexicon.slack)).alias("bound"))
 
 
 def _held(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.limit(HELD_TERMS + 1).count() <= HELD_TERMS else rows
-
-
-def _added(lexicon, postings: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_no, score: sums of the weights of (qid, doc_id, chunk_no, len, tf, idf)."""
-    cfg, avg = lexicon.cfg, lexicon.avg_len
-    norm = cfg.k1 * (F.lit(1 - cfg.b) + cfg.b * F.col("len") / F.lit(avg or 1.0))
-    return postings.groupBy("qid", "doc_id", "chunk_no").agg(F.sum(F.col("idf") * F.col("tf") * F.lit(cfg.k1 + 1) / (F.col("tf") + norm)).alias("score"))
-
-
-def bm25_all(lexicon, asked: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_no, score of every chunk that has a term of the query; summed where the postings lie."""
-    return _added(lexicon, lexicon.postings.join(_held(asked.select("qid", "term", "idf")), "term"))
-
-
-def bm25_above(lexicon, asked: DataFrame, floors: DataFrame) -> DataFrame:
-    """qid, doc_id, chunk_no, score of the chunks that reach the ``floor`` of their query (qid, floor), and of some below.
-
-    In order of their bounds the least terms of a query whose bounds sum up to less than its floor cannot lift a chunk
-    over it by themselves. Only the others' postings are read for all chunks; of the chunks that they give, those stay
-    that reach the floor with all that the rest might add, and only for these the rest is looked up. Both steps are
-    sums by chunk, where the postings lie; no window has more rows than a query has terms."""
-    rising = W.partitionBy("qid").orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
-    split = asked.join(floors, "qid").withColumn("upto", F.sum("bound").over(rising)).withColumn("rest", F.col("upto") < F.col("floor") - _NEARLY)
-    split = scratch(split.select("qid", "term", "idf", "bound", "floor", "rest"))
-    leads = _added(lexicon, lexicon.postings.join(_held(split.filter("NOT rest").select("qid", "term", "idf")), "term"))
-    may_add = split.groupBy("qid").agg(F.coalesce(F.sum(F.when(F.col("rest"), F.col("bound"))), F.lit(0.0)).alias("more"), F.first("floor").alias("floor"))
-    able = scratch(leads.join(_held(may_add), "qid").filter(F.col("score") + F.col("more") >= F.col("floor") - _NEARLY).select("qid", "doc_id", "chunk_no", "score"))
-    rest = split.filter("rest").select("qid", "term", "idf")
-    looked_up = able.select("qid", "doc_id", "chunk_no").join(lexicon.postings, ["doc_id", "chunk_no"]).join(_held(rest), ["qid", "term"])
-    return able.unionByName(_added(lexicon, looked_up)).groupBy("qid", "doc_id", "chunk_no").agg(F.sum("score").alias("score"))
+    """A small table, written, and broadcast if it has ``HELD_TERMS`` rows at most."""
+    rows = scratch(rows)
+    return F.broadcast(rows) if rows.count() <= HELD_TERMS else rows
 
 
-def floors_of(lexicon, asked: DataFrame, k: int, lead: int = 4) -> DataFrame:
-    """qid, floor: a score that the k best chunks of each query reach; 0 where fewer are known.
+def bm25_all(lexicon, queries: DataFrame) -> DataFrame:
+    """qid, doc_id, chunk_no, score of every chunk that has a term of the query.
 
-    It is the k-th best of the sums over the query's ``lead`` terms of the highest bounds, which are parts of scores."""
-    first = W.partitionBy("qid").orderBy(F.desc("bound"), "term")
-    some = asked.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= lead).select("qid", "term", "idf")
-    parts = top_per_query(_added(lexicon, lexicon.postings.join(_held(some), "term")), k)
-    kth = parts.filter(F.col("rank") == k).select("qid", "score")
-    return asked.select("qid").distinct().join(kth, "qid", "left").select("qid", F.coalesce("score", F.lit(0.0)).alias("floor"))
+    Only the query terms' postings are read, and each chunk's weights are summed where its postings lie. (Skipping terms
+    by bounds on their weights was measured and left out: the frequent terms of a query add up to as much as the k-th
+    score, so nearly every chunk with a rarer term has to be looked up again, which takes longer than adding them.)"""
+    cfg, n = lexicon.cfg, F.lit(lexicon.n_chunks)
+    asked = query_terms(queries).join(idf_of(lexicon.terms, n), "term").select("qid", "term", "idf")
+    norm = cfg.k1 * (F.lit(1 - cfg.b) + cfg.b * F.col("len") / F.lit(lexicon.avg_len or 1.0))
+    weight = F.col("idf") * F.col("tf") * F.lit(cfg.k1 + 1) / (F.col("tf") + norm)
+    return lexicon.postings.join(_held(asked), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum(weight).alias("score"))
 
 
 def bm25_top(lexicon, queries: DataFrame, k: int) -> DataFrame:
-    """qid, doc_id, chunk_no, score, rank of the k best chunks of each query."""
-    asked = scratch(asked_terms(lexicon, queries))
-    return top_per_query(bm25_above(lexicon, asked, floors_of(lexicon, asked, k)), k)
+    """qid, doc_id, chunk_no, score, rank of the k best chunks of each query; tasks put forward k of their own."""
+    return top_per_query(bm25_all(lexicon, queries), k)
 
 
-def legacy_top(lexicon, queries: DataFrame, k: int) -> DataFrame:
-    """As ``legacy_rank`` over the index: the k best chunks of each query."""
-    terms = query_terms(queries).join(lexicon.terms.select("term", "df"), "term")
+def legacy_all(lexicon, queries: DataFrame) -> DataFrame:
+    """As ``legacy_rank`` over the index."""
     weight = F.log((F.lit(1.0) + lexicon.n_chunks) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    asked = query_terms(queries).join(lexicon.terms, "term").select("qid", "term", weight.alias("w"))
     sizes = lexicon.postings.groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("distinct"))
-    summed = lexicon.postings.join(_held(scratch(terms.select("qid", "term", weight.alias("w")))), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum("w").alias("w"))
-    return top_per_query(summed.join(sizes, ["doc_id", "chunk_no"]).select("qid", "doc_id", "chunk_no", (F.col("w") / F.col("distinct")).alias("score")), k)
+    summed = lexicon.postings.join(_held(asked), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum("w").alias("w"))
+    return summed.join(sizes, ["doc_id", "chunk_no"]).select("qid", "doc_id", "chunk_no", (F.col("w") / F.col("distinct")).alias("score"))

@@ -121,34 +121,38 @@ def rrf(channels: DataFrame, k: int = DEFAULT.ranking.rrf_k) -> DataFrame:
     return fused.join(F.broadcast(n), how="cross").select("doc_id", (F.col("s") * (k + 1) / F.col("n")).alias("score"))
 
 
-def fused_top(channels: DataFrame, top_k: int, slack: float, k: int = DEFAULT.ranking.rrf_k, first: int = 128) -> DataFrame:
+def fused_top(channels: DataFrame, top_k: int, slack: float, k: int = DEFAULT.ranking.rrf_k, first: int = 64) -> DataFrame:
     """qid, doc_id, chunk_no, score by reciprocal rank fusion of (qid, channel, doc_id, chunk_no, score), as ``rrf``: of each
-    query all rows whose score is within ``slack`` of its ``top_k``-th.
+    query the rows whose score is within ``slack`` of its ``top_k``-th.
 
-    A threshold algorithm: the first ranks of each channel are read, ``first`` of them and then four times as many at each
-    step, until no row that has not been read can come near: it adds at most 1 / (k + r + 1) in a channel whose first r
-    ranks were read. Ranks that rows have in channels where they were not read come from counts (``rank_among``)."""
+    A threshold algorithm. The ``first`` ranks of each channel are read; the ``top_k``-th score known from them is a lower
+    bound, for unread ranks only add to it. A row that is not among the first r ranks of any channel has (k + 1) /
+    (k + r + 1) at most, so the bound says up to which rank a query's channels have to be read, and no further. Ranks that
+    rows have in channels where they were not read come from counts (``rank_among``). A query with fewer than ``top_k``
+    known rows, or with a bound of 0 or less, is read whole."""
     keys, place = ["qid", "doc_id", "chunk_no"], W.partitionBy("qid", "channel").orderBy(F.desc(F.round("score", 9)), "doc_id", "chunk_no")
     rows = channels.filter("score > 0").select("qid", "channel", "doc_id", "chunk_no", "score")
     sizes = scratch(rows.groupBy("qid", "channel").agg(F.count(F.lit(1)).alias("size")))
-    active = sizes.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.collect_list("size").alias("sizes"))
-    r = first
-    while True:
-        read = rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= r)
-        known = scratch(read.groupBy(*keys).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("s"), F.collect_set("channel").alias("seen")))
-        scale = lambda c: c * (k + 1) / F.col("n")
-        by_score = W.partitionBy("qid").orderBy(F.desc("s"), "doc_id", "chunk_no")
-        kth = known.withColumn("pos", F.row_number().over(by_score)).filter(F.col("pos") == top_k).select("qid", F.col("s").alias("kth"))
-        # the least score that counts: that of the top_k-th row known so far is a lower bound, for its unread ranks add to it
-        floor = active.join(kth, "qid", "left").select("qid", "n", "sizes", F.coalesce(scale(F.col("kth")) - slack, F.lit(float("-inf"))).alias("floor"))
-        unread = F.expr(f"aggregate(sizes, 0D, (t, x) -> t + if(x > {r}, 1D / ({k + r + 1}), 0D))")
-        floor = scratch(floor.select("qid", "n", "floor", scale(unread).alias("open"), unread.alias("unread")))
-        if not floor.filter("open > 0 AND open >= floor").limit(1).count():
-            break
-        r *= 4
-    near = known.join(floor, "qid").filter(scale(F.col("s") + F.col("unread")) >= F.col("floor") - 1e-9).select(*keys, "s", "seen", "n")
-    near = scratch(near)
-    missing = near.filter(F.size("seen") < F.col("n")).select(*keys, "seen").join(sizes.select("qid", "channel"), "qid").filter(~F.expr("array_contains(seen, channel)")).select("qid", "channel", "doc_id", "chunk_no")
+    active = sizes.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    scale = lambda c: c * (k + 1) / F.col("n")
+
+    def known(ranked: DataFrame) -> DataFrame:
+        return ranked.groupBy(*keys).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("s"), F.collect_set("channel").alias("seen"))
+
+    by_score = W.partitionBy("qid").orderBy(F.desc("s"), "doc_id", "chunk_no")
+    kth = known(rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= first)).withColumn("pos", F.row_number().over(by_score)).filter(F.col("pos") == top_k).select("qid", F.col("s").alias("kth"))
+    floor = active.join(kth, "qid", "left").select("qid", "n", (scale(F.col("kth")) - slack - 1e-9).alias("floor"))
+    # ranks to read; null: all of them
+    floor = scratch(floor.withColumn("read", F.when(F.col("floor") > (k + 1) / (k + 1 + (1 << 30)), F.greatest(F.lit(first), F.ceil((k + 1) / F.col("floor")) - k).cast("int"))))
+    most = floor.agg(F.max("read")).first()[0] or 0
+    bounded = rows.join(F.broadcast(floor.filter("read IS NOT NULL").select("qid", "read")), "qid").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= most).filter("rank <= read")
+    whole = rows.join(F.broadcast(floor.filter("read IS NULL").select("qid")), "qid", "left_semi")
+    whole = spread_rank(whole, ["qid", "channel"], ["doc_id", "chunk_no"]) if floor.filter("read IS NULL").limit(1).count() else None
+    found = known(bounded.drop("read") if whole is None else bounded.drop("read").unionByName(whole))
+    # what an unread channel may add at most; whole channels have been seen or add nothing
+    may_add = F.coalesce((F.col("n") - F.size("seen")) / (k + F.col("read") + 1), F.lit(0.0))
+    near = scratch(found.join(floor, "qid").filter(F.col("read").isNull() | (scale(F.col("s") + may_add) >= F.col("floor"))).select(*keys, "s", "seen", "n", "read"))
+    missing = near.filter("read IS NOT NULL AND size(seen) < n").select(*keys, "seen").join(sizes.select("qid", "channel"), "qid").filter("NOT array_contains(seen, channel)").select("qid", "channel", "doc_id", "chunk_no")
     later = rank_among(rows, missing, ["qid", "channel"], F.round("score", 9), ["doc_id", "chunk_no"]).groupBy(*keys).agg(F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("later"))
     exact = scratch(near.join(later, keys, "left").select(*keys, ((F.col("s") + F.coalesce("later", F.lit(0.0))) * (k + 1) / F.col("n")).alias("score")))
     order = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id", "chunk_no")
@@ -214,9 +218,9 @@ def mmr(candidates: DataFrame, k: int = DEFAULT.ranking.top_k, lam: float = DEFA
 def hybrid(lexicon, queries: DataFrame, dense: DataFrame | None, cfg: Ranking = DEFAULT.ranking, hints: list[str] | None = None) -> DataFrame:
     """Ranked context per query: BM25 over a persisted index and dense scores (qid, doc_id, score), fused, boosted,
     diversified and within budget. Texts are read for what can be selected at all, and not shuffled for it."""
-    from sparkloom.operators.index import asked_terms, bm25_all
+    from sparkloom.operators.index import bm25_all
 
-    both = bm25_all(lexicon, scratch(asked_terms(lexicon, queries))).select("qid", "doc_id", "chunk_no", "score", F.lit(1).alias("channel"))
+    both = bm25_all(lexicon, queries).select("qid", "doc_id", "chunk_no", "score", F.lit(1).alias("channel"))
     if dense is not None:
         spread = lexicon.chunks.select("doc_id", "chunk_no").join(dense, "doc_id").select("qid", "doc_id", "chunk_no", "score", F.lit(2).alias("channel"))
         both = both.unionByName(spread)

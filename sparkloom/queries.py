@@ -137,7 +137,7 @@ def bm25_topk(s, d):
 
 
 def legacy_ranker_topk(s, d):
-    top = index.legacy_top(_lexicon(s, d), _queries(s, d), 10)
+    top = index.top_per_query(index.legacy_all(_lexicon(s, d), _queries(s, d)), 10)
     return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
@@ -184,16 +184,12 @@ def source_order(s, d):
 
 
 def mmr_select(s, d):
-    """MMR over BM25 scores as shares of the best of their query, to nine places. Only chunks that its bound allows are
-    scored: the k-th and the best score of a query are found first."""
+    """MMR over BM25 scores as shares of the best of their query, to nine places. Only what its bound leaves gets its terms."""
     cfg, lexicon = C.DEFAULT.ranking, _lexicon(s, d)
-    asked = scratch(index.asked_terms(lexicon, _queries(s, d)))
-    top = index.top_per_query(index.bm25_above(lexicon, asked, index.floors_of(lexicon, asked, cfg.top_k)), cfg.top_k)
-    span = scratch(top.groupBy("qid").agg(F.max("score").alias("best"), F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")))
+    scores = scratch(index.bm25_all(lexicon, _queries(s, d)).filter("score > 0"))
+    top = index.top_per_query(scores, cfg.top_k).groupBy("qid").agg(F.max("score").alias("best"), F.min("score").alias("kth"))
     share = F.lit((1 - cfg.mmr_lambda) / cfg.mmr_lambda + 1e-6)
-    floors = span.select("qid", F.when(F.col("n") == cfg.top_k, F.col("kth") - share * F.col("best")).otherwise(0.0).alias("floor"))
-    scores = index.bm25_above(lexicon, asked, floors).join(F.broadcast(floors), "qid").filter("score > 0 AND score >= floor").join(F.broadcast(span.select("qid", "best")), "qid")
-    able = scratch(scores.select("qid", "doc_id", "chunk_no", F.round(F.col("score") / F.col("best"), 9).alias("score")))
+    able = scratch(scores.join(F.broadcast(top), "qid").filter(F.col("score") >= F.col("kth") - share * F.col("best")).select("qid", "doc_id", "chunk_no", F.round(F.col("score") / F.col("best"), 9).alias("score")))
     sets = lexicon.postings.join(able.select("doc_id", "chunk_no").distinct(), ["doc_id", "chunk_no"], "left_semi").groupBy("doc_id", "chunk_no").agg(F.collect_list(F.xxhash64("term")).alias("tokens"))
     return rank.mmr(able.join(sets, ["doc_id", "chunk_no"])).select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 

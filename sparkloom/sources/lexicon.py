@@ -10,10 +10,6 @@ being tokenised.
 A version is a small table of files, written after everything it refers to: a build that was interrupted leaves no
 version, and its segment is written again. One writer at a time is assumed.
 
-Besides its document frequency a term has ``impact``, the largest tf part of the BM25 weight that any chunk gives it, at
-the average length of the first version. For another average a weight is at most their ratio greater, so the bound holds
-for every version; it also holds after deletions.
-
 Defined results: null and blank texts have no chunks; rows with one doc_id should be one row, as chunks are known by
 (doc_id, chunk_no); a source without rows has no chunks and no terms; further columns are ignored.
 """
@@ -34,7 +30,7 @@ from sparkloom.sources.store import exists, remove, shared_dir
 
 _CHUNKS = "file_id long, doc_id long, chunk_no int, len int, text string"
 _POSTINGS = "file_id long, doc_id long, chunk_no int, len int, term string, tf long"
-_FILES = "file_id long, path string, seg int, n_chunks long, total_len long, buckets int, avg_ref double, segments int"
+_FILES = "file_id long, path string, seg int, n_chunks long, total_len long, buckets int, segments int"
 
 
 class Lexicon:
@@ -63,8 +59,8 @@ class Lexicon:
     def _state(self) -> dict:
         """Figures of the version, and the segments that have rows of files that are gone."""
         f = self._files()
-        row = f.agg(F.max("buckets").alias("buckets"), F.max("avg_ref").alias("avg_ref"), F.max("segments").alias("segments"), F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len")).first()
-        return {k: row[k] or 0 for k in ("buckets", "avg_ref", "segments", "n_chunks", "total_len")} | {"live": sorted(r[0] for r in f.filter("file_id IS NOT NULL").select("seg").distinct().collect())}
+        row = f.agg(F.max("buckets").alias("buckets"), F.max("segments").alias("segments"), F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len")).first()
+        return {k: row[k] or 0 for k in ("buckets", "segments", "n_chunks", "total_len")} | {"live": sorted(r[0] for r in f.filter("file_id IS NOT NULL").select("seg").distinct().collect())}
 
     @property
     def n_chunks(self) -> int:
@@ -74,12 +70,6 @@ class Lexicon:
     def avg_len(self) -> float:
         return self._state["total_len"] / self.n_chunks if self.n_chunks else 0.0
 
-    @property
-    def slack(self) -> float:
-        """By how much impacts may have grown since they were recorded."""
-        ref = self._state["avg_ref"]
-        return max(1.0, self.avg_len / ref) if ref else 1.0
-
     def _listing(self, source: str) -> DataFrame:
         """file_id, path of the source's files. Contents are not read."""
         found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
@@ -104,11 +94,9 @@ class Lexicon:
             names = self.spark.createDataFrame([(p,) for p in new], "path string").join(listed, "path")
             added = names.join(sizes, "file_id", "left").select("file_id", "path", F.lit(seg).alias("seg"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("total_len", F.lit(0)).alias("total_len"))
             kept = kept.select(*added.columns).unionByName(added)
-        total = kept.agg(F.sum("n_chunks"), F.sum("total_len")).first()
-        ref = self._state["avg_ref"] or ((total[1] / total[0]) if total[0] else 0.0)
-        self._write_terms(seg if new else None, buckets, ref, stale)
+        self._write_terms(seg if new else None, buckets, stale)
         # a row without a file keeps the figures where no file is left
-        figures = [F.lit(buckets).alias("buckets"), F.lit(float(ref)).alias("avg_ref"), F.lit(seg + bool(new)).alias("segments")]
+        figures = [F.lit(buckets).alias("buckets"), F.lit(seg + bool(new)).alias("segments")]
         none = self.spark.range(1).select(*(F.lit(None).cast(t).alias(n) for n, t in (("file_id", "long"), ("path", "string"), ("seg", "int"), ("n_chunks", "long"), ("total_len", "long"))))
         rows = kept.select("file_id", "path", "seg", "n_chunks", "total_len").unionByName(none).select("*", *figures)
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/files/v={self.version + 1}")
@@ -141,23 +129,16 @@ class Lexicon:
         hits = self._table("chunks", seg, buckets).select("file_id", "doc_id", "chunk_no", "len", F.explode(counted(tokens(F.col("text")))).alias("h"))
         self._save(hits.select("file_id", "doc_id", "chunk_no", "len", "h.term", "h.tf"), "postings", seg, buckets, ["term"])
 
-    def _impact(self, ref: float):
-        norm = self.cfg.k1 * (F.lit(1 - self.cfg.b) + self.cfg.b * F.col("len") / F.lit(ref or 1.0))
-        return F.col("tf") * F.lit(self.cfg.k1 + 1) / (F.col("tf") + norm)
-
-    def _write_terms(self, seg: int | None, buckets: int, ref: float, stale: DataFrame) -> None:
-        """term, df, impact: those of the last version, with what a segment adds and less what stale files had."""
-        kinds = []
+    def _write_terms(self, seg: int | None, buckets: int, stale: DataFrame) -> None:
+        """term, df: those of the last version, with what a segment adds and less what stale files had."""
+        kinds, df = [], F.count(F.lit(1)).alias("df")
         if self.version >= 0:
             kinds.append(self.terms)
-            gone = stale.select("file_id")
-            for s in self._state["live"]:
-                old = self._table("postings", s, buckets).join(F.broadcast(gone), "file_id", "left_semi")
-                kinds.append(old.groupBy("term").agg((-F.count(F.lit(1))).alias("df"), F.lit(0.0).alias("impact")))
+            gone = F.broadcast(stale.select("file_id"))
+            kinds += [self._table("postings", s, buckets).join(gone, "file_id", "left_semi").groupBy("term").agg((-F.count(F.lit(1))).alias("df")) for s in self._state["live"]]
         if seg is not None:
-            kinds.append(self._table("postings", seg, buckets).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(self._impact(ref)).alias("impact")))
-        both = reduce(DataFrame.unionByName, kinds) if kinds else self.spark.createDataFrame([], "term string, df long, impact double")
-        summed = both.groupBy("term").agg(F.sum("df").alias("df"), F.max("impact").alias("impact")).filter("df > 0")
+            kinds.append(self._table("postings", seg, buckets).groupBy("term").agg(df))
+        summed = reduce(DataFrame.unionByName, kinds).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
         summed.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/terms/v={self.version + 1}")
 
     def _live(self, kind: str) -> DataFrame:
@@ -185,8 +166,8 @@ class Lexicon:
 
     @property
     def terms(self) -> DataFrame:
-        """term, df, impact."""
-        return self.spark.read.schema("term string, df long, impact double").parquet(f"{self.root}/terms/v={self.version}")
+        """term, df."""
+        return self.spark.read.schema("term string, df long").parquet(f"{self.root}/terms/v={self.version}")
 
     def compact(self) -> None:
         """Writes the live rows of all segments as one, so that reads keep their bucketing after many refreshes."""
