@@ -33,6 +33,10 @@ _POSTINGS = "file_id long, doc_id long, chunk_no int, len int, term string, tf l
 _FILES = "file_id long, path string, seg int, n_chunks long, total_len long, buckets int, segments int"
 
 
+#: Bytes of the source for each bucket of a new index: the postings of a bucket are sorted in a task's memory.
+BUCKET_BYTES = 16 << 20
+
+
 class Lexicon:
     def __init__(self, spark: SparkSession, root: str, cfg: Ranking = DEFAULT.ranking):
         self.spark, self.root, self.cfg = spark, root.rstrip("/"), cfg
@@ -85,7 +89,7 @@ class Lexicon:
         seg, buckets = self._state["segments"], self._state["buckets"]
         if not buckets:
             size = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).agg(F.sum("length")).first()[0] or 0
-            buckets = min(8192, max(8, math.ceil(size / (64 << 20))))
+            buckets = min(65_536, max(8, math.ceil(size / BUCKET_BYTES)))
         kept = known.join(listed.select("file_id"), "file_id", "left_semi")
         if new:
             docs = self.spark.read.parquet(*new).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _file_id().alias("file_id"))
@@ -120,14 +124,14 @@ class Lexicon:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._name(kind, seg)}")
         path = f"{self.root}/seg={seg}/{kind}"
         remove(self.spark, path)
-        rows.write.bucketBy(buckets, "doc_id").sortBy(*order).option("path", path).format("parquet").saveAsTable(self._name(kind, seg))
+        rows.write.bucketBy(buckets, "doc_id").sortBy(*order).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(self._name(kind, seg))
 
     def _write_segment(self, docs: DataFrame, seg: int, buckets: int) -> None:
         """Texts are dealt out once, by doc_id; chunks and postings of a document are made where it lies."""
         parts = chunks(docs.repartition(buckets, "doc_id"), self.cfg, keep=["file_id"])
         self._save(parts.select("file_id", "doc_id", "chunk_no", F.size(tokens(F.col("text"))).alias("len"), "text"), "chunks", seg, buckets, ["doc_id", "chunk_no"])
         hits = self._table("chunks", seg, buckets).select("file_id", "doc_id", "chunk_no", "len", F.explode(counted(tokens(F.col("text")))).alias("h"))
-        self._save(hits.select("file_id", "doc_id", "chunk_no", "len", "h.term", "h.tf"), "postings", seg, buckets, ["term"])
+        self._save(hits.select("file_id", "doc_id", "chunk_no", "len", "h.term", "h.tf"), "postings", seg, buckets, ["term", "doc_id", "chunk_no"])
 
     def _write_terms(self, seg: int | None, buckets: int, stale: DataFrame) -> None:
         """term, df: those of the last version, with what a segment adds and less what stale files had."""
@@ -176,7 +180,7 @@ class Lexicon:
             return
         seg, files = state["segments"], self._files()
         live = files.filter("file_id IS NOT NULL").select("file_id")
-        for kind, order in (("chunks", ["doc_id", "chunk_no"]), ("postings", ["term"])):
+        for kind, order in (("chunks", ["doc_id", "chunk_no"]), ("postings", ["term", "doc_id", "chunk_no"])):
             rows = reduce(DataFrame.unionByName, [self._table(kind, s, state["buckets"]).join(F.broadcast(live), "file_id", "left_semi") for s in state["live"]])
             columns = [c.strip().split(" ")[0] for c in {"chunks": _CHUNKS, "postings": _POSTINGS}[kind].split(",")]
             self._save(rows.select(*columns).repartition(state["buckets"], "doc_id"), kind, seg, state["buckets"], order)

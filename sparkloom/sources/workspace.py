@@ -1,8 +1,7 @@
-"""Workspace files: scan, text, decks, images. Binary formats are read on the executors, one file at a time."""
+"""Workspace files: scan, text, JSON and CSV. Binary formats are read on the executors, one file at a time."""
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import zipfile
@@ -11,13 +10,12 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkloom.sources.decks import deck_text
+
 SUFFIXES = ("md", "txt", "docx", "pdf", "pptx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -34,33 +32,6 @@ def docx_text(blob: bytes) -> str:
     return "\n".join(f"[Paragraph {i}] {x}" for i, x in enumerate(paras, 1) if x)
 
 
-def slides(blob: bytes) -> list[dict]:
-    """slide_no, title, lines and tables of a deck, in order."""
-    z, out = zipfile.ZipFile(io.BytesIO(blob)), []
-    names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
-    for no, name in names:
-        tree, title, lines, tables = ElementTree.fromstring(z.read(name)), "", [], []
-        inside = {id(p) for t in tree.iter(f"{_A}tbl") for p in t.iter(f"{_A}p")}
-        for shape in tree.iter(f"{_P}sp"):
-            kind = shape.find(f".//{_P}ph")
-            text = [x for p in shape.iter(f"{_A}p") if id(p) not in inside and (x := "".join(t.text or "" for t in p.iter(f"{_A}t")).strip())]
-            if kind is not None and kind.get("type") in ("title", "ctrTitle") and not title:
-                title = " ".join(text)
-            else:
-                lines += text
-        for table in tree.iter(f"{_A}tbl"):
-            tables.append([[" ".join("".join(t.text or "" for t in c.iter(f"{_A}t")).split()) for c in row.iter(f"{_A}tc")] for row in table.iter(f"{_A}tr")])
-        out.append({"slide_no": no, "title": title, "lines": lines, "tables": tables})
-    return out
-
-
-def pptx_text(blob: bytes) -> str:
-    out = []
-    for s in slides(blob):
-        out += [f"[Slide {s['slide_no']}]", *([f"Title: {s['title']}"] if s["title"] else []), *s["lines"], *(" | ".join(r) for t in s["tables"] for r in t)]
-    return "\n".join(out)
-
-
 def read_text(suffix: str, blob: bytes, parse_pdf=None) -> str:
     """The text of a file; unreadable and unknown ones are empty. ``parse_pdf``: bytes to text, as no parser is built in."""
     try:
@@ -69,7 +40,7 @@ def read_text(suffix: str, blob: bytes, parse_pdf=None) -> str:
         if suffix == "docx":
             return docx_text(blob)
         if suffix == "pptx":
-            return pptx_text(blob)
+            return deck_text(blob)
         return parse_pdf(blob) if suffix == "pdf" and parse_pdf else ""
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
         return ""
@@ -86,46 +57,6 @@ def texts(files: DataFrame, max_chars: int | None = None, parse_pdf=None) -> Dat
     return files.select("path", "suffix", "content").mapInArrow(run, "path string, text string")
 
 
-def slide_records(files: DataFrame, max_slides: int = 400) -> DataFrame:
-    """path, slide_no, title, lines, tables of decks."""
-    schema = "path string, slide_no int, title string, lines array<string>, tables array<array<array<string>>>"
-    kind = pa.struct([("slide_no", pa.int32()), ("title", pa.string()), ("lines", pa.list_(pa.string())), ("tables", pa.list_(pa.list_(pa.list_(pa.string()))))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    found = slides(blob)[:max_slides]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
-                rows = pa.array(found, kind)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *rows.flatten()], names=["path", "slide_no", "title", "lines", "tables"])
-
-    return files.filter("suffix = 'pptx'").select("path", "content").mapInArrow(run, schema)
-
-
-def images(files: DataFrame, min_bytes: int = 12_000, per_file: int = 3, total: int = 240) -> DataFrame:
-    """path, name, sha1, content of pictures inside decks and documents: large enough, distinct, capped per file and in all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(blob))
-                except zipfile.BadZipFile:
-                    continue
-                found = [(n, z.read(n)) for n in z.namelist() if re.fullmatch(r"(ppt|word)/media/.+\.(png|jpe?g|gif|bmp|webp)", n, re.IGNORECASE)]
-                found = [x for x in found if len(x[1]) >= min_bytes]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(found), pa.string()), pa.array([n for n, _ in found], pa.string()), pa.array([hashlib.sha1(c, usedforsecurity=False).hexdigest() for _, c in found], pa.string()), pa.array([c for _, c in found], pa.binary())],
-                    names=["path", "name", "sha1", "content"],
-                )
-
-    found = files.filter("suffix IN ('pptx', 'docx')").select("path", "content").mapInArrow(run, "path string, name string, sha1 string, content binary")
-    first = found.withColumn("nth", F.row_number().over(W.partitionBy("sha1").orderBy("path", "name"))).filter("nth = 1")
-    return first.withColumn("nth", F.row_number().over(W.partitionBy("path").orderBy("name"))).filter(F.col("nth") <= per_file).drop("nth").orderBy("path", "name").limit(total)
-
-
 def html_text(html):
     """Text of a web page: scripts, styles and tags out, common entities decoded, white space squeezed (an extension)."""
     c = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
