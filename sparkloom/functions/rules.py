@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import config as C
@@ -133,3 +133,25 @@ def client_key(user: Column, host: Column) -> Column:
 
 def may_read(owner: Column, user: Column, role: Column) -> Column:
     return (owner == user) | (role == "admin")
+
+
+#: Session variables that name who reads.
+READER = {"reader_id": "", "reader_role": ""}
+
+
+def readable_view(artifacts: DataFrame, name: str) -> None:
+    """A temporary view of the rows of ``artifacts`` (owner, ...) that the session's reader may read, as ``may_read``.
+
+    The reader is whom ``SET VARIABLE reader_id`` and ``reader_role`` name; nobody at first. The filter is part of the
+    view's plan, so it is pushed down like any other, and SQL alone decides for whom a query runs."""
+    spark = artifacts.sparkSession
+    for variable, default in READER.items():
+        spark.sql(f"DECLARE OR REPLACE VARIABLE {variable} STRING DEFAULT '{default}'")
+    artifacts.createOrReplaceTempView(f"{name}_all")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW {name} AS SELECT * FROM {name}_all WHERE owner = session.reader_id OR session.reader_role = 'admin'")
+
+
+def readable_by(spark: SparkSession, view: str, user: str, role: str) -> DataFrame:
+    """What one reader sees of a view of ``readable_view``. Variables are read when a query is analysed."""
+    spark.sql("SET VARIABLE (reader_id, reader_role) = (SELECT :u, :r)", args={"u": user, "r": role})
+    return spark.table(view)

@@ -146,9 +146,22 @@ def bm25_top(lexicon, queries: DataFrame, k: int) -> DataFrame:
 
 
 def legacy_all(lexicon, queries: DataFrame) -> DataFrame:
-    """As ``legacy_rank`` over the index."""
+    """As ``legacy_rank`` over the index; ``with_unmatched`` adds chunks that share no token."""
     weight = F.log((F.lit(1.0) + lexicon.n_chunks) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     asked = query_terms(queries).join(lexicon.terms, "term").select("qid", "term", weight.alias("w"))
     sizes = lexicon.postings.groupBy("doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("distinct"))
     summed = lexicon.postings.join(_held(asked), "term").groupBy("qid", "doc_id", "chunk_no").agg(F.sum("w").alias("w"))
     return summed.join(sizes, ["doc_id", "chunk_no"]).select("qid", "doc_id", "chunk_no", (F.col("w") / F.col("distinct")).alias("score"))
+
+
+def with_unmatched(top: DataFrame, keys: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top`` (qid, doc_id, chunk_no, score, rank up to k) with chunks that share nothing with a query after those that do, in
+    the order of their keys, so that each query has k if there are k. Of ``keys`` (doc_id, chunk_no) only the first 2 k count:
+    a query that lacks some has fewer than k others."""
+    first = keys.select("doc_id", "chunk_no").orderBy("doc_id", "chunk_no").limit(2 * k)
+    have = top.groupBy("qid").agg(F.count(F.lit(1)).alias("have"))
+    lacking = queries.select("qid").distinct().join(have, "qid", "left").select("qid", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < k)
+    rest = lacking.join(F.broadcast(first), how="cross").join(top.select("qid", "doc_id", "chunk_no"), ["qid", "doc_id", "chunk_no"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("qid").orderBy("doc_id", "chunk_no"))
+    rest = rest.withColumn("rank", F.col("have") + nth).filter(F.col("rank") <= k).select("qid", "doc_id", "chunk_no", F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return top.select("qid", "doc_id", "chunk_no", "score", "rank").unionByName(rest)

@@ -103,16 +103,35 @@ def repetition(units: DataFrame) -> DataFrame:
     return per.groupBy("kind").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_units"), F.sum(F.col("n") - 1).alias("extra"))
 
 
+def document_units(docs: DataFrame, least: int = 40) -> DataFrame:
+    """doc_id, kind, unit of Markdown documents: paragraphs, headings, figures, and sentences of at least ``least`` characters
+    of the paragraphs that are prose."""
+    plain = lambda x: F.lower(squeeze(x))
+    blocks = F.filter(F.split("text", "\n\n"), lambda b: strip(b) != "")
+    prose = F.filter(blocks, lambda b: ~strip(b).rlike(r"^(#|\||\[\[IMAGE:)"))
+    parts = F.flatten(F.transform(prose, lambda b: F.split(F.regexp_replace(b, C.IMAGE_TOKEN, " "), r"(?<=[.!?])\s+")))
+    kinds = {
+        "paragraph": F.transform(blocks, plain),
+        "heading": F.transform(F.filter(F.split("text", "\n"), lambda x: x.startswith("#")), plain),
+        "figure": F.regexp_extract_all("text", F.lit(C.IMAGE_TOKEN), F.lit(1)),
+        "sentence": F.transform(F.filter(parts, lambda x: F.length(strip(x)) >= least), plain),
+    }
+    listed = F.flatten(F.array(*[F.transform(units, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("unit"))) for kind, units in kinds.items()]))  # noqa: B023
+    return docs.filter("text IS NOT NULL").select("doc_id", F.explode(listed).alias("u")).select("doc_id", "u.kind", "u.unit")
+
+
+def document_repetition(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, total, unique_units, extra of each document: extra counts all but the first of equal units."""
+    per = document_units(docs).groupBy("doc_id", "kind", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("doc_id", "kind").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_units"), F.sum(F.col("n") - 1).alias("extra"))
+
+
 def template_shapes(units: DataFrame, words: int = 5, more_than: int = 2) -> DataFrame:
     """shape, n: first words of units that more than ``more_than`` units share."""
     shape = F.array_join(F.slice(F.split(F.lower(squeeze(F.col("unit"))), " "), 1, words), " ")
     return units.select(shape.alias("shape")).filter("shape <> ''").groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > more_than)
 
 
-def template_words(words: int = 5):
-    return lambda c: F.array_join(F.slice(F.split(F.lower(squeeze(c)), " "), 1, words), " ")
-
-
 def repeated_lines(docs: DataFrame, least: int = 80, most: int = 5) -> DataFrame:
     """line, n of the squeezed lines of at least ``least`` characters that occur more than once, the most common first."""
     found = lines(docs).select(F.lower(squeeze(F.col("line"))).alias("line")).filter(F.length("line") >= least)

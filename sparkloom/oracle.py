@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sparkloom import config as C
 from sparkloom import queries as Q
+from sparkloom.streaming import jobs
 
 _TOKENS = "list_filter(regexp_extract_all(lower({t}), '[a-z0-9_]+'), lambda x: length(x) >= 3)"
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -205,7 +206,8 @@ SQL: dict[str, str] = {
     "cache_keys": "SELECT doc_id, sha256(coalesce(source, '') || chr(0) || coalesce(text, '')) AS key FROM documents",
     "bm25_idf": f"WITH {_CHUNKS}, {_lex('chunks')} SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df, n",
     "bm25_topk": f"WITH {_CHUNKS}, {_lex('chunks')}, {_bm25(_BENCH_Q)} SELECT qid, CAST(rank AS INT) AS rank, doc_id, chunk_no, round(score, 6) AS score FROM top",
-    "legacy_ranker_topk": f"WITH {_CHUNKS}, {_lex('chunks')}, {_legacy(_BENCH_Q)} SELECT qid, CAST(rank AS INT) AS rank, doc_id, chunk_no, round(score, 6) AS score FROM ltop",
+    "legacy_ranker_topk": f"""WITH {_CHUNKS}, {_lex('chunks')}, {_legacy(_BENCH_Q)}, every AS (SELECT q.qid, c.doc_id, c.chunk_no, coalesce(ls.score, 0.0::DOUBLE) AS score FROM (SELECT DISTINCT item_id AS qid FROM benchmark) q CROSS JOIN chunks c LEFT JOIN ls ON ls.qid = q.qid AND ls.doc_id = c.doc_id AND ls.chunk_no = c.chunk_no)
+        SELECT qid, CAST(rank AS INT) AS rank, doc_id, chunk_no, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id, chunk_no) AS rank FROM every) WHERE rank <= 10""",
     "dense_topk": f"""WITH {_RRF}, r AS (SELECT channel AS q_id, doc_id AS vec_id, score, row_number() OVER (PARTITION BY channel ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ch)
         SELECT q_id, CAST(rank AS INT) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10""",
     "rrf_fusion": f"WITH {_RRF} SELECT doc_id, round(score, 9) AS score FROM fused",
@@ -255,6 +257,25 @@ SQL: dict[str, str] = {
         SELECT seq, round_even(g, 4) AS groundedness_score, round_even(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - g + CASE WHEN leaks > 0 THEN 0.15::DOUBLE ELSE 0 END)), 4) AS hallucination_rate, round_even(0.3::DOUBLE + 0.7::DOUBLE * s, 4) AS retrieval_recall_at_5, round_even(0.45::DOUBLE + 0.55::DOUBLE * s, 4) AS retrieval_recall_at_10,
             round_even(0.4::DOUBLE + 0.6::DOUBLE * s, 4) AS mrr, round_even(0.5::DOUBLE + 0.5::DOUBLE * s, 4) AS ndcg_at_10, round_even(least(1.0::DOUBLE, 0.35::DOUBLE + 0.65::DOUBLE * c), 4) AS coverage_score, round_even(least(1.0::DOUBLE, leaks / greatest(1, topics, llm_topics, floor(ch / 200))::DOUBLE), 4) AS leakage_rate,
             CASE WHEN content_integrity_pass THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS schema_compliance_rate, tok AS tokens_used, round_even(tok / 1000.0::DOUBLE * 0.0032::DOUBLE, 6) AS cost_usd FROM g""",
+    "artifact_view": """WITH a AS (SELECT event_id AS artifact_id, 'u' || (user_id % 40) AS owner, event_id * 31 % 997 AS size FROM events) SELECT 'u3' AS "user", artifact_id, size FROM a WHERE owner = 'u3' UNION ALL SELECT 'root', artifact_id, size FROM a""",
+    "document_repetition": rf"""WITH {_MARKDOWN}, b AS (SELECT conv_id AS doc_id, unnest(string_split(text, E'\n\n')) AS b FROM md), p AS (SELECT doc_id, b FROM b WHERE {_STRIP.format(x='b')} <> ''),
+        s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(b, '\[\[IMAGE:([^\]]*)\]\]', ' ', 'g'), '([.!?])\s+', E'\\1\x01', 'g'), E'\x01')) AS x FROM p WHERE NOT regexp_matches({_STRIP.format(x='b')}, '^(#|\||\[\[IMAGE:)')),
+        u AS (SELECT doc_id, 'paragraph' AS kind, lower({_SQUEEZE.format(x='b')}) AS unit FROM p
+              UNION ALL SELECT doc_id, 'heading', lower({_SQUEEZE.format(x='x')}) FROM (SELECT conv_id AS doc_id, unnest(string_split(text, chr(10))) AS x FROM md) WHERE starts_with(x, '#')
+              UNION ALL SELECT conv_id, 'figure', unnest(regexp_extract_all(text, '\[\[IMAGE:([^\]]*)\]\]', 1)) FROM md
+              UNION ALL SELECT doc_id, 'sentence', lower({_SQUEEZE.format(x='x')}) FROM s WHERE length({_STRIP.format(x='x')}) >= 40),
+        n AS (SELECT doc_id, kind, unit, count(*) AS n FROM u GROUP BY ALL)
+        SELECT doc_id, kind, CAST(sum(n) AS BIGINT) AS total, count(*) AS unique_units, CAST(sum(n - 1) AS BIGINT) AS extra FROM n GROUP BY 1, 2""",
+    "table_shapes": "SELECT 3::INT AS rows, 3::INT AS columns, count(*) AS n FROM conversations WHERE turn % 3 = 0 HAVING count(*) > 0",
+    "job_outcomes": f"""WITH e AS (SELECT user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, ts, 'e' || event_id AS error FROM events),
+        o AS (SELECT job_id, ts, CASE status WHEN 'queued' THEN 1 WHEN 'running' THEN 2 WHEN 'completed' THEN 3 ELSE 4 END AS ord, status, error FROM e UNION ALL SELECT job_id, max(max(ts)) OVER (), 99, '', NULL FROM e GROUP BY job_id),
+        l AS (SELECT job_id, list({{'status': status, 'ts': ts, 'n': 0, 'error': error}} ORDER BY ord = 99, ts, ord, error) AS l FROM o GROUP BY 1),
+        f AS (SELECT job_id, list_reduce(list_prepend({{'status': '', 'ts': CAST(NULL AS TIMESTAMP), 'n': 0, 'error': CAST(NULL AS VARCHAR)}}, l), lambda s, x: CASE
+            WHEN s.status IN ('queued', 'running') AND x.ts - s.ts >= INTERVAL 24 HOURS THEN {{'status': 'interrupted', 'ts': s.ts + INTERVAL 24 HOURS, 'n': s.n + 1, 'error': '{jobs.SILENT}'}}
+            WHEN s.status = '' AND x.status = 'queued' OR s.status = 'queued' AND x.status IN ('running', 'failed') OR s.status = 'running' AND x.status IN ('running', 'completed', 'failed') THEN {{'status': x.status, 'ts': x.ts, 'n': s.n + 1, 'error': CASE WHEN x.status = 'failed' THEN x.error END}}
+            ELSE s END) AS s FROM l)
+        SELECT job_id, s.status AS status, s.ts AS "at", CAST(s.n AS INT) AS n_changes, s.error AS error FROM f WHERE s.n > 0""",
+    "run_windows": "SELECT date_trunc('day', ts) AS window_start, event_type AS route, count(*) AS runs, count(*) FILTER (event_type <> 'error') AS succeeded, round_even(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 4) AS success_rate, round(sum(value), 4) AS total_latency_ms, max(value) AS max_latency_ms FROM events GROUP BY 1, 2",
     "triage_delta": """WITH k AS (SELECT event_id, CASE WHEN value > 50 THEN 'kept:' ELSE 'dropped:' END || event_type AS key FROM events), h AS (SELECT 0.5 * max(event_id) AS h FROM events)
         SELECT key, count(*) - count(*) FILTER (event_id <= h) AS delta FROM k, h GROUP BY 1 HAVING count(*) - count(*) FILTER (event_id <= h) > 0""",
     "event_windows": "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
@@ -272,8 +293,8 @@ SQL: dict[str, str] = {
     "evidence_topn": """WITH b AS (SELECT source, row_number() OVER (ORDER BY max(n_chars) DESC, source) AS source_rank FROM documents GROUP BY 1 QUALIFY source_rank <= 6),
         n AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents)
         SELECT CAST(source_rank AS INT) AS source_rank, source, CAST(nth AS INT) AS nth, md5(substr(text, 1, 420)) AS digest FROM n JOIN b USING (source) WHERE nth <= 5""",
-    "html_extract": r"""SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
-        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS INT) AS n_chars FROM pages""",
+    "html_extract": r"""SELECT page_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+        '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""",
     "file_select": r"""WITH f AS (SELECT 'Docs/' || source || '/' || lang || '_note-' || doc_id || '.' || ['md', 'pptx', 'pdf', 'txt'][doc_id % 4 + 1] AS path, lang || '_note-' || doc_id || '.' || ['md', 'pptx', 'pdf', 'txt'][doc_id % 4 + 1] AS name FROM documents),
         s AS (SELECT path, name, len(list_intersect(list_filter(regexp_extract_all(lower(name), '[a-z0-9_]+'), lambda x: length(x) >= 3), ['review', 'the', 'fr_note', 'and', '120', 'pdf'])) + CASE WHEN regexp_matches(lower(path), '\.(pptx|pdf)$') THEN 1 ELSE 0 END AS base,
             contains(lower(path), 'src1/en') AS a, contains(lower(path), 'de_note-33.pptx ') AS b, contains(lower(path), 'de_note-33.pptx') AS c FROM f),

@@ -16,7 +16,7 @@ from sparkloom.operators.selection import nearest_rank, positions
 from sparkloom.sources.lexicon import Lexicon
 from sparkloom.sources.store import scratch
 from sparkloom.sources.workspace import cached_results, html_text
-from sparkloom.streaming import limiter, rollups
+from sparkloom.streaming import jobs, limiter, records, rollups
 
 HINTS = ["the", "thand", "ing"]
 
@@ -116,7 +116,8 @@ def document_titles(s, d):
 
 
 def html_extract(s, d):
-    return table(s, d, "pages").select("page_id", F.length(html_text(F.col("html"))).alias("n_chars"))
+    text = table(s, d, "pages").select("page_id", html_text(F.col("html")).alias("t"))
+    return text.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 def cache_keys(s, d):
@@ -137,7 +138,8 @@ def bm25_topk(s, d):
 
 
 def legacy_ranker_topk(s, d):
-    top = index.top_per_query(index.legacy_all(_lexicon(s, d), _queries(s, d)), 10)
+    lexicon, asked = _lexicon(s, d), _queries(s, d)
+    top = index.with_unmatched(index.top_per_query(index.legacy_all(lexicon, asked), 10), lexicon.chunks, asked, 10)
     return top.select("qid", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
@@ -380,6 +382,13 @@ def artifact_authz(s, d):
     return see("u3", "editor").unionByName(see("root", "admin"))
 
 
+def artifact_view(s, d):
+    """The same through a view over the session's reader."""
+    rules.readable_view(_artifacts(s, d), "readable_artifacts")
+    see = lambda user, role: scratch(rules.readable_by(s, "readable_artifacts", user, role).select(F.lit(user).alias("user"), "artifact_id", "size"))
+    return see("u3", "editor").unionByName(see("root", "admin"))
+
+
 def label_quality_vs_flags(s, d):
     flagged = _docs(s, d).select("doc_id", (F.size(rules.policy_flags(F.col("text"))) > 0).alias("flagged"))
     return table(s, d, "labels").join(flagged, "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("n_flagged"))
@@ -429,6 +438,19 @@ def latest_job_status(s, d):
     return kpi.latest_status(e)
 
 
+def job_outcomes(s, d):
+    """Users' events as updates of jobs: how each job stands after the rules of its states."""
+    status = F.element_at(F.create_map(*[F.lit(x) for p in zip(("signup", "click", "view", "purchase", "error"), ("queued", "running", "running", "completed", "failed"), strict=True) for x in p]), F.col("event_type"))
+    e = table(s, d, "events").select(F.col("user_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("e"), F.col("event_id")).alias("error"))
+    return jobs.outcomes(e, 24 * 3600.0)
+
+
+def run_windows(s, d):
+    """Run records rolled up by day and route."""
+    found = records.rollup(_runs(s, d), "1 day", "0 seconds")
+    return found.select("window_start", "route", "runs", "succeeded", "success_rate", F.round("total_latency_ms", 4).alias("total_latency_ms"), "max_latency_ms")
+
+
 def quality_proxies(s, d):
     r = _runs(s, d).withColumn("n_leaks", F.aggregate(F.map_values("leaks"), F.lit(0), lambda t, x: t + x))
     top, cover = F.pmod("seq", F.lit(11)) / F.lit(10.0), F.pmod("seq", F.lit(7)) / F.lit(5.0)
@@ -455,8 +477,8 @@ def result_cache(s, d):
 
 def triage_delta(s, d):
     e = table(s, d, "events").select(F.col("event_type").alias("category"), (F.col("value") > 50).alias("include"), "event_id")
-    half = F.lit(0.5) * e.agg(F.max("event_id")).first()[0]
-    return kpi.triage_delta(kpi.triage_tally(e.filter(F.col("event_id") <= half)), kpi.triage_tally(e))
+    half = e.agg((F.lit(0.5) * F.max("event_id")).alias("half"))
+    return kpi.triage_delta(kpi.triage_tally(e.join(F.broadcast(half), F.col("event_id") <= F.col("half"))), kpi.triage_tally(e))
 
 
 def rate_limit_decisions(s, d):
@@ -514,6 +536,16 @@ def repetition_report(s, d):
     return structure.repetition(_units(s, d))
 
 
+def document_repetition(s, d):
+    """Repeated paragraphs, headings, figures and sentences of each conversation's document."""
+    return structure.document_repetition(_markdown(s, d).select(F.col("conv_id").alias("doc_id"), "text"))
+
+
+def table_shapes(s, d):
+    """Sizes of the tables of the conversations' decks."""
+    return structure.table_shapes(_decks(s, d).select(F.explode("tables").alias("cells")))
+
+
 def template_shapes(s, d):
     return structure.template_shapes(structure.lines(_docs(s, d)).select(F.col("line").alias("unit")))
 
@@ -660,8 +692,8 @@ QUERIES = (
     hybrid_context, tokenize_stats, chunk_windows, chunk_paragraphs, line_dedup, noise_filter, clean_lines, heading_lines, fragment_blocks, markup, prompt_checks, document_titles, postprocess_lines, title_normalise,
     html_extract, cache_keys, bm25_idf, bm25_topk, legacy_ranker_topk, dense_topk, rrf_fusion, hint_boost, context_budget, source_order, mmr_select, known_item_queries, ir_metrics, ranker_comparison,
     chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, mock_drafts, policy_flags, leak_probes, doc_structure, contract_check, llm_authorship, accepted_documents, workflow_topics,
-    ingress_checks, artifact_authz, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs, latest_job_status, quality_proxies, public_jobs, request_routes, result_cache, triage_delta,
-    rate_limit_decisions, event_windows, event_sessions, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, template_shapes, caption_alignment, misplaced_figures, adjacent_status, title_mode,
+    ingress_checks, artifact_authz, artifact_view, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs, latest_job_status, quality_proxies, job_outcomes, run_windows, public_jobs, request_routes, result_cache, triage_delta,
+    rate_limit_decisions, event_windows, event_sessions, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, document_repetition, table_shapes, template_shapes, caption_alignment, misplaced_figures, adjacent_status, title_mode,
     repeated_long_lines, evidence_topn, file_select, image_triage, image_relevance, triage_precision, image_merge, image_placement, table_rows, topic_narratives, deck_documents, fallback_document, retrieval_queries,
 )
 
