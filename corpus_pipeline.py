@@ -7,8 +7,8 @@ folder and reading them again.
 1. ``quality``: rows that the co-trained classifier rejects go.
 2. ``near_dedup``: of each class of copies and near copies the row with the smallest doc_id stays.
 3. ``decontaminate``: rows that hold a window of a benchmark item go.
-4. ``mix``: all rows stay, in the order of the Pfair schedule for weights of rows ** 0.5 by source; the files are
-   ordered by it, as are the rows in each.
+4. ``mix``: all rows stay, in the order of the Pfair schedule for weights of bytes ** 0.5 by source, in blocks of
+   bytes; the files are ordered by it, as are the rows in each.
 5. ``shard``: doc_id, size, text_crc32, tokens, shard and slot of all rows, packed into 24 shards. The slots of a shard
    follow the order of stage 4's files, so reading a shard by slot gives its part of the mix.
 
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table, written
+from sparkloom.llm.common import table, utf8_bytes, written
 from sparkloom.llm.cotrain_quality import score
 from sparkloom.llm.fm_decontam import contamination
 from sparkloom.llm.omh_dedup import keep_one
@@ -52,7 +52,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _unpacked(mix(docs).orderBy("slot", "row_in_block"), docs.columns)
+    return _unpacked(mix(docs, mass=utf8_bytes(F.col("text"))).orderBy("slot", "source_row"), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table
+from sparkloom.llm.common import table, utf8_bytes
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,9 @@ def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.pfair_mix import mix
 
-    # sources weigh by the square root of their characters
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return mix(docs, mass="n_chars").select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "source_block", "release", "deadline", "slot", "row_in_block")
+    # sources weigh by the square root of their bytes, and blocks are cut by bytes
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", utf8_bytes(F.col("text")).alias("n_bytes"))
+    return mix(docs, mass="n_bytes").select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.n_bytes").alias("n_bytes"), "source_block", "release", "deadline", "slot", "source_row", F.col("starts").cast("long").alias("starts"))
 
 
 def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,9 +54,9 @@ def test_schedule_meets_all_deadlines_with_less_than_a_block_of_deviation(spark)
 def test_every_row_has_a_place(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}", "t") for i in range(900)] + [(5, "hot", "t"), (None, "hot", "t"), (7, None, "t")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string").repartition(5)
-    got = mix(docs, block_rows=8, period=64).collect()
+    got = mix(docs, block_mass=8, period=64).collect()
     assert Counter((r.row.doc_id, r.row.source) for r in got) == Counter((a, b) for a, b, _ in rows)
-    places = [(r.slot, r.row_in_block) for r in got]
+    places = [(r.slot, r.source_row) for r in got]
     assert len(set(places)) == len(places) and all(r.release <= r.slot < r.deadline for r in got)
     sizes = Counter((r.row.source, r.source_block) for r in got)
     assert all(n == 8 for (s, b), n in sizes.items() if (s, b + 1) in sizes)
@@ -83,27 +83,55 @@ def test_shares_follow_the_given_weights(spark):
 
 def test_sources_without_weight_come_last(spark):
     docs = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(160)], "doc_id long, source string")
-    got = mix(docs, {"a": 0.7, "b": 0.3, "c": 0.0}, block_rows=8).collect()
-    assert len(got) == 160 and len({(r.slot, r.row_in_block) for r in got}) == 160
+    got = mix(docs, {"a": 0.7, "b": 0.3, "c": 0.0}, block_mass=8).collect()
+    assert len(got) == 160 and len({(r.slot, r.source_row) for r in got}) == 160
     assert max(r.slot for r in got if r.row.source in "ab") < min(r.slot for r in got if r.row.source in "cd")
     assert mix(docs, {}).count() == 160
 
 
-def test_sources_weigh_by_their_mass_over_many_blocks(spark):
-    # unequal masses: after every slot a source is within one block of its true weight, while it has blocks
-    sizes = {"a": (3000, 9.0), "b": (3000, 1.0), "c": (1500, 4.0), "d": (40, 0.0)}
-    docs = spark.createDataFrame([(k * 10_000 + i, s, m if i else None, "x") for k, (s, (n, m)) in enumerate(sizes.items()) for i in range(n)], "doc_id long, source string, mass double, release string")
-    got = mix(docs, mass="mass", block_rows=8).collect()
-    assert len(got) == sum(n for n, _ in sizes.values())
-    mass = {s: ((n - 1) * m) ** 0.5 for s, (n, m) in sizes.items()}
-    weight = {s: x / sum(mass.values()) for s, x in mass.items()}
-    blocks = Counter({s: -(-n // 8) for s, (n, _) in sizes.items()})
-    runs, done = sorted({(r.slot, r.row.source) for r in got}), Counter()
-    for at, s in runs:
-        if weight[s]:
-            done[s] += 1
-            assert abs(done[s] - weight[s] * (at + 1)) < 1 + 1e-6
-    assert done == Counter({s: n for s, n in blocks.items() if weight[s]}) and min(at for at, s in runs if s == "d") > max(at for at, s in runs if s != "d")
+def deviations(got, weight, size):
+    """By how many blocks of mass each source is off its weight after each slot, and by how much its rows may stand over."""
+    runs, done = {}, Counter()
+    for r in got:
+        runs.setdefault(r.slot, []).append(r)
+    last = {s: max(r.slot for r in got if r.row.source == s) for s in weight}
+    longest = {s: max(r.row.mass or 0.0 for r in got if r.row.source == s) for s in weight}
+    for at in range(max(last.values()) + 1):
+        for r in runs.get(at, ()):
+            done[r.row.source] += r.row.mass or 0.0
+        for s, w in weight.items():
+            if w and at < last[s]:
+                yield (done[s] - w * (at + 1) * size) / size, longest[s] / size
+
+
+def test_blocks_are_cut_by_mass_and_sources_keep_to_their_weights_in_mass(spark):
+    rng = random.Random(11)
+    sizes = {"a": (3000, lambda: rng.expovariate(1 / 90)), "b": (3000, lambda: 10.0), "c": (900, lambda: rng.choice([1.0, 700.0])), "d": (40, lambda: 0.0)}
+    rows = [(k * 10_000 + i, s, None if i == 5 else float(m()), "x") for k, (s, (n, m)) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mass double, release string").repartition(6)
+    total = {s: sum(m or 0.0 for _, t, m, _ in rows if t == s) for s in sizes}
+    weight = {s: m**0.5 / sum(x**0.5 for x in total.values()) for s, m in total.items()}
+    for options, size in (({"block_mass": 500.0, "blocks": 10**9}, 500.0), ({"blocks": 256}, sum(total.values()) / 256)):
+        got = mix(docs, mass="mass", **options).collect()
+        assert len(got) == len(rows) and len({(r.slot, r.source_row) for r in got}) == len(rows)
+        assert all(-1 - 1e-6 < off < 1 + over + 1e-6 for off, over in deviations(got, weight, size))
+        assert all(r.release <= r.slot < r.deadline for r in got)
+        by_source = {}
+        for r in sorted(got, key=lambda r: r.source_row):
+            by_source.setdefault(r.row.source, []).append(r)
+        for own in by_source.values():  # laid end to end, and in that order in the mix
+            assert [r.source_row for r in own] == list(range(len(own))) and all(a.slot <= b.slot for a, b in zip(own, own[1:], strict=False))
+            at = 0.0
+            for r in own:
+                assert abs(r.starts - at) < 1e-6 * (1 + at)
+                at += r.row.mass or 0.0
+        assert min(r.slot for r in got if r.row.source == "d") > max(r.slot for r in got if r.row.source != "d")
+
+
+def test_the_schedule_is_bounded_whatever_the_rows(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    got = mix(docs, blocks=300).groupBy("row.source", "source_block").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("slots")).collect()
+    assert 300 <= len(got) <= 310 and all(r.slots == 1 for r in got) and max(r.n for r in got) <= 668
 
 
 def test_a_long_conversation_expands_turn_by_turn(spark):
