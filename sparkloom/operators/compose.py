@@ -149,22 +149,22 @@ def assemble(topics: DataFrame, titles: DataFrame, generate: Callable[[DataFrame
 
 
 def fallback_document(chunks: DataFrame, title: str, objective: str = "", sections: dict[str, tuple[str, ...]] | None = None, dossier: bool = False) -> DataFrame:
-    """One row (text): a document from retrieved chunks (doc_id, chunk_no, text, score, rank) alone, with an overview and a
-    section for each subject that has fragments. Only a bounded number of top chunks takes part."""
+    """qid, text of each query: a document from its retrieved chunks (qid, doc_id, chunk_no, text, score, rank) alone, with an
+    overview and a section for each subject that has fragments. Only a bounded number of top chunks takes part."""
     sections = C.SECTIONS if sections is None else sections
     few, cap, most = (10, 18, 10) if dossier else (6, 8, 6)
-    frag = chunks.select("doc_id", "chunk_no", "rank", T.fragments(F.col("text")).alias("f"))
+    frag = chunks.select("qid", "doc_id", "chunk_no", "rank", T.fragments(F.col("text")).alias("f"))
     gathered = lambda: T.distinct_fragments(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", "f"))), lambda x: x["f"])))
     block = lambda f, n: F.array_join(T.prose(f, n), "\n")
-    overview = frag.filter(F.col("rank") <= few).agg(gathered().alias("f")).select(F.lit(0).alias("pos"), F.lit("Executive Overview").alias("title"), block(F.col("f"), most).alias("body"))
-    near = section_chunks(chunks, sections, 8 if dossier else 5).join(frag.select("doc_id", "chunk_no", "f"), ["doc_id", "chunk_no"])
+    overview = frag.filter(F.col("rank") <= few).groupBy("qid").agg(gathered().alias("f")).select("qid", F.lit(0).alias("pos"), F.lit("Executive Overview").alias("title"), block(F.col("f"), most).alias("body"))
+    near = section_chunks(chunks, sections, 8 if dossier else 5, by=("qid",)).join(frag.select("qid", "doc_id", "chunk_no", "f"), ["qid", "doc_id", "chunk_no"])
     place = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section"))
-    per = near.groupBy("section").agg(gathered().alias("f")).filter(F.size("f") > 0).select(place.cast("int").alias("pos"), F.col("section").alias("title"), block(F.col("f"), cap).alias("body"))
+    per = near.groupBy("qid", "section").agg(gathered().alias("f")).filter(F.size("f") > 0).select("qid", place.cast("int").alias("pos"), F.col("section").alias("title"), block(F.col("f"), cap).alias("body"))
     listed = overview.unionByName(per.filter(F.col("pos") <= (12 if dossier else 8)))
     head = F.lit(f"# {title}\n\n## Objective\n{objective or title}\n\n")
     tail = F.lit("\n\n## Publication Readiness Considerations\n\n" + "\n".join(f"- {x}" for x in T_["closing"]))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "title", "body"))), lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), x["body"])), "\n\n")
-    return listed.agg(body.alias("body")).select(F.concat(head, F.col("body"), tail).alias("text"))
+    return listed.groupBy("qid").agg(body.alias("body")).select("qid", F.concat(head, F.col("body"), tail).alias("text"))
 
 
 def augmented(text: Column, appendix: Column, least: int = 9_000) -> Column:

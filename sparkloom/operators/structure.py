@@ -79,15 +79,16 @@ def classify_part(title: Column, lines: Column, parts: dict[str, tuple[str, ...]
     return let(let(text, lambda t: F.array_max(scored(t))), lambda best: F.when(best["s"] > 0, best["part"]).otherwise(default))
 
 
-def section_chunks(parts: DataFrame, sections: dict[str, tuple[str, ...]] | None = None, limit: int = 6) -> DataFrame:
-    """section, doc_id, chunk_no, hits, rank of (doc_id, chunk_no, text, score): most keywords first, then score.
+def section_chunks(parts: DataFrame, sections: dict[str, tuple[str, ...]] | None = None, limit: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """section, doc_id, chunk_no, hits, rank of (doc_id, chunk_no, text, score): most keywords first, then score; within ``by``
+    if it is given.
 
     Sections are columns of one pass, not a join: each chunk is read once whatever their number."""
     sections = C.SECTIONS if sections is None else sections
     low = F.lower("text")
     hits = F.array(*[F.struct(F.lit(s).alias("section"), keyword_score(low, w, lambda t, k: t.contains(k).cast("int")).alias("hits")) for s, w in sections.items()])
-    scored = parts.select("doc_id", "chunk_no", "score", F.explode(hits).alias("h")).select("h.section", "doc_id", "chunk_no", "h.hits", "score")
-    order = W.partitionBy("section").orderBy(F.desc("hits"), F.desc(F.round("score", 9)), "doc_id", "chunk_no")
+    scored = parts.select(*by, "doc_id", "chunk_no", "score", F.explode(hits).alias("h")).select(*by, "h.section", "doc_id", "chunk_no", "h.hits", "score")
+    order = W.partitionBy(*by, "section").orderBy(F.desc("hits"), F.desc(F.round("score", 9)), "doc_id", "chunk_no")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 

@@ -87,7 +87,7 @@ def _mmr(source: str, k: int = 8, lam: float = 0.82) -> str:
 
 
 _CASES = rf"""conv AS (SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS said, string_split(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), ''), ' ') AS w FROM conversations GROUP BY 1),
-    cases AS (SELECT conv_id, w[1:2] AS inc, ['Slide', 'ing'] AS exc, CASE WHEN conv_id % 4 = 0 THEN ['the'] ELSE [] END AS sec, {Q.CASE_FIELDS} FROM conv),
+    cases AS (SELECT conv_id, w AS inc, ['Slide', 'ing'] AS exc, CASE WHEN conv_id % 4 = 0 THEN ['the'] ELSE [] END AS sec, {Q.CASE_FIELDS} FROM conv),
     scored AS (SELECT *, round(CASE WHEN len(inc) > 0 THEN len(list_filter(inc, lambda x: contains(lower(output), lower(x)))) / len(inc)::DOUBLE ELSE 1.0 END, 6) AS must_include_coverage,
         len(list_filter(exc, lambda x: regexp_matches(output, '(^|[^\w-])' || x || '($|[^\w-])', 'i'))) = 0 AS forbidden_term_clean,
         (NOT requires_ordered_steps OR regexp_matches(output, '(?im)^\s*(?:\d+[.)]|step\s+\d+)')) AND (NOT requires_table OR regexp_matches(output, '(?m)^\s*\|.*\|\s*$')) AND len(list_filter(sec, lambda x: NOT contains(lower(output), lower(x)))) = 0 AS structure_compliant,
@@ -302,7 +302,7 @@ SQL: dict[str, str] = {
         SELECT hints, path, CAST(score AS INT) AS score FROM x UNION ALL SELECT hints, path, CAST(score AS INT) FROM y""",
     "image_triage": f"""WITH {_TRIAGE}, z AS (SELECT *, nullif(width, 0) * 0.75::DOUBLE AS w, nullif(height, 0) * 0.75::DOUBLE AS h FROM tri)
         SELECT image_id, category, category IN ('diagram', 'photo') AS include, CASE WHEN w IS NULL THEN NULL ELSE round(w * least(1.0::DOUBLE, coalesce(400 / w, 1), coalesce(220 / h, 1)), 4) END AS width_pt, CASE WHEN h IS NULL THEN NULL ELSE round(h * least(1.0::DOUBLE, coalesce(400 / w, 1), coalesce(220 / h, 1)), 4) END AS height_pt FROM z""",
-    "image_merge": """WITH e AS (SELECT event_id AS pos, event_type, 'Img' || (event_id % 7) || '.png' AS name, to_base64(encode('picture ' || (event_id % 14))) AS body FROM events WHERE event_id < 500),
+    "image_merge": """WITH e AS (SELECT event_id AS pos, event_type, 'Img' || (event_id % 7) || '.png' AS name, to_base64(encode('picture ' || (event_id % 14))) AS body FROM events),
         b AS (SELECT 0 AS list, pos, name, body AS content, body FROM e WHERE event_type = 'click' UNION ALL SELECT 1, pos, lower(name), 'data:image/png;base64,' || body, body FROM e WHERE event_type = 'view'),
         r AS (SELECT *, row_number() OVER (PARTITION BY lower(name), substr(body, 1, 64), length(body) ORDER BY list, pos) AS nth FROM b) SELECT list, pos, name, content FROM r WHERE nth = 1 ORDER BY list, pos LIMIT 12""",
     "table_rows": """WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), c AS (SELECT item_id, item_id % 2 = 1 AS odd, list_transform(range(1, 7), lambda i: trim(regexp_replace(coalesce(w[i], ''), '\\s+', ' ', 'g'))) AS c FROM w),
@@ -318,16 +318,16 @@ SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(f) AS INT) AS n_fragments, CAST(len(g) AS INT) AS n_distinct, CAST(len(p) AS INT) AS n_paragraphs, md5(array_to_string(p, chr(10))) AS digest FROM p""",
     "markup": r"""WITH m AS (SELECT conv_id, turn, replace(replace(replace('**' || string_split(text, ' ')[1] || '** & *x* ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM conversations)
         SELECT conv_id, turn, md5(regexp_replace(regexp_replace(t, '\*\*(.+?)\*\*', '<b>\1</b>', 'g'), '\*(.+?)\*', '<i>\1</i>', 'g')) AS digest, ['image/png', 'image/jpeg', 'image/gif', 'image/tiff', 'application/octet-stream'][turn % 5 + 1] AS mime FROM m""",
-    "prompt_checks": f"""WITH w AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:3], ' ') AS w FROM conversations),
+    "prompt_checks": f"""WITH w AS (SELECT conv_id, turn, text AS w FROM conversations),
         p AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'Generate document report' ELSE w END AS p, CASE turn % 3 WHEN 0 THEN 'Please summarise ' || w WHEN 1 THEN '2024 - 7' ELSE w END AS t FROM w),
         k AS (SELECT conv_id, turn, regexp_extract_all(lower(p), '[a-z0-9_]+') AS tok, {_n('[A-Za-z]+', 't')} AS words, {_n(C.INSTRUCTION, 't')} AS hits FROM p)
         SELECT conv_id, turn, len(tok) <= 5 AND len(list_filter(tok, lambda x: NOT list_contains({list(C.GENERIC_PROMPT)}, x))) = 0 AS generic, words = 0 OR hits >= 2 OR (hits >= 1 AND words <= 4) AS instruction FROM k""",
-    "document_titles": f"""WITH c AS (SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:6], ' ') AS w FROM conversations WHERE turn < 3),
-        n AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Please generate slides 3 - 9 of ' || w WHEN 1 THEN 'deck_file ' || w || ' guide.' ELSE 'ppt' END AS t FROM c),
+    "document_titles": f"""WITH c AS (SELECT conv_id, turn AS no, unnest(string_split(text, chr(10))) AS w, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM conversations),
+        n AS (SELECT conv_id, no * 1000000 + k AS turn, CASE no % 4 WHEN 0 THEN 'Please generate slides 3 - 9 of ' || w WHEN 1 THEN 'deck_file ' || w || ' guide.' ELSE w END AS t FROM c),
         f AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{C.SLIDE_RANGE}', ' ', 'g'), '{C.SOURCE_WORD}', ' ', 'g'), '[_\\-]+', ' ', 'g'), '\\s{{2,}}', ' ', 'g'), '^[ \\-–—,:;.\\t]+|[ \\-–—,:;.\\t]+$', '', 'g') AS t FROM n),
         k AS (SELECT *, {_n('[A-Za-z]+', 't')} AS words, {_n(C.INSTRUCTION, 't')} AS hits FROM f), g AS (SELECT conv_id, arg_min(t, turn) FILTER (length(t) BETWEEN 3 AND 90 AND NOT (words = 0 OR hits >= 2 OR (hits >= 1 AND words <= 4))) AS t FROM k GROUP BY 1)
         SELECT conv_id, CASE WHEN t IS NULL THEN 'Technical Reference Documentation' ELSE upper(t[1]) || t[2:] || CASE WHEN regexp_matches(t, '(?i)\\b(documentation|manual|handbook|guide|reference)\\b') THEN '' ELSE ' — Technical Documentation' END END AS title FROM g""",
-    "title_normalise": rf"""WITH f AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Deck: Topic: ' || string_split(text, chr(10))[1] || ' -' WHEN 1 THEN 'The 2 nd ' || string_split(text, chr(10))[1] || ':' ELSE 'Topic: ab' END AS t FROM conversations),
+    "title_normalise": rf"""WITH f AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Deck: Topic: ' || text || ' -' WHEN 1 THEN 'The 2 nd ' || text || ':' ELSE 'Topic: ab' END AS t FROM conversations),
         h AS (SELECT conv_id, turn, {_title('t')} AS title, trim(regexp_replace(regexp_replace(lower(t), '\b(\d{{1,3}})\s+(st|nd|rd|th)\b', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS heading,
             regexp_replace({_STRIP.format(x=r"string_split_regex(regexp_replace(" + _STRIP.format(x="regexp_replace(" + _SQUEEZE.format(x="t") + ", ':+$', '')") + r", '([.!?])\s', '\1' || chr(1), 'g'), '\x01')[1]")}, '\.+$', '') AS c FROM f)
         SELECT conv_id, turn, title, heading, {_clipped(_STRIP.format(x="c"), 72, ',;:' + chr(92) + '-', '...')} AS subject FROM h""",
@@ -346,9 +346,9 @@ SQL: dict[str, str] = {
         src AS (SELECT qid, doc_id, chunk_no, round(least(1.0::DOUBLE, score + (0.05::DOUBLE * (contains(lower(text), 'the')::INT + contains(lower(text), 'thand')::INT + contains(lower(text), 'ing')::INT))), 6) AS score, text FROM fu JOIN chunks USING (doc_id, chunk_no)), {_mmr('src')},
         b AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev FROM mmr)
         SELECT qid, CAST(rank AS INT) AS rank, doc_id, chunk_no, round(score, 6) AS score, CAST(least(length(text), 15000 - prev) AS INT) AS n_chars FROM b WHERE prev < 15000""",
-    "mock_drafts": """WITH t AS (SELECT conv_id, coalesce(text, '') AS x FROM conversations WHERE turn = 0), d AS (SELECT conv_id, '# Summarise the notes' || E'\\n\\n## Summary\\n' || x || E'\\n\\n## Key Points\\n' || array_to_string(list_transform(list_filter(string_split(x, '. '), lambda y: regexp_replace(y, '^\\\\s+|\\\\s+$', '', 'g') <> ''), lambda y: '- ' || regexp_replace(y, '^\\\\s+|\\\\s+$', '', 'g')), chr(10))
+    "mock_drafts": """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x FROM conversations), d AS (SELECT conv_id, turn, '# Summarise the notes' || E'\\n\\n## Summary\\n' || x || E'\\n\\n## Key Points\\n' || array_to_string(list_transform(list_filter(string_split(x, '. '), lambda y: regexp_replace(y, '^\\\\s+|\\\\s+$', '', 'g') <> ''), lambda y: '- ' || regexp_replace(y, '^\\\\s+|\\\\s+$', '', 'g')), chr(10))
             || CASE WHEN conv_id % 2 = 0 THEN E'\\n\\n## Applied Instructions\\n- Keep it short\\n- Name the owner' ELSE '' END AS t FROM t)
-        SELECT conv_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM d""",
+        SELECT conv_id, turn, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM d""",
     "accepted_documents": f"SELECT doc_id, CAST(length(substr(text, 1, 500)) AS INT) AS n_chars FROM documents WHERE doc_id % 13 <> 0 AND NOT contains(lower(text), '{C.DISALLOWED_TERMS[0]}') AND NOT contains(lower(text), '{C.DISALLOWED_TERMS[1]}')",
     "workflow_topics": f"""SELECT conv_id, turn, {_n(C.WORKFLOW_HINT, "concat_ws(' ', CASE conv_id % 3 WHEN 0 THEN 'Portal setup request' WHEN 1 THEN 'Ticket' END, array_to_string(string_split(text, chr(10))[1:6], ' '))")} >= 2 AS workflow FROM conversations""",
     "public_jobs": "SELECT event_id AS job_id, event_type AS status, ts AS created_at, ts AS updated_at, CASE WHEN event_type = 'error' THEN 'failed' END AS error, '/compose/jobs/' || event_id || '/result' AS result_path, '/compose/jobs/' || event_id AS status_path FROM events",
@@ -363,7 +363,7 @@ SQL: dict[str, str] = {
         SELECT key, o.id AS event_id, o.ok AS allowed, o.wait AS retry_after FROM u""",
     "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS opens FROM events), b AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM a)
         SELECT user_id, min(ts) AS session_start, count(*) AS n FROM b GROUP BY user_id, b.n""",
-    "misplaced_figures": r"""WITH a AS (SELECT conv_id AS doc_id, turn AS pos, role, array_to_string(string_split(text, ' ')[1:12], ' ') AS t FROM conversations), b AS (SELECT doc_id, pos, role, t, last_value(CASE WHEN role <> 'assistant' THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS h FROM a),
+    "misplaced_figures": r"""WITH a AS (SELECT conv_id AS doc_id, turn AS pos, role, text AS t FROM conversations), b AS (SELECT doc_id, pos, role, t, last_value(CASE WHEN role <> 'assistant' THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS h FROM a),
         k AS (SELECT *, trim(regexp_replace(regexp_replace(lower(h), '\b(\d{1,3})\s+(st|nd|rd|th)\b', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS hk, trim(regexp_replace(regexp_replace(lower(t), '\b(\d{1,3})\s+(st|nd|rd|th)\b', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g')) AS fk FROM b WHERE role = 'assistant'),
         w AS (SELECT *, list_distinct(string_split(hk, ' ')) AS x, list_distinct(string_split(fk, ' ')) AS y FROM k WHERE hk <> '' AND fk <> '')
         SELECT doc_id, pos, md5(h || chr(10) || t) AS digest FROM w WHERE NOT (contains(fk, hk) OR contains(hk, fk) OR len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE >= 0.35::DOUBLE) AND NOT starts_with(fk, 'continuation view')""",

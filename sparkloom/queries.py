@@ -73,8 +73,7 @@ def postprocess_lines(s, d):
 
 
 def title_normalise(s, d):
-    first = F.element_at(F.split("text", "\n"), 1)
-    named = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Deck: Topic: "), first, F.lit(" -"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("The 2 nd "), first, F.lit(":"))).otherwise(F.concat(F.lit("Topic: ab"), F.lit("")))
+    named = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Deck: Topic: "), "text", F.lit(" -"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("The 2 nd "), "text", F.lit(":"))).otherwise(F.concat(F.lit("Topic: ab"), F.lit("")))
     return table(s, d, "conversations").select("conv_id", "turn", T.slide_title(named).alias("title"), T.heading_key(named).alias("heading"), T.caption_subject(named).alias("subject"))
 
 
@@ -102,16 +101,15 @@ def markup(s, d):
 
 def prompt_checks(s, d):
     """Which prompts are generic and which titles are instructions."""
-    words = F.slice(F.split("text", " "), 1, 3)
-    prompt = F.when(F.col("turn") % 4 == 0, F.lit("Generate document report")).otherwise(F.array_join(words, " "))
-    title = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Please summarise "), F.array_join(words, " "))).when(F.col("turn") % 3 == 1, F.lit("2024 - 7")).otherwise(F.array_join(words, " "))
+    prompt = F.when(F.col("turn") % 4 == 0, F.lit("Generate document report")).otherwise(F.col("text"))
+    title = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Please summarise "), "text")).when(F.col("turn") % 3 == 1, F.lit("2024 - 7")).otherwise(F.col("text"))
     return table(s, d, "conversations").select("conv_id", "turn", rules.is_generic_prompt(prompt).alias("generic"), T.is_instruction(title).alias("instruction"))
 
 
 def document_titles(s, d):
-    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
-    named = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Please generate slides 3 - 9 of "), first)).when(F.col("turn") % 4 == 1, F.concat(F.lit("deck_file "), first, F.lit(" guide."))).otherwise(F.lit("ppt"))
-    listed = table(s, d, "conversations").filter("turn < 3").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", named.alias("t")))), lambda x: x["t"]).alias("c"))
+    """Each conversation's title, of all lines of its turns."""
+    named = lambda x: F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Please generate slides 3 - 9 of "), x)).when(F.col("turn") % 4 == 1, F.concat(F.lit("deck_file "), x, F.lit(" guide."))).otherwise(x)
+    listed = table(s, d, "conversations").groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.transform(F.split("text", "\n"), named).alias("t")))), lambda x: x["t"])).alias("c"))
     return listed.select("conv_id", T.document_title(F.col("c")).alias("title"))
 
 
@@ -249,7 +247,7 @@ def chunk_ranker_comparison(s, d):
     return _compared(s, _chunks(s, d))
 
 
-#: The cases of the golden set: a conversation each, asked with the first words of its user.
+#: The cases of the golden set: a conversation each, with all words of its user to be included.
 CASE_FIELDS = """concat('c', conv_id) AS case_id, CAST(NULL AS INT) AS none, conv_id % 10 = 0 AS requires_ordered_steps, conv_id % 12 = 0 AS requires_table, conv_id % 11 = 0 AS expects_refusal,
     conv_id % 3 <> 0 AS gated, conv_id % 13 <> 0 AS ok, CAST(conv_id * 37 % 1000 AS INT) AS latency_ms, CASE WHEN conv_id % 2 = 0 THEN 5 END AS min_words, CASE WHEN conv_id % 3 = 0 THEN 400 END AS max_words,
     concat(CASE WHEN conv_id % 5 = 0 THEN '1. ' ELSE '' END, said, CASE WHEN conv_id % 6 = 0 THEN concat(chr(10), '| a | b |') ELSE '' END, CASE WHEN conv_id % 22 = 0 THEN ' This is not stated in the source.' ELSE '' END) AS output"""
@@ -262,7 +260,7 @@ def _scored_cases(s, d):
     none = F.expr("cast(array() AS array<string>)")
     return gates.score_cases(
         conv.selectExpr("conv_id", "asked", *_fields(CASE_FIELDS)).withColumns({
-            "must_include": F.slice(words, 1, 2), "must_not_include": F.array(F.lit("Slide"), F.lit("ing")), "required_sections": F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("the"))).otherwise(none),
+            "must_include": words, "must_not_include": F.array(F.lit("Slide"), F.lit("ing")), "required_sections": F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("the"))).otherwise(none),
         })
     )
 
@@ -308,8 +306,8 @@ def metric_pairs(s, d):
 def mock_drafts(s, d):
     """What the evaluation's mock mode answers: drafts that restate their source."""
     instructions = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("Keep it short"), F.lit("Name the owner")))
-    rows = table(s, d, "conversations").filter("turn = 0").select("conv_id", gates.deterministic_draft(F.lit("Summarise the notes."), F.coalesce("text", F.lit("")), instructions).alias("t"))
-    return rows.select("conv_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+    rows = table(s, d, "conversations").select("conv_id", "turn", gates.deterministic_draft(F.lit("Summarise the notes."), F.coalesce("text", F.lit("")), instructions).alias("t"))
+    return rows.select("conv_id", "turn", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 # rules --------------------------------------------------------------------------------------------------------------
@@ -556,8 +554,8 @@ def caption_alignment(s, d):
 
 
 def misplaced_figures(s, d):
-    """Assistant turns as figures under user turns as headings, with their first words as subjects."""
-    rows = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "figure").otherwise("heading").alias("kind"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
+    """Assistant turns as figures under user turns as headings, with their texts as subjects."""
+    rows = table(s, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(F.col("role") == "assistant", "figure").otherwise("heading").alias("kind"), "text")
     return structure.misplaced_figures(rows).select("doc_id", "pos", F.md5(F.concat("heading", F.lit("\n"), "text")).alias("digest"))
 
 
@@ -620,8 +618,8 @@ def image_merge(s, d):
     """Pictures of two kinds of events: every name three times, some with a data URI's head."""
     e = table(s, d, "events")
     name, body = F.concat(F.lit("Img"), F.pmod("event_id", F.lit(7)), F.lit(".png")), F.base64(F.concat(F.lit("picture "), F.pmod("event_id", F.lit(14)).cast("string")).cast("binary"))
-    a = e.filter("event_type = 'click' AND event_id < 500").select(F.col("event_id").alias("pos"), name.alias("name"), body.alias("content"))
-    b = e.filter("event_type = 'view' AND event_id < 500").select(F.col("event_id").alias("pos"), F.lower(name).alias("name"), F.concat(F.lit("data:image/png;base64,"), body).alias("content"))
+    a = e.filter("event_type = 'click'").select(F.col("event_id").alias("pos"), name.alias("name"), body.alias("content"))
+    b = e.filter("event_type = 'view'").select(F.col("event_id").alias("pos"), F.lower(name).alias("name"), F.concat(F.lit("data:image/png;base64,"), body).alias("content"))
     return files.merge_images(a, b, 12)
 
 
@@ -675,12 +673,10 @@ def deck_documents(s, d):
     return made.select("deck", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"(?m)^### ")).alias("n_topics"), F.md5("text").alias("digest"))
 
 
-def fallback_document(s, d):
-    """The document that the ten best chunks of the first benchmark item give without a model."""
-    asked = _queries(s, d).orderBy("qid").limit(1)
-    top = _top_texts(s, d, asked, 10)
-    made = compose.fallback_document(top, "Notes", sections=LOCAL_SECTIONS)
-    return made.select(F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"(?m)^## ")).alias("n_sections"), F.md5("text").alias("digest"))
+def fallback_documents(s, d):
+    """The documents that the ten best chunks of each benchmark item give without a model."""
+    made = compose.fallback_document(_top_texts(s, d, _queries(s, d), 10), "Notes", sections=LOCAL_SECTIONS)
+    return made.select("qid", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit(r"(?m)^## ")).alias("n_sections"), F.md5("text").alias("digest"))
 
 
 def retrieval_queries(s, d):
@@ -694,7 +690,7 @@ QUERIES = (
     chunk_ranker_comparison, golden_score, eval_summary, gate_checks, baseline_diff, metric_pairs, mock_drafts, policy_flags, leak_probes, doc_structure, contract_check, llm_authorship, accepted_documents, workflow_topics,
     ingress_checks, artifact_authz, artifact_view, label_quality_vs_flags, kpi_snapshot, latency_percentiles, cost_rollup, exposition, last_n_runs, latest_job_status, quality_proxies, job_outcomes, run_windows, public_jobs, request_routes, result_cache, triage_delta,
     rate_limit_decisions, event_windows, event_sessions, topic_merge, part_classify, section_chunks, procedure_steps, repetition_report, document_repetition, table_shapes, template_shapes, caption_alignment, misplaced_figures, adjacent_status, title_mode,
-    repeated_long_lines, evidence_topn, file_select, image_triage, image_relevance, triage_precision, image_merge, image_placement, table_rows, topic_narratives, deck_documents, fallback_document, retrieval_queries,
+    repeated_long_lines, evidence_topn, file_select, image_triage, image_relevance, triage_precision, image_merge, image_placement, table_rows, topic_narratives, deck_documents, fallback_documents, retrieval_queries,
 )
 
 

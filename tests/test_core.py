@@ -411,7 +411,7 @@ def test_narratives_by_the_titles_length(spark):
 def test_fallback_document_and_augmentation(spark):
     rows = [(1, k, f"The risk of delay number {k} is known to the whole project group. The mitigation {k} is planned for the autumn of the year.", 1.0 / k, k) for k in range(1, 12)]
     chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, text string, score double, rank int")
-    text = compose.fallback_document(chunks, "Plan").first().text
+    text = compose.fallback_document(chunks.withColumn("qid", lit(1)), "Plan").first().text
     assert text.startswith("# Plan\n\n## Objective\nPlan\n\n## Executive Overview") and text.count("\n## ") == 11 and text.endswith(C.TEMPLATES["closing"][-1])
     assert one(spark, compose.augmented(lit("# T\nshort "), lit("# A\nbody"))) == "# T\nshort\n\n## Expanded Supporting Detail\n\nbody" and one(spark, compose.augmented(lit("x" * 20), lit("y"), 10)) == "x" * 20
 
