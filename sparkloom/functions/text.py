@@ -34,7 +34,7 @@ def squeeze(c: Column) -> Column:
 
 def tokens(c: Column, least: int = DEFAULT.ranking.min_token) -> Column:
     """Lower-case ASCII word tokens of at least ``least`` characters, with repetitions."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda x: F.length(x) >= least)
+    return F.regexp_extract_all(F.lower(c), F.lit(f"[a-z0-9_]{{{least},}}"), F.lit(0))
 
 
 def token_set(c: Column) -> Column:

@@ -51,7 +51,7 @@ def counted(found: Column) -> Column:
     """(term, tf) of an array of terms: the runs of the sorted array."""
     runs = lambda t: F.filter(F.transform(t, lambda x, i: F.struct(i.alias("i"), ((i == 0) | (F.get(t, i - 1) != x)).alias("first"))), lambda x: x["first"])
     ends = lambda t, r: F.transform(r, lambda x, j: F.struct(F.get(t, x["i"]).alias("term"), (F.coalesce(F.get(r, j + 1)["i"], F.size(t)) - x["i"]).cast("long").alias("tf")))
-    return let(F.array_sort(found), lambda t: let(runs(t), lambda r: ends(t, r)))
+    return let(F.sort_array(found), lambda t: let(runs(t), lambda r: ends(t, r)))
 
 
 def _listed(parts: DataFrame, terms: DataFrame, distinct: bool) -> DataFrame:
