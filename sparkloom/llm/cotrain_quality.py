@@ -82,24 +82,28 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def per_row(flat: np.ndarray, ends: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The sum of ``w`` over each row's numbers; ``ends``: where rows begin and end in ``flat``."""
-    total = np.concatenate(([0.0], np.cumsum(w[flat], dtype=float)))
+def per_row(flat: np.ndarray, ends: np.ndarray, w: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """The sum of ``w`` over each row's numbers, which count ``times`` (once); ``ends``: where rows begin and end in ``flat``."""
+    total = np.concatenate(([0.0], np.cumsum(w[flat] if times is None else w[flat] * times, dtype=float)))
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def dense(view: int, flat: np.ndarray, ends: np.ndarray, evidence: list | None) -> np.ndarray:
+def lengths(ends: np.ndarray, times: np.ndarray | None) -> np.ndarray:
+    return np.maximum(1, np.diff(ends) if times is None else np.diff(np.concatenate(([0], np.cumsum(times, dtype=np.int64)))[ends]))
+
+
+def dense(view: int, flat: np.ndarray, ends: np.ndarray, evidence: list | None, times: np.ndarray | None = None) -> np.ndarray:
     """For each row: the evidence from the other view's labels, and one."""
-    n = np.maximum(1, np.diff(ends))
+    n = lengths(ends, times)
     cells = flat & (CELLS[view] - 1)
-    columns = [per_row(cells, ends, t) / n if t is not None else np.zeros(len(n)) for t in (evidence or (None, None))]
+    columns = [per_row(cells, ends, t, times) / n if t is not None else np.zeros(len(n)) for t in (evidence or (None, None))]
     return np.stack([*columns, np.ones(len(n))], axis=1)
 
 
-def margins(view: int, flat: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+def margins(view: int, flat: np.ndarray, ends: np.ndarray, model: dict, times: np.ndarray | None = None) -> np.ndarray:
     w = model["weights"][view]
-    own = per_row(flat, ends, w[: WIDTHS[view]]) * (SCALE / np.maximum(1, np.diff(ends)) if view == 0 else 1.0)
-    return own + dense(view, flat, ends, model["evidence"][view]) @ w[WIDTHS[view] :].astype(float)
+    own = per_row(flat, ends, w[: WIDTHS[view]], times) * (SCALE / lengths(ends, times) if view == 0 else 1.0)
+    return own + dense(view, flat, ends, model["evidence"][view], times) @ w[WIDTHS[view] :].astype(float)
 
 
 class Rows:
@@ -220,6 +224,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *lists], names=["doc_id", "good", "ids", "meta"])
 
 
+PACKED = "steps array<int>, times array<int>, meta array<int>"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of unlabelled rows in little space: a text's distinct tokens as steps from the one before, in order of
+    their numbers, with how often each occurs; tokens are counted, never needed in order."""
+    hashes = Hashes()
+    for b in batches:
+        for at in range(0, b.num_rows, 1000):
+            x = b.slice(at, 1000)
+            (ids, ends), (meta, meta_ends) = _featured(x.column(2), x.column(3), x.column(4), hashes)
+            steps, times, cuts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
+            for a, e in zip(ends[:-1], ends[1:], strict=True):
+                u, n = np.unique(ids[a:e], return_counts=True)
+                steps.append(np.diff(u, prepend=0).astype(np.int32))
+                times.append(n.astype(np.int32))
+                cuts.append(cuts[-1] + len(u))
+            lists = [pa.ListArray.from_arrays(pa.array(np.array(o, np.int32)), pa.array(v)) for o, v in ((cuts, np.concatenate(steps)), (cuts, np.concatenate(times)), (meta_ends, meta))]
+            yield pa.RecordBatch.from_arrays(lists, names=["steps", "times", "meta"])
+
+
+def _unpacked_ids(steps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Token numbers from the steps between them, row by row."""
+    total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+    return (total[1:] - np.repeat(total[ends[:-1]], np.diff(ends))).astype(np.int64)
+
+
 def _columns(docs: DataFrame) -> list:
     text = lambda c: (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")).alias(c)
     return [F.col("doc_id").cast("long").alias("doc_id"), text("text"), text("source"), text("lang")]
@@ -239,21 +270,21 @@ def _counted(model: dict):
         for b in batches:
             if not b.num_rows:
                 continue
-            held = []
-            for view in (0, 1):
-                column = b.column(view)
-                ends = column.offsets.to_numpy()
-                held.append((column.flatten().to_numpy(zero_copy_only=False), ends - ends[0]))
+            flats = [b.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(3)]
+            ends = [b.column(k).offsets.to_numpy() for k in (0, 2)]
+            ends = [e - e[0] for e in ends]
+            held = [(_unpacked_ids(flats[0], ends[0]), ends[0], flats[1]), (flats[2], ends[1], None)]
             p = []
-            for view, (flat, ends) in enumerate(held):
+            for view, (flat, ends, times) in enumerate(held):
                 c, d = model["single"][view]
-                p.append(sigmoid(c * margins(view, flat, ends, model) + d))
-            for view, (flat, ends) in enumerate(held):
+                p.append(sigmoid(c * margins(view, flat, ends, model, times) + d))
+            for view, (flat, ends, times) in enumerate(held):
                 low, high = model["sure"][1 - view]
                 kinds = (p[1 - view] >= high, p[1 - view] <= low, np.ones(b.num_rows, bool))
                 lens = np.diff(ends)
                 for k, mask in enumerate(kinds):
-                    n[view][k, :-1] += np.bincount(flat[np.repeat(mask, lens)] & (CELLS[view] - 1), minlength=CELLS[view])
+                    chosen = np.repeat(mask, lens)
+                    n[view][k, :-1] += np.bincount(flat[chosen] & (CELLS[view] - 1), None if times is None else times[chosen], CELLS[view]).astype(np.int64)
                     n[view][k, -1] += mask.sum()
         for view in (0, 1):
             kind, cell = np.nonzero(n[view])
@@ -295,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame, *, labelled: int = 6000, rounds: i
     model = fitted(evidence)
     if model and rounds:
         others = rows.join(F.broadcast(sample), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("good"), "text", "source", "lang")
-        unlabelled = written(others.mapInArrow(_features, FEATURES)).select("ids", "meta")
+        unlabelled = written(others.mapInArrow(_packed, PACKED))
         for _ in range(rounds):
             counts = unlabelled.mapInArrow(_counted(model), "view int, kind int, cell int, n long").groupBy("view", "kind", "cell").agg(F.sum("n").alias("n"))
             evidence, docs_ = _evidence(counts.toArrow())

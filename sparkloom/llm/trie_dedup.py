@@ -7,8 +7,8 @@ terminals go out as rows and it starts anew. The rows are then dealt by text len
 hash, sorted by these, so that one length-and-hash partition is at hand at a time. Its full byte strings, equal or not,
 go into one trie, which tells them apart and whose terminals give the final owners and group sizes. Within a partition
 rows are sorted by the whole hash, so copies come together; a trie that outgrows its memory spills its largest subtree
-between two hashes, when all terminals are complete. A join on (length, digest) brings the owners back to every row;
-two different byte strings with one length and SHA-256 digest would raise an error.
+between two hashes, when all terminals are complete. Joins on (length, digest) bring the owners back to every row, with
+large groups broadcast; two different byte strings with one length and SHA-256 digest would raise an error.
 
 Defined results: a null text counts as the empty text. Rows with a null doc_id take part and never own a group that
 has another id. Repeated rows are counted as copies of each other. An empty table gives no rows. Further columns of
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import shuffle_partitions
+from sparkloom.llm.common import shuffle_partitions, written
 
 
 #: Texts of one length whose digests begin with the same bytes share a trie.
@@ -195,15 +195,31 @@ def owners(docs: DataFrame, *, keep: str = "smallest", memory: int = 96 << 20) -
     return dealt.mapInArrow(_owners(pick, memory), "len long, digest binary, keep_id long, group_size long")
 
 
+#: Groups that a broadcast may hold: those above the N / MOST_HOT-th part of all rows, so never more than this.
+MOST_HOT = 20_000
+
+
 def dedup(docs: DataFrame, *, keep: str = "smallest", memory: int = 96 << 20) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest for every row; a repeated owner id marks all its rows as kept."""
+    """doc_id, keep_id, group_size, kept, digest for every row; a repeated owner id marks all its rows as kept.
+
+    Owners come back in two joins. Groups that hold more than the ``MOST_HOT``-th part of all rows, of which there are
+    ``MOST_HOT`` at most, are broadcast: their rows stay where they are. The other groups are joined by their keys, where
+    the rows that have their owner already are dealt by their ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.mapInArrow(_digests, "doc_id long, len long, digest binary")
-    groups = owners(docs, keep=keep, memory=memory).filter("group_size > 1")
-    return keyed.join(groups, ["len", "digest"], "left").select(
+    groups = written(owners(docs, keep=keep, memory=memory).filter("group_size > 1"))
+    many = F.greatest(F.lit(100), F.coalesce(F.sum("group_size"), F.lit(0)) / MOST_HOT)
+    hot = groups.join(F.broadcast(groups.agg(many.alias("many"))), F.col("group_size") > F.col("many")).drop("many")
+    cold = groups.join(F.broadcast(groups.agg(many.alias("many"))), F.col("group_size") <= F.col("many")).drop("many")
+    named = lambda g, k: g.select("len", "digest", F.col("keep_id").alias(f"keep_{k}"), F.col("group_size").alias(f"size_{k}"))
+    first = keyed.join(F.broadcast(named(hot, "hot")), ["len", "digest"], "left")
+    away = F.when(F.col("size_hot").isNotNull(), F.encode(F.concat(F.lit("id "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "utf-8")).otherwise(F.col("digest"))
+    both = first.withColumn("own", F.col("digest")).withColumn("digest", away).join(named(cold, "cold"), ["len", "digest"], "left")
+    keep_id, size = F.coalesce("keep_hot", "keep_cold"), F.coalesce("size_hot", "size_cold")
+    return both.select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.when(size.isNull(), F.col("doc_id")).otherwise(keep_id).alias("keep_id"),
+        F.coalesce(size, F.lit(1).cast("long")).alias("group_size"),
+        F.when(size.isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
+        F.lower(F.hex("own")).alias("text_sha256"),
     )

@@ -1,12 +1,14 @@
 import random
 import re
 import time
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 
-from sparkloom.llm.cotrain_quality import score, thresholds
+from sparkloom.llm.cotrain_quality import FEATURES, PACKED, _features, _packed, _unpacked_ids, score, thresholds
 from sparkloom.llm.cotrain_quality import train as train_quality
-from sparkloom.llm.markov_secrets import ALPHABETS, KINDS, find_secrets, generated, pairs, ratio, ratio_table, samples, scan, train
+from sparkloom.llm.markov_secrets import ALPHABETS, KINDS, find_secrets, generated, held_out, pairs, ratio, ratio_table, samples, scan, train
 
 WORDS = "the of and configuration management internationalization_settings get_user_by_identifier telecommunications response handler running because"
 
@@ -152,3 +154,22 @@ def test_a_long_text_with_many_secrets_takes_linear_time():
     spans = scan(text, table, 16, 12.0)
     assert time.perf_counter() - began < 20
     assert sum(s[1] == 0 for s in spans) == 20_000 and not any(s[1] == 3 for s in spans) and values.sum() > 600_000 and ordinary_.sum() < len(text)
+
+
+def test_measures_of_a_table_that_was_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = held_out(docs)
+    assert found["recall"] >= 0.9 and found["false_rate"] <= 0.1 and found["runs"] > 20, found
+
+
+def test_packed_features_are_those_of_the_texts(spark):
+    rng = random.Random(2)
+    rows = [(i, None, " ".join(rng.choice(["a", "b", "ccc", "é", "--"]) for _ in range(rng.randint(0, 40))) or None, "s", "en") for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, good int, text string, source string, lang string").coalesce(1)
+    plain = table.mapInArrow(_features, FEATURES).toArrow().combine_chunks()
+    packed = table.mapInArrow(_packed, PACKED).toArrow().combine_chunks()
+    for k in range(60):
+        ids, steps, times = (c[k].as_py() for c in (plain["ids"], packed["steps"], packed["times"]))
+        assert Counter(ids) == dict(zip(accumulate(steps), times, strict=True)) and plain["meta"][k] == packed["meta"][k]
+    flat, cuts = packed["steps"].combine_chunks().flatten().to_numpy(), packed["steps"].combine_chunks().offsets.to_numpy()
+    assert [list(_unpacked_ids(flat, cuts)[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)] == [sorted(set(x)) for x in plain["ids"].to_pylist()]
