@@ -381,7 +381,7 @@ SQL: dict[str, str] = {
         c AS (SELECT *, {_clipped('e', 220, ' ', '...')} AS ev FROM b),
         d AS (SELECT doc_id, {list(C.OPENERS[:3])}[v] || ' ' || coalesce(nullif(t, ''), 'this area of the programme') || '. ' || CASE WHEN len(f) > 0 THEN array_to_string(f[1:3], ' ') ELSE {list(C.TEMPLATES['visual_only'])}[v] END
             || CASE WHEN len(f) > 3 THEN chr(10) || chr(10) || {list(C.TEMPLATES['follow_ups'])}[v] || ' ' || array_to_string(f[4:8], ' ') ELSE '' END || CASE WHEN len(f) > 8 THEN chr(10) || chr(10) || '{C.TEMPLATES['more']} ' || array_to_string(f[9:14], ' ') ELSE '' END
-            || CASE WHEN doc_id % 2 > 0 THEN chr(10) || chr(10) || '{C.TEMPLATES['table']}' ELSE '' END || CASE WHEN doc_id % 3 > 0 THEN chr(10) || chr(10) || CASE WHEN ev <> '' THEN 'The figure shows ' || s || ' as recorded: ' || ev || '.' ELSE 'The figure shows ' || s || '.' END ELSE '' END AS t FROM c)
+            || CASE WHEN doc_id % 2 > 0 THEN chr(10) || chr(10) || '{C.TEMPLATES['table']}' ELSE '' END || CASE WHEN doc_id % 3 > 0 THEN chr(10) || chr(10) || CASE WHEN ev <> '' THEN 'As the figure of ' || s || ' has it: ' || ev || '.' ELSE 'The figure depicts ' || s || '.' END ELSE '' END AS t FROM c)
         SELECT doc_id, CAST(length(t) AS INT) AS n_chars, md5(t) AS digest FROM d""",
     "retrieval_queries": f"""SELECT conv_id, turn, md5(array_to_string(list_filter(list_transform(list_concat(['plan', role, 'a'], CASE WHEN turn % 2 = 0 THEN ['hint.md'] ELSE [] END, [substr({_STRIP.format(x='text')}, 1, 800)]), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10))) AS digest FROM conversations""",
 }
