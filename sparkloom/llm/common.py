@@ -55,12 +55,30 @@ def written(df: DataFrame) -> DataFrame:
 
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a frame that ``written`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    for x in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(x).getParent()
-        if "sparkloom-tables" in p.toString():
-            p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
+    for path in _folders(df)[:1]:
+        _delete(df.sparkSession, path)
+
+
+def _folders(df: DataFrame) -> list[str]:
+    """The written tables that a frame reads."""
+    return sorted({x.rsplit("/", 1)[0] for x in df.inputFiles() if "/sparkloom-tables/" in x})
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def tables_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def drop_since(first: int, *keep: DataFrame) -> None:
+    """Deletes the tables that were written after ``tables_so_far`` gave ``first``, but for those that ``keep`` reads."""
+    kept = {x.rsplit("/", 1)[-1] for df in keep for x in _folders(df)}
+    for spark, path in _WRITTEN[first:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import ascii_words, drop_written, written
+from sparkloom.llm.common import ascii_words, drop_since, drop_written, tables_so_far, written
 
 M1, M2, GOLD = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15))
 U33, U29 = np.uint64(33), np.uint64(29)
@@ -301,6 +301,7 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     schema = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("digest binary, n long, keys array<long>").fields])
+    begun = tables_so_far()
     base = written(rows.mapInArrow(_prepare(k, families(threshold, **sketching)), schema).withColumn("rid", F.monotonically_increasing_id()))
 
     texts = written(base.groupBy("digest").agg(F.min("rid").alias("tid"), F.count(F.lit(1)).alias("copies")))
@@ -316,7 +317,7 @@ def _classed(docs: DataFrame, k: int, threshold: float, **sketching) -> tuple[Da
     kmers_of = lambda some: base.select("rid", "text").join(some, "rid", "left_semi").mapInArrow(_kmers_of(k), "tid long, kmer long")
     bucketed = _buckets(lengths.select("tid", "keys"))
     roots = _settled(bucketed, lengths.select("tid", "n"), verified, kmers_of, threshold)
-    drop_written(bucketed)
+    drop_since(begun, base, texts, roots)  # buckets, pairs and the steps of the components have served
     by_digest = texts.join(roots.withColumnRenamed("v", "tid"), "tid", "left").select("digest", F.coalesce("root", "tid").alias("root"))
     placed = base.select("rid", "doc_id", "digest").join(by_digest, "digest").select("rid", "doc_id", "root")
     best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("class_size"))

@@ -1,6 +1,9 @@
+import zlib
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from sparkloom.llm import common
 from sparkloom.llm.common import ascii_words
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +59,58 @@ def test_slots_follow_the_mix(spark, monkeypatch):
             assert [x for x, _ in here] == list(range(len(here))) and [x for _, x in here] == sorted(x for _, x in here)
         found.append(sorted((r.shard, r.slot, r.doc_id) for r in rows))
     assert found[0] != found[1]
+
+
+def odd_rows(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [
+        (1, text, None, "en", 3, "a"), (2, text.upper(), "s", None, None, "b"), (3, None, "s", "en", 0, None), (4, "", "s", "en", 0, "c"), (5, " \n\t ", None, None, 4, "d"),
+        (None, "a row without an id, of its own words", "s", "en", 9, "e"), (7, "x", "t", "en", 1, "f"), (7, "x", "t", "en", 1, "f"), (8, "word " * 60_000 + "end", "t", "en", 300_003, "g"), (9, "ü" * 90_000, "t", "de", 90_000, "h"),
+    ]
+    return spark.createDataFrame([(*r, *[r[-1]] * 8) for r in rows], "doc_id long, text string, source string, lang string, n_chars long, row string, keep string, spans string, slot string, rid string, root string, digest string, quality string, skey string")
+
+
+def tables(tmp_path, spark, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_stages_with_odd_rows_and_clashing_names(spark, tmp_path):
+    d = tables(tmp_path, spark, [(1, 1, 0), (3, 0, 0), (None, 1, None), (8, None, 0)], [(1, "ü ü ü"), (2, None), (3, ""), (4, "word " * 12)])
+    docs, kept = odd_rows(spark), None
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.row or "")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        kept = sorted(out.collect(), key=key)
+        was = [tuple(r) for r in docs.collect()]
+        assert all(tuple(r) in was for r in kept)
+        if name == "near_dedup":  # 1 and 2 but for case, 3 and 4 empty, 7 twice
+            assert [r.doc_id for r in kept] == [1, 3, 5, 7, 8, 9, None]
+        if name == "decontaminate":
+            assert [r.doc_id for r in kept] == [1, 3, 5, 7, 9, None]
+        if name == "mix":
+            assert len(kept) == len(was)
+        docs = spark.createDataFrame([tuple(r) for r in (kept if name != "quality" else odd_rows(spark).collect())], docs.schema)
+    packed = {r.doc_id: (r["size"], r.text_crc32) for r in corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()}
+    assert packed[3] == (8, 0) and packed[9] == (180_008, zlib.crc32(("ü" * 90_000).encode())) and len(packed) == 6
+
+
+def test_stages_with_empty_tables(spark, tmp_path):
+    d = tables(tmp_path, spark, [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_rows(spark).limit(0), d)
+        assert out.count() == 0 and (name == "shard" or out.columns == odd_rows(spark).columns)
+    assert corpus_pipeline.quality(spark, odd_rows(spark), d).count() == 10  # no labels, no verdict
+    assert corpus_pipeline.decontaminate(spark, odd_rows(spark), d).count() == 10
+
+
+def test_a_run_leaves_only_the_tables_that_its_result_reads(spark):
+    import os
+
+    begun = common.tables_so_far()
+    rows = corpus_pipeline.run(spark, SF)
+    there = {p for _, p in common._WRITTEN[begun:] if os.path.isdir(p.removeprefix("file:"))}
+    assert len(common._WRITTEN) - begun > 20 and len(there) <= 4
+    assert rows.count() > 100
