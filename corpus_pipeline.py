@@ -12,6 +12,12 @@ folder and reading them again.
 5. ``shard``: doc_id, size, text_crc32, tokens, shard and slot of all rows, packed into 24 shards. The slots of a shard
    follow the order of stage 4's files, so reading a shard by slot gives its part of the mix.
 
+Defined results, for every stage: a null text counts as empty, has no benchmark words and size 8; texts without words are
+copies of equal ones only; null sources and languages are values like others; rows with a null doc_id take part, and are never the
+one that stays of a class with an id; repeated rows are copies, of which near_dedup keeps one; of ties the smallest doc_id
+stays; texts are read whole, however long; further columns are carried, whatever their names, by all stages but the last;
+an empty table gives none. Without labels of both kinds stage 1 keeps all rows.
+
 No SQL can state stages 1, 2, 4 and 5, so ORACLE_SQL is None; tests hold the stages against brute-force versions.
 """
 
@@ -22,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import table, utf8_bytes, written
+from sparkloom.llm.common import drop_since, table, tables_so_far, utf8_bytes, written
 from sparkloom.llm.cotrain_quality import score
 from sparkloom.llm.fm_decontam import contamination
 from sparkloom.llm.omh_dedup import keep_one
@@ -70,8 +76,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    begun = tables_so_far()
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        drop_since(begun, docs)  # a stage's own tables and its predecessor's rows have served
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
