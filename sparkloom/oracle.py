@@ -217,6 +217,7 @@ SQL: dict[str, str] = {
     "known_item_queries": f"WITH {_CHUNKS}, {_lex('chunks')}, {_KNOWN} SELECT doc_id, chunk_no, query FROM known",
     "ir_metrics": f"WITH {_BENCH_CHUNKS}, {_lex('bc')}, {_KNOWN}, {_bm25('SELECT doc_id AS qid, query FROM known')} {_metrics('top')}",
     "ranker_comparison": f"WITH {_BENCH_CHUNKS}, {_lex('bc')}, {_KNOWN}, {_bm25('SELECT doc_id AS qid, query FROM known')}, {_legacy('SELECT doc_id AS qid, query FROM known')} {_metrics('top', chr(39) + 'bm25' + chr(39) + ' AS ranker,')} UNION ALL {_metrics('ltop', chr(39) + 'legacy' + chr(39) + ' AS ranker,')}",
+    "chunk_ranker_comparison": f"WITH {_CHUNKS}, bc AS (SELECT doc_id * 1048576 + chunk_no AS doc_id, 0 AS chunk_no, text FROM chunks), {_lex('bc')}, {_KNOWN}, {_bm25('SELECT doc_id AS qid, query FROM known')}, {_legacy('SELECT doc_id AS qid, query FROM known')} {_metrics('top', chr(39) + 'bm25' + chr(39) + ' AS ranker,')} UNION ALL {_metrics('ltop', chr(39) + 'legacy' + chr(39) + ' AS ranker,')}",
     "golden_score": f"WITH {_CASES} SELECT case_id, must_include_coverage, forbidden_term_clean, structure_compliant, length_compliant, refusal_correct, CAST(word_count AS INT) AS word_count FROM full_",
     "eval_summary": f"WITH {_CASES} SELECT * FROM summary",
     "gate_checks": f"""WITH {_CASES}, g AS (SELECT * FROM (VALUES {", ".join(f"('{m}', '{b}', {v}::DOUBLE)" for m, (b, v) in C.GATES.items())}) AS g(metric, bound, lim))

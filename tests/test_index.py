@@ -79,6 +79,20 @@ def test_an_interrupted_build_leaves_the_last_version(spark, tmp_path, monkeypat
     same(spark, lexicon, first + second)
 
 
+def test_a_session_that_does_not_know_the_tables(spark, tmp_path):
+    rows = some_docs(30, 9)
+    write(spark, rows, tmp_path / "docs")
+    lexicon = Lexicon(spark, str(tmp_path / "index"))
+    lexicon.refresh(str(tmp_path / "docs"))
+    for kind in ("chunks", "postings"):
+        spark.sql(f"DROP TABLE {lexicon._name(kind, 0)}")
+    again = Lexicon(spark, str(tmp_path / "index"))
+    assert again.refresh(str(tmp_path / "docs")) == 0
+    same(spark, again, rows)
+    df = index.bm25_all(again, spark.createDataFrame([(1, "alpha beta")], "qid long, query string"))
+    assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_source_without_rows(spark, tmp_path):
     source = tmp_path / "docs"
     write(spark, [], source)
