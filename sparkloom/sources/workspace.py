@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.sources.decks import deck_text
+from sparkloom.streaming.jobs import OPEN, SILENT
 
 SUFFIXES = ("md", "txt", "docx", "pdf", "pptx")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -96,6 +97,28 @@ def benchmark_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.lit("available").alias("status"), "*", F.col("_metadata.file_modification_time").alias("updated_at"))
 
 
+def job_snapshots(spark: SparkSession, path: str, restarted_at: float) -> DataFrame:
+    """job_id, owner_user_id, owner_user_role, status, created_at, updated_at (seconds), request, result (JSON), error of a
+    folder of jobs' snapshots, the last of each job.
+
+    A job that was open when the server restarted is interrupted: nobody works on it any more."""
+    schema = "job_id string, owner_user_id string, owner_user_role string, status string, created_at double, updated_at double, request string, result string, error string"
+    found = spark.read.schema(schema).json(path, multiLine=True).filter("job_id IS NOT NULL")
+    columns = [c for c in found.columns if c != "job_id"]
+    last = found.groupBy("job_id").agg(F.max_by(F.struct(*columns), F.coalesce("updated_at", F.lit(0.0))).alias("x")).select("job_id", "x.*")
+    gone = F.col("status").isin(*OPEN) & (F.coalesce("updated_at", F.lit(0.0)) < restarted_at)
+    return last.withColumns({
+        "error": F.when(gone, F.lit(SILENT)).otherwise(F.col("error")), "updated_at": F.when(gone, F.lit(float(restarted_at))).otherwise(F.col("updated_at")), "status": F.when(gone, "interrupted").otherwise(F.col("status")),
+    })
+
+
+def artifact_records(spark: SparkSession, path: str) -> DataFrame:
+    """artifact_id, owner, format, mime_type, filename, path, size_bytes, download_path of a folder of artifacts' metadata."""
+    schema = "artifact_id string, owner_user_id string, format string, mime_type string, filename string, path string, size_bytes long"
+    found = spark.read.schema(schema).json(path, multiLine=True).filter("artifact_id IS NOT NULL")
+    return found.withColumnRenamed("owner_user_id", "owner").withColumn("download_path", F.concat(F.lit("/artifacts/"), "artifact_id"))
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """The scanned files that are new or whose time or length differs from ``known`` (path, modificationTime, length): the
     others' texts need not be read again."""

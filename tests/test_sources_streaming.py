@@ -1,4 +1,5 @@
 import io
+import json
 import struct
 import zipfile
 import zlib
@@ -7,10 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkloom.config import Limits
+from sparkloom.functions import rules
 from sparkloom.functions.register import chain, embedder, register
 from sparkloom.operators import files
 from sparkloom.operators.images import features, read_images
 from sparkloom.sources import sinks, workspace
+from sparkloom.streaming.jobs import SILENT
 from sparkloom.streaming.limiter import Window, decide_stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -119,6 +122,27 @@ def test_reports_thresholds_and_increments(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in workspace.changed_files(workspace.scan(spark, str(tmp_path)), first).collect()] == ["b.md"]
 
 
+def test_snapshots_of_jobs_and_metadata_of_artifacts(spark, tmp_path):
+    jobs = [
+        {"job_id": "a", "owner_user_id": "u1", "status": "running", "created_at": 1.0, "updated_at": 5.0, "request": {"prompt": "x"}, "result": None},
+        {"job_id": "b", "owner_user_id": "u2", "status": "completed", "created_at": 2.0, "updated_at": 6.0, "result": {"n": [1, 2]}},
+        {"job_id": "c", "owner_user_id": "u1", "status": "queued", "created_at": 11.0, "updated_at": 11.0},
+        {"job_id": "d", "owner_user_id": "u1", "status": "queued", "created_at": 1.0, "updated_at": 1.0},
+        {"job_id": "d", "owner_user_id": "u1", "status": "failed", "created_at": 1.0, "updated_at": 3.0, "error": "no source"},
+    ]
+    for i, x in enumerate(jobs):
+        (tmp_path / f"j{i}.json").write_text(json.dumps(x, indent=1))
+    (tmp_path / "broken.json").write_text("{")
+    got = {r.job_id: (r.status, r.updated_at, r.error, json.loads(r.request or r.result or "null")) for r in workspace.job_snapshots(spark, str(tmp_path), 10.0).collect()}
+    assert got == {"a": ("interrupted", 10.0, SILENT, {"prompt": "x"}), "b": ("completed", 6.0, None, {"n": [1, 2]}), "c": ("queued", 11.0, None, None), "d": ("failed", 3.0, "no source", None)}
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta" / "1.json").write_text(json.dumps({"artifact_id": "x1", "owner_user_id": "u1", "format": "pdf", "mime_type": "application/pdf", "filename": "a.pdf", "path": "/s/a.pdf", "size_bytes": 7}))
+    row = workspace.artifact_records(spark, str(tmp_path / "meta")).first()
+    assert (row.owner, row.size_bytes, row.download_path) == ("u1", 7, "/artifacts/x1")
+    rules.readable_view(workspace.artifact_records(spark, str(tmp_path / "meta")), "stored")
+    assert rules.readable_by(spark, "stored", "u1", "editor").count() == 1 and rules.readable_by(spark, "stored", "u2", "editor").count() == 0
+
+
 def test_limiter_as_a_stream(spark, tmp_path):
     hits = [("k", i, float(t)) for i, t in enumerate((0, 1, 30, 62))]
     for i, h in enumerate(hits):
