@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 class Counter:
     """Counts tokens of whole texts as the library gives them, holding one chunk's encoding at a time."""
 
-    def __init__(self, path: str, chunk_chars: int = 8192, overlap: int = 256):
+    def __init__(self, path: str, chunk_chars: int = 16_384, overlap: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,7 +102,7 @@ def _counted(path: str, chunk_chars: int, overlap: int):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, *, chunk_chars: int = 8192, overlap: int = 256) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, *, chunk_chars: int = 16_384, overlap: int = 256) -> DataFrame:
     """doc_id, n_bytes, n_tokens of each row of ``docs`` (doc_id, text). ``tokenizer``: the file, at the same place on every machine."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
