@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,16 +83,45 @@ def classify_part(title: Column, lines: Column, parts: dict[str, tuple[str, ...]
     return let(let(text, lambda t: F.array_max(scored(t))), lambda best: F.when(best["s"] > 0, best["part"]).otherwise(default))
 
 
+def _few_per_section(n: int, limit: int):
+    """Of (doc_id, chunk_no, score, hits: a count for each section) the first ``limit`` rows of a task for each section, by hits,
+    score, doc_id and chunk_no: section's number and the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = [[] for _ in range(n)]
+        for b in batches:
+            doc, chunk, score = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            hits = b.column(3).flatten().to_numpy().reshape(-1, n)
+            for i in range(n):
+                able = np.arange(len(doc)) if len(doc) <= limit else np.flatnonzero(hits[:, i] >= np.partition(hits[:, i], -limit)[-limit])
+                rows = [x[able] for x in (hits[:, i], score, doc, chunk)]
+                rows = [np.concatenate(x) for x in zip(kept[i], rows, strict=True)] if kept[i] else rows
+                first = np.lexsort((rows[3], rows[2], -rows[1], -rows[0]))[:limit]
+                kept[i] = [x[first] for x in rows]
+        for i, rows in enumerate(kept):
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), i, np.int32)), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int32()), pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.float64())], names=["n", "doc_id", "chunk_no", "hits", "score"])
+
+    return run
+
+
 def section_chunks(parts: DataFrame, sections: dict[str, tuple[str, ...]] | None = None, limit: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
     """section, doc_id, chunk_no, hits, rank of (doc_id, chunk_no, text, score): most keywords first, then score; within ``by``
     if it is given.
 
-    Sections are columns of one pass, not a join: each chunk is read once whatever their number."""
+    Sections are columns of one pass, not a join: each chunk is read and lower-cased once whatever their number. Without
+    ``by`` tasks keep ``limit`` chunks a section, so that is all that is sorted."""
     sections = C.SECTIONS if sections is None else sections
-    low = F.lower("text")
-    hits = F.array(*[F.struct(F.lit(s).alias("section"), keyword_score(low, w, lambda t, k: t.contains(k).cast("int")).alias("hits")) for s, w in sections.items()])
-    scored = parts.select(*by, "doc_id", "chunk_no", "score", F.explode(hits).alias("h")).select(*by, "h.section", "doc_id", "chunk_no", "h.hits", "score")
-    order = W.partitionBy(*by, "section").orderBy(F.desc("hits"), F.desc(F.round("score", 9)), "doc_id", "chunk_no")
+    low = parts.select(*by, "doc_id", "chunk_no", F.round("score", 9).alias("score"), F.lower("text").alias("low"))
+    hits = F.array(*[F.coalesce(keyword_score(F.col("low"), w, lambda t, k: t.contains(k).cast("int")), F.lit(-1)) for w in sections.values()])
+    names = F.array(*[F.lit(s) for s in sections])
+    if by:
+        scored = low.select(*by, "doc_id", "chunk_no", "score", F.posexplode(hits).alias("n", "hits"))
+    else:
+        rows = low.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), F.col("score").cast("double").alias("score"), hits.alias("hits"))
+        scored = rows.mapInArrow(_few_per_section(len(sections), limit), "n int, doc_id long, chunk_no int, hits int, score double")
+    scored = scored.select(*by, F.get(names, F.col("n")).alias("section"), "doc_id", "chunk_no", F.nullif(F.col("hits"), F.lit(-1)).alias("hits"), "score")
+    order = W.partitionBy(*by, "section").orderBy(F.desc("hits"), F.desc("score"), "doc_id", "chunk_no")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
