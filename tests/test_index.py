@@ -169,6 +169,48 @@ def test_fusion_of_nothing(spark):
     assert rank.fused_top(spark.createDataFrame([], "qid long, channel int, doc_id long, chunk_no int, score double"), 8, 0.3).count() == 0
 
 
+def test_counts_of_what_stands_before_with_ties_in_any_portions():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        score = rng.choice([0.0, 0.25, 1e-9, 0.5 + 4e-10, 0.5, 3.1234567895, 7e5, np.inf, np.nan, -1.0, rng.random()], n)
+        key, weight = rng.permutation(n), rng.integers(1, 4, n)
+        able = np.flatnonzero(~(score <= 0))
+        wanted = rng.choice(able, int(rng.integers(0, len(able) + 1)), replace=False)
+        ahead = selection.Ahead(score[wanted], key[wanted])
+        for part in np.array_split(np.arange(n), 3):
+            ahead.add(score[part], key[part], weight[part])
+        place = lambda i: (-np.inf if np.isnan(score[i]) else -min(round(score[i], 9), 1e300), key[i])
+        assert ahead.counts().tolist() == [sum(weight[j] for j in able if place(j) < place(i)) for i in wanted]
+
+
+@pytest.mark.parametrize("r", [80, 4000])
+def test_hybrid_ranks_by_places_are_those_of_all_pairs(spark, tmp_path, monkeypatch, r):
+    rng = random.Random(11)
+    rows = some_docs(120, 5)
+    rows += [(1000 + i, rows[7][1]) for i in range(30)]  # copies tie in both channels
+    write(spark, rows, tmp_path / "docs")
+    lexicon = Lexicon(spark, str(tmp_path / "index"))
+    lexicon.refresh(str(tmp_path / "docs"))
+    vector = lambda: [float(rng.choice([-1, 0, 1, 2])) for _ in range(3)]
+    vectors = [(d, v) for d, _ in rows for v in (vector(),) if d % 3 or d >= 1000] + [(500, vector()), (501, None), (502, [])]
+    embeddings = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(rng.choice(WORDS) for _ in range(q))) for q in range(1, 7)] + [(7, "unheard"), (8, "")], "qid long, query string")
+    asked = spark.createDataFrame([(1, 1), (2, 500), (3, 1), (4, 501), (5, 502), (6, 1003), (7, 4), (8, 5)], "qid long, vec_id long")
+    slack = 61 / (2 * 68) - 61 / (60 + r) - 1e-6
+    read = lambda df: {(x.qid, x.doc_id, x.chunk_no): x.score for x in df.collect()}
+    want = read(rank._fused_pairs(lexicon, queries, embeddings, asked, 8, slack, 60))
+    monkeypatch.setattr(index, "bm25_all", None)  # as rows, pairs of queries and chunks grow with both
+    monkeypatch.setattr(rank, "dense_scores", None)
+    got = read(rank.fused_places(lexicon, queries, embeddings, asked, 8, slack, r))
+    assert got.keys() == want.keys() and len({q for q, _, _ in got}) == 8 and all(math.isclose(s, want[k], abs_tol=1e-12) for k, s in got.items())
+    assert rank.reach(8, slack) == r and rank.reach(8, 0.45) is None
+    if r == 80:
+        monkeypatch.setattr(rank, "HELD_PLACES", 1000)
+        found = rank.hybrid(lexicon, queries, embeddings, asked, hints=["alpha"]).collect()
+        assert {x.qid for x in found} == set(range(1, 9)) and all(x.rank <= 8 for x in found)
+
+
 def test_blocked_dense_scores_with_nulls_ties_and_many_passes(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = {i: rng.integers(-2, 3, 5).tolist() for i in range(200)}
