@@ -214,8 +214,8 @@ def ppm_scores(docs: DataFrame, *, order: int = 4, block_bytes: int = 16 << 20)
     n, v = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     unknown = float(np.log10(1 / (n + v + 1)))
     wins = listed.filter("win IS NOT NULL").groupBy("win").agg(F.sum("n").alias("n"))
-    # at most 65,536 rows: pairs of bytes
-    low = [tuple(r) for r in wins.filter("n > 0").groupBy(F.col("win").bitwiseAND(65535)).agg(F.sum("n")).collect()]
+    # at most 65,536 rows: pairs of bytes, summed up from the blocks' own counts, so that the windows are dealt out once
+    low = [tuple(r) for r in listed.filter("n > 0 AND win IS NOT NULL").groupBy(F.col("win").bitwiseAND(65535)).agg(F.sum("n")).collect()]
     lengths = wins.groupBy(F.shiftright("win", 8).bitwiseAND(65535).alias("last")).applyInArrow(_lengths(order, low), "win long, value double")
     found = (
         listed.filter("win IS NOT NULL")

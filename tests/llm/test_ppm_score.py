@@ -86,3 +86,12 @@ def test_no_rows_and_no_training(spark):
     i = next(k for k in range(100) if held(k))
     r = ppm_scores(spark.createDataFrame([(i, "ab")], "doc_id long, text string")).first()
     assert (r.n_known, r.train_tokens, r.base_score) == (0, 0, 0.0) and abs(r.score + 3 * math.log10(256)) < 1e-9
+
+
+def test_windows_are_dealt_out_once(spark, monkeypatch):
+    """The pairs of bytes are summed up from the blocks' lists, not from a second exchange of all windows."""
+    df, plans = spark.createDataFrame([(i, "ab cd" * (i % 3)) for i in range(9)], "doc_id long, text string"), []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    ppm_scores(df)
+    assert plans and not any("hashpartitioning(win#" in p for p in plans)
