@@ -61,6 +61,13 @@ class Pieces:
             return []
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if self.separable else [MARK + text]
 
+    def runs(self, text: str) -> list[str] | None:
+        """The runs between the text's single spaces: its chunks are those of the runs, in order, as a run begins with a
+        marker and ends before one. None where spaces or markers stand together or at an end."""
+        if not self.separable or not text or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return None
+        return text.split(" ")
+
     def segment(self, chunk: str) -> bytes:
         """The ids of a chunk as 32-bit integers. The library puts the first marker in front itself, but for the empty
         text; other chunks follow a control character, whose ids are known and merge with nothing."""
@@ -85,19 +92,47 @@ class _Found(dict):
         return ids
 
 
+class _Runs(dict):
+    """Ids of the runs between spaces, kept while there are not too many."""
+
+    def __init__(self, found: _Found):
+        self.found = found
+
+    def __missing__(self, run: str) -> bytes:
+        ids = b"".join(map(self.found.__getitem__, self.found.pieces.chunks(run)))
+        if len(run) <= 64:
+            if len(self) >= self.found.most:
+                self.clear()
+            self[run] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        runs = self.found.pieces.runs(text)
+        return b"".join(map(self.__getitem__, runs) if runs is not None else map(self.found.__getitem__, self.found.pieces.chunks(text)))
+
+
 def _counted(model: str, chunk_chars: int, most: int = 200_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, counts = Pieces(model), Counter()
+        pieces, counts, runs = Pieces(model), Counter(), Counter()
 
         def out() -> pa.RecordBatch:
+            for x, n in runs.items():
+                for c in pieces.chunks(x):
+                    counts[c] += n
             rows = [(c, n) for c, n in counts.items() if len(c) <= chunk_chars]
             counts.clear()
+            runs.clear()
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["chunk", "n"])
 
         for b in batches:
             for x in b.column(0):
-                counts.update(pieces.chunks(x.as_py() or ""))
-                if len(counts) > most:
+                text = x.as_py() or ""
+                found = pieces.runs(text)
+                if found is None:
+                    counts.update(pieces.chunks(text))
+                else:
+                    runs.update(found)
+                if len(counts) + len(runs) > most:
                     yield out()
         yield out()
 
@@ -141,7 +176,7 @@ def _encoded(model: str, known, back: bool, most: int = 1 << 20):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
-        found = _Found(pieces, known.value)
+        found = _Runs(_Found(pieces, known.value))
 
         def out(doc_ids: pa.Array, parts: list[bytes]) -> pa.RecordBatch:
             offsets = np.zeros(len(parts) + 1, np.int32)
@@ -153,7 +188,7 @@ def _encoded(model: str, known, back: bool, most: int = 1 << 20):
         for b in batches:
             first, parts, n = 0, [], 0
             for x in b.column(1):
-                parts.append(b"".join(map(found.__getitem__, pieces.chunks(x.as_py() or ""))))
+                parts.append(found.ids(x.as_py() or ""))
                 n += len(parts[-1])
                 if n > most:
                     yield out(b.column(0).slice(first, len(parts)), parts)
