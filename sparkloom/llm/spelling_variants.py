@@ -14,7 +14,9 @@ so there is no cycle, and a chain has at most log(N) / log(factor) words; its en
 join of written tables.
 
 Everything is DataFrame functions; counts are summed in the tasks before words are shuffled, so a word that holds a
-third of all rows is a row per task. Keys are hashes, which only add candidates.
+third of all rows is a row per task. Keys are hashes, which only add candidates. All joins are sort-merge joins by
+hint: Spark sizes a table by its compressed files, and what is exploded from it no larger, so it would broadcast
+millions of keys from a table of a few MB.
 
 Defined results: null and empty texts have no words; a null doc_id reads as the empty text in the noise rule; repeated
 rows count again; an empty table gives no rows; further columns are ignored. Ties are stated above.
@@ -62,7 +64,7 @@ def near_pairs(counted: DataFrame) -> DataFrame:
     asked = F.concat(_keys(F.col("len"), 0), _keys(F.col("len") - 1, 1))
     probe = sized.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("len").alias("b_len"), F.explode(asked).alias("key"))
     apart = (F.col("a_len") < F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a") < F.col("b")))
-    met = index.join(probe, (index["key"] == probe["key"]) & apart & (F.levenshtein("a", "b", 1) == 1))
+    met = index.hint("merge").join(probe, (index["key"] == probe["key"]) & apart & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
@@ -72,7 +74,7 @@ def forms(counted: DataFrame, *, factor: int = 2) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.struct((-F.col("b_n")).alias("minus"), F.col("b").alias("near")).alias("other")), F.struct(F.col("b").alias("word"), F.struct((-F.col("a_n")).alias("minus"), F.col("a").alias("near")).alias("other"))))
     best = pairs.select(both.alias("x")).select("x.*").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("other").alias("best"))
     able = -F.col("best.minus") >= factor * F.col("n")
-    return counted.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(able, F.col("best.near")).alias("form"), F.when(able, -F.col("best.minus")).alias("form_n"))
+    return counted.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(able, F.col("best.near")).alias("form"), F.when(able, -F.col("best.minus")).alias("form_n"))
 
 
 def _roots(linked: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _roots(linked: DataFrame) -> DataFrame:
     at = written(linked.select("word", F.col("form").alias("root")))
     while True:
         ahead = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = written(at.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        moved = written(at.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         drop_written(at)
         at = moved
         if not at.filter("moved").limit(1).count():
@@ -93,4 +95,4 @@ def spelling_variants(docs: DataFrame, *, noise: int | None = 97, least_chars: i
     formed = written(forms(counted, factor=factor))
     drop_written(counted)
     roots = _roots(formed.filter("form IS NOT NULL"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+from sparkloom.llm.common import written
 from sparkloom.llm.spelling_variants import forms, near_pairs, spelling_variants, words
 
 
@@ -93,3 +94,13 @@ def test_long_chain_reaches_its_end(spark):
 
 def test_empty_table(spark):
     assert spelling_variants(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_no_join_broadcasts_words(spark):
+    """A table of words is small as a file and large as the keys that are made of it."""
+    counted = written(spark.createDataFrame([(w, i + 1) for i, w in enumerate(("abcde", "abcdf", "abcdfg", "xyzab"))], "word string, n long"))
+    docs = spark.createDataFrame([(1, "abcde abcdf abcdf " * 3)], "doc_id long, text string")
+    for df in (near_pairs(counted), forms(counted), spelling_variants(docs)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
